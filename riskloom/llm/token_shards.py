@@ -31,8 +31,8 @@ from .common import bounded_batches, own_columns
 
 MAGIC, STEP = b"IDSHARD1", 256
 HEADER, TRAILER = "<8sII", "<QQQQQqQ8s"
-#: Distinct chunks whose ids a worker keeps.
-CACHE = 600_000
+#: Distinct words whose ids a worker keeps, and marks that may follow a word.
+CACHE, MARKS = 1_000_000, ".,;:!?"
 
 
 class EliasFano:
@@ -94,10 +94,11 @@ class EliasFano:
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian bytes.
 
-    Byte-level pre-tokenisation always starts a new piece at a single space between
-    two non-space characters, so such texts are encoded space by space: each chunk
-    that a batch has and the cache lacks goes to the library once. Any other text
-    goes to it whole.
+    Byte-level pre-tokenisation starts a new piece at a single space or line end
+    between other characters and after a run of letters, so such texts are encoded
+    word by word: words of letters, the marks after them, and anything else between
+    spaces. What a batch has and the cache lacks goes to the library once. Texts with
+    other white space side by side go to it whole.
     """
 
     #: By tokenizer; a worker keeps it from one task to the next.
@@ -110,26 +111,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.kind = f"<u{width}"
-        self.odd = re.compile(r"\A | \Z|\s | \s").search
+        self.odd = re.compile(r"\A | \Z|\s |\s\n| \s|\n\s").search
         self.cache = self.kept.setdefault(zlib.crc32(f"{width}{spec}".encode()), {})
+        self.end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        rows = [(t,) if self.odd(t) else t.split(" ") for t in texts]
-        chunks: set[str] = set()
-        for row in rows:
-            chunks.update(row[1:])
-        new = list(chunks.difference(self.cache))
-        known = dict(zip(new, self.whole([" " + x for x in new])))
-        if len(self.cache) + len(known) <= CACHE:
-            self.cache.update(known)
-            known = self.cache
-        else:
-            known.update((x, self.cache[x]) for x in chunks.intersection(self.cache))
-        heads = self.whole([row[0] for row in rows])
-        return [head + b"".join(map(known.__getitem__, row[1:])) for head, row in zip(heads, rows)]
+        rows: list[list] = []
+        other: list[tuple[list, str]] = []
+        lacking: dict[str, list] = {}
+        get = self.cache.get
+        for text in texts:
+            row: list = []
+            rows.append(row)
+            if self.odd(text):
+                other.append((row, text))
+                continue
+            for n, line in enumerate(text.split("\n")):
+                first, *words = line.split(" ")
+                if n:
+                    row.append(self.end)
+                if first:
+                    # a word at the start of a line is another key than the same word after a space
+                    words.insert(0, "\n" + first)
+                found = list(map(get, words))
+                if None in found:
+                    base = len(row)
+                    for i, x in enumerate(found):
+                        if x is None:
+                            w = words[i]
+                            body = w.rstrip(MARKS)
+                            if len(body) < len(w) and (body[1:] if body[:1] == "\n" else body).isalpha():
+                                tail = get("\n" + w[len(body):])
+                                if tail is not None and (x := get(body)) is not None:
+                                    found[i] = x + tail
+                                else:
+                                    lacking.setdefault(body, []).append((row, base + i, w[len(body):]))
+                            else:
+                                lacking.setdefault(w, []).append((row, base + i, ""))
+                row += found
+        if lacking:
+            tails = {"\n" + t for places in lacking.values() for _, _, t in places if t}.difference(self.cache, lacking)
+            new = [*lacking, *tails]
+            ids = dict(zip(new, self.whole([w[1:] if w[:1] == "\n" else " " + w for w in new])))
+            for w, places in lacking.items():
+                for row, i, t in places:
+                    row[i] = ids[w] + (ids.get("\n" + t) or get("\n" + t)) if t else ids[w]
+            if len(self.cache) < CACHE:
+                self.cache.update((w, x) for w, x in ids.items() if len(w) < 40)
+        for (row, _), ids in zip(other, self.whole([t for _, t in other])):
+            row.append(ids)
+        return list(map(b"".join, rows))
 
 
 def _files(uri: str):
