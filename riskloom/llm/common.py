@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows of whole texts handed to Python at once; with the byte bound below it keeps a batch in memory.
@@ -35,3 +36,15 @@ def map_rows(df: DataFrame, schema: str, f: Callable[[pd.DataFrame], pd.DataFram
                 yield f(pdf)
 
     return df.mapInPandas(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows whose value in ``column`` is wanted, all columns as they are; nothing is shuffled."""
+    bounded_batches(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wanted(batch.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

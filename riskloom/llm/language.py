@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import Scratch
-from .common import map_rows, own_columns
+from .common import keep_rows, map_rows, own_columns
 
 #: Fitted sample, per language: so many texts, so many characters of each.
 SAMPLES, SAMPLE_CHARS = 64, 3000
@@ -116,3 +116,16 @@ def language_id(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """Learn from the rows outside fold 0 of 5, predict all: key, held_out, lang_pred, score, margin, accepted."""
     model = fit(df, ~held_out(key, 5, 0) & F.col(key).isNotNull(), text, lang)
     return identify(df, model, key, text).withColumn("held_out", held_out(key, 5, 0))
+
+
+def keep_known(df: DataFrame, learned: dict[str, tuple[bytes, float]], text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """Rows of an accepted language, all columns as they are."""
+    made: list[Model] = []
+
+    def wanted(texts: list) -> list[bool]:
+        if not made:
+            made.append(Model(learned))
+        found = [made[0].predict(t) for t in texts]
+        return [k != UNKNOWN and m >= margin for k, _, m in found]
+
+    return keep_rows(df, text, wanted)

@@ -244,3 +244,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.join(least, "c").select("fp", "component_id")
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The row that names its component, all columns as they are; of repeated rows of that key one stays.
+
+    Rows with a null key cannot be told apart by it and stay.
+    """
+    found = Scratch(df.sparkSession, "kept").table(near_duplicates(df, key, text, **options).where(F.col(key) == F.col("component_id")).select(key), "keys")
+    kept = df.join(found, key, "left_semi")
+    if found.count() != found.distinct().count():
+        kept = kept.dropDuplicates([key])
+    return kept.union(df.where(F.col(key).isNull())).select(df.columns)

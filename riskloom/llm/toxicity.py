@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import Scratch
-from .common import map_rows, own_columns
+from .common import keep_rows, map_rows, own_columns
 from .language import held_out
 
 #: The classifier is fitted on at most so many labelled texts, those least by hash.
@@ -206,3 +206,16 @@ def score(df: DataFrame, model: tuple, key: str = "doc_id", text: str = "text")
 def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Learn outside fold 1 of 3, score all: key, held_out, score, predicted."""
     return score(df, fit(df, labels, key, text, label), key, text).withColumn("held_out", held_out(key, 3, 1))
+
+
+def keep_clean(df: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+    """Rows whose score stays under the threshold, all columns as they are."""
+    grams, weights, prior = model
+    made: list[Model] = []
+
+    def wanted(texts: list) -> list[bool]:
+        if not made:
+            made.append(Model(grams, weights, prior))
+        return [made[0].score(t) < THRESHOLD for t in texts]
+
+    return keep_rows(df, text, wanted)
