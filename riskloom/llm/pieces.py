@@ -185,47 +185,64 @@ class Coder:
         return text[1:] if self.table.prefix and text[:1] == " " else text
 
 
-def path(table: Table, seg: Column, edges: Column) -> Column:
-    """Ids along the best path of a lattice of structs (span, id, score); span is begin * 64 + end."""
-    size = F.length(seg)
-    scores = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["span"], e["score"])))
-    ids = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["span"], e["id"])))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cut_points(table: Table, size: Column, scores: Column) -> Column:
+    """Ends of the pieces on the best path, from 0 to ``size``; ``scores`` maps begin * 64 + end to an edge's score."""
+    least = F.lit(float("-inf"))
     if table.unigram:
         floor = float(min(s for s, k in zip(table.scores, table.kinds) if k in (NORMAL, USER)) - 10)
         longest = max(map(len, table.pieces))
 
         def ahead(best: Column, j: Column) -> Column:
             options = F.transform(F.sequence(F.greatest(j - longest, F.lit(0)), j - 1), lambda i: F.named_struct(
-                F.lit("score"), (F.element_at(best, i + 1)["score"] + F.coalesce(F.try_element_at(scores, i * 64 + j), F.when(i == j - 1, F.lit(floor)), F.lit(float("-inf")))), F.lit("back"), -i))
+                F.lit("score"), F.get(best, i)["score"] + F.coalesce(F.try_element_at(scores, i * 64 + j).cast("double"), F.when(i == j - 1, F.lit(floor)), least),
+                F.lit("back"), -i))
             return F.concat(best, F.array(F.array_max(options)))
 
         start = F.array(F.named_struct(F.lit("score"), F.lit(0.0), F.lit("back"), F.lit(0)))
-        best = F.aggregate(F.sequence(F.lit(1), size), start, ahead)
-        cuts = F.aggregate(F.sequence(F.lit(1), size), F.array(size), lambda acc, _: F.when(
-            acc[0] > 0, F.concat(F.array(-F.element_at(best, acc[0] + 1)["back"]), acc)).otherwise(acc))
-    else:
-        def join(cuts: Column, _: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.named_struct(
-                F.lit("score"), F.coalesce(F.try_element_at(scores, F.get(cuts, i) * 64 + F.get(cuts, i + 2)), F.lit(float("-inf"))), F.lit("at"), -i))
-            best = F.array_max(pairs)
-            return F.when((F.size(cuts) < 3) | (F.get(cuts, F.lit(0)) < 0), cuts).otherwise(F.when(
-                best["score"] == float("-inf"), F.transform(cuts, lambda x: -1 - x)).otherwise(
-                F.filter(cuts, lambda x, i: i != 1 - best["at"])))
-
-        cuts = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), join)
+        return let(F.aggregate(F.sequence(F.lit(1), size), start, ahead), lambda best: F.aggregate(
+            F.sequence(F.lit(1), size), F.array(size), lambda cuts, _: F.when(
+                F.get(cuts, F.lit(0)) > 0, F.concat(F.array(-F.get(best, F.get(cuts, F.lit(0)))["back"]), cuts)).otherwise(cuts)))
+
+    def join(cuts: Column, _: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.named_struct(
+            F.lit("score"), F.coalesce(F.try_element_at(scores, F.get(cuts, i) * 64 + F.get(cuts, i + 2)).cast("double"), least), F.lit("at"), -i))
         # cut points turn negative once nothing joins, so that later steps pass by
-        cuts = F.transform(cuts, lambda x: F.when(x < 0, -1 - x).otherwise(x))
+        joined = let(F.array_max(pairs), lambda best: F.when(best["score"] == least, F.transform(cuts, lambda x: -1 - x)).otherwise(
+            F.filter(cuts, lambda x, i: i != 1 - best["at"])))
+        return F.when((F.size(cuts) < 3) | (F.get(cuts, F.lit(0)) < 0), cuts).otherwise(joined)
+
+    folded = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), join)
+    return F.transform(folded, lambda x: F.when(x < 0, -1 - x).otherwise(x))
+
+
+def ids_along(table: Table, seg: Column, cuts: Column, ids: Column) -> Column:
+    """Ids of the pieces between cut points; a character that is no piece gives its bytes' pieces."""
     byte0 = table.bytes_at()
 
     def lone(a: Column) -> Column:
         if byte0 is None:
             return F.array(F.lit(0))
-        digits = F.hex(F.encode(F.substring(seg, a + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), F.length(digits) / 2 - 1), lambda k: F.conv(F.substring(digits, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + byte0)
+        return let(F.hex(F.encode(F.substring(seg, a + 1, F.lit(1)), "UTF-8")), lambda digits: F.transform(
+            F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")),
+            lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + byte0))
+
+    def piece(i: Column) -> Column:
+        return let(F.try_element_at(ids, F.get(cuts, i) * 64 + F.get(cuts, i + 1)), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(lone(F.get(cuts, i))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), piece))
+
 
-    spans = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: F.named_struct(F.lit("a"), F.get(cuts, i), F.lit("b"), F.get(cuts, i + 1)))
-    return F.flatten(F.transform(spans, lambda x: F.when(
-        F.try_element_at(ids, x["a"] * 64 + x["b"]).isNotNull(), F.array(F.try_element_at(ids, x["a"] * 64 + x["b"]))).otherwise(lone(x["a"]))))
+def paths(table: Table, lattice: DataFrame) -> DataFrame:
+    """gs, seg, ids from seg, gs and the edges of its lattice, structs of span, id and score."""
+    maps = lattice.select("gs", "seg", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"]))).alias("scores"),
+                          F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
+    cuts = maps.select("gs", "seg", "found", cut_points(table, F.length("seg"), F.col("scores")).alias("cuts"))
+    return cuts.select("gs", "seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -266,7 +283,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     # the piece table's size is fixed by the model file
     lattice = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1").groupBy("seg").agg(
         F.first("gs").alias("gs"), F.collect_list(F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))).alias("edges"))
-    coded = lattice.select(F.explode("gs").alias("g"), "seg", path(table, F.col("seg"), F.col("edges")).alias("ids"))
+    coded = paths(table, lattice).select(F.explode("gs").alias("g"), "seg", "ids")
 
     def put(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = {s: np.asarray(i, "<i4").tobytes() for s, i in zip(own["seg"], own["ids"])}
