@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Fixed values.
 NUMBER = r"\d[\d,]*\.?\d*"
@@ -31,14 +31,23 @@ def extract_numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), normalise_number)))
 
 
-def allowed_numbers() -> Column:
-    """Every rendering of a cluster's figures that prose may quote, and 0 to 10."""
-    shown = [F.lit(str(n)) for n in range(11)] + [F.col(c).cast("long").cast("string") for c in INTEGERS]
-    for c in DECIMALS:
-        d = F.col(c)
-        plain = F.regexp_replace(d.cast("decimal(30,4)").cast("string"), r"0+$", "")
-        shown += [plain, F.floor(d).cast("string"), *[F.format_string(f"%.{k}f", d) for k in (2, 1, 0)]]
-    return F.array_sort(F.array_distinct(F.transform(F.array(*shown), normalise_number)))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def renderings(values: pd.Series) -> pd.Series:
+    """A number as prose may show it. The binary value decides the rounding, which format_string's decimal one does not."""
+    return values.map(lambda x: [] if x != x else [repr(float(x)), str(int(x)), *[f"{x:.{k}f}" for k in (4, 2, 1, 0)]])
+
+
+def allowed_numbers(case: bool = False) -> Column:
+    """Every rendering of a cluster's figures that prose may quote, and 0 to 10; of a case also its own figures and those in its findings.
+
+    Decimals have at most four places, so the rendering with four adds no other number.
+    """
+    whole = INTEGERS + (("rank", "total_flagged_clusters", "entities_in_other_clusters") if case else ())
+    decimals = DECIMALS + (("risk_percentile", "transactions_per_entity", "flagged_share", "population_mean_risk") if case else ())
+    parts = [F.array(*[F.lit(str(n)) for n in range(11)], *[F.col(c).cast("long").cast("string") for c in whole]), *[renderings(F.col(c).cast("double")) for c in decimals]]
+    if case:
+        parts += [extract_numbers(F.col(c)) for c in ("corroborating", "contradicting")]
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*parts)), normalise_number)))
 
 
 def invented_numbers(text: Column, allowed: Column) -> Column:

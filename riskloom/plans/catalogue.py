@@ -4,16 +4,731 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text
+from ..operators import clusters, entity, graph, live, metrics, model, resample, split
+from ..scratch import Scratch
+from ..sources import tables
+from ..streaming import ingest
+from . import views
+from .views import CAP, KEYS, TEST, edges, entities, features, graph_sql, scored, sql, table, test_rows, txn
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+FLAG, DRAWS = 0.6, 20
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- sources, splits, projections
+
+@query(sql("SELECT count(*) AS n_rows, 11 AS n_columns, sum(isFraud) AS fraud_count, round(avg(isFraud), 6) AS fraud_rate, round((max(TransactionDT) - min(TransactionDT))/86400, 4) AS span_days FROM txn"))
+def dataset_summary(spark, d):
+    return split.dataset_summary(txn(spark, d))
+
+
+@query(sql("SELECT count(*) AS n_rows, round(avg(isFraud), 6) AS fraud_rate, count(*) = (SELECT count(*) FROM orders) AND abs(round(avg(isFraud), 6) - 0.065) <= 0.02 AS ok FROM txn"))
+def integrity_check(spark, d):
+    return split.integrity_check(txn(spark, d), table(spark, d, "orders").count(), 0.065, 0.02)
+
+
+@query(sql("SELECT TransactionID, CAST(((floor(TransactionDT/3600) % 24) + 24) % 24 AS BIGINT) AS tx_hour, CAST(((floor(TransactionDT/86400) % 7) + 7) % 7 AS BIGINT) AS tx_dayofweek, CAST(floor(TransactionDT/86400) AS BIGINT) AS tx_day FROM txn"))
+def time_features(spark, d):
+    return split.add_time_features(txn(spark, d)).select("TransactionID", "tx_hour", "tx_dayofweek", "tx_day")
+
+
+@query(sql("SELECT TransactionID, uid FROM scored"))
+def build_uid(spark, d):
+    return entity.build_uid(txn(spark, d)).select("TransactionID", "uid")
+
+
+SUMMARY = """SELECT count(*) FILTER (WHERE TransactionDT < c) AS train_rows, count(*) FILTER (WHERE TransactionDT >= c) AS test_rows,
+  round(count(*) FILTER (WHERE TransactionDT >= c)/count(*), 6) AS test_fraction, CAST(any_value(c) AS DOUBLE) AS boundary,
+  round(avg(isFraud) FILTER (WHERE TransactionDT < c), 6) AS train_rate, round(avg(isFraud) FILTER (WHERE TransactionDT >= c), 6) AS test_rate,
+  round((max(TransactionDT) FILTER (WHERE TransactionDT < c) - min(TransactionDT) FILTER (WHERE TransactionDT < c))/86400, 4) AS train_span_days,
+  round((max(TransactionDT) FILTER (WHERE TransactionDT >= c) - min(TransactionDT) FILTER (WHERE TransactionDT >= c))/86400, 4) AS test_span_days FROM """
+
+
+@query(sql(SUMMARY + "txn, cut"))
+def temporal_split_summary(spark, d):
+    return split.split_summary(txn(spark, d))
+
+
+@query(sql(SUMMARY + "tr, (SELECT quantile_cont(TransactionDT, 0.8) AS c FROM tr)", "tr AS (SELECT * FROM txn WHERE TransactionDT < (SELECT c FROM cut))"))
+def inner_split_summary(spark, d):
+    return split.split_summary(split.temporal_split(txn(spark, d))[0])
+
+
+# --- entities and graph
+
+G = graph_sql("scored")
+
+
+@query(sql("SELECT uid, key_name, value FROM links", G))
+def link_keys_long(spark, d):
+    return entity.links_long(entities(txn(spark, d)), KEYS)
+
+
+@query(sql("SELECT uid, card1, addr1, P_emaildomain, card3, card5, card6 FROM ent", G))
+def entity_frame(spark, d):
+    return entities(txn(spark, d))
+
+
+@query(sql("SELECT uid, key_name, value FROM edges", G))
+def hub_suppressed_edges(spark, d):
+    return edges(txn(spark, d))
+
+
+@query(sql(f"SELECT count(*) AS dropped_hub_values, coalesce(sum(members), 0) AS dropped_hub_members FROM grp WHERE members > {CAP}", G))
+def hub_drop_counts(spark, d):
+    return entity.hub_drops(entity.links_long(entities(txn(spark, d)), KEYS), CAP)
+
+
+@query(sql("""SELECT cap, (SELECT sum(members) FROM grp WHERE members BETWEEN 2 AND cap) AS n_edges,
+  (SELECT count(DISTINCT uid) FROM links JOIN grp USING (key_name, value) WHERE members BETWEEN 2 AND cap) AS linked_entities,
+  round((SELECT avg(CASE WHEN uid IN (SELECT uid FROM links JOIN grp USING (key_name, value) WHERE members BETWEEN 2 AND cap) THEN 1.0 ELSE 0.0 END) FROM scored WHERE TransactionDT >= (SELECT c FROM cut)), 6) AS row_coverage
+FROM (VALUES (5), (20), (50)) AS t(cap)""", G).replace("WHERE uid IN", "WHERE uid IN"))
+def coverage_by_cap(spark, d):
+    rows = entity.build_uid(txn(spark, d))
+    return entity.coverage(rows.where(F.col("TransactionDT") >= split.cutoff(rows)), entities(txn(spark, d)), KEYS)
+
+
+@query(sql("SELECT uid, component FROM comp", G))
+def connected_components(spark, d):
+    c = graph.components(graph.bipartite(edges(txn(spark, d)))).where(F.col("node").startswith("0|"))
+    return c.select(F.substring("node", 3, 99).alias("uid"), F.substring("component", 3, 99).alias("component"))
+
+
+@query(sql("SELECT n AS size, count(*) AS components FROM size GROUP BY 1", G))
+def component_sizes(spark, d):
+    return connected_components(spark, d).groupBy("component").count().groupBy(F.col("count").alias("size")).agg(F.count("*").alias("components"))
+
+
+@query(sql("SELECT node, core FROM core", G))
+def k_core(spark, d):
+    return graph.k_core(graph.bipartite(edges(txn(spark, d))))
+
+
+@query(sql("SELECT * FROM feat", G))
+def graph_features(spark, d):
+    return features(txn(spark, d))
+
+
+@query(sql(f"""SELECT count(*) AS entities, sum(g_degree) AS edges, round(avg(g_is_linked), 6) AS linked_fraction, max(g_component_size) AS largest_component,
+  round(avg(g_component_size) FILTER (WHERE g_is_linked = 1), 4) AS mean_component_of_linked, max(g_core_number) AS max_core,
+  (SELECT count(*) FROM grp WHERE members > {CAP}) AS dropped_hub_values, (SELECT coalesce(sum(members), 0) FROM grp WHERE members > {CAP}) AS dropped_hub_members FROM feat""", G))
+def graph_summary(spark, d):
+    rows = txn(spark, d)
+    return graph.graph_summary(features(rows), entity.links_long(entities(rows), KEYS), CAP)
+
+
+@query(sql("""SELECT 'train' AS side, TransactionID, f.* EXCLUDE (uid) FROM tr LEFT JOIN t_feat f USING (uid)
+UNION ALL SELECT 'test', TransactionID, f.* EXCLUDE (uid) FROM (SELECT * FROM scored WHERE TransactionDT >= (SELECT c FROM cut)) LEFT JOIN feat f USING (uid)""",
+           "tr AS (SELECT * FROM scored WHERE TransactionDT < (SELECT c FROM cut))", graph_sql("tr", "t_"), G))
+def train_test_graph_features(spark, d):
+    a, b = split.temporal_split(entity.build_uid(txn(spark, d)))
+    a, b = graph.features_for_split(a, b, views.COLUMNS, KEYS, CAP)
+    cols = ["TransactionID", "g_component", "g_component_size", "g_component_size_total", "g_core_number", "g_degree", "g_is_linked"]
+    return a.select(F.lit("train").alias("side"), *cols).union(b.select(F.lit("test"), *cols))
+
+
+@query(sql("SELECT DISTINCT e1.uid AS a, e2.uid AS b FROM edges e1 JOIN edges e2 USING (key_name, value) WHERE e1.uid < e2.uid", G))
+def bipartite_projection(spark, d):
+    return graph.project(edges(txn(spark, d)))
+
+
+@query(sql("""SELECT 'entities' AS name, (SELECT count(*) FROM ent) AS nodes, (SELECT count(*) FROM p) AS edges, round(2.0*(SELECT count(*) FROM p)/(SELECT count(*) FROM ent), 4) AS mean_degree,
+  round(1.0 - (SELECT count(*) FROM comp)/(SELECT count(*) FROM ent), 6) AS isolated_share, count(*) AS components, max(n) AS largest_component, round(avg(n), 4) AS mean_component, (SELECT max(h) FROM pk WHERE i = 80) AS max_core FROM size""",
+           G, "p AS (SELECT DISTINCT e1.uid AS a, e2.uid AS b FROM edges e1 JOIN edges e2 USING (key_name, value) WHERE e1.uid < e2.uid)", "pa AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)",
+           "pk(i, v, h) AS (SELECT 0, src, count(*) FROM pa GROUP BY src UNION ALL SELECT i + 1, v, CAST(max(least(h, rn)) AS BIGINT) FROM (SELECT k.i, a.src AS v, k.h, row_number() OVER (PARTITION BY a.src ORDER BY k.h DESC) AS rn FROM pk k JOIN pa a ON a.dst = k.v WHERE k.i < 80) GROUP BY i, v)"))
+def graph_shape(spark, d):
+    rows = txn(spark, d)
+    pairs = Scratch(spark, "shape").table(graph.project(edges(rows)).select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
+    return graph.describe_graph("entities", entities(rows).select("uid"), pairs)
+
+
+@query(sql("SELECT node, round(r, 8) AS rank FROM pr WHERE i = 20", G, "pd AS (SELECT src AS node, count(*) AS d FROM adj GROUP BY 1)", "pn AS (SELECT count(*) AS n FROM pd)",
+           """pr(i, node, r) AS (SELECT 0, node, 1.0::DOUBLE/n FROM pd, pn UNION ALL SELECT p.i + 1, a.dst, 0.15::DOUBLE/pn.n + 0.85::DOUBLE*sum(p.r/pd.d)
+  FROM pr p JOIN pd USING (node) JOIN adj a ON a.src = p.node, pn WHERE p.i < 20 GROUP BY p.i, a.dst, pn.n)"""))
+def pagerank(spark, d):
+    return graph.pagerank(graph.bipartite(edges(txn(spark, d))), rounds=20, tolerance=0.0).select("node", F.round("rank", 8).alias("rank"))
+
+
+@query()
+def betweenness(spark, d):
+    return graph.betweenness(graph.bipartite(edges(txn(spark, d)))).select("node", F.round("betweenness", 10).alias("betweenness"))
+
+
+@query()
+def centrality_variance(spark, d):
+    e = Scratch(spark, "central").table(graph.bipartite(edges(txn(spark, d))), "e")
+    uid = F.substring("node", 3, 99).alias("uid")
+    own = F.col("node").startswith("0|")
+    ranks = graph.pagerank(e).where(own).select(uid, "rank").join(graph.betweenness(e).where(own).select(uid, "betweenness"), "uid")
+    return graph.centrality_variance(ranks, graph.components(e).where(own).select(uid, "component"))
+
+
+@query()
+def component_subgraph(spark, d):
+    f = features(txn(spark, d))
+    best = f.orderBy(F.desc("g_component_size"), "g_component").first()["g_component"]
+    return graph_display(spark, d, f, best)
+
+
+def graph_display(spark, d, f, best):
+    return clusters.cluster_subgraph(edges(txn(spark, d)), f, best)
+
+
+# --- metrics of scored rows
+
+def ap_sql(source: str, w: str = "1.0", y: str = "y", s: str = "s") -> str:
+    return f"""(SELECT sum(tp*ctp/cn)/sum(tp) FROM (SELECT tp, sum(tp) OVER (ORDER BY x DESC) AS ctp, sum(n) OVER (ORDER BY x DESC) AS cn
+  FROM (SELECT {s} AS x, sum(({w})*{y})::DOUBLE AS tp, sum({w})::DOUBLE AS n FROM {source} GROUP BY 1)))"""
+
+
+def auc_sql(source: str) -> str:
+    return f"(SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1)*(count(*) FILTER (WHERE y = 1) + 1)/2)/(count(*) FILTER (WHERE y = 1)::DOUBLE*count(*) FILTER (WHERE y = 0)) FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)/2.0::DOUBLE AS r FROM {source}))"
+
+
+@query(sql(f"SELECT round({ap_sql('scored')}, 6) AS ap"))
+def average_precision(spark, d):
+    return metrics.average_precision(scored(spark, d)).select(F.round("ap", 6).alias("ap"))
+
+
+@query(sql(f"SELECT round({ap_sql('scored', 'amount_inr')}, 6) AS ap"))
+def value_weighted_ap(spark, d):
+    return metrics.average_precision(scored(spark, d), weight="amount_inr").select(F.round("ap", 6).alias("ap"))
+
+
+@query(sql(f"SELECT round({auc_sql('scored')}, 6) AS auc"))
+def roc_auc(spark, d):
+    return metrics.roc_auc(scored(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query(sql("""SELECT s AS threshold, round(ctp/cn, 6) AS precision, round(ctp/p, 6) AS recall FROM (SELECT s, sum(tp) OVER (ORDER BY s DESC)::DOUBLE AS ctp, sum(n) OVER (ORDER BY s DESC)::DOUBLE AS cn, sum(tp) OVER () AS p
+  FROM (SELECT s, sum(y) AS tp, count(*) AS n FROM scored GROUP BY s)) UNION ALL SELECT NULL, 1.0, 0.0"""))
+def pr_curve(spark, d):
+    return metrics.pr_curve(scored(spark, d))
+
+
+def costs_sql(ts: str) -> str:
+    return f"""SELECT t AS threshold, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp/(tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp/(tp + fn) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN fp + tn > 0 THEN fp/(fp + tn) ELSE 0 END, 6) AS insult_rate, round(caught, 2) AS caught_inr, round(lost + fn*1200.0::DOUBLE, 2) AS missed_inr, round(bad*0.12::DOUBLE, 2) AS insult_cost_inr,
+  round(lost + fn*1200.0::DOUBLE + bad*0.12::DOUBLE, 2) AS total_cost_inr FROM (
+  SELECT t, count(*) FILTER (WHERE y = 1 AND s >= t) AS tp, count(*) FILTER (WHERE y = 0 AND s >= t) AS fp, count(*) FILTER (WHERE y = 1 AND s < t) AS fn, count(*) FILTER (WHERE y = 0 AND s < t) AS tn,
+    coalesce(sum(amount_inr) FILTER (WHERE y = 1 AND s >= t), 0) AS caught, coalesce(sum(amount_inr) FILTER (WHERE y = 1 AND s < t), 0) AS lost, coalesce(sum(amount_inr) FILTER (WHERE y = 0 AND s >= t), 0) AS bad
+  FROM scored, ({ts}) GROUP BY t)"""
+
+
+def levels_sql(a: float, b: float, n: int, extra: str = "") -> str:
+    return f"SELECT DISTINCT round(unnest(quantile_cont(s, {metrics.linspace(a, b, n)})), 6) AS t FROM scored{extra}"
+
+
+@query(sql(costs_sql(f"SELECT {FLAG}::DOUBLE AS t")))
+def cost_at_threshold(spark, d):
+    return metrics.at_thresholds(scored(spark, d), [FLAG])
+
+
+BY_COST = costs_sql(levels_sql(0.5, 0.9999, 200)) + " ORDER BY total_cost_inr, threshold LIMIT 1"
+BY_CAP = "SELECT * FROM (" + costs_sql(levels_sql(0.5, 0.99999, 200)) + ") ORDER BY insult_rate > 0.01, CASE WHEN insult_rate > 0.01 THEN insult_rate ELSE total_cost_inr END, threshold LIMIT 1"
+
+
+@query(sql(BY_COST))
+def threshold_by_cost(spark, d):
+    return metrics.threshold_by_cost(scored(spark, d))
+
+
+@query(sql(BY_CAP))
+def threshold_under_cap(spark, d):
+    return metrics.threshold_under_cap(scored(spark, d))
+
+
+@query(sql(costs_sql(levels_sql(0.85, 0.99995, 150, f" UNION SELECT {FLAG}::DOUBLE"))))
+def threshold_sweep(spark, d):
+    return metrics.threshold_sweep(scored(spark, d), extra=(FLAG,))
+
+
+REPORT = f"""SELECT 'base' AS name, (SELECT count(*) FROM scored) AS rows, round((SELECT avg(y) FROM scored), 6) AS prevalence, round({ap_sql('scored')}, 6) AS auc_pr, round({ap_sql('scored')}/(SELECT avg(y) FROM scored), 4) AS lift,
+  round({auc_sql('scored')}, 6) AS auc_roc, a.threshold AS cost_threshold, a.total_cost_inr AS cost_total_inr, b.threshold AS cap_threshold, b.total_cost_inr AS cap_total_inr FROM ({BY_COST}) a, ({BY_CAP}) b"""
+
+
+@query(sql(REPORT))
+def evaluation_report(spark, d):
+    return metrics.evaluation_report("base", scored(spark, d))
+
+
+@query(sql(f"SELECT name, printf('%s: AUC-PR %.4f (%.1fx prevalence), AUC-ROC %.4f', name, auc_pr, lift, auc_roc) AS line FROM ({REPORT})"))
+def report_line(spark, d):
+    return metrics.report_line(metrics.evaluation_report("base", scored(spark, d)))
+
+
+BINS = """(SELECT len(list_filter(e, lambda x: x < s)) AS bin, count(*) AS n, avg(s) AS ms, avg(y) AS ry FROM scored, (SELECT quantile_cont(s, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM scored) GROUP BY 1)"""
+
+
+@query(sql(f"SELECT bin, n, round(ms, 6) AS mean_score, round(ry, 6) AS observed_rate FROM {BINS}"))
+def calibration_bins(spark, d):
+    return metrics.calibration_bins(scored(spark, d)).select("bin", "n", F.round("mean_score", 6).alias("mean_score"), F.round("observed_rate", 6).alias("observed_rate"))
+
+
+@query(sql(f"SELECT 'base' AS name, round((SELECT avg(pow(s - y, 2)) FROM scored), 6) AS brier, round(sum(abs(ms - ry)*n)/sum(n), 6) AS ece, round(max(abs(ms - ry)), 6) AS worst_bin, count(*) AS bins FROM {BINS}"))
+def calibration_report(spark, d):
+    return metrics.calibration_report("base", scored(spark, d))
+
+
+@query(sql("SELECT round(avg(pow(s - y, 2)), 6) AS brier FROM scored"))
+def brier(spark, d):
+    return metrics.brier(scored(spark, d))
+
+
+PSI_OF = ("TransactionAmt", "addr1", "card3", "s")
+
+
+def psi_sql(c: str) -> str:
+    side = lambda x: f"(SELECT {c}::DOUBLE AS x FROM scored, cut WHERE TransactionDT {x} c AND {c} IS NOT NULL)"
+    count = lambda x: f"(SELECT len(list_filter(e, lambda z: z <= x)) AS bin, count(*)::DOUBLE AS n FROM {side(x)}, i GROUP BY 1)"
+    return f"""SELECT '{c}' AS feature, (WITH u AS (SELECT list_sort(list_distinct(quantile_cont(x, {[i / 10 for i in range(11)]}))) AS q FROM {side('<')}), i AS (SELECT q[2:len(q) - 1] AS e, len(q) - 1 AS k FROM u),
+  b AS (SELECT unnest(range(0, k)) AS bin FROM i)
+  SELECT round(sum((qq - pp)*ln(qq/pp)), 6) FROM (SELECT greatest(coalesce(p.n, 0)/sum(coalesce(p.n, 0)) OVER (), 1e-6) AS pp, greatest(coalesce(q.n, 0)/sum(coalesce(q.n, 0)) OVER (), 1e-6) AS qq
+    FROM b LEFT JOIN {count('<')} p USING (bin) LEFT JOIN {count('>=')} q USING (bin))) AS psi"""
+
+
+VERDICT = "CASE WHEN psi IS NULL THEN 'undefined' WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS verdict"
+
+
+@query(sql(f"SELECT feature, psi, {VERDICT} FROM ({' UNION ALL '.join(map(psi_sql, PSI_OF))})"))
+def psi_by_feature(spark, d):
+    rows = scored(spark, d)
+    at = split.cutoff(rows)
+    out = None
+    for c in PSI_OF:
+        one = metrics.psi(rows.where(F.col("TransactionDT") < at), rows.where(F.col("TransactionDT") >= at), c).select(F.lit(c).alias("feature"), "psi", metrics.psi_verdict(F.col("psi")).alias("verdict"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(sql(f"SELECT feature, psi FROM ({' UNION ALL '.join(map(psi_sql, PSI_OF))}) ORDER BY psi DESC, feature LIMIT 1"))
+def worst_psi_feature(spark, d):
+    return psi_by_feature(spark, d).agg(F.max_by(F.struct("feature", "psi"), F.struct("psi", "feature")).alias("w")).select("w.*")
+
+
+@query(sql("""SELECT w AS "window", rows, fraud, brier, round(ap, 6) AS auc_pr, round(auc, 6) AS auc_roc FROM
+  (SELECT w, count(*) AS rows, sum(y) AS fraud, round(avg(pow(s - y, 2)), 6) AS brier FROM win GROUP BY w) JOIN
+  (SELECT w, sum(tp*ctp/cn)/sum(tp) AS ap FROM (SELECT w, tp, sum(tp) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS cn FROM (SELECT w, s, sum(y) AS tp, count(*) AS n FROM win GROUP BY 1, 2)) GROUP BY w) USING (w) JOIN
+  (SELECT w, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1)*(count(*) FILTER (WHERE y = 1) + 1)/2)/(count(*) FILTER (WHERE y = 1)::DOUBLE*count(*) FILTER (WHERE y = 0)) AS auc
+    FROM (SELECT w, y, rank() OVER (PARTITION BY w ORDER BY s) + (count(*) OVER (PARTITION BY w, s) - 1)/2.0::DOUBLE AS r FROM win) GROUP BY w) USING (w) WHERE fraud > 0""",
+           "ed AS (SELECT [a + i*(b + 1 - a)/6.0::DOUBLE for i in range(1, 6)] AS e FROM (SELECT min(TransactionDT) AS a, max(TransactionDT) AS b FROM scored))",
+           "win AS (SELECT len(list_filter(e, lambda x: x <= TransactionDT)) AS w, y, s FROM scored, ed)"))
+def drift_windows(spark, d):
+    return metrics.drift_windows(scored(spark, d))
+
+
+@query(sql("""SELECT round(f.auc_pr - l.auc_pr, 6) AS first_minus_last, f.auc_pr > l.auc_pr AS falling FROM (SELECT auc_pr FROM q ORDER BY w LIMIT 1) f, (SELECT auc_pr FROM q ORDER BY w DESC LIMIT 1) l""",
+           "ed AS (SELECT [a + i*(b + 1 - a)/6.0::DOUBLE for i in range(1, 6)] AS e FROM (SELECT min(TransactionDT) AS a, max(TransactionDT) AS b FROM scored))",
+           "win AS (SELECT len(list_filter(e, lambda x: x <= TransactionDT)) AS w, y, s FROM scored, ed)",
+           "q AS (SELECT w, round(sum(tp*ctp/cn)/sum(tp), 6) AS auc_pr FROM (SELECT w, tp, sum(tp) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS cn FROM (SELECT w, s, sum(y) AS tp, count(*) AS n FROM win GROUP BY 1, 2)) GROUP BY w HAVING sum(tp) > 0)"))
+def ranking_quality_trend(spark, d):
+    w = metrics.drift_windows(scored(spark, d))
+    return w.agg(F.min_by("auc_pr", "window").alias("f"), F.max_by("auc_pr", "window").alias("l")).select(F.round(F.col("f") - F.col("l"), 6).alias("first_minus_last"), (F.col("f") > F.col("l")).alias("falling"))
+
+
+@query(sql(f"""SELECT count(*) AS fraud_rows, round(count(*) FILTER (WHERE m)/count(*), 6) AS count_share, round(coalesce(sum(amount_inr) FILTER (WHERE m), 0)/sum(amount_inr), 6) AS value_share,
+  round(avg(amount_inr) FILTER (WHERE m), 2) AS mean_in, round(avg(amount_inr) FILTER (WHERE NOT m), 2) AS mean_out, round(quantile_cont(amount_inr, 0.5) FILTER (WHERE m), 2) AS median_in, round(quantile_cont(amount_inr, 0.5) FILTER (WHERE NOT m), 2) AS median_out,
+  round((sum(amount_inr) FILTER (WHERE m)/sum(amount_inr))/(count(*) FILTER (WHERE m)/count(*)), 4) AS enrichment FROM (SELECT amount_inr, s >= {FLAG} AS m FROM scored WHERE y = 1)"""))
+def value_concentration(spark, d):
+    return metrics.value_concentration(scored(spark, d), F.col("s") >= FLAG)
+
+
+@query(sql(f"SELECT round(sum(amount_inr) FILTER (WHERE s >= {FLAG})/sum(amount_inr), 6) AS vdr FROM scored WHERE y = 1"))
+def value_detection_rate(spark, d):
+    return metrics.value_detection_rate(scored(spark, d), FLAG)
+
+
+WEIGHTS = "wt AS (SELECT y, w/avg(w) OVER () AS w FROM (SELECT y, greatest(CASE WHEN y = 1 THEN amount*88.0::DOUBLE + 1200 ELSE amount*88.0::DOUBLE*0.12::DOUBLE END, 1e-6) AS w FROM scored))"
+
+
+@query(sql("""SELECT round(avg(w), 6) AS mean, round(pow(sum(w), 2)/sum(w*w), 4) AS ess, round(pow(sum(w), 2)/sum(w*w)/count(*), 6) AS ess_share, round(avg(w) FILTER (WHERE y = 1), 6) AS mean_fraud, round(avg(w) FILTER (WHERE y = 0), 6) AS mean_legit,
+  round(avg(w) FILTER (WHERE y = 1)/avg(w) FILTER (WHERE y = 0), 4) AS asymmetry, round(min(w), 6) AS least, round(max(w), 6) AS greatest FROM wt""", WEIGHTS))
+def cost_weights_summary(spark, d):
+    return metrics.weight_summary(metrics.cost_weights(scored(spark, d)))
+
+
+@query(sql("SELECT round(pow(sum(w), 2)/sum(w*w), 4) AS ess FROM wt", WEIGHTS))
+def effective_sample_size(spark, d):
+    return metrics.effective_sample_size(metrics.cost_weights(scored(spark, d)))
+
+
+# --- resampling and permutation
+
+def poisson_sql(key: str, b: str) -> str:
+    h = f"substr(md5(concat({key}, ':', {b})), 1, 8)"
+    return "CASE " + " ".join(f"WHEN {h} < '{x}' THEN {i}" for i, x in enumerate(resample.POISSON)) + " ELSE 7 END"
+
+
+def interval_sql(source: str) -> str:
+    return f"""SELECT draws, delta, low, high, low > 0 OR high < 0 AS significant, CASE WHEN NOT (low > 0 OR high < 0) THEN 'no significant difference' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS verdict
+  FROM (SELECT count(*) AS draws, round(avg(delta), 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM {source})"""
+
+
+DRAWN = f"dr AS (SELECT * FROM (SELECT scored.*, b, {poisson_sql('id', 'b')} AS w FROM scored, range(1, {DRAWS + 1}) AS t(b)) WHERE w > 0)"
+
+
+@query(sql(interval_sql(f"(SELECT b, (sum(CASE WHEN v >= 0.5 THEN w*amount_inr ELSE 0 END) - sum(CASE WHEN s >= {FLAG} THEN w*amount_inr ELSE 0 END))/sum(w*amount_inr) AS delta FROM dr WHERE y = 1 GROUP BY b)"), DRAWN))
+def bootstrap_vdr_delta_hash(spark, d):
+    return resample.vdr_delta(scored(spark, d), "id", DRAWS, FLAG, 0.5)
+
+
+@query(sql(interval_sql("(SELECT b, max(ap) FILTER (WHERE m = 1) - max(ap) FILTER (WHERE m = 0) AS delta FROM aps GROUP BY b)"), DRAWN,
+           """aps AS (SELECT b, m, sum(tp*ctp/cn)/sum(tp) AS ap FROM (SELECT b, m, tp, sum(tp) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS cn
+  FROM (SELECT b, m, x, sum(w*y)::DOUBLE AS tp, sum(w)::DOUBLE AS n FROM (SELECT b, 0 AS m, s AS x, w, y FROM dr UNION ALL SELECT b, 1, v, w, y FROM dr) GROUP BY 1, 2, 3)) GROUP BY 1, 2)"""))
+def bootstrap_ap_delta_hash(spark, d):
+    return resample.ap_delta(scored(spark, d), "id", DRAWS)
+
+
+@query()
+def bootstrap_exact(spark, d):
+    import numpy as np
+
+    def ap(y, s):
+        order = np.argsort(-s, kind="stable")
+        y, s = y[order], s[order]
+        last = np.append(np.flatnonzero(np.diff(s)), len(s) - 1)
+        tp = np.cumsum(y)[last]
+        return float((np.diff(np.append(0, tp)) * tp / (last + 1)).sum() / max(tp[-1], 1))
+
+    return resample.exact_bootstrap(scored(spark, d), ap, draws=50)
+
+
+@query(sql(f"SELECT count(*) AS n, round(max(s), 4) AS metric FROM scored WHERE y = 1").replace("count(*) AS n, ", ""))
+def pluggable_metric(spark, d):
+    return metrics.metric(scored(spark, d).where("y = 1").select("y", "s"), lambda pdf: round(pdf["s"].max(), 4))
+
+
+MEMBERS = "mem AS (SELECT f.uid, g_component AS component, CAST(fraud AS INT) AS fraud FROM feat f JOIN (SELECT uid, max(isFraud) AS fraud FROM scored WHERE uid IS NOT NULL GROUP BY uid) USING (uid) WHERE g_is_linked = 1)"
+
+
+def members(spark, d):
+    rows = txn(spark, d)
+    labels = entity.build_uid(rows).where("uid is not null").groupBy("uid").agg(F.max("isFraud").alias("fraud"))
+    f = features(rows).where("g_is_linked = 1").select("uid", F.col("g_component").alias("component"))
+    return Scratch(spark, "members").table(f.join(labels, "uid"), "m")
+
+
+@query(sql("SELECT count(*) AS components, count(*) FILTER (WHERE f = n) AS all_fraud, count(*) FILTER (WHERE f > 0 AND f < n) AS mixed, count(*) FILTER (WHERE f = 0) AS clean FROM (SELECT component, count(*) AS n, sum(fraud) AS f FROM mem GROUP BY 1 HAVING count(*) >= 2)", G, MEMBERS))
+def ring_observed(spark, d):
+    return resample.ring_counts(members(spark, d))
+
+
+PERMUTED = f"perm AS (SELECT b, uid, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat(uid, ':', b)), uid) <= (SELECT sum(fraud) FROM mem) THEN 1 ELSE 0 END AS fraud FROM mem, range(1, {DRAWS + 1}) AS t(b))"
+
+
+@query(sql("""SELECT o.components, o.all_fraud, o.mixed, o.clean, round(m, 6) AS null_mean, round(sd, 6) AS null_std, round((o.all_fraud - m)/(sd + 1e-9), 4) AS z FROM
+  (SELECT count(*) AS components, count(*) FILTER (WHERE f = n) AS all_fraud, count(*) FILTER (WHERE f > 0 AND f < n) AS mixed, count(*) FILTER (WHERE f = 0) AS clean FROM (SELECT component, count(*) AS n, sum(fraud) AS f FROM mem GROUP BY 1 HAVING count(*) >= 2)) o,
+  (SELECT avg(k) AS m, stddev_pop(k) AS sd FROM (SELECT b, count(*) FILTER (WHERE f = n) AS k FROM (SELECT b, component, count(*) AS n, sum(p.fraud) AS f FROM perm p JOIN mem USING (uid) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY b))""", G, MEMBERS, PERMUTED))
+def ring_permutation_hash(spark, d):
+    return resample.ring_test(members(spark, d), draws=DRAWS)
+
+
+PAIRS = "pairs AS (SELECT DISTINCT e1.uid AS src, e2.uid AS dst FROM edges e1 JOIN edges e2 USING (key_name, value) WHERE e1.uid < e2.uid)"
+
+
+@query(sql("SELECT count(*) AS edges, round(avg(a.fraud*b.fraud), 6) AS share FROM pairs JOIN mem a ON src = a.uid JOIN mem b ON dst = b.uid", G, MEMBERS, PAIRS))
+def homophily_observed(spark, d):
+    pairs = graph.project(edges(txn(spark, d))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return resample.homophily(pairs, members(spark, d).select(F.col("uid").alias("node"), F.col("fraud").alias("bad"))).select("edges", F.round("share", 6).alias("share"))
+
+
+@query(sql("""SELECT edges, round(share, 6) AS share, round(m, 6) AS null_mean, round(sd, 6) AS null_std, round((share - m)/(sd + 1e-9), 4) AS z FROM
+  (SELECT count(*) AS edges, avg(a.fraud*b.fraud) AS share FROM pairs JOIN mem a ON src = a.uid JOIN mem b ON dst = b.uid),
+  (SELECT avg(k) AS m, stddev_pop(k) AS sd FROM (SELECT a.b, avg(a.fraud*b.fraud) AS k FROM pairs JOIN perm a ON src = a.uid JOIN perm b ON dst = b.uid AND a.b = b.b GROUP BY a.b))""", G, MEMBERS, PAIRS, PERMUTED))
+def homophily_permutation_hash(spark, d):
+    pairs = Scratch(spark, "pairs").table(graph.project(edges(txn(spark, d))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "p")
+    return resample.homophily_test(pairs, members(spark, d).select(F.col("uid").alias("node"), F.col("fraud").alias("bad")), DRAWS)
+
+
+# --- clusters
+
+CLUSTERS = f"""fc AS (SELECT row_number() OVER (ORDER BY ms DESC, g_component) - 1 AS cluster_id, g_component AS component, round(ms, 4) AS max_score FROM
+  (SELECT g_component, max(s) AS ms FROM test WHERE g_component IS NOT NULL AND g_component_size > 1 GROUP BY 1 HAVING count(DISTINCT uid) >= 2 AND max(s) >= {FLAG} ORDER BY ms DESC, g_component LIMIT 12)),
+ev AS (SELECT cluster_id, count(DISTINCT uid) AS entity_count, count(*) AS transaction_count, count(*) FILTER (WHERE s >= {FLAG}) AS flagged_transaction_count, max(g_component_size) AS component_size, max(g_core_number) AS core_number,
+  max(g_degree) AS max_degree, count(DISTINCT card1) AS distinct_cards, count(DISTINCT addr1) AS distinct_addresses, count(DISTINCT P_emaildomain) AS distinct_email_domains,
+  CAST(floor((max(TransactionDT) - min(TransactionDT))/86400) AS BIGINT) AS span_days, round(sum(TransactionAmt)*88.0::DOUBLE, 2) AS total_amount_inr, round(max(s), 4) AS max_risk_score, round(avg(s), 4) AS mean_risk_score,
+  CASE WHEN count(DISTINCT card1) <> 1 AND count(DISTINCT addr1) <> 1 AND count(DISTINCT P_emaildomain) <> 1 THEN ['indirect_attribute_chain'] ELSE
+    list_filter([CASE WHEN count(DISTINCT card1) = 1 THEN 'card1' END, CASE WHEN count(DISTINCT addr1) = 1 THEN 'addr1' END, CASE WHEN count(DISTINCT P_emaildomain) = 1 THEN 'P_emaildomain' END], lambda x: x IS NOT NULL) END AS shared_attributes
+  FROM test JOIN fc ON g_component = component GROUP BY cluster_id)"""
+FIGURES = ", ".join(c for c in (*text.INTEGERS, *text.DECIMALS))
+
+
+@query(sql("SELECT * FROM fc", TEST, CLUSTERS))
+def flagged_clusters(spark, d):
+    return clusters.flagged_clusters(test_rows(spark, d), FLAG)
+
+
+def evidence(spark, d):
+    rows = Scratch(spark, "evidence").table(test_rows(spark, d), "rows")
+    return clusters.cluster_evidence(rows, FLAG)
+
+
+@query(sql(f"SELECT {FIGURES}, array_to_string(shared_attributes, ',') AS shared_attributes FROM ev", TEST, CLUSTERS))
+def cluster_evidence(spark, d):
+    return evidence(spark, d).withColumn("shared_attributes", F.array_join("shared_attributes", ","))
+
+
+OUTCOMES = f"""oc AS (SELECT cluster_id, count(s) AS n, count(*) FILTER (WHERE y = 1) AS fraud, round(CASE WHEN count(s) > 0 THEN count(*) FILTER (WHERE y = 1)/count(s) ELSE 0 END, 6) AS fraud_share, count(s) > 0 AND count(*) FILTER (WHERE y = 1) = count(s) AS all_fraud,
+  count(*) FILTER (WHERE y = 1 AND s >= {FLAG}) AS caught, count(*) FILTER (WHERE y = 1 AND s < {FLAG}) AS missed, count(*) FILTER (WHERE y = 0 AND s >= {FLAG}) AS false_alarms FROM fc LEFT JOIN test ON g_component = component GROUP BY cluster_id)"""
+
+
+def outcomes(rows):
+    return clusters.cluster_outcomes(rows, clusters.flagged_clusters(rows, FLAG).select("cluster_id", "component"), FLAG)
+
+
+@query(sql("SELECT * FROM oc", TEST, CLUSTERS, OUTCOMES))
+def cluster_outcomes(spark, d):
+    return outcomes(Scratch(spark, "outcomes").table(test_rows(spark, d), "rows"))
+
+
+@query(sql("SELECT count(*) AS clusters, sum(n) AS n, sum(fraud) AS fraud, count(*) FILTER (WHERE all_fraud) AS all_fraud_clusters, round(sum(fraud)/sum(n), 6) AS cluster_rate, round((SELECT avg(y) FROM test), 6) AS base_rate, round(sum(fraud)/sum(n)/(SELECT avg(y) FROM test), 4) AS enrichment FROM oc", TEST, CLUSTERS, OUTCOMES))
+def outcome_enrichment(spark, d):
+    rows = Scratch(spark, "outcomes").table(test_rows(spark, d), "rows")
+    return clusters.outcome_enrichment(outcomes(rows), rows)
+
+
+CASES = """cf AS (SELECT *, 'case-' || cluster_id AS case_id, row_number() OVER (ORDER BY max_risk_score DESC, cluster_id) AS rank, count(*) OVER () AS total_flagged_clusters, round(100.0::DOUBLE*(rank() OVER (ORDER BY max_risk_score) - 1)/count(*) OVER (), 4) AS risk_percentile,
+  round(avg(mean_risk_score) OVER (), 4) AS population_mean_risk, round(flagged_transaction_count/transaction_count, 4) AS flagged_share, round(transaction_count/entity_count, 4) AS transactions_per_entity,
+  count(*) OVER (PARTITION BY array_to_string(list_sort(shared_attributes), '|')) - 1 AS entities_in_other_clusters FROM ev)"""
+CASE_COLUMNS = ("case_id", "rank", "total_flagged_clusters", "risk_percentile", "population_mean_risk", "flagged_share", "transactions_per_entity", "entities_in_other_clusters")
+
+
+@query(sql(f"SELECT {', '.join(CASE_COLUMNS)} FROM cf", TEST, CLUSTERS, CASES))
+def case_files(spark, d):
+    return clusters.case_files(evidence(spark, d)).select(*CASE_COLUMNS)
+
+
+@query(sql("""SELECT case_id, concat_ws('; ', CASE WHEN len(na) >= 2 THEN printf('all %d entities share %d identifying attributes (%s)', entity_count, len(na), array_to_string(na, ', ')) WHEN len(na) = 1 THEN printf('all %d entities share %s', entity_count, na[1]) END,
+  CASE WHEN core_number >= 2 THEN printf('k-core number %d indicates mutually reinforcing links rather than a chain of one-off coincidences', core_number) END, CASE WHEN span_days <= 7 THEN printf('activity is compressed into %d days, consistent with a burst', span_days) END,
+  CASE WHEN flagged_share >= 0.5 THEN printf('%d of %d transactions were independently flagged by the model', flagged_transaction_count, transaction_count) END, CASE WHEN entities_in_other_clusters > 0 THEN printf('%d of its entities also appear in other flagged clusters', entities_in_other_clusters) END) AS corroborating,
+  concat_ws('; ', CASE WHEN len(na) = 0 THEN 'no single attribute is shared by every entity; the link is an indirect chain' END, CASE WHEN span_days > 7 THEN printf('activity spans %d days, longer than a typical card-testing burst and consistent with ordinary shared usage', span_days) END,
+  CASE WHEN flagged_share <= 0.34 THEN printf('only %d of %d transactions were flagged; most of the cluster''s activity scored normally', flagged_transaction_count, transaction_count) END,
+  CASE WHEN distinct_cards = 1 AND entity_count > 1 THEN 'a single card across several entities is also the ordinary signature of one household or a shared business account' END) AS contradicting
+FROM (SELECT *, list_filter(shared_attributes, lambda x: x <> 'indirect_attribute_chain') AS na FROM cf)""", TEST, CLUSTERS, CASES))
+def case_findings(spark, d):
+    return clusters.case_findings(clusters.case_files(evidence(spark, d)))
+
+
+BUCKET = "CASE WHEN coalesce(g_component_size, 0) = 0 THEN 'none' WHEN g_component_size = 1 THEN '1' WHEN g_component_size = 2 THEN '2' WHEN g_component_size <= 4 THEN '3-4' ELSE '5+' END"
+
+
+@query(sql(f"SELECT {BUCKET} AS bucket, count(*) AS n, round(avg(abs(v - s)), 6) AS mean_abs_delta, round(avg(v - s), 6) AS mean_delta, count(*) FILTER (WHERE y = 0) AS legit, count(*) FILTER (WHERE y = 0 AND v - s > 0.10::DOUBLE + 1e-9) AS harmed, round(count(*) FILTER (WHERE y = 0 AND v - s > 0.10::DOUBLE + 1e-9)/count(*) FILTER (WHERE y = 0), 6) AS harmed_rate FROM test GROUP BY 1", TEST))
+def score_shift_by_bucket(spark, d):
+    return clusters.score_shift(test_rows(spark, d))
+
+
+@query(sql("SELECT * FROM (SELECT 'legit_up' AS side, id, round(v - s, 4) AS delta FROM test WHERE y = 0 AND g_component_size >= 3 ORDER BY delta DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'fraud_down' AS side, id, round(v - s, 4) AS delta FROM test WHERE y = 1 AND g_component_size IS NOT NULL ORDER BY delta, id LIMIT 3)", TEST))
+def top_pushed_rows(spark, d):
+    return clusters.top_pushed(Scratch(spark, "pushed").table(test_rows(spark, d), "rows"))
+
+
+@query(sql(f"SELECT (SELECT count(*) FROM lt) AS rows, (SELECT sum(y) FROM lt) AS fraud, round({ap_sql('lt')}, 6) AS base_ap, round({ap_sql('lt', s='v')}, 6) AS variant_ap", TEST, "lt AS (SELECT * FROM test WHERE g_is_linked = 1)"))
+def linked_subgroup_ap(spark, d):
+    rows = Scratch(spark, "linked").table(test_rows(spark, d).where("g_is_linked = 1").select("y", "s", "v"), "rows")
+    one = rows.agg(F.count("*").alias("rows"), F.sum("y").alias("fraud"))
+    return one.crossJoin(metrics.average_precision(rows).select(F.round("ap", 6).alias("base_ap"))).crossJoin(metrics.average_precision(rows, s="v").select(F.round("ap", 6).alias("variant_ap")))  # one row each
+
+
+# --- events, decisions, payments
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def event_dedup(spark, d):
+    e = table(spark, d, "events")
+    return e.union(e.where("event_id % 3 = 0")).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def live_rows(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("payer_key"), F.col("value").cast("decimal(18,2)").cast("string").alias("v"), F.col("event_type").alias("t")).select("payer_key", F.concat("t", F.lit("~"), "v").alias("mark"))
+
+
+LIVE = f"""WITH RECURSIVE l AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid, event_type || '~' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value FROM events WHERE value IS NOT NULL),
+g AS (SELECT value FROM l GROUP BY 1 HAVING count(*) BETWEEN 2 AND {CAP}), e AS (SELECT l.* FROM l JOIN g USING (value)),
+r(a, b) AS (SELECT x.uid, y.uid FROM e x JOIN e y USING (value) UNION SELECT r.a, y.uid FROM r JOIN e x ON r.b = x.uid JOIN e y ON x.value = y.value)
+SELECT u.uid AS payer_key, coalesce((SELECT count(*) FROM r WHERE a = u.uid), 1) AS size0, greatest(1, (SELECT count(*) FROM r WHERE a = u.uid)) AS component_size, (SELECT count(*) FROM e WHERE e.uid = u.uid) AS degree,
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT y.uid)), ',') FROM e x JOIN e y USING (value) WHERE x.uid = u.uid AND y.uid <> u.uid), '') AS linked_payers FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid FROM events) u"""
+
+
+@query(f"SELECT payer_key, component_size, degree, linked_payers FROM ({LIVE})")
+def live_entities(spark, d):
+    return live.analyse_all(live_rows(spark, d), ("mark",)).select("payer_key", "component_size", "degree", F.array_join("linked_payers", ",").alias("linked_payers"))
+
+
+@query("SELECT event_id AS id, user_id AS case_id, event_type AS decision FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id)")
+def latest_decisions(spark, d):
+    return tables.latest_decisions(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.col("event_type").alias("decision")))
+
+
+@query("SELECT e.event_id, e.event_type, a.n FROM events e LEFT JOIN (SELECT event_id, value*2 AS n FROM events WHERE event_id % 2 = 0) a USING (event_id) ORDER BY e.ts DESC, e.event_id DESC LIMIT 50")
+def recent_events(spark, d):
+    e = table(spark, d, "events")
+    return tables.recent_events(e.select("event_id", "event_type", F.col("ts").alias("received_at")), e.where("event_id % 2 = 0").select("event_id", (F.col("value") * 2).alias("n"))).select("event_id", "event_type", "n")
+
+
+@query("SELECT user_id AS event_id, max_by(event_type, ts) AS structural FROM (SELECT user_id, event_type, event_id AS ts FROM events) GROUP BY 1")
+def latest_analysis(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("event_id"), F.col("event_type").alias("structural"), F.col("event_id").alias("analysed_at"))
+    return tables.latest_analysis(e).select("event_id", "structural")
+
+
+PAYMENT = """'{"payload":{"payment":{"entity":{"id":"pay_' || c_custkey || '","amount":' || (c_custkey * 37 % 90000) || ',"created_at":' || (c_custkey * 86399) || ',"email":"' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '@Mail' || (c_custkey % 7) || '.Example.COM' END || '","contact":" ' || (CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '+91' || c_custkey END) || ' ","vpa":"U' || c_custkey || '@UPI","card":{"last4":"' || (CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(1000 + c_custkey % 9000 AS VARCHAR(9)) END) || '","network":"Visa","issuer":"' || c_mktsegment || '"}}}}}'"""
+
+
+def payments(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.expr(PAYMENT.replace("VARCHAR(9)", "string")).alias("body"))
+
+
+@query(f"""SELECT c_custkey, coalesce(nullif(lower(email), ''), nullif(trim(contact), ''), nullif(lower(vpa), ''), id) AS payer_key, CASE WHEN last4 <> '' THEN lower(last4 || '|' || network || '|' || issuer) END AS card_fingerprint,
+  CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 2)) END AS email_domain, trim(contact) AS contact, lower(vpa) AS vpa FROM (SELECT c_custkey, json_extract_string(b, '$.email') AS email, json_extract_string(b, '$.contact') AS contact, json_extract_string(b, '$.vpa') AS vpa,
+  json_extract_string(b, '$.id') AS id, json_extract_string(b, '$.card.last4') AS last4, json_extract_string(b, '$.card.network') AS network, json_extract_string(b, '$.card.issuer') AS issuer FROM (SELECT c_custkey, json_extract({PAYMENT}, '$.payload.payment.entity') AS b FROM customer))""")
+def payer_extract(spark, d):
+    return payments(spark, d).select("c_custkey", tables.extract_event(tables.payment_json(F.col("body")), F.lit("none")).alias("e")).select("c_custkey", "e.*")
+
+
+@query("""SELECT c_custkey, round(CASE WHEN c_custkey*37%90000 > 0 THEN (c_custkey*37%90000)/100.0::DOUBLE/88.0::DOUBLE END, 6) AS TransactionAmt, CASE WHEN c_custkey > 0 THEN (floor(c_custkey*86399/3600)%24)::DOUBLE END AS tx_hour, CASE WHEN c_custkey > 0 THEN (floor(c_custkey*86399/86400)%7)::DOUBLE END AS tx_dayofweek,
+  round(100.0::DOUBLE*((c_custkey*37%90000 > 0)::INT + 2*(c_custkey > 0)::INT)/3, 4) AS coverage_pct FROM customer""")
+def payment_features(spark, d):
+    f = payments(spark, d).select("c_custkey", tables.payment_features(tables.payment_json(F.col("body"))).alias("f")).select("c_custkey", "f.*")
+    present = sum((F.col(c).isNotNull().cast("int") for c in ("TransactionAmt", "tx_hour", "tx_dayofweek")), F.lit(0))
+    return f.withColumn("coverage_pct", F.round(tables.coverage_pct(present, F.lit(3)), 4)).withColumn("TransactionAmt", F.round("TransactionAmt", 6))
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey AND o_orderkey IN (SELECT c_custkey FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)")
+def resolve_edges(spark, d):
+    return tables.resolve_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query()
+def signature_check(spark, d):
+    body = payments(spark, d)
+    signed = body.withColumn("signature", F.when(F.col("c_custkey") % 4 != 0, text.hmac_sha256(F.col("body"), b"secret")).otherwise(F.lit("00")))
+    return signed.groupBy(text.verify_signature(F.col("body"), F.col("signature"), b"secret").alias("valid")).agg(F.count("*").alias("n"))
+
+
+# --- text
+
+NORM = "CASE WHEN x = '' THEN '0' ELSE x END"
+
+
+def numbers_sql(t: str) -> str:
+    bare = "replace(x, ',', '')"
+    cut = f"CASE WHEN contains({bare}, '.') THEN rtrim(rtrim({bare}, '0'), '.') ELSE {bare} END"
+    return f"list_sort(list_distinct(list_transform(regexp_extract_all({t}, '\\d[\\d,]*\\.?\\d*'), lambda x: CASE WHEN ({cut}) = '' THEN '0' ELSE {cut} END)))"
+
+
+@query(f"SELECT doc_id, array_to_string({numbers_sql('text')}, ' ') AS numbers FROM documents")
+def extract_numbers(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.extract_numbers(F.col("text")), " ").alias("numbers"))
+
+
+SMALL = "['0','1','2','3','4','5','6','7','8','9','10','12','40.5']"
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter({numbers_sql('text')}, lambda x: NOT list_contains({SMALL}, x)), ' ') AS invented FROM conversations")
+def invented_numbers(spark, d):
+    allowed = F.array(*[F.lit(x) for x in (*map(str, range(11)), "12", "40.5")])
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.invented_numbers(F.col("text"), allowed), " ").alias("invented"))
+
+
+SHOWN = [f"'{n}'" for n in range(11)] + [f"CAST({c} AS VARCHAR)" for c in text.INTEGERS] + [x for c in text.DECIMALS for x in (f"rtrim(printf('%.4f', {c}), '0')", f"CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR)", f"printf('%.2f', {c})", f"printf('%.1f', {c})", f"printf('%.0f', {c})")]
+
+
+@query(sql(f"""SELECT cluster_id, array_to_string(list_sort(list_distinct(list_transform([{', '.join(SHOWN)}], lambda x: CASE WHEN contains(x, '.') THEN CASE WHEN rtrim(rtrim(x, '0'), '.') = '' THEN '0' ELSE rtrim(rtrim(x, '0'), '.') END ELSE x END))), ' ') AS allowed FROM ev""", TEST, CLUSTERS))
+def allowed_numbers(spark, d):
+    return evidence(spark, d).select("cluster_id", F.array_join(text.allowed_numbers(), " ").alias("allowed"))
+
+
+RAW = """CASE c_custkey % 8 WHEN 0 THEN 'not json' WHEN 1 THEN '{"probable_cause":"CARD_TESTING","confidence":"high","human_summary":"few"}'
+  WHEN 2 THEN '{"probable_cause":"NOTHING","confidence":"high","human_summary":"a","suggested_action":"b"}' WHEN 3 THEN '{"probable_cause":"UNEXPLAINED","confidence":"sure","human_summary":"a","suggested_action":"b"}'
+  WHEN 4 THEN '{"probable_cause":"UNEXPLAINED","confidence":"low","human_summary":" ","suggested_action":"b"}' WHEN 5 THEN '{"probable_cause":"UNEXPLAINED","confidence":"low","human_summary":"a","suggested_action":"b","more":1}'
+  ELSE '{"probable_cause":"COORDINATED_RING","confidence":"medium","human_summary":"' || (c_custkey % 30) || ' entities","suggested_action":"look at 1,2' || (c_custkey % 3) || '.50"}' END"""
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'not valid JSON' WHEN 1 THEN 'missing field: suggested_action' WHEN 2 THEN 'probable_cause is not allowed' WHEN 3 THEN 'confidence is not allowed' WHEN 4 THEN 'human_summary is empty' WHEN 5 THEN 'unexpected field: more'
+  ELSE CASE WHEN len(bad) > 0 THEN 'invented number: ' || array_to_string(bad, ', ') END END AS reason FROM (SELECT c_custkey, list_filter(list_sort(list_distinct([CAST(c_custkey % 30 AS VARCHAR), '12' || (c_custkey % 3) || '.5'])), lambda x: NOT list_contains(['0','1','2','3','4','5','6','7','8','9','10','12','121.5'], x)) AS bad FROM customer)""")
+def narrative_validation(spark, d):
+    allowed = F.array(*[F.lit(x) for x in (*map(str, range(11)), "12", "121.5")])
+    return table(spark, d, "customer").select("c_custkey", text.rejection(F.expr(RAW), allowed).alias("reason"))
+
+
+@query()
+def disposition_validation(spark, d):
+    raw = F.expr("""CASE c_custkey % 4 WHEN 0 THEN '{"recommendation":"confirm","confidence":"high","rationale":"seen 3 times","key_factors":["one card"]}' WHEN 1 THEN '{"recommendation":"confirm","confidence":"high","rationale":"seen 77 times","key_factors":["one card"]}'
+      WHEN 2 THEN '{"recommendation":"confirm","confidence":"high","rationale":"r","key_factors":[]}' ELSE '{"recommendation":"wait","confidence":"high","rationale":"r","key_factors":["x"]}' END""")
+    return table(spark, d, "customer").groupBy(text.disposition_rejection(raw, F.array(*[F.lit(str(n)) for n in range(11)])).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT cluster_id, sha256(" + " || chr(10) || ".join([f"'{c}: ' || CAST({c} AS VARCHAR)" for c in text.INTEGERS] + [f"'{c}: ' || printf('%.4f', {c})" for c in text.DECIMALS]) + " || chr(10) || 'shared_attributes: ' || array_to_string(shared_attributes, ', ')) AS prompt_key FROM ev", TEST, CLUSTERS))
+def prompt_keys(spark, d):
+    return evidence(spark, d).select("cluster_id", text.prompt_key(text.facts()).alias("prompt_key"))
+
+
+@query()
+def traced_narratives(spark, d):
+    e = evidence(spark, d).withColumn("text", F.format_string("%d entities made %d transactions over %d days worth %.2f in cluster %d", "entity_count", "transaction_count", "span_days", "total_amount_inr", "cluster_id"))
+    return text.annotate(e).select("cluster_id", "text", F.to_json("segments").alias("segments"))
+
+
+@query()
+def drafted_narratives(spark, d):
+    e = evidence(spark, d).select("cluster_id", text.facts().alias("prompt"), text.allowed_numbers().alias("allowed"))
+
+    def stub(prompt: str) -> str:
+        count = next(x for x in prompt.split("\n") if x.startswith("entity_count"))[14:]
+        return '{"probable_cause": "UNEXPLAINED", "confidence": "low", "human_summary": "%s entities", "suggested_action": "review"}' % count
+
+    return text.narrate(e, stub).select("cluster_id", "accepted", "narrative")
+
+
+@query("""SELECT o_orderkey, CASE WHEN len(d) > 3 THEN regexp_replace(reverse(regexp_replace(reverse(substr(d, 1, len(d) - 3)), '(\\d\\d)', '\\1,', 'g')), '^,', '') || ',' || right(d, 3) ELSE d END AS grouped FROM (SELECT o_orderkey, CAST(CAST(round_even(o_totalprice*100, 0) AS BIGINT) AS VARCHAR) AS d FROM orders)""")
+def indian_grouping(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.indian_grouping(F.col("o_totalprice") * 100).alias("grouped"))
+
+
+@query("SELECT c_custkey, CAST(round(CAST(CAST(round(c_acctbal, 2) AS VARCHAR) AS DECIMAL(30,8))*100, 0) AS BIGINT) AS paise FROM customer")
+def to_paise(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.to_paise(F.round("c_acctbal", 2).cast("string")).alias("paise"))
+
+
+# --- model, maintained cores
+
+@query()
+def gbt_scores(spark, d):
+    rows = split.add_time_features(txn(spark, d))
+    a, b = split.temporal_split(rows)
+    return model.variants(a, b, {"plain": ["TransactionAmt", "card3", "addr1", "tx_hour"]}, rounds=5, depth=3)
+
+
+@query(sql("SELECT node, core FROM core", G))
+def incremental_core_replay(spark, d):
+    e = Scratch(spark, "replay").table(graph.bipartite(edges(txn(spark, d))), "e")
+    kept = ingest.IncrementalCore(spark)
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    for i in range(3):
+        kept.insert(e.where(part == i))
+    return kept.state.select("node", "core")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    return clusters.flagged_clusters(test_rows(spark, sf_dir), FLAG)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -46,7 +46,7 @@ def load_observed_graph(spark: SparkSession, classes: str, edges: str, counts: t
 
 def resolve_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose ends are both known and differ; parallel edges stay."""
-    return edges.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def is_labelled(label: Column) -> Column:
