@@ -30,8 +30,8 @@ SEED = 42
 FANOUT = 8
 #: Distinct fingerprints that one task indexes at once; a larger group is dealt anew by its other bits.
 GROUP = 1 << 16
-#: With so few bits not shared, a group has at most 4096 distinct codes and is never dealt anew.
-LEAST_FREE = 12
+#: With so few bits not shared, a group has at most 65536 distinct codes and is never dealt anew.
+LEAST_FREE = 16
 #: Shingles hashed at a time; longer texts take several turns.
 TURN = 1 << 16
 
@@ -252,7 +252,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
     Rows with a null key cannot be told apart by it and stay.
     """
     found = Scratch(df.sparkSession, "kept").table(near_duplicates(df, key, text, **options).where(F.col(key) == F.col("component_id")).select(key), "keys")
-    kept = df.join(found, key, "left_semi")
+    # merged at every size: the keys grow with the documents
+    kept = df.join(found.hint("merge"), key, "left_semi")
     if found.count() != found.distinct().count():
         kept = kept.dropDuplicates([key])
     return kept.union(df.where(F.col(key).isNull())).select(df.columns)
