@@ -5,11 +5,15 @@ are exploded into their substrings of bounded length and equi-joined to the piec
 table; the matches of a segment are its lattice, and a higher-order ``aggregate``
 folds it into the best path: Viterbi for a unigram table, whose piece scores add up.
 For a BPE table the sum of scores is not what the library minimises (its scores are
-merge ranks), so there the same lattice is folded by rank: the adjacent pair whose
-union is the best-ranked edge is joined, leftmost first, until none is left.
-
-Segments carry the numbers of the document groups that hold them, so each group gets
-just its own part of the dictionary and no dictionary is broadcast.
+merge ranks), so there the same lattice is folded by rank: edges come best first,
+leftmost first, and an edge is taken if the text under it is just two symbols now. The
+state of that fold is one long, a bit for each cut. Where a merge opens the way for
+an edge that has gone by, the segment is folded again outside, exactly; so are segments
+of more than LONGEST characters.
+
+Documents are never shuffled while the dictionary of distinct segments stays within
+its bound; beyond it, segments carry the numbers of the document groups that hold
+them and each group gets its own part of the dictionary.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import Scratch
 from .common import bounded_batches, own_columns
 
 SPACE = "▁"
@@ -30,6 +35,8 @@ SPACE = "▁"
 LONGEST = 48
 #: Characters of text in a document group, about.
 GROUP_CHARS = 24_000_000
+#: Distinct segments up to which their dictionary is broadcast, and words that a task keeps.
+DICTIONARY, CACHE = 4_000_000, 300_000
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 
 
@@ -190,34 +197,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cut_points(table: Table, size: Column, scores: Column) -> Column:
-    """Ends of the pieces on the best path, from 0 to ``size``; ``scores`` maps begin * 64 + end to an edge's score."""
+def viterbi(table: Table, size: Column, scores: Column) -> Column:
+    """Ends of the pieces on the path of greatest sum, from 0 to ``size``; ``scores`` maps begin * 64 + end to an edge's score."""
     least = F.lit(float("-inf"))
-    if table.unigram:
-        floor = float(min(s for s, k in zip(table.scores, table.kinds) if k in (NORMAL, USER)) - 10)
-        longest = max(map(len, table.pieces))
+    floor = float(min(s for s, k in zip(table.scores, table.kinds) if k in (NORMAL, USER)) - 10)
+    longest = max(map(len, table.pieces))
+
+    def ahead(best: Column, j: Column) -> Column:
+        options = F.transform(F.sequence(F.greatest(j - longest, F.lit(0)), j - 1), lambda i: F.named_struct(
+            F.lit("score"), F.get(best, i)["score"] + F.coalesce(F.try_element_at(scores, i * 64 + j).cast("double"), F.when(i == j - 1, F.lit(floor)), least),
+            F.lit("back"), -i))
+        return F.concat(best, F.array(F.array_max(options)))
 
-        def ahead(best: Column, j: Column) -> Column:
-            options = F.transform(F.sequence(F.greatest(j - longest, F.lit(0)), j - 1), lambda i: F.named_struct(
-                F.lit("score"), F.get(best, i)["score"] + F.coalesce(F.try_element_at(scores, i * 64 + j).cast("double"), F.when(i == j - 1, F.lit(floor)), least),
-                F.lit("back"), -i))
-            return F.concat(best, F.array(F.array_max(options)))
+    start = F.array(F.named_struct(F.lit("score"), F.lit(0.0), F.lit("back"), F.lit(0)))
+    return let(F.aggregate(F.sequence(F.lit(1), size), start, ahead), lambda best: F.aggregate(
+        F.sequence(F.lit(1), size), F.array(size), lambda cuts, _: F.when(
+            F.get(cuts, F.lit(0)) > 0, F.concat(F.array(-F.get(best, F.get(cuts, F.lit(0)))["back"]), cuts)).otherwise(cuts)))
 
-        start = F.array(F.named_struct(F.lit("score"), F.lit(0.0), F.lit("back"), F.lit(0)))
-        return let(F.aggregate(F.sequence(F.lit(1), size), start, ahead), lambda best: F.aggregate(
-            F.sequence(F.lit(1), size), F.array(size), lambda cuts, _: F.when(
-                F.get(cuts, F.lit(0)) > 0, F.concat(F.array(-F.get(best, F.get(cuts, F.lit(0)))["back"]), cuts)).otherwise(cuts)))
 
-    def join(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.named_struct(
-            F.lit("score"), F.coalesce(F.try_element_at(scores, F.get(cuts, i) * 64 + F.get(cuts, i + 2)).cast("double"), least), F.lit("at"), -i))
-        # cut points turn negative once nothing joins, so that later steps pass by
-        joined = let(F.array_max(pairs), lambda best: F.when(best["score"] == least, F.transform(cuts, lambda x: -1 - x)).otherwise(
-            F.filter(cuts, lambda x, i: i != 1 - best["at"])))
-        return F.when((F.size(cuts) < 3) | (F.get(cuts, F.lit(0)) < 0), cuts).otherwise(joined)
+def merged(size: Column, edges: Column) -> Column:
+    """Cuts left by merging in rank order, as bits of a long; -1 where an edge that has gone by became possible.
+
+    ``edges``: structs (rank, span, ends, inner), sorted: the bits of an edge's two ends and of the places between.
+    """
+    one = F.lit(1).cast("long")
+
+    def fits(cuts: Column, e: Column) -> Column:
+        x = cuts.bitwiseAND(e["inner"])
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (x != 0) & (x.bitwiseAND(x - 1) == 0)
 
-    folded = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), join)
-    return F.transform(folded, lambda x: F.when(x < 0, -1 - x).otherwise(x))
+    def step(cuts: Column, e: Column) -> Column:
+        after = cuts.bitwiseAND(F.bitwise_not(e["inner"]))
+        missed = let(after, lambda now: F.exists(edges, lambda f: ((f["rank"] < e["rank"]) | ((f["rank"] == e["rank"]) & (f["span"] < e["span"]))) & fits(now, f)))
+        return F.when((cuts >= 0) & fits(cuts, e), F.when(missed, F.lit(-1).cast("long")).otherwise(after)).otherwise(cuts)
+
+    return F.aggregate(edges, F.call_function("shiftleft", one, size + 1) - 1, step)
 
 
 def ids_along(table: Table, seg: Column, cuts: Column, ids: Column) -> Column:
@@ -237,12 +251,20 @@ def ids_along(table: Table, seg: Column, cuts: Column, ids: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), piece))
 
 
-def paths(table: Table, lattice: DataFrame) -> DataFrame:
-    """gs, seg, ids from seg, gs and the edges of its lattice, structs of span, id and score."""
-    maps = lattice.select("gs", "seg", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"]))).alias("scores"),
-                          F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
-    cuts = maps.select("gs", "seg", "found", cut_points(table, F.length("seg"), F.col("scores")).alias("cuts"))
-    return cuts.select("gs", "seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
+def paths(table: Table, lattice: DataFrame, *keep: str) -> DataFrame:
+    """seg, ids (null where the fold must be done again) and the kept columns, from seg and the edges of its lattice: structs of span, id and score."""
+    maps = lattice.select(*keep, "seg", "edges", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
+    if table.unigram:
+        scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"])))
+        cuts = maps.withColumn("scores", scores).select(*keep, "seg", "found", viterbi(table, F.length("seg"), F.col("scores")).alias("cuts"))
+        return cuts.select(*keep, "seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
+    one = F.lit(1).cast("long")
+    bit = lambda n: F.call_function("shiftleft", one, n)
+    ranked = F.transform(F.filter("edges", lambda e: e["span"] % 64 - F.floor(e["span"] / 64) > 1), lambda e: let(F.floor(e["span"] / 64).cast("int"), lambda a: F.named_struct(
+        F.lit("rank"), -e["score"], F.lit("span"), e["span"], F.lit("ends"), bit(a).bitwiseOR(bit(e["span"] % 64)), F.lit("inner"), bit(e["span"] % 64) - bit(a + 1))))
+    state = maps.withColumn("ranked", F.array_sort(ranked)).withColumn("state", merged(F.length("seg"), F.col("ranked")))
+    cuts = state.select(*keep, "seg", "found", "state", F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: F.col("state").bitwiseAND(bit(i)) != 0).alias("cuts"))
+    return cuts.select(*keep, "seg", F.when(F.col("state") >= 0, ids_along(table, F.col("seg"), F.col("cuts"), F.col("found"))).alias("ids"))
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -257,55 +279,98 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     spark, table = df.sparkSession, Table.read(model)
     coder = Coder(table)
     longest = min(coder.longest, LONGEST)
+    s = Scratch(spark, "pieces")
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    names = ["n_tokens", "ids_crc32", "round_trip"] if digest else ["n_tokens", "ids"]
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n_tokens long, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
+
+    def rows(docs: pd.DataFrame, encoded) -> pd.DataFrame:
+        out = []
+        for t, ids in zip(docs["t"], encoded([t or "" for t in docs["t"]])):
+            out.append((len(ids), zlib.crc32(ids.tobytes()), coder.decode(ids.tolist()) == (t or "")) if digest else (len(ids), ids))
+        out = pd.DataFrame(out, columns=names)
+        out.insert(0, key, docs["k"].to_numpy())
+        return out
+
+    def cut(batches):
+        seen: set[str] = set()
+        for pdf in batches:
+            words = set().union(*[coder.word(coder.surface(t)) for t in pdf["t"] if t])
+            new = {x for w in words for x in coder.segments(w) if len(x) <= LONGEST}.difference(seen)
+            if len(seen) < CACHE:
+                seen |= new
+            yield pd.DataFrame({"seg": sorted(new)})
+
+    pieces = spark.createDataFrame(pd.DataFrame([(p, i, x) for p, (i, x) in coder.known.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+
+    def folded(segs: DataFrame, *keep: str) -> DataFrame:
+        begins = segs.select("seg", *keep, F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a"))
+        edges = begins.select("seg", *keep, "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n")).withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
+        # the piece table's size is fixed by the model file
+        found = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
+        edge = F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))
+        return paths(table, found.groupBy("seg").agg(*[F.first(c).alias(c) for c in keep], F.collect_list(edge).alias("edges")), *keep)
+
+    segs = s.table(docs.select("t").mapInPandas(cut, "seg string").distinct(), "segs")
+    if segs.count() <= DICTIONARY:
+        # sorted hashes with their ids: about 24 bytes a segment, at most DICTIONARY of them
+        made = s.table(folded(segs).where("ids is not null").select(F.xxhash64("seg").alias("h"), "ids"), "dictionary").toArrow()
+        hashes, lists = made.column("h").to_numpy(), made.column("ids").combine_chunks()
+        order = np.argsort(hashes)
+        hashes, begins, sizes = hashes[order], lists.offsets.to_numpy()[:-1][order], np.diff(lists.offsets.to_numpy())[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            raise RuntimeError("two segments share a hash")
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = lists.values.to_numpy(zero_copy_only=False)[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])].astype("<i4")
+        shared = spark.sparkContext.broadcast((hashes, ends, flat))
+        del made, lists
+
+        def put(batches):
+            import xxhash
+
+            hashes, ends, flat = shared.value
+            kept: dict[str, bytes] = {}
+
+            def encoded(texts: list[str]):
+                cut = [coder.word(coder.surface(t)) for t in texts]
+                new = list(set().union(*cut).difference(kept))
+                known = kept if len(kept) + len(new) <= CACHE else dict(kept)
+                parts = [coder.segments(w) for w in new]
+                wanted = list({x for p in parts for x in p if len(x) <= LONGEST})
+                h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in wanted], np.uint64).view(np.int64)
+                at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+                found = {x: flat[ends[i]:ends[i + 1]].tobytes() for x, i, ok in zip(wanted, at.tolist(), hit.tolist()) if ok}
+                for w, p in zip(new, parts):
+                    known[w] = b"".join([found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for x in p])
+                return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4") for c in cut]
+
+            for pdf in batches:
+                if len(pdf):
+                    yield rows(pdf, encoded)
+
+        return docs.mapInPandas(put, schema)
+
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, F.length(text)), F.lit(many)).cast("int").alias("g")).repartition(many, "g")
+    grouped = docs.withColumn("g", F.pmod(F.xxhash64("k", F.length("t")), F.lit(many)).cast("int")).repartition(many, "g")
 
-    def cut(batches):
-        held: dict[int, set[str]] = {}
+    def cut_by_group(batches):
         for pdf in batches:
             for g, own in pdf.groupby("g")["t"]:
-                words: set[str] = set()
-                for t in own:
-                    if t:
-                        words.update(coder.word(coder.surface(t)))
-                seen = held.setdefault(int(g), set())
-                new = {s for w in words for s in coder.segments(w) if len(s) <= LONGEST}.difference(seen)
-                if sum(map(len, held.values())) < 1_000_000:
-                    seen |= new
-                yield pd.DataFrame({"g": int(g), "seg": sorted(new)})
-
-    pieces = spark.createDataFrame(pd.DataFrame([(p, i, s) for p, (i, s) in coder.known.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
-    segs = docs.select("t", "g").mapInPandas(cut, "g int, seg string").groupBy("seg").agg(F.collect_set("g").alias("gs"))
-    begins = F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a")
-    edges = segs.select("seg", "gs", begins).select("seg", "gs", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n"))
-    edges = edges.withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
-    # the piece table's size is fixed by the model file
-    lattice = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1").groupBy("seg").agg(
-        F.first("gs").alias("gs"), F.collect_list(F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))).alias("edges"))
-    coded = paths(table, lattice).select(F.explode("gs").alias("g"), "seg", "ids")
-
-    def put(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = {s: np.asarray(i, "<i4").tobytes() for s, i in zip(own["seg"], own["ids"])}
-        words: dict[str, bytes] = {}
-        rows = []
-        for t in docs["t"]:
-            parts = []
-            for w in coder.word(coder.surface(t or "")):
-                x = words.get(w)
-                if x is None:
-                    x = b"".join(found[s] if s in found else np.array(coder.fold(s), "<i4").tobytes() for s in coder.segments(w))
-                    words[w] = x
-                parts.append(x)
-            ids = np.frombuffer(b"".join(parts), "<i4")
-            rows.append((len(ids), zlib.crc32(ids.tobytes()), coder.decode(ids.tolist()) == (t or "")) if digest else (len(ids), ids))
-        out = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"] if digest else ["n_tokens", "ids"])
-        out.insert(0, key, docs["k"].to_numpy())
-        return out
+                words = set().union(*[coder.word(coder.surface(t)) for t in own if t])
+                yield pd.DataFrame({"g": int(g), "seg": sorted({x for w in words for x in coder.segments(w) if len(x) <= LONGEST})})
 
-    kind = df.schema[key].dataType.simpleString()
-    last = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return docs.groupBy("g").cogroup(coded.groupBy("g")).applyInPandas(put, f"`{key}` {kind}, n_tokens long, {last}")
+    own = grouped.select("t", "g").mapInPandas(cut_by_group, "g int, seg string").groupBy("seg").agg(F.collect_set("g").alias("gs"))
+    coded = folded(own, "gs").where("ids is not null").select(F.explode("gs").alias("g"), "seg", "ids")
+
+    def put_group(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = {x: np.asarray(i, "<i4").tobytes() for x, i in zip(own["seg"], own["ids"])}
+        return rows(docs, lambda texts: [np.frombuffer(b"".join(
+            found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for w in coder.word(coder.surface(t)) for x in coder.segments(w)), "<i4") for t in texts])
+
+    return grouped.groupBy("g").cogroup(coded.groupBy("g")).applyInPandas(put_group, schema)
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
