@@ -254,21 +254,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Similar texts: fingerprints of 256 bits, for pairs that 64 bits within 3 cannot tell.
+# Similar texts: fingerprints of 512 bits, for pairs that 64 bits within 3 cannot tell.
 
 #: Words of a shingle, words of a sketch, and bits in which two sketches of similarity 0.8 or more differ at most.
-#: Shingle sets of Jaccard similarity 0.8 differ in 38 of 256 bits on average, with a deviation of 6; 0.9 in 27; unrelated ones in 128.
-SIMILAR_SHINGLE, PARTS, SIMILAR_BITS = 5, 4, 44
+#: Shingle sets of Jaccard similarity 0.8 differ in 76 of 512 bits on average, with a deviation of 8; 0.9 in 53; unrelated ones in 256.
+SIMILAR_SHINGLE, PARTS, SIMILAR_BITS = 5, 8, 82
 #: Bits within which the first words of a similar pair lie, for the index.
 FIRST_BITS = 18
 #: Candidate tables: their number and the sampled bits of a key. A pair of similarity 0.9 meets in some table with
 #: probability 0.99, one of 0.8 with 0.85; for over 10^8 texts take more of both.
 TABLES, KEY_BITS = 24, 16
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Odd multipliers of the remixes: multiples of one constant.
+MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(PARTS)]
 
 
 def sketch(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Four words of 64 bits, as fingerprint() makes one, from the shingles' hashes and three remixes of them."""
+    """Words of 64 bits, as fingerprint() makes one, from the shingles' hashes and remixes of them."""
     import xxhash
 
     tokens = (text or "").encode().lower().split()
@@ -285,8 +286,8 @@ def sketch(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
         for j in range(PARTS):
             x = h
             if j:
-                x = (h ^ (h >> np.uint64(31))) * np.uint64(MIX[j - 1])
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX[0])
+                x = (h ^ (h >> np.uint64(31))) * MIX[j]
+                x = (x ^ (x >> np.uint64(29))) * MIX[0]
                 x ^= x >> np.uint64(32)
             total[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * total > len(starts), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
@@ -306,7 +307,7 @@ def sampled(level: int) -> np.ndarray:
 def similar_links(sketches: DataFrame, group: int = GROUP) -> DataFrame:
     """(src, dst): a forest of links between nodes whose sketches differ in SIMILAR_BITS at most and meet in a table.
 
-    ``sketches``: node, f0..f3, distinct. Groups over ``group`` are dealt out anew by
+    ``sketches``: node, f0..f7, distinct. Groups over ``group`` are dealt out anew by
     more bits; at the last level a group of any size is searched as it is.
     """
     s = Scratch(sketches.sparkSession, "similar")
