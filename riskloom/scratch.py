@@ -25,12 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders made in this process.
+made: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table made so far; results not written by then are lost."""
+    while made:
+        remove(spark, made.pop())
+
+
 class Scratch:
-    """Parquet tables of one operator call."""
+    """Parquet tables of one operator call. They stay, as lazy results read them, until ``clean`` is called."""
 
     def __init__(self, spark: SparkSession, name: str = "op"):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        made.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -41,6 +57,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(self.spark, self.path(name))
