@@ -315,7 +315,8 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     segs = s.table(docs.select("t").mapInPandas(cut, "seg string").distinct(), "segs")
     if segs.count() <= DICTIONARY:
         # sorted hashes with their ids: about 24 bytes a segment, at most DICTIONARY of them
-        made = s.table(folded(segs).where("ids is not null").select(F.xxhash64("seg").alias("h"), "ids"), "dictionary").toArrow()
+        # written before anything is asked of ``ids``: a filter would be pushed below the fold and repeat it
+        made = s.table(folded(segs).select(F.xxhash64("seg").alias("h"), "ids"), "dictionary").where("ids is not null").toArrow()
         hashes, lists = made.column("h").to_numpy(), made.column("ids").combine_chunks()
         order = np.argsort(hashes)
         hashes, begins, sizes = hashes[order], lists.offsets.to_numpy()[:-1][order], np.diff(lists.offsets.to_numpy())[order]
@@ -363,10 +364,10 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
                 yield pd.DataFrame({"g": int(g), "seg": sorted({x for w in words for x in coder.segments(w) if len(x) <= LONGEST})})
 
     own = grouped.select("t", "g").mapInPandas(cut_by_group, "g int, seg string").groupBy("seg").agg(F.collect_set("g").alias("gs"))
-    coded = folded(own, "gs").where("ids is not null").select(F.explode("gs").alias("g"), "seg", "ids")
+    coded = folded(own, "gs").select(F.explode("gs").alias("g"), "seg", "ids")
 
     def put_group(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = {x: np.asarray(i, "<i4").tobytes() for x, i in zip(own["seg"], own["ids"])}
+        found = {x: np.asarray(i, "<i4").tobytes() for x, i in zip(own["seg"], own["ids"]) if i is not None}
         return rows(docs, lambda texts: [np.frombuffer(b"".join(
             found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for w in coder.word(coder.surface(t)) for x in coder.segments(w)), "<i4") for t in texts])
 
