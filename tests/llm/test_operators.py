@@ -398,6 +398,12 @@ def test_page_without_article():
     assert html_text.main_text(page).split("\n\n")[0] == "Head" and html_text.main_text(page).count("Sentence") == 5 and "Buy" not in html_text.main_text(page)
 
 
+def test_heading_outside_the_text_box():
+    body = "<p>A sentence, with words. One more.</p>" * 3
+    page = f"<div id=header>Logo, here.</div><div id=content><h1>T</h1><div class=text>{body}</div></div><div id=sidebar>{body}</div>"
+    assert html_text.main_text(page).split("\n\n") == ["T"] + ["A sentence, with words. One more."] * 3
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words, no tags."), (4, "u", "<nav>menu</nav>"), (5, "u", "<p>" * 2000 + "deep."), (6, "u", "<a <b <c \"" * 500), (None, "u", PAGE), (1, "u", None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
