@@ -23,7 +23,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/><]*)((?>[^>\"'<]+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z|(?=<))", re.S)
 #: Elements that begin a block. Fixed values.
 BLOCK = set("html head body p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address form fieldset details summary hr center dialog menu hgroup search".split())
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADINGS = {(f"h{n}",) for n in range(1, 7)}
 #: Elements whose content is no text.
 SKIP = set("script style noscript template iframe object embed svg math canvas video audio map select option datalist button textarea title head input label legend".split())
 #: Elements whose content is not parsed.
@@ -176,7 +176,7 @@ def main_text(page: str | None) -> str:
         while len(up) > 1:  # headings just outside belong to it
             up = up[:-1]
             beside = [p for p in stats if p[:len(up)] == up and p[:len(box)] != box]
-            if beside and not all(p[-1] in HEADINGS for p in beside):
+            if beside and not all(p[-1:] in HEADINGS for p in beside):
                 break
             box = up if beside else box
     else:
@@ -188,7 +188,7 @@ def main_text(page: str | None) -> str:
         means[p] = sum(own) / len(own)
     best = max(0.5 * ratio[p] + 0.5 * means[p] for p in stats if p[:len(box)] == box)
     chosen = {p for p in stats if p[:len(box)] == box and ratio[p] > 0 and (
-        "article" in box or "main" in box or p[-1] in HEADINGS or 0.5 * ratio[p] + 0.5 * means[p] >= THRESHOLD * best)}
+        "article" in box or "main" in box or p[-1:] in HEADINGS or 0.5 * ratio[p] + 0.5 * means[p] >= THRESHOLD * best)}
     return "\n\n".join(t for p, t in kept if p in chosen)
 
 
