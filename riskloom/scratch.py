@@ -22,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark._riskloom_dir = path
         atexit.register(__import__("shutil").rmtree, path[len("file://"):], True)
-    return path.rstrip("/")
+    # with its scheme, so that readers outside the JVM find the same store
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+    return full.replace("file:/", "file:///", 1).replace("file://///", "file:///", 1) if full.startswith("file:/") else full
 
 
 #: Folders made in this process.
