@@ -36,7 +36,9 @@ LONGEST = 48
 #: Characters of text in a document group, about.
 GROUP_CHARS = 24_000_000
 #: Distinct segments up to which their dictionary is broadcast, and words that a task keeps.
-DICTIONARY, CACHE = 4_000_000, 300_000
+DICTIONARY, CACHE = 4_000_000, 500_000
+#: Segments whose lattices one task folds, about.
+TASK = 25_000
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 
 
@@ -178,6 +180,13 @@ class Coder:
             parts = [p for p in parts if p]
         return [x for p in parts for x in ([self.known[p][0]] if p in self.known else self.lone(p))]
 
+    def surface_of(self, ids: bytes) -> str:
+        """A word from its ids, as it stood among the segments."""
+        ids = np.frombuffer(ids, "<i4").tolist()
+        if self.byte0 is None or not any(self.table.kinds[i] == BYTE for i in ids):
+            return "".join([self.table.pieces[i] for i in ids])
+        return b"".join([bytes([i - self.byte0]) if self.table.kinds[i] == BYTE else self.table.pieces[i].encode() for i in ids]).decode("utf-8", "replace")
+
     def decode(self, ids) -> str:
         """Text of ids: pieces and runs of bytes, spaces back, without the added prefix."""
         out, run = [], bytearray()
@@ -287,8 +296,8 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
 
     def rows(docs: pd.DataFrame, encoded) -> pd.DataFrame:
         out = []
-        for t, ids in zip(docs["t"], encoded([t or "" for t in docs["t"]])):
-            out.append((len(ids), zlib.crc32(ids.tobytes()), coder.decode(ids.tolist()) == (t or "")) if digest else (len(ids), ids))
+        for ids, exact in encoded([t or "" for t in docs["t"]]):
+            out.append((len(ids), zlib.crc32(ids.tobytes()), exact) if digest else (len(ids), ids))
         out = pd.DataFrame(out, columns=names)
         out.insert(0, key, docs["k"].to_numpy())
         return out
@@ -313,7 +322,10 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
         return paths(table, found.groupBy("seg").agg(*[F.first(c).alias(c) for c in keep], F.collect_list(edge).alias("edges")), *keep)
 
     segs = s.table(docs.select("t").mapInPandas(cut, "seg string").distinct(), "segs")
-    if segs.count() <= DICTIONARY:
+    distinct = segs.count()
+    if distinct <= DICTIONARY:
+        # dealt out once by segment: exploding, joining and grouping then need no further exchange
+        segs = segs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // TASK)), "seg")
         # sorted hashes with their ids: about 24 bytes a segment, at most DICTIONARY of them
         # written before anything is asked of ``ids``: a filter would be pushed below the fold and repeat it
         made = s.table(folded(segs).select(F.xxhash64("seg").alias("h"), "ids"), "dictionary").where("ids is not null").toArrow()
@@ -332,6 +344,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
 
             hashes, ends, flat = shared.value
             kept: dict[str, bytes] = {}
+            wrong: set[str] = set()  # words that their ids do not decode to
 
             def encoded(texts: list[str]):
                 cut = [coder.word(coder.surface(t)) for t in texts]
@@ -345,7 +358,9 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
                 found = {x: flat[ends[i]:ends[i + 1]].tobytes() for x, i, ok in zip(wanted, at.tolist(), hit.tolist()) if ok}
                 for w, p in zip(new, parts):
                     known[w] = b"".join([found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for x in p])
-                return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4") for c in cut]
+                    if coder.surface_of(known[w]) != w:
+                        wrong.add(w)
+                return [(np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4"), not wrong or wrong.isdisjoint(c)) for c in cut]
 
             for pdf in batches:
                 if len(pdf):
@@ -368,8 +383,9 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
 
     def put_group(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = {x: np.asarray(i, "<i4").tobytes() for x, i in zip(own["seg"], own["ids"]) if i is not None}
-        return rows(docs, lambda texts: [np.frombuffer(b"".join(
-            found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for w in coder.word(coder.surface(t)) for x in coder.segments(w)), "<i4") for t in texts])
+        coded = [np.frombuffer(b"".join(
+            found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for w in coder.word(coder.surface(t or "")) for x in coder.segments(w)), "<i4") for t in docs["t"]]
+        return rows(docs, lambda texts: [(ids, coder.decode(ids.tolist()) == t) for ids, t in zip(coded, texts)])
 
     return grouped.groupBy("g").cogroup(coded.groupBy("g")).applyInPandas(put_group, schema)
 
