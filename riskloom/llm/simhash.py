@@ -254,17 +254,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Similar texts: fingerprints of 512 bits, for pairs that 64 bits within 3 cannot tell.
-
-#: Words of a shingle, words of a sketch, and bits in which two sketches of similarity 0.8 or more differ at most.
-#: Shingle sets of Jaccard similarity 0.8 differ in 76 of 512 bits on average, with a deviation of 8; 0.9 in 53; unrelated ones in 256.
-SIMILAR_SHINGLE, PARTS, SIMILAR_BITS = 5, 8, 82
-#: Bits within which the first words of a similar pair lie, for the index.
-FIRST_BITS = 18
-#: Candidate tables: their number and the sampled bits of a key. A pair of similarity 0.9 meets in some table with
-#: probability 0.99, one of 0.8 with 0.85; for over 10^8 texts take more of both.
-TABLES, KEY_BITS = 24, 16
-#: Odd multipliers of the remixes: multiples of one constant.
+# Similar texts: sets of distinct word shingles of Jaccard similarity SIMILARITY or more.
+
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash keys: their number and the least values in one. Two texts of similarity s share a key with probability
+#: 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8.
+BANDS, ROWS = 32, 6
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+#: Texts, and shingles, of a part; a task compares the texts of two parts.
+PART, PART_SHINGLES = 1024, 1 << 20
+#: Words of a sketch, and bits in which sketches of similar texts mostly differ at most: an estimate that decides nothing here.
+PARTS, SIMILAR_BITS = 8, 82
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(PARTS)]
 
 
@@ -293,100 +293,135 @@ def sketch(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.packbits(2 * total > len(starts), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
-@lru_cache(None)
-def sampled(level: int) -> np.ndarray:
-    """(tables, words) masks of the bits sampled for the keys of a level; later levels take more bits."""
-    rng = np.random.default_rng((SEED, level))
-    out = np.zeros((TABLES, PARTS), np.uint64)
-    for t in range(TABLES):
-        for b in rng.choice(64 * PARTS, KEY_BITS * (level + 1), replace=False):
-            out[t, b >> 6] |= np.uint64(1) << np.uint64(b & 63)
-    return out
+def shingle_set(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """XXH64 values of the text's distinct word shingles, sorted; words and shingles are those of ``fingerprint``."""
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(words, len(tokens))
+    starts, ends = starts[:len(tokens) - k + 1].tolist(), ends[k - 1:].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.concatenate([np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i:i + TURN], ends[i:i + TURN])], np.uint64) for i in range(0, len(starts), TURN)]))
 
 
-def similar_links(sketches: DataFrame, group: int = GROUP) -> DataFrame:
-    """(src, dst): a forest of links between nodes whose sketches differ in SIMILAR_BITS at most and meet in a table.
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One key a band from the least values of the shingles' remixed hashes; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    x, least = (own >> np.uint64(32)).astype(np.uint32), np.full(len(FACTORS), ~np.uint32(0))
+    for i in range(0, len(x), 512):
+        least = np.minimum(least, (x[i:i + 512, None] * FACTORS).min(0))
+    g = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[0]
+    for v in least.reshape(BANDS, ROWS).T:
+        g = (g ^ v.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        g ^= g >> np.uint64(32)
+    return g.view(np.int64)
 
-    ``sketches``: node, f0..f7, distinct. Groups over ``group`` are dealt out anew by
-    more bits; at the last level a group of any size is searched as it is.
-    """
-    s = Scratch(sketches.sparkSession, "similar")
-    names, found = [f"f{j}" for j in range(PARTS)], None
-    rows = sketches.select("node", *names)
-    for level in range(4):
-        def dealt(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                f = pdf[names].to_numpy(np.int64).view(np.uint64)
-                for t, m in enumerate(sampled(level)):
-                    x = f & m
-                    g = np.full(len(f), np.uint64(t + 1) * np.uint64(0xD1B54A32D192ED03 >> 8))
-                    for j in range(PARTS):
-                        g = (g ^ x[:, j]) * np.uint64(0xD6E8FEB86659FD93)
-                        g ^= g >> np.uint64(32)
-                    yield pdf.assign(g=g.view(np.int64))
-
-        def searched(batches: Iterator[pd.DataFrame], last: bool = level == 3) -> Iterator[pd.DataFrame]:
-            held: list[np.ndarray] = []
-            name, passing = None, False
-
-            def ended() -> Iterator[pd.DataFrame]:
-                if passing or sum(map(len, held)) < 2:
-                    return
-                own = np.concatenate(held)
-                f = own[:, 1:].view(np.uint64)
-                index = GrayIndex(np.ascontiguousarray(f[:, 0]))
-                own, f = own[index.order], f[index.order]
-                root = index.forest(FIRST_BITS, f[:, 1:], SIMILAR_BITS)
-                at = np.flatnonzero(root != np.arange(len(root)))
-                if len(at):
-                    yield pd.DataFrame({"src": own[root[at], 0], "dst": own[at, 0], **{c: 0 for c in names}})
-
-            for pdf in batches:
-                g, own = pdf["g"].to_numpy(np.int64), pdf[["node", *names]].to_numpy(np.int64)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-                many = np.diff(cut) > 1
-                many[[0, -1]] = True  # may go on in another batch
-                for a, b in zip(cut[:-1][many].tolist(), cut[1:][many].tolist()):
-                    if name != g[a]:
-                        yield from ended()
-                        held, passing, name = [], False, g[a]
-                    held.append(own[a:b])
-                    if passing or not last and sum(map(len, held)) > group:
-                        rest, passing, held = np.concatenate(held), True, []
-                        yield pd.DataFrame({"src": rest[:, 0], "dst": rest[:, 0], **{c: rest[:, j + 1] for j, c in enumerate(names)}})
-            yield from ended()
-
-        columns = ", ".join(f"{c} long" for c in names)
-        groups = rows.mapInPandas(dealt, f"node long, {columns}, g long").repartition("g").sortWithinPartitions("g")
-        made = s.table(groups.mapInPandas(searched, f"src long, dst long, {columns}"), f"links{level}")
-        own = made.where("src <> dst").select("src", "dst")
-        found = own if found is None else found.union(own)
-        rows = made.where("src = dst").select(F.col("src").alias("node"), *names).distinct()
-        if rows.isEmpty():
-            break
-    return found
 
+def similar_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each set the place of a set of its component, where the pairs of left and right of SIMILARITY or more are linked.
 
-def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """key, component_id (smallest key reachable): texts whose sketches of five-word shingles are similar.
+    Every pair is compared unless its sizes rule it out or it is connected already.
+    """
+    size = np.array([len(x) for x in sets])
+    starts, root = np.cumsum(size) - size, np.arange(len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    have = np.zeros(len(values), bool)
+    for n, a in enumerate(left.tolist()):
+        rest = right[n + 1:] if left is right else right
+        rest = rest[(size[rest] >= SIMILARITY * size[a] - 1e-6) & (size[a] >= SIMILARITY * size[rest] - 1e-6)]
+        own, step = ids[starts[a]:starts[a] + size[a]], 8
+        have[own] = True
+        while len(rest := rest[root[rest] != root[a]]):
+            b, rest, step = rest[:step], rest[step:], min(512, 8 * step)
+            ends = np.cumsum(size[b])
+            at = np.arange(ends[-1]) + np.repeat(starts[b] - ends + size[b], size[b])
+            both = np.add.reduceat(have[ids[at]], ends - size[b], dtype=np.int64)
+            b = b[both / (size[a] + size[b] - both) >= SIMILARITY]
+            if len(b):
+                joined = np.unique(root[np.append(b, a)])
+                root[np.isin(root, joined)] = joined[0]
+        have[own] = False
+    return root
+
+
+def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest links (src, dst) of each cell from rows sorted by cell."""
+    held: list[pd.DataFrame] = []
+    name = None
+
+    def ended() -> Iterator[pd.DataFrame]:
+        node, part = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("node", "part"))
+        if len(node) < 2:
+            return
+        left = np.flatnonzero(part == name[1])
+        right = left if name[1] == name[2] else np.flatnonzero(part == name[2])
+        root = similar_forest([np.frombuffer(v, np.uint64) for x in held for v in x["own"]], left, right)
+        at = np.flatnonzero(root != np.arange(len(root)))
+        if len(at):
+            yield pd.DataFrame({"src": node[root[at]], "dst": node[at]})
 
-    Copies are one sketch from the start. Texts without words share a sketch and so a
-    component. Rows with a null key link with nothing and have a null component_id.
+    for pdf in batches:
+        ids = pdf[["c", "i", "j"]].to_numpy(np.int64)
+        cuts = [0, *(np.flatnonzero((np.diff(ids, axis=0) != 0).any(1)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if name != tuple(ids[a]):
+                if held:
+                    yield from ended()
+                held, name = [], tuple(ids[a])
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield from ended()
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = PART) -> DataFrame:
+    """key, component_id (smallest key reachable): texts linked where their sets of five-word shingles have Jaccard similarity 0.8.
+
+    Texts that share a MinHash key, directly or through others, are a family; no group of
+    a key is searched, so none is too large. Within a family every pair is compared on
+    whole shingle sets. A family of over ``group`` texts or PART_SHINGLES shingles is cut
+    into parts and every two parts are a task. Equal sets are one from the start. Texts
+    without words are equal. Rows with a null key link with nothing and have a null component_id.
     """
     own_columns(key, ["component_id"])
-    s = Scratch(df.sparkSession, "sketches")
-    names = [f"f{j}" for j in range(PARTS)]
+    s = Scratch(df.sparkSession, "similar")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np.stack([sketch(t) for t in pdf["t"]]).view(np.int64)
-        return pd.DataFrame({"k": pdf["k"], **{c: f[:, j] for j, c in enumerate(names)}})
-
-    rows = map_rows(df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), "k long, " + ", ".join(f"{c} long" for c in names), run)
-    rows = s.table(rows, "rows")
-    classes = s.table(rows.groupBy(*names).agg(F.min("k").alias("node")), "classes")
-    linked = connected_components(similar_links(classes, group)).withColumnRenamed("component", "c")
-    named = classes.join(linked, "node", "left").select(*names, F.coalesce("c", "node").alias("component_id"))
-    return rows.join(named, names).select(F.col("k").alias(key), "component_id").union(
+        import xxhash
+
+        sets = [shingle_set(t) for t in pdf["t"]]
+        names = np.array([[(d := xxhash.xxh3_128_intdigest(x.tobytes())) >> 64, d & ((1 << 64) - 1)] for x in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"k": pdf["k"], "h0": names[:, 0], "h1": names[:, 1], "n": [len(x) for x in sets], "bands": [band_keys(x) for x in sets]})
+
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    rows = s.table(map_rows(texts, "k long, h0 long, h1 long, n long, bands array<long>", run), "rows")
+    classes = s.table(rows.groupBy("h0", "h1").agg(F.min("k").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    met = classes.select("node", F.explode("bands").alias("band"))
+    shared = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
+    family = connected_components(met.join(shared, "band").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")))
+    family = s.table(family.withColumnRenamed("component", "c"), "families")
+    sizes = family.join(classes.groupBy("node").agg(F.count("*").alias("texts"), F.sum("n").alias("n")), "node").groupBy("c").agg(
+        F.ceil(F.greatest(F.sum("texts") / group, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    members = family.join(sizes, "c").select("node", "c", "parts")
+    # merged at every size: the families grow with the documents
+    whole = texts.join(members.hint("merge"), F.col("k") == F.col("node")).select("node", "c", "parts", "t").distinct()
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["node", "c", "parts"]].assign(own=[shingle_set(t).tobytes() for t in pdf["t"]])
+
+    parts = map_rows(whole, "node long, c long, parts int, own binary", again).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    cells = parts.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))))
+    cells = cells.select("c", "cell.i", "cell.j", "part", "node", "own").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    linked = connected_components(s.table(cells.mapInPandas(compared, "src long, dst long"), "links"))
+    named = classes.select("h0", "h1", "node").join(linked, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("component_id"))
+    return rows.select("k", "h0", "h1").join(named, ["h0", "h1"]).select(F.col("k").alias(key), "component_id").union(
         df.where(F.col(key).isNull()).select(F.col(key).cast("long"), F.lit(None).cast("long")))
 
 
