@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from riskloom.llm import simhash
 
 
@@ -39,3 +41,14 @@ def test_links_are_of_whole_sets(spark):
     want = brute(texts)
     assert len(set(want.values())) > 60 and len(set(want.values())) < len(texts) - 10
     assert found(spark, texts) == want
+
+
+@pytest.mark.parametrize("group", [3, 1000])
+def test_no_group_is_too_large(spark, group):
+    """One key holds 150 texts; whatever the bound of a task, every pair of them is compared."""
+    r = random.Random(2)
+    passage, texts = words(r, 300), []
+    for _ in range(50):
+        own = words(r, 80)
+        texts += [" ".join(passage + own), " ".join(passage + own[:-8] + words(r, 8)), " ".join(passage + words(r, 75))]
+    assert found(spark, texts, group=group) == brute(texts)
