@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from riskloom.llm import simhash
@@ -52,3 +53,14 @@ def test_no_group_is_too_large(spark, group):
         own = words(r, 80)
         texts += [" ".join(passage + own), " ".join(passage + own[:-8] + words(r, 8)), " ".join(passage + words(r, 75))]
     assert found(spark, texts, group=group) == brute(texts)
+
+
+def test_recall_at_the_similarity_wanted():
+    """Of pairs at 0.8 just about all share a key."""
+    r, met = np.random.default_rng(3), 0
+    for _ in range(2000):
+        n = int(r.integers(20, 600))
+        both = -(-8 * n // 9)
+        x = r.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+        met += bool((simhash.band_keys(np.sort(x[:n])) == simhash.band_keys(np.sort(x[n - both:]))).any())
+    assert met >= 1996
