@@ -16,7 +16,9 @@ from .views import CAP, KEYS, TEST, edges, entities, features, graph_sql, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAG, DRAWS = 0.6, 20
+FLAG = 0.6
+#: Bootstrap draws and permutations of the original workload.
+DRAWS, PERMUTATIONS = 400, 200
 
 
 def query(oracle: str | None = None):
@@ -404,7 +406,7 @@ def bootstrap_exact(spark, d):
         tp = np.cumsum(y)[last]
         return float((np.diff(np.append(0, tp)) * tp / (last + 1)).sum() / max(tp[-1], 1))
 
-    return resample.exact_bootstrap(scored(spark, d), ap, draws=50)
+    return resample.exact_bootstrap(scored(spark, d), ap, draws=DRAWS)
 
 
 @query(sql(f"SELECT count(*) AS n, round(max(s), 4) AS metric FROM scored WHERE y = 1").replace("count(*) AS n, ", ""))
@@ -427,14 +429,14 @@ def ring_observed(spark, d):
     return resample.ring_counts(members(spark, d))
 
 
-PERMUTED = f"perm AS (SELECT b, uid, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat(uid, ':', b)), uid) <= (SELECT sum(fraud) FROM mem) THEN 1 ELSE 0 END AS fraud FROM mem, range(1, {DRAWS + 1}) AS t(b))"
+PERMUTED = f"perm AS (SELECT b, uid, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat(uid, ':', b)), uid) <= (SELECT sum(fraud) FROM mem) THEN 1 ELSE 0 END AS fraud FROM mem, range(1, {PERMUTATIONS + 1}) AS t(b))"
 
 
 @query(sql("""SELECT o.components, o.all_fraud, o.mixed, o.clean, round(m, 6) AS null_mean, round(sd, 6) AS null_std, round((o.all_fraud - m)/(sd + 1e-9), 4) AS z FROM
   (SELECT count(*) AS components, count(*) FILTER (WHERE f = n) AS all_fraud, count(*) FILTER (WHERE f > 0 AND f < n) AS mixed, count(*) FILTER (WHERE f = 0) AS clean FROM (SELECT component, count(*) AS n, sum(fraud) AS f FROM mem GROUP BY 1 HAVING count(*) >= 2)) o,
   (SELECT avg(k) AS m, stddev_pop(k) AS sd FROM (SELECT b, count(*) FILTER (WHERE f = n) AS k FROM (SELECT b, component, count(*) AS n, sum(p.fraud) AS f FROM perm p JOIN mem USING (uid) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY b))""", G, MEMBERS, PERMUTED))
 def ring_permutation_hash(spark, d):
-    return resample.ring_test(members(spark, d), draws=DRAWS)
+    return resample.ring_test(members(spark, d), draws=PERMUTATIONS)
 
 
 PAIRS = "pairs AS (SELECT DISTINCT e1.uid AS src, e2.uid AS dst FROM edges e1 JOIN edges e2 USING (key_name, value) WHERE e1.uid < e2.uid)"
@@ -451,7 +453,7 @@ def homophily_observed(spark, d):
   (SELECT avg(k) AS m, stddev_pop(k) AS sd FROM (SELECT a.b, avg(a.fraud*b.fraud) AS k FROM pairs JOIN perm a ON src = a.uid JOIN perm b ON dst = b.uid AND a.b = b.b GROUP BY a.b))""", G, MEMBERS, PAIRS, PERMUTED))
 def homophily_permutation_hash(spark, d):
     pairs = Scratch(spark, "pairs").table(graph.project(edges(txn(spark, d))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "p")
-    return resample.homophily_test(pairs, members(spark, d).select(F.col("uid").alias("node"), F.col("fraud").alias("bad")), DRAWS)
+    return resample.homophily_test(pairs, members(spark, d).select(F.col("uid").alias("node"), F.col("fraud").alias("bad")), PERMUTATIONS)
 
 
 # --- clusters
