@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text blocks are grouped by their path of block tags from the root to the leaf.
-Each path has its text length and punctuation per block; paths of menus (mostly
-links) and of named page furniture count for nothing. Ratios are smoothed over the
-containers on each path and fused with the path's own; the deepest container with
-nearly all weight is the article, and its paths over the threshold are its blocks.
+A page's text blocks are grouped by their path of block tags from the root to the
+leaf. A path's ratio joins its text length and its punctuation, each per block.
+Ratios are smoothed over the containers that a path runs through, every container
+having the mean ratio of the text in it, then fused with the path's own ratio. The
+paths over a share of the page's mean ratio are the content, ``article`` and ``main``
+included. Names of page furniture only veto. Paths are nodes of a tree, so the work
+is linear in the page, however many classes or levels it has.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -23,7 +27,6 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/><]*)((?>[^>\"'<]+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z|(?=<))", re.S)
 #: Elements that begin a block. Fixed values.
 BLOCK = set("html head body p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address form fieldset details summary hr center dialog menu hgroup search".split())
-HEADINGS = {(f"h{n}",) for n in range(1, 7)}
 #: Elements whose content is no text.
 SKIP = set("script style noscript template iframe object embed svg math canvas video audio map select option datalist button textarea title head input label legend".split())
 #: Elements whose content is not parsed.
@@ -35,38 +38,74 @@ ENDS = {"p": BLOCK - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"},
 SCOPE = {"table", "article", "section", "main", "body", "html", "td", "th"}
 FURNITURE = set("nav footer aside form fieldset menu dialog search".split())
 ROLES = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|menu|menubar|alert|dialog|form|note|toolbar)\b")
+#: Names of furniture, and names that furniture and articles both have.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|nav(?:igation|bar)?|menus?|breadcrumbs?|sidebars?|side|footers?|foot|"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|nav(?:igation|bar)?|menus?|breadcrumbs?|sidebars?|footers?|"
     r"headers?|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|respond|disqus|share|sharing|"
-    r"social|related|recommended|recommendations|widgets?|pagination|pager|tags?|skip|hidden|copyright|legal|disclaimer|rail)(?=$|[\s_-])")
+    r"widgets?|pagination|pager)(?=$|[\s_-])")
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:side|foot|social|related|recommended|recommendations|tags?|skip|hidden|copyright|legal|disclaimer|rail)(?=$|[\s_-])")
 LABEL = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HEAD = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|banners?)(?=$|[\s_-])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-SHARE, THRESHOLD = 0.9, 0.05
+#: Elements whose mean ratio smooths the ratios of the paths in them; inside an article there is the article alone.
+BOXES = set("html body div section article main center".split())
+#: Elements whose text may be all links and is prose still.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of the page's mean ratio that a path needs; share of links over which a path is a menu; weights of a path's own ratio
+#: against its container's, and of a container's mean against the one around it; what a doubtful name leaves of a ratio.
+THRESHOLD, MENU, OWN, NEAR, DOUBT = 0.4, 0.6, 0.5, 0.75, 0.5
 
 
-def furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture; ``inside`` tells that an article is open."""
+def furniture(tag: str, attributes: str, inside: bool) -> float:
+    """What an element's names leave of its ratio: 0 for page furniture; ``inside`` tells that an article is open."""
     if tag in FURNITURE or tag == "header" and not inside:
-        return True
+        return 0.0
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 1.0
+    left = 1.0
     for m in LABEL.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and (not value or value in ("hidden", "true")) or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 0.0
         if name == "role" and ROLES.search(value):
-            return True
-        if name in ("class", "id") and NAMES.search(HEAD.sub(" ", value) if inside else value):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters in links, furniture) of every block in page order."""
-    found: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name on the path, furniture
-    run: list[str] = []
+            return 0.0
+        if name in ("class", "id"):
+            if NAMES.search(HEAD.sub(" ", value) if inside else value):
+                return 0.0
+            if DOUBTFUL.search(value):
+                left = DOUBT
+    return left
+
+
+@dataclass(slots=True)
+class Path:
+    """A node of the tree of tag paths, with the sums of its own blocks."""
+
+    tag: str
+    up: int
+    box: int  # the container whose mean smooths this path
+    inside: bool
+    left: float
+    count: int = 0
+    chars: int = 0
+    marks: int = 0
+    linked: int = 0
+    ways: dict = field(default_factory=dict)
+
+    def ratio(self) -> float:
+        """Text length and punctuation per block, as one figure; menus lose the share that is links."""
+        if not self.chars:
+            return 0.0
+        menu = self.linked / self.chars
+        return self.left * math.sqrt(self.chars / self.count * (1 + self.marks / self.count)) * (1 - menu if menu > MENU and self.tag not in PROSE else 1)
+
+
+def blocks(page: str) -> tuple[list[Path], list[tuple[int, str]]]:
+    """The tree of paths, parents before children, and (path, text) of every block in page order."""
+    tree = [Path("", 0, 0, False, 1.0)]
+    found: list[tuple[int, str]] = []
+    stack, run = [0], []
+    open_tags, scopes = Counter(), [Counter()]  # all open elements; those since each scope began
     linked = links = skipping = 0
     skip_tag, at = "", 0
 
@@ -74,13 +113,36 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            found.append((tuple(x for _, x, _ in stack), text, min(linked, len(text)), any(x for _, _, x in stack)))
+            x = tree[stack[-1]]
+            x.count, x.chars, x.marks, x.linked = x.count + 1, x.chars + len(text), x.marks + len(PUNCTUATION.findall(text)), x.linked + min(linked, len(text))
+            found.append((stack[-1], text))
         run.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        flush()
-        del stack[i:]
+    def pop() -> str:
+        tag = tree[stack.pop()].tag
+        open_tags[tag] -= 1
+        if tag in SCOPE:
+            scopes.pop()
+        else:
+            scopes[-1][tag] -= 1
+        return tag
+
+    def push(tag: str, attributes: str) -> None:
+        label = re.search(r"class\s*=\s*[\"']?([\w -]+)", attributes, re.I) if tag in ("div", "section", "td") else None
+        up = tree[stack[-1]]
+        left = min(up.left, furniture(tag, attributes, up.inside))
+        way = (tag, label[1].strip() if label else "", left)
+        if way not in up.ways:
+            up.ways[way] = len(tree)
+            box = len(tree) if not up.inside and tag in BOXES else up.box
+            tree.append(Path(tag, stack[-1], box, up.inside or tag in ("article", "main"), left))
+        stack.append(up.ways[way])
+        open_tags[tag] += 1
+        if tag in SCOPE:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -106,13 +168,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                     skipping -= 1
             elif tag == "a":
                 links = 0
-            elif tag in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE and tag not in SCOPE:
-                        break
+            elif tag in BLOCK and (open_tags[tag] if tag in SCOPE else scopes[-1][tag]):
+                flush()
+                while pop() != tag:
+                    pass
             continue
         if skipping:
             if tag == skip_tag and tag not in RAW and tag not in VOID and not m[3].endswith("/"):
@@ -134,62 +193,37 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             links = 1
         elif tag in BLOCK:
             flush()
-            while stack and tag in ENDS.get(stack[-1][0], ()):
-                stack.pop()
+            while len(stack) > 1 and tag in ENDS.get(tree[stack[-1]].tag, ()):
+                pop()
             if tag not in VOID:
-                inside = any(t in ("article", "main") for t, _, _ in stack)
-                label = re.search(r"class\s*=\s*[\"']?([\w -]+)", m[3], re.I)
-                stack.append((tag, tag + ("." + label[1].strip() if label and tag in ("div", "section", "span", "td") else ""), furniture(tag, m[3], inside)))
+                push(tag, m[3])
     flush()
-    return found
-
-
-def main_text(page: str | None) -> str:
-    """Blocks of the article joined by blank lines; empty if there is none."""
-    found = blocks(page or "")
-    kept = [(p, t) for p, t, _, f in found if not f]
-    stats: dict[tuple[str, ...], list[float]] = {}
-    for path, t, linked, f in found:
-        if not f:
-            x = stats.setdefault(path, [0, 0, 0, 0])
-            x[0] += 1
-            x[1] += len(t)
-            x[2] += len(PUNCTUATION.findall(t))
-            x[3] += linked
-    if not stats:
-        return ""
-    # text length and punctuation per block of a path; text that is mostly links weighs nothing
-    ratio = {p: (0.0 if linked > 0.6 * chars and p[-1:] not in (("p",), ("h1",)) else chars / n * (1 + 2 * marks / chars * 10)) for p, (n, chars, marks, linked) in stats.items()}
-    weight = {p: math.sqrt(ratio[p]) * stats[p][1] for p in stats}
-    whole = sum(weight.values())
-    articles = {p[:i + 1] for p in stats for i, x in enumerate(p) if x in ("article", "main")}
-    inside = lambda c: sum(w for p, w in weight.items() if p[:len(c)] == c)
-    if articles and (named := {a: inside(a) for a in articles}) and max(named.values()) > 0:
-        box = max(named, key=lambda a: (named[a], -len(a)))
-    elif whole:
-        boxes = {p[:i] for p in stats for i in range(1, len(p) + 1)}
-        box = max((b for b in boxes if inside(b) >= SHARE * whole), key=lambda b: (len(b), inside(b)), default=())
-        if box and box[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote", "tr", "ul", "ol", "tbody", "dl", "dd"):
-            while box and not box[-1].startswith(("div", "section", "body", "article", "main", "table", "html")):
-                box = box[:-1]
-        up = box
-        while len(up) > 1:  # headings just outside belong to it
-            up = up[:-1]
-            beside = [p for p in stats if p[:len(up)] == up and p[:len(box)] != box]
-            if beside and not all(p[-1:] in HEADINGS for p in beside):
-                break
-            box = up if beside else box
-    else:
-        return ""
-    # smoothing: a path shares in the mean ratio of the container it is in
-    means: dict[tuple[str, ...], float] = {}
-    for p in stats:
-        own = [ratio[q] for q in stats if q[:-1] == p[:-1]]
-        means[p] = sum(own) / len(own)
-    best = max(0.5 * ratio[p] + 0.5 * means[p] for p in stats if p[:len(box)] == box)
-    chosen = {p for p in stats if p[:len(box)] == box and ratio[p] > 0 and (
-        "article" in box or "main" in box or p[-1:] in HEADINGS or 0.5 * ratio[p] + 0.5 * means[p] >= THRESHOLD * best)}
-    return "\n\n".join(t for p, t in kept if p in chosen)
+    return tree, found
+
+
+def scores(tree: list[Path]) -> tuple[list[float], float]:
+    """Every path's ratio smoothed and fused, and the page's mean ratio; both weigh ratios by text."""
+    ratio = [x.ratio() for x in tree]
+    chars, mass = [x.chars if r else 0 for x, r in zip(tree, ratio)], [x.chars * r for x, r in zip(tree, ratio)]
+    for i in range(len(tree) - 1, 0, -1):
+        chars[tree[i].up] += chars[i]
+        mass[tree[i].up] += mass[i]
+    smooth: list[float] = []
+    for i, x in enumerate(tree):
+        if x.box != i:
+            smooth.append(smooth[x.box])
+            continue
+        mean = mass[i] / chars[i] if chars[i] else 0.0
+        smooth.append(NEAR * mean + (1 - NEAR) * smooth[tree[x.up].box] if i else mean)
+    fused = [(OWN * r + (1 - OWN) * x.left * smooth[i]) if r else 0.0 for i, (x, r) in enumerate(zip(tree, ratio))]
+    return fused, mass[0] / chars[0] if chars[0] else 0.0
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    """Blocks of the content paths joined by blank lines; empty if there are none."""
+    tree, found = blocks(page or "")
+    fused, mean = scores(tree)
+    return "\n\n".join(t for i, t in found if fused[i] and fused[i] >= threshold * mean)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
