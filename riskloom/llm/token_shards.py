@@ -33,6 +33,10 @@ from .common import bounded_batches, own_columns
 
 MAGIC, STEP = b"IDSHARD1", 256
 HEADER, TRAILER = "<8sII", "<QQQQQqQ8s"
+#: Values of a sequence whose bits are spread out at once; a multiple of 8.
+CHUNK = 1 << 16
+#: Bytes of text in a shard, about. A directory entry of 32 bits bounds a shard at some 10^9 documents; this one is far below.
+SHARD_BYTES = 256 << 20
 #: Distinct words whose ids a worker keeps, and marks that may follow a word.
 CACHE, MARKS = 1_000_000, ".,;:!?"
 
@@ -47,19 +51,22 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
+        """Built a stretch of CHUNK values at a time, so that no more than their bits are spread out at once."""
         v = np.asarray(values, np.uint64)
         n = len(v)
         top = int(v[-1]) if n else 0
         l = max(0, (top // n).bit_length() - 1) if n else 0
-        if l:
-            bits = (v[:, None] >> np.arange(l, dtype=np.uint64)) & np.uint64(1)
-            low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
-        ones = (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        flags = np.zeros((top >> l) + n + 1, np.uint8)
-        flags[ones] = 1
-        return cls(n, l, low, np.packbits(flags, bitorder="little"), ones[::STEP].astype("<u4"))
+        low, shifts = [], np.arange(l, dtype=np.uint64)
+        high = np.zeros(((top >> l) + n + 8) // 8, np.uint8)
+        for i in range(0, n, CHUNK):
+            own = v[i:i + CHUNK]
+            if l:
+                # CHUNK is a multiple of 8, so stretches end on whole bytes
+                low.append(np.packbits(((own[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
+            ones = (own >> np.uint64(l)).astype(np.int64) + np.arange(i, i + len(own))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+        marks = (v[::STEP] >> np.uint64(l)).astype(np.int64) + np.arange(0, n, STEP)
+        return cls(n, l, np.concatenate(low) if low else np.zeros(0, np.uint8), high, marks.astype("<u4"))
 
     def slice(self, begin: int, end: int) -> np.ndarray:
         """Values begin..end-1, reading only their stretch of bits."""
@@ -100,7 +107,8 @@ class Encoder:
     between other characters and after a run of letters, so such texts are encoded
     word by word: words of letters, the marks after them, and anything else between
     spaces. What a batch has and the cache lacks goes to the library once. Texts with
-    other white space side by side go to it whole.
+    other white space side by side, and texts that hold one of the tokenizer's added
+    tokens, go to it whole.
     """
 
     #: By tokenizer; a worker keeps it from one task to the next.
@@ -111,8 +119,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "H" if width == 2 else "I"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)").search
         # white space side by side, apart from plain spaces and line ends, which splitting shows
         self.rare = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         self.odd = re.compile(r"\A | \Z|\s |\s\n| \s|\n\s").search
@@ -130,7 +139,7 @@ class Encoder:
         for text in texts:
             row: list = []
             rows.append(row)
-            if self.rare(text) and self.odd(text):
+            if self.rare(text) and self.odd(text) or self.added(text):
                 other.append((row, text))
                 continue
             for n, line in enumerate(text.split("\n")):
@@ -180,7 +189,7 @@ def _files(uri: str):
 
 
 def write_shards(df: DataFrame, path: str, key: str, text: str, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    """Encode, order by key and write ``shards`` files below ``path``; returns the manifest.
+    """Encode, order by key and write ``shards`` files below ``path`` (or one for every SHARD_BYTES of text, if more); returns the manifest.
 
     Null texts count as empty and give the end id alone. Null keys come first; equal
     keys are ordered by text. Empty shards are written too, so an empty table works.
@@ -194,12 +203,18 @@ def write_shards(df: DataFrame, path: str, key: str, text: str, tokenizer: str,
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # many short lists and no cycles
+        try:
+            yield from written(batches)
+        finally:
+            gc.enable()
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
         encode, tail = Encoder(spec, width), end_id.to_bytes(width, "little")
         files, folder = _files(path)
         files.create_dir(folder, recursive=True)
         temp, name = f"{folder}/.{shard}-{uuid.uuid4().hex}", f"{folder}/shard-{shard:06d}.ids"
-        bounds, keys, nulls, total = [0], [], 0, 0
+        bounds, keys, nulls, total = array("q", [0]), [], 0, 0
         with files.open_output_stream(temp) as out:
             out.write(struct.pack(HEADER, MAGIC, width, 0))
             for pdf in batches:
@@ -214,7 +229,7 @@ def write_shards(df: DataFrame, path: str, key: str, text: str, tokenizer: str,
                 keys.append(own)
             keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             base = int(keys[0]) if len(keys) else 0
-            boundaries = EliasFano.of(np.array(bounds)).dump()
+            boundaries = EliasFano.of(np.frombuffer(bounds, np.int64)).dump()
             names = EliasFano.of((keys - base).astype(np.uint64)).dump()
             out.write(boundaries)
             out.write(names)
@@ -222,6 +237,8 @@ def write_shards(df: DataFrame, path: str, key: str, text: str, tokenizer: str,
         files.move(temp, name)
         yield pd.DataFrame({"shard": [shard], "file": [name], "docs": [len(bounds) - 1], "ids": [total]})
 
+    held = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    shards = max(shards, -(-held // SHARD_BYTES))
     ordered = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(
         shards, "k", F.xxhash64("t")).sortWithinPartitions("k", "t")
     made = ordered.mapInPandas(write, "shard long, file string, docs long, ids long")
@@ -281,9 +298,9 @@ def read_shards(spark: SparkSession, path: str, key: str, digest: bool = False)
 def token_shards(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
     """Write shards below the session's shared folder and read every document back.
 
-    One row per input row, repeated rows included; equal texts have equal ids. The
-    number of shards follows ``spark.sql.shuffle.partitions``. Extra columns are not
-    read. Keys must be integers.
+    One row per input row, repeated rows included; equal texts have equal ids. There
+    are as many shards as ``spark.sql.shuffle.partitions`` or, if more, one for every
+    SHARD_BYTES of text. Extra columns are not read. Keys must be integers.
     """
     own_columns(key, ["start", "n_tokens", "ids_crc32"])
     spark = df.sparkSession
