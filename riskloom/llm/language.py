@@ -17,36 +17,70 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..scratch import Scratch
 from .common import keep_rows, map_rows, own_columns
 
-#: Fitted sample, per language: so many texts, so many characters of each.
-SAMPLES, SAMPLE_CHARS = 64, 3000
+#: Parameters of the fit, per language: texts in the dictionary, further texts that the margin is fitted on, and the longest text
+#: that is taken whole as a sample; longer ones are predicted like any others.
+SAMPLES, TRIALS, LONGEST = 40, 160, 20_000
 #: Characters in a compressed block; a text's blocks are all counted.
 BLOCK = 2000
 LEVEL = 9
-#: Share of bytes by which the winner must lead for ``accepted``, and the least lead in bytes that counts as one. Both in
-#: compressed bytes alone. On 1,800 held-out texts of sf0.1 they reject 1 %; on 2,500 of check_s 1.6 %, 30 of those 40 of the right language.
-MARGIN, LEAD = 0.03, 5
+#: A lead of fewer bytes is measured again with so many parts of each dictionary.
+NARROW, PARTS = 5, 8
+#: The least margin, where the sample asks for none: this share of bytes.
+MARGIN = 0.015
 UNKNOWN = "und"
 LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 
 
-def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", samples: int = SAMPLES) -> dict[str, tuple[bytes, float]]:
-    """Dictionary and share of the training rows by language, where ``train`` holds and text and lang are not null.
+class Learned(dict):
+    """Dictionary text and share of the training rows by language, with the margin up to which guesses are rejected."""
 
-    Each language keeps the texts with the least hash in each of ``samples`` hash
-    classes: an aggregation that combines before its shuffle and gives copies of one
-    text no more room than one. At most samples x languages short texts reach the driver.
+    margin = MARGIN
+
+    def __reduce__(self):
+        return rebuilt, (dict(self), self.margin)
+
+
+def rebuilt(values: dict, margin: float) -> Learned:
+    out = Learned(values)
+    out.margin = margin
+    return out
+
+
+def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", samples: int = SAMPLES, trials: int = TRIALS) -> Learned:
+    """Dictionaries, shares and margin from the rows where ``train`` holds and text and lang are not null.
+
+    Each language keeps the text of least hash in each of samples + trials hash classes, of
+    those up to LONGEST characters: an aggregation that combines before its shuffle and
+    gives copies of one text no more room than one. At most that many whole texts a language
+    reach the driver. The margin is the one at which the trial texts have the fewest wrong
+    guesses accepted and right ones rejected, and MARGIN at least.
     """
     rows = df.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    least = Scratch(df.sparkSession, "language").table(
-        rows.groupBy("lang", F.pmod("h", F.lit(samples)).alias("c")).agg(F.min("h").alias("h"), F.count("*").alias("n")), "least")
-    # bounded by samples x languages rows
-    picked = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
-    shares = {r["lang"]: r["n"] for r in least.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    found: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
-        found.setdefault(r["lang"], []).append(plain(r["t"]))
-    return {k: ("\n".join(v).encode(), shares[k] / sum(shares.values())) for k, v in found.items()}
+    held = Scratch(df.sparkSession, "language").table(
+        rows.groupBy("lang", F.pmod("h", F.lit(samples + trials)).alias("c")).agg(
+            F.min(F.when(F.length("text") <= LONGEST, F.col("h"))).alias("h"), F.count("*").alias("n")), "least")
+    # bounded by classes x languages rows
+    least = held.where("h is not null").select("lang", "h", "c")
+    picked = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h", "c").agg(F.min("text").alias("t")).collect()
+    shares = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    found: dict[str, list[str]] = {k: [] for k in shares}
+    tried = []
+    for r in sorted(picked, key=lambda r: (r["lang"], r["c"])):
+        if len(found[r["lang"]]) < samples:
+            found[r["lang"]].append(plain(r["t"]))
+        else:
+            tried.append((r["lang"], r["t"]))
+    # a raw dictionary has 8 bytes at least
+    learned = Learned({k: ("\n".join(v).encode().ljust(8), shares[k] / sum(shares.values())) for k, v in found.items()})
+    model = Model(learned)
+    guesses = sorted((m, k == lang) for lang, t in tried if LETTER.search(t) for k, _, m in [model.predict(t)])
+    cost = least_cost = 0
+    for m, ok in guesses:  # against accepting all: a wrong guess less, or a right one
+        cost += 1 if ok else -1
+        if cost < least_cost:
+            least_cost, learned.margin = cost, max(MARGIN, m)
+    return learned
 
 
 def plain(text: str) -> str:
@@ -58,24 +92,23 @@ class Model:
     """Compressed sizes of a text under each language."""
 
     def __init__(self, learned: dict[str, tuple[bytes, float]]):
-        import zstandard
-
-        self.langs = sorted(k for k, (v, _) in learned.items() if len(v) >= 8)
-        self.coders, self.priors = [], []
-        for k in self.langs:
-            d = zstandard.ZstdCompressionDict(learned[k][0], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
-            self.priors.append(-math.log2(learned[k][1]) / 8)
-
-    def sizes(self, text: str) -> list[int]:
-        """Bytes by language."""
+        self.langs = sorted(learned)
+        self.coders = [coder(learned[k][0]) for k in self.langs]
+        self.priors = [-math.log2(learned[k][1]) / 8 for k in self.langs]
+        cuts = {k: len(learned[k][0]) // PARTS for k in self.langs}
+        self.parts = [[coder(learned[k][0][i * cuts[k]:(i + 1) * cuts[k]].ljust(8)) for i in range(PARTS)] for k in self.langs]
+
+    def sizes(self, text: str) -> list[float]:
+        """Bytes by language; where the least two are within NARROW bytes, with the mean over parts of the dictionaries added."""
         text = plain(text)
         blocks = [text[i:i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
+        found = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
+        if len(found) > 1 and (low := sorted(found))[1] - low[0] < NARROW:
+            found = [n + sum(len(c.compress(b)) for c in parts for b in blocks) / PARTS for n, parts in zip(found, self.parts)]
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and margin: the language's share of the corpus breaks near-ties, but a margin is of bytes only, 0 under LEAD."""
+        """Language, score and margin: the language's share of the corpus breaks near-ties, but a margin is of bytes only."""
         if not text or not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
         sizes = self.sizes(text)
@@ -85,17 +118,26 @@ class Model:
         if len(order) == 1:
             return self.langs[order[0]], 1.0, 1.0
         score = 1 / sum(math.exp(40 * (best - c) / best) for c in costs)
-        lead = min(sizes[i] for i in order[1:]) - won
-        return self.langs[order[0]], score, lead / won if lead >= LEAD else 0.0
+        return self.langs[order[0]], score, max(0.0, (min(sizes[i] for i in order[1:]) - won) / won)
+
+
+def coder(dictionary: bytes):
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def identify(df: DataFrame, learned: dict[str, tuple[bytes, float]], key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
+def identify(df: DataFrame, learned: Learned, key: str = "doc_id", text: str = "text", margin: float | None = None) -> DataFrame:
     """key, lang_pred, score (0 to 1), margin, accepted: one row per input row.
 
     ``und`` with score 0 marks null texts, texts without a letter, and every text
     where nothing was learned. Ties go to the language first by name. Equal texts
-    get equal rows; other columns are not read; nothing is shuffled.
+    get equal rows; other columns are not read; nothing is shuffled. A text is accepted
+    over the fitted margin, or over ``margin``.
     """
+    margin = learned.margin if margin is None else margin
     own_columns(key, ["lang_pred", "score", "margin", "accepted"])
     made: list[Model] = []
 
@@ -103,7 +145,7 @@ def identify(df: DataFrame, learned: dict[str, tuple[bytes, float]], key: str =
         if not made:
             made.append(Model(learned))
         out = pd.DataFrame([made[0].predict(t) for t in pdf["t"]], columns=["lang_pred", "score", "margin"])
-        out["accepted"] = (out["lang_pred"] != UNKNOWN) & (out["margin"] >= margin)
+        out["accepted"] = (out["lang_pred"] != UNKNOWN) & (out["margin"] > margin)
         out.insert(0, key, pdf[key].to_numpy())
         return out
 
@@ -122,14 +164,15 @@ def language_id(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return identify(df, model, key, text).withColumn("held_out", held_out(key, 5, 0))
 
 
-def keep_known(df: DataFrame, learned: dict[str, tuple[bytes, float]], text: str = "text", margin: float = MARGIN) -> DataFrame:
+def keep_known(df: DataFrame, learned: Learned, text: str = "text", margin: float | None = None) -> DataFrame:
     """Rows of an accepted language, all columns as they are."""
+    margin = learned.margin if margin is None else margin
     made: list[Model] = []
 
     def wanted(texts: list) -> list[bool]:
         if not made:
             made.append(Model(learned))
         found = [made[0].predict(t) for t in texts]
-        return [k != UNKNOWN and m >= margin for k, _, m in found]
+        return [k != UNKNOWN and m > margin for k, _, m in found]
 
     return keep_rows(df, text, wanted)
