@@ -26,8 +26,8 @@ def test_ties_and_foreign_texts_are_rejected(spark, sf):
 
 def test_margin_is_fitted_and_whole_texts_are_samples(spark):
     r = random.Random(4)
-    langs = {"aa": "abcde", "bb": "fghij"}
-    rows = [(i, junk(r, langs[k], 40 if i % 9 else 900), k) for i in range(400) for k in [r.choice(list(langs))]]
+    langs = {k: junk(r, v, 80).split() for k, v in {"aa": "abcdefgh", "bb": "efghijkl"}.items()}
+    rows = [(i, " ".join(r.choice(langs[k]) for _ in range(40 if i % 9 else 900)), k) for i in range(400) for k in [r.choice(list(langs))]]
     rows += [(1000 + i, junk(r, "klmno", 30), "aa") for i in range(60)] + [(2000, "x1", "cc")]
     df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
     learned = language.fit(df, ~language.held_out("doc_id", 5, 0))
@@ -35,7 +35,7 @@ def test_margin_is_fitted_and_whole_texts_are_samples(spark):
     got = language.language_id(df).collect()
     assert len(got) == len(df.collect()) and len({(x.doc_id, x.lang_pred, x.score) for x in got}) == len(rows)
     plain = [x for x in got if x.doc_id < 400]
-    assert sum(x.lang_pred == rows[x.doc_id][2] for x in plain) > 0.9 * len(plain)
+    assert sum(x.lang_pred == rows[x.doc_id][2] for x in plain) > 0.95 * len(plain)
     # the longest whole texts are in the dictionaries, none cut
     assert any(language.plain(t).encode() in learned[k][0] for i, t, k in rows if i < 400 and i % 9 == 0)
 
