@@ -9,6 +9,10 @@ along the path and a node is dropped, with all below it, once they exceed ``bits
 A node whose members are already in the query's component is dropped too, so a
 dense group costs about its size, not its square. A group leaves its task as a
 forest of links; only connected components join the forests of all groups.
+
+``similar_documents`` uses the same index for texts of a given similarity of their
+shingle sets: on fingerprints of several words, with a bound on their differences that
+such texts keep, and with an exact comparison of the sets that follows.
 """
 
 from __future__ import annotations
@@ -77,14 +81,24 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return v
 
 
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Order of codes of several words, the first word highest, in the Gray sequence."""
+    ranks, odd = [], np.zeros(len(codes), bool)
+    for word in codes.T:
+        r = gray_rank(word)
+        ranks.append(np.where(odd, ~r, r))
+        odd = (ranks[-1] & np.uint64(1)).astype(bool)
+    return np.lexsort(ranks[::-1])
+
+
 class GrayIndex:
-    """Distinct fingerprints in Gray order under nodes of shared bits."""
+    """Fingerprints of one or more 64-bit words, one a row, in Gray order under nodes of shared bits."""
 
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.order = gray_order(codes)
         self.codes = codes[self.order]
         # levels, leaves' parents first: shared mask, pattern on it, and the bits not yet factored out below
-        full = np.full(len(codes), ~np.uint64(0))
+        full = np.full_like(self.codes, ~np.uint64(0))
         levels, mask, pattern = [], full, self.codes
         while len(pattern) > FANOUT:
             cut = np.arange(0, len(pattern), FANOUT)
@@ -95,14 +109,13 @@ class GrayIndex:
         levels.append((mask, pattern))
         self.levels = levels[::-1]
 
-    def forest(self, bits: int, more: np.ndarray | None = None, total: int = 0) -> np.ndarray:
+    def forest(self, bits: int, root: np.ndarray | None = None) -> np.ndarray:
         """For each code, in index order, the place of a code of its component (a root for all of one).
 
-        With ``more``, further words of each code in index order, a pair must also
-        differ in at most ``total`` bits over all words.
+        ``root``: what is known to be connected, as places in index order of the first code of each component.
         """
         n = len(self.codes)
-        root = np.arange(n)
+        root = np.arange(n) if root is None else root
         depth = len(self.levels) - 1
         spans = [FANOUT ** (depth - i) for i in range(depth + 1)]
         begin, step = 0, 8
@@ -114,20 +127,20 @@ class GrayIndex:
             q = np.repeat(np.arange(begin, stop), len(self.levels[0][1]))
             node = np.tile(np.arange(len(self.levels[0][1])), stop - begin)
             far = np.zeros(len(q), np.int64)
-            above = np.zeros(len(q), np.uint64)
+            above = np.zeros((len(q), self.codes.shape[1]), np.uint64)
             for i, (mask, pattern) in enumerate(self.levels):
-                own = mask[node] & ~above
-                far = far + np.bitwise_count((self.codes[q] ^ pattern[node]) & own)
-                keep = (far <= bits) & ((low[i][node] != root[q]) | (high[i][node] != root[q])) & ((node + 1) * spans[i] > q)
-                q, node, far, above = q[keep], node[keep], far[keep], mask[node[keep]]
+                # first what needs no bits: nodes before the query, and nodes of its own component
+                keep = ((low[i][node] != root[q]) | (high[i][node] != root[q])) & ((node + 1) * spans[i] > q)
+                q, node, far, above = q[keep], node[keep], far[keep], above[keep]
+                far = far + np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node] & ~above).sum(1, dtype=np.int64)
+                keep = far <= bits
+                q, node, far = q[keep], node[keep], far[keep]
                 if i < depth:
+                    above = mask[node]
                     width = np.minimum(FANOUT, len(self.levels[i + 1][1]) - node * FANOUT)
                     first = np.repeat(node * FANOUT, width)
-                    q, far, above = np.repeat(q, width), np.repeat(far, width), np.repeat(above, width)
+                    q, far, above = np.repeat(q, width), np.repeat(far, width), np.repeat(above, width, axis=0)
                     node = first + np.arange(len(first)) - np.repeat(np.cumsum(width) - width, width)
-            if len(q) and more is not None:
-                near = far + np.bitwise_count(more[q] ^ more[node]).sum(1, dtype=np.int64) <= total
-                q, node = q[near], node[near]
             if len(q):
                 root = merge(root, q, node)
             begin, step = stop, min(128, 2 * step)
@@ -169,8 +182,9 @@ def deal(used: np.ndarray, fp: np.ndarray, bits: int, blocks: int) -> pd.DataFra
     for u in np.unique(used):
         own = fp[used == u]
         for m in masks(int(u), bits, blocks):
+            name = np.uint64(m * 0x9E3779B97F4A7C15 % (1 << 64))
             m = np.uint64(m)
-            g = ((own & m) ^ (m * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            g = ((own & m) ^ name) * np.uint64(0xD6E8FEB86659FD93)
             out.append((np.full(len(own), m), g ^ (g >> np.uint64(32)), own))
     used, g, fp = (np.concatenate(x).view(np.int64) for x in zip(*out))
     return pd.DataFrame({"used": used, "g": g, "fp": fp})
@@ -183,11 +197,11 @@ def search(batches: Iterator[pd.DataFrame], bits: int, group: int) -> Iterator[p
 
     def ended() -> Iterator[pd.DataFrame]:
         if not passing and sum(map(len, held)) > 1:
-            index = GrayIndex(np.concatenate(held))
+            index = GrayIndex(np.concatenate(held)[:, None])
             root = index.forest(bits)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
-                yield pd.DataFrame({"src": index.codes[root[at]].view(np.int64), "dst": index.codes[at].view(np.int64), "used": 0})
+                yield pd.DataFrame({"src": index.codes[root[at], 0].view(np.int64), "dst": index.codes[at, 0].view(np.int64), "used": 0})
 
     for pdf in batches:
         used, g, fp = (pdf[c].to_numpy(np.int64) for c in ("used", "g", "fp"))
@@ -257,56 +271,50 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 # Similar texts: sets of distinct word shingles of Jaccard similarity SIMILARITY or more.
 
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: MinHash keys: their number and the least values in one. Two texts of similarity s share a key with probability
+#: Words of a text's fingerprint, and the bits in which fingerprints of similar texts differ at most. At 0.8 two differ in 15 % of
+#: their bits, with a deviation of 8 bits of 512.
+WORDS, SIMILAR_BITS = 8, 104
+#: Keys that deal fingerprints into groups: their number and the least hashes in one. Equal blocks of bits, as ``links`` uses,
+#: cannot: 16 equal bits are shared by 7 % of the pairs at 0.8. Two texts of similarity s share a key with probability
 #: 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8.
 BANDS, ROWS = 32, 6
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Texts, and shingles, of a part; a task compares the texts of two parts.
-PART, PART_SHINGLES = 1024, 1 << 20
-#: Words of a sketch, and bits in which sketches of similar texts mostly differ at most: an estimate that decides nothing here.
-PARTS, SIMILAR_BITS = 8, 82
-MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(PARTS)]
+MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(WORDS)]
+#: Fingerprints of a part, and shingles of a part; a task compares the members of two parts.
+PART, PART_SHINGLES = 4096, 1 << 20
+#: Groups of so few fingerprints are a single leaf of the index; the leaves of a batch are searched at once.
+LEAF = 32
 
 
-def sketch(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Words of 64 bits, as fingerprint() makes one, from the shingles' hashes and remixes of them."""
+def shingle_set(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """XXH64 values of the text's distinct word shingles, sorted; words and shingles are those of ``fingerprint``."""
     import xxhash
 
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return np.zeros(PARTS, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(tokens))
     starts, ends = starts[:len(tokens) - k + 1].tolist(), ends[k - 1:].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros((PARTS, 64), np.int64)
-    for i in range(0, len(starts), TURN):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i:i + TURN], ends[i:i + TURN])], "<u8")
-        for j in range(PARTS):
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.concatenate([np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i:i + TURN], ends[i:i + TURN])], np.uint64) for i in range(0, len(starts), TURN)]))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WORDS words of 64 bits: each bit is 1 if set in over half of a set's hashes, for the words after the first of remixed hashes."""
+    total = np.zeros((WORDS, 64), np.int64)
+    for i in range(0, len(own), TURN):
+        h = own[i:i + TURN]
+        for j in range(WORDS):
             x = h
             if j:
                 x = (h ^ (h >> np.uint64(31))) * MIX[j]
                 x = (x ^ (x >> np.uint64(29))) * MIX[0]
                 x ^= x >> np.uint64(32)
             total[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(starts), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
-
-
-def shingle_set(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """XXH64 values of the text's distinct word shingles, sorted; words and shingles are those of ``fingerprint``."""
-    import xxhash
-
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words, len(tokens))
-    starts, ends = starts[:len(tokens) - k + 1].tolist(), ends[k - 1:].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.concatenate([np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i:i + TURN], ends[i:i + TURN])], np.uint64) for i in range(0, len(starts), TURN)]))
+    return np.packbits(2 * total > len(own), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -323,18 +331,91 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return g.view(np.int64)
 
 
-def similar_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each set the place of a set of its component, where the pairs of left and right of SIMILARITY or more are linked.
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-    Every pair is compared unless its sizes rule it out or it is connected already.
-    """
+
+def leaves(cell: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
+    """Roots of fingerprints sorted by cell, small cells all: pairs of one cell within ``bits`` are linked."""
+    root, at, step = np.arange(len(cell)), np.arange(len(cell)), 1
+    while len(at := at[:np.searchsorted(at, len(cell) - step)]):
+        at = at[cell[at] == cell[at + step]]
+        near = at[np.bitwise_count(codes[at] ^ codes[at + step]).sum(1, dtype=np.int64) <= bits]
+        root = merge(root, near, near + step)
+        step += 1
+    return root
+
+
+def by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole cells (g, i, j) from rows sorted by cell, many at a time; a cell is never torn."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = pdf[["g", "i", "j"]].to_numpy(np.int64)
+        last = (last == last[-1]).all(1)
+        new = held and tuple(held[-1][["g", "i", "j"]].iloc[-1]) != tuple(pdf[["g", "i", "j"]].iloc[0])
+        if new:
+            yield pd.concat(held)
+            held = []
+        if not last.all():
+            cut = int(np.flatnonzero(~last)[-1]) + 1
+            yield pd.concat([*held, pdf.iloc[:cut]])
+            held, pdf = [], pdf.iloc[cut:]
+        held.append(pdf)
+    if held:
+        yield pd.concat(held)
+
+
+def cells_of(pdf: pd.DataFrame) -> np.ndarray:
+    """Number of each row's cell."""
+    ids = pdf[["g", "i", "j"]].to_numpy(np.int64)
+    return np.concatenate([[0], np.cumsum((np.diff(ids, axis=0) != 0).any(1))])
+
+
+def forest_links(node: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"src": node[root[at]], "dst": node[at]})
+
+
+def first_of(same: np.ndarray) -> np.ndarray:
+    """Roots that connect the marked places."""
+    root = np.arange(len(same))
+    if same.any():
+        root[same] = np.flatnonzero(same)[0]
+    return root
+
+
+def near_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest links of fingerprints within SIMILAR_BITS, cell by cell; a cell's members ``near`` its first are connected already."""
+    for pdf in by_cell(batches):
+        cell, node = cells_of(pdf), pdf["node"].to_numpy(np.int64)
+        codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(-1, WORDS)
+        near, size = pdf["near"].to_numpy(bool), np.bincount(cell)
+        small = size[cell] <= LEAF
+        if small.any():
+            yield forest_links(node[small], leaves(cell[small], codes[small], SIMILAR_BITS))
+        ends = np.cumsum(size)
+        for n in np.flatnonzero(size > LEAF).tolist():
+            own = slice(ends[n] - size[n], ends[n])
+            index = GrayIndex(codes[own])
+            yield forest_links(node[own][index.order], index.forest(SIMILAR_BITS, first_of(near[own][index.order])))
+
+
+def similar_forest(sets: list[np.ndarray], codes: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Roots where the pairs of SIMILARITY or more are linked; a pair is compared unless its sizes or fingerprints rule it out or it is connected."""
     size = np.array([len(x) for x in sets])
-    starts, root = np.cumsum(size) - size, np.arange(len(sets))
+    starts = np.cumsum(size) - size
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     have = np.zeros(len(values), bool)
-    for n, a in enumerate(left.tolist()):
-        rest = right[n + 1:] if left is right else right
-        rest = rest[(size[rest] >= SIMILARITY * size[a] - 1e-6) & (size[a] >= SIMILARITY * size[rest] - 1e-6)]
+    for a in range(len(sets) - 1):
+        rest = np.arange(a + 1, len(sets))
+        rest = rest[(root[rest] != root[a]) & (size[rest] >= SIMILARITY * size[a] - 1e-6) & (size[a] >= SIMILARITY * size[rest] - 1e-6)]
+        rest = rest[np.bitwise_count(codes[rest] ^ codes[a]).sum(1, dtype=np.int64) <= SIMILAR_BITS]
+        if not len(rest):
+            continue
         own, step = ids[starts[a]:starts[a] + size[a]], 8
         have[own] = True
         while len(rest := rest[root[rest] != root[a]]):
@@ -350,45 +431,49 @@ def similar_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return root
 
 
-def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forest links (src, dst) of each cell from rows sorted by cell."""
-    held: list[pd.DataFrame] = []
-    name = None
+def near_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest links of similar sets, cell by cell."""
+    for pdf in by_cell(batches):
+        cell, node = cells_of(pdf), pdf["node"].to_numpy(np.int64)
+        codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(-1, WORDS)
+        near, own = pdf["near"].to_numpy(bool), pdf["own"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in own[a:b]]
+                yield forest_links(node[a:b], similar_forest(sets, codes[a:b], first_of(near[a:b])))
 
-    def ended() -> Iterator[pd.DataFrame]:
-        node, part = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("node", "part"))
-        if len(node) < 2:
-            return
-        left = np.flatnonzero(part == name[1])
-        right = left if name[1] == name[2] else np.flatnonzero(part == name[2])
-        root = similar_forest([np.frombuffer(v, np.uint64) for x in held for v in x["own"]], left, right)
-        at = np.flatnonzero(root != np.arange(len(root)))
-        if len(at):
-            yield pd.DataFrame({"src": node[root[at]], "dst": node[at]})
 
-    for pdf in batches:
-        ids = pdf[["c", "i", "j"]].to_numpy(np.int64)
-        cuts = [0, *(np.flatnonzero((np.diff(ids, axis=0) != 0).any(1)) + 1).tolist(), len(ids)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if name != tuple(ids[a]):
-                if held:
-                    yield from ended()
-                held, name = [], tuple(ids[a])
-            held.append(pdf.iloc[a:b])
-    if held:
-        yield from ended()
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Rows (g, node, near, weight and more) dealt into cells (g, i, j), sorted by cell within partitions.
+
+    ``weight`` is the share of a part that a row takes up. A group of one part is one cell.
+    In a larger group, members ``near`` the leader are connected with it, so pairs are open only
+    where one side is not: part i of those meets part j of all. Every open pair meets in a cell, and
+    a group whose members are all near its leader has none.
+    """
+    sizes = rows.groupBy("g").agg(F.ceil(F.sum("weight")).cast("int").alias("parts"), F.ceil(F.sum(F.when(~F.col("near"), F.col("weight")).otherwise(0))).cast("int").alias("open"))
+    rows = rows.join(sizes, "g").where("open > 0")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows = rows.withColumn("own_i", place("open")).withColumn("own_j", place("parts"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    as_open = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own_j")), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("near"), as_any).otherwise(F.concat(as_any, as_open))))
+    return rows.select("*", "cell.i", "cell.j").drop("cell", "own_i", "own_j", "parts", "open", "weight").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = PART) -> DataFrame:
     """key, component_id (smallest key reachable): texts linked where their sets of five-word shingles have Jaccard similarity 0.8.
 
-    Texts that share a MinHash key, directly or through others, are a family; no group of
-    a key is searched, so none is too large. Within a family every pair is compared on
-    whole shingle sets. A family of over ``group`` texts or PART_SHINGLES shingles is cut
-    into parts and every two parts are a task. Equal sets are one from the start. Texts
-    without words are equal. Rows with a null key link with nothing and have a null component_id.
+    Texts that share a key of least hashes are a group. Each group's fingerprints are searched
+    by the Gray-order index for pairs within SIMILAR_BITS; what is linked so, directly or
+    through others, is a family. Within a family pairs are compared on whole shingle sets,
+    and only those of 0.8 or more are linked. In a group of over ``group`` texts, and in a
+    family of over ``group`` texts or PART_SHINGLES shingles, all members first meet the
+    leader, and the pairs that this leaves open meet in cells of two parts, each a task's
+    work; so no group is too large and none is cut short. Equal sets are one from the start.
+    Texts without words are equal. Rows with a null key link with nothing and have a null
+    component_id.
     """
     own_columns(key, ["component_id"])
     s = Scratch(df.sparkSession, "similar")
@@ -398,28 +483,58 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", gr
 
         sets = [shingle_set(t) for t in pdf["t"]]
         names = np.array([[(d := xxhash.xxh3_128_intdigest(x.tobytes())) >> 64, d & ((1 << 64) - 1)] for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"k": pdf["k"], "h0": names[:, 0], "h1": names[:, 1], "n": [len(x) for x in sets], "bands": [band_keys(x) for x in sets]})
+        return pd.DataFrame({"k": pdf["k"], "h0": names[:, 0], "h1": names[:, 1], "n": [len(x) for x in sets],
+                             "bands": [band_keys(x) for x in sets], "code": [wide_fingerprint(x).tobytes() for x in sets]})
 
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = s.table(map_rows(texts, "k long, h0 long, h1 long, n long, bands array<long>", run), "rows")
-    classes = s.table(rows.groupBy("h0", "h1").agg(F.min("k").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
-    met = classes.select("node", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    family = connected_components(met.join(shared, "band").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")))
-    family = s.table(family.withColumnRenamed("component", "c"), "families")
-    sizes = family.join(classes.groupBy("node").agg(F.count("*").alias("texts"), F.sum("n").alias("n")), "node").groupBy("c").agg(
-        F.ceil(F.greatest(F.sum("texts") / group, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    members = family.join(sizes, "c").select("node", "c", "parts")
+    rows = s.table(map_rows(texts, "k long, h0 long, h1 long, n long, bands array<long>, code binary", run), "rows")
+    classes = s.table(rows.groupBy("h0", "h1").agg(
+        F.min("k").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), "classes")
+    code = classes.select("node", "code")
+
+    # groups: keys that two classes or more share, each with the code of its least node, the leader
+    met = classes.select("node", F.explode("bands").alias("g"))
+    shared = met.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1")
+    member = s.table(met.join(shared, "g").join(code, "node"), "members")
+    large = member.where(F.col("many") > group)
+    lead = large.where("node = leader").select("g", F.col("code").alias("lead"))
+
+    def to_leader(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(-1, WORDS) for c in ("code", "lead"))
+        return pdf[["g", "node", "leader", "code"]].assign(near=np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= SIMILAR_BITS)
+
+    led = s.table(map_rows(large.join(lead, "g").select("g", "node", "leader", "code", "lead"), "g long, node long, leader long, code binary, near boolean", to_leader), "led")
+    every = member.where(F.col("many") <= group).select("g", "node", "code", F.lit(False).alias("near"), F.lit(1e-9).alias("weight")).union(
+        led.select("g", "node", "code", "near", F.lit(1 / group)))
+    links = s.table(in_cells(every).mapInPandas(near_codes, "src long, dst long"), "near")
+    links = links.union(led.where("near and node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")))
+
+    # families: whole sets of their members
+    family = s.table(connected_components(links).select("node", F.col("component").alias("g")), "families")
+    weights = family.join(classes.select("node", "n", "code"), "node").withColumn("weight", F.greatest(F.lit(1 / group), F.col("n") / PART_SHINGLES))
+    heavy = weights.groupBy("g").agg((F.sum("weight") > 1).alias("heavy"))
+    weights = weights.join(heavy, "g").select("node", "g", "code", "weight", "heavy")
     # merged at every size: the families grow with the documents
-    whole = texts.join(members.hint("merge"), F.col("k") == F.col("node")).select("node", "c", "parts", "t").distinct()
+    whole = texts.join(weights.hint("merge"), F.col("k") == F.col("node")).dropDuplicates(["node"]).select("node", "g", "code", "weight", "heavy", "t")
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["node", "c", "parts"]].assign(own=[shingle_set(t).tobytes() for t in pdf["t"]])
-
-    parts = map_rows(whole, "node long, c long, parts int, own binary", again).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    cells = parts.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))))
-    cells = cells.select("c", "cell.i", "cell.j", "part", "node", "own").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    linked = connected_components(s.table(cells.mapInPandas(compared, "src long, dst long"), "links"))
+        return pdf[["node", "g", "code", "weight", "heavy"]].assign(own=[shingle_set(t).tobytes() for t in pdf["t"]])
+
+    sets = s.table(map_rows(whole, "node long, g long, code binary, weight double, heavy boolean, own binary", again), "sets")
+    large = sets.where("heavy")
+    lead = large.where("node = g").select("g", F.col("own").alias("lead"))
+
+    def by_set(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= SIMILARITY for a, b in zip(pdf["own"], pdf["lead"])]
+        return pdf[["g", "node"]].assign(near=near)
+
+    # the leader's set is on every row only while a task reads it
+    led = s.table(map_rows(large.join(lead, "g").select("g", "node", "own", "lead"), "g long, node long, near boolean", by_set), "led_sets")
+    every = sets.where("not heavy").select("g", "node", "code", "own", F.lit(False).alias("near"), F.lit(1e-9).alias("weight")).union(
+        large.join(led, ["g", "node"]).select("g", "node", "code", "own", "near", "weight"))
+    found = s.table(in_cells(every).mapInPandas(near_sets, "src long, dst long"), "links")
+    found = found.union(led.where("near and node <> g").select(F.col("g").alias("src"), F.col("node").alias("dst")))
+    linked = connected_components(found)
     named = classes.select("h0", "h1", "node").join(linked, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("component_id"))
     return rows.select("k", "h0", "h1").join(named, ["h0", "h1"]).select(F.col("k").alias(key), "component_id").union(
         df.where(F.col(key).isNull()).select(F.col(key).cast("long"), F.lit(None).cast("long")))

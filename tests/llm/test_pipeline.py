@@ -2,13 +2,17 @@
 
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline
-from riskloom.llm import language, packing, simhash, toxicity
+from riskloom.llm import language, packing, toxicity
 from riskloom.scratch import Scratch
 
 
+def shingles(text):
+    """Distinct five-word shingles; a shorter text is one."""
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_stages(spark, sf):
     docs, s = spark.read.parquet(f"{sf}/documents.parquet"), Scratch(spark, "stages")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "best_fit_packing"]
@@ -25,24 +29,20 @@ def test_stages(spark, sf):
     assert set(texts["language_id"]) == {k for k, t in texts["toxicity"].items() if model.score(t) < 0.7}
 
     rows = inputs["language_id"]
-    known = language.Model(language.fit(rows, ~language.held_out("doc_id", 5, 0)))
-    kept = {k for k, t in texts["language_id"].items() if (p := known.predict(t))[0] != "und" and p[2] >= language.MARGIN}
+    learned = language.fit(rows, ~language.held_out("doc_id", 5, 0))
+    known = language.Model(learned)
+    kept = {k for k, t in texts["language_id"].items() if (p := known.predict(t))[0] != "und" and p[2] > learned.margin}
     assert set(texts["simhash_near_dedup"]) == kept and len(kept) > 0.95 * len(texts["language_id"])
 
     keys = sorted(texts["simhash_near_dedup"])
-    f = np.stack([simhash.sketch(texts["simhash_near_dedup"][k]) for k in keys])
+    sets = [shingles(texts["simhash_near_dedup"][k]) for k in keys]
     root = list(range(len(keys)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[:i]).sum(1) <= simhash.SIMILAR_BITS):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    assert set(texts["best_fit_packing"]) == {keys[i] for i in range(len(keys)) if find(i) == i}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if root[i] != root[j] and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((root[i], root[j]))
+                root = [low if k == high else k for k in root]
+    assert set(texts["best_fit_packing"]) == {keys[i] for i in range(len(keys)) if root[i] == i}
 
     total = Counter()
     for r in now.collect():

@@ -64,3 +64,46 @@ def test_recall_at_the_similarity_wanted():
         x = r.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
         met += bool((simhash.band_keys(np.sort(x[:n])) == simhash.band_keys(np.sort(x[n - both:]))).any())
     assert met >= 1996
+
+
+def test_recall_of_wide_fingerprints():
+    """Of pairs at 0.8, of small sets and large ones, 99 in 100 stay within the bits that the index searches."""
+    r = np.random.default_rng(4)
+    for low, high in ((5, 12), (12, 40), (40, 150), (150, 1200)):
+        near, many = 0, 1500
+        for _ in range(many):
+            n = int(r.integers(low, high))
+            both = -(-8 * n // 9)
+            x = r.integers(0, 1 << 63, 2 * n - both).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            a, b = (simhash.wide_fingerprint(np.sort(v)) for v in (x[:n], x[n - both:]))
+            near += int(np.bitwise_count(a ^ b).sum()) <= simhash.SIMILAR_BITS
+        print(low, high, near / many)
+        assert near >= 0.99 * many
+
+
+def test_index_of_several_words_finds_every_component():
+    r, g = random.Random(6), np.random.default_rng(6)
+    base = g.integers(0, 1 << 63, (5, 3)).astype(np.uint64)
+    codes = []
+    for _ in range(200):
+        c = base[r.randrange(5)].copy()
+        for _ in range(r.randrange(9)):
+            c[r.randrange(3)] ^= np.uint64(1 << r.randrange(64))
+        codes.append(c)
+    codes = np.unique(np.array(codes), axis=0)
+    index = simhash.GrayIndex(codes)
+    want = np.arange(len(codes))
+    far = np.bitwise_count(index.codes[:, None] ^ index.codes[None]).sum(2)
+    want = simhash.merge(want, *np.nonzero(far <= 6))
+    assert (index.forest(6) == want).all() and (simhash.leaves(np.zeros(len(codes)), index.codes, 6) == want).all()
+    assert (index.forest(6, simhash.first_of(np.arange(len(codes)) % 2 == 0))[::2] == 0).all()
+
+
+def test_awkward_texts(spark):
+    rows = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "one", 0), (4, "one", 1), (None, "one", 2), (5, "x" * 100_000, 3), (6, "w " * 60_000, 4), (7, "w " * 30_000, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, g int")
+    got = sorted((x.doc_id or 0, x.component_id or 0) for x in simhash.similar_documents(df).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (6, 6), (7, 6)]
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 4, 5, 6]
