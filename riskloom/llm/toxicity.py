@@ -45,12 +45,13 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+€£])[\s.\-_*]+){3,}(?:[^\W_]|[@$!|+€£])(?=[\s.,;:!?]|\Z)")
 GAP = re.compile(r"[\s.\-_*]+")
 STRETCH = re.compile(r"([^\W\d_])\1")
+RUN = re.compile(r"(.)\1+")
 EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$!|+(€£¡]+$|(?:(?<=\w)[!|+(,.]+$)|([@$!|+(€£¡])\1+$")
 INNER = re.compile(r"[^\W\d_]")
 #: Letters of a beginning that is a feature.
 LENGTHS = range(3, 9)
-#: Tokens up to this length are remembered, and words or trigrams that a task counts before it passes them on.
-KEEP, TURN = 64, 300_000
+#: Tokens up to this length are remembered, so many words and tokens of a task, and so many trigrams before it passes them on.
+KEEP, CACHE, TURN = 64, 300_000, 300_000
 
 
 def marks(words: set[str], size: int) -> set[str]:
@@ -76,7 +77,12 @@ class Decoder:
             after[k[1]] += n
         self.three = {k: -math.log(n / before[k[:2]]) for k, n in counts.items()}
         self.two = {k: COST_BACK - math.log(n / after[k[0]]) for k, n in pairs.items()}
-        self.short = lru_cache(100_000)(self._decode)
+        self.short = lru_cache(20_000)(self._decode)
+        # tokens and words that decode to nothing else, and what others decode to
+        self.plain: set[str] = set()
+        self.single: set[str] = set()
+        self.odd: dict[str, tuple[str, ...]] = {}
+        self.double: dict[str, str] = {}
 
     def cost(self, gram: str) -> float:
         found = self.three.get(gram)
@@ -116,36 +122,91 @@ class Decoder:
             out.append(x)
         return "".join(reversed(out))
 
-    @staticmethod
-    def runs(text: str) -> list[str]:
-        """Runs of spaced signs of a lowered text."""
-        return [m[0] for m in SPACED.finditer(text)]
+    def read(self, text: str, wanted=None) -> tuple[set[str], set[str], list[str]]:
+        """Of a lowered text its words, what obfuscated tokens decode to, and runs of spaced signs.
+
+        ``wanted`` says of a word without its repetitions whether its decoding can matter;
+        decoding never changes that form. Tokens and words seen before are not looked at again.
+        """
+        words, tokens, found = set(WORD.findall(text)), set(text.split()), set()
+        if len(self.plain) > CACHE:
+            self.plain.clear()
+            self.odd.clear()
+        for token in tokens.difference(self.plain):
+            known = self.odd.get(token)
+            if known is None:
+                known = ()
+                core = token.lstrip(".,;:?\"'").rstrip(".,;:!?\"'*#%&")
+                if not core.isalpha():
+                    core = EDGE.sub("", core)
+                    if core and not core.isalpha() and INNER.search(core):
+                        known = tuple(WORD.findall(self.decode(core)))
+                if known and len(token) <= KEEP:
+                    self.odd[token] = known
+                elif not known and len(token) <= KEEP:
+                    self.plain.add(token)
+            found.update(known)
+        if len(self.single) > CACHE:
+            self.single.clear()
+            self.double.clear()
+        for w in words.difference(self.single):
+            known = self.double.get(w)
+            if known is None:
+                if not STRETCH.search(w) or wanted is not None and not wanted(RUN.sub(r"\1", w)):
+                    if len(w) <= KEEP:
+                        self.single.add(w)
+                    continue
+                known = self.decode(w)
+                if len(w) <= KEEP:
+                    self.double[w] = known
+            found.add(known)
+        runs = [m[0] for m in SPACED.finditer(text)]
+        for run in runs:
+            found.update(self.decode(run).split())
+        return words, found, runs
 
     def restored(self, text: str) -> set[str]:
         """The words of a text, with what obfuscated tokens decode to."""
-        text = text.lower()
-        words, found = set(WORD.findall(text)), set()
-        for run in self.runs(text):
-            found.update(self.decode(run).split())
-        for token in set(text.split()):
-            if token.isalpha():
-                continue
-            token = EDGE.sub("", token)
-            if token and not token.isalpha() and INNER.search(token):
-                found.update(WORD.findall(self.decode(token)))
-        if STRETCH.search(text):
-            found.update(self.decode(w) for w in words if STRETCH.search(w))
+        words, found, _ = self.read(text.lower())
         return words | found
 
 
+class Features:
+    """Which of some features texts have."""
+
+    def __init__(self, known):
+        self.known = set(known)
+        self.sizes = sorted({len(k) for k in self.known if not k.endswith("*") and len(k) > 3})
+        self.stems = {n: {x for k in self.known if k.endswith("*") and len(x := k.rstrip("*")) == n} for n in LENGTHS}
+        self.stems = {n: x for n, x in self.stems.items() if x}
+        self.far: set[str] = set()
+        self.near: set[str] = set()
+        # the same without repeated letters
+        self.single = {RUN.sub(r"\1", k) for k in self.known if not k.endswith("*")}
+        self.begins = {RUN.sub(r"\1", x) for stems in self.stems.values() for x in stems}
+        self.spans = sorted({len(x) for x in self.begins})
+
+    def matters(self, word: str) -> bool:
+        """Whether a word without its repetitions may be, or begin with, a feature."""
+        return word in self.single or any(word[:n] in self.begins for n in self.spans)
+
+    def of(self, words: set[str]) -> set[str]:
+        if len(self.far) > CACHE:
+            self.far.clear()
+        for w in words.difference(self.far, self.near):
+            if w in self.known or any(w[:n] in x for n, x in self.stems.items()):
+                self.near.add(w)
+            elif len(w) <= KEEP:
+                self.far.add(w)
+        near = words & self.near
+        return self.known & marks(near, len(words)) if near else set()
+
+
 class Model:
     """Restores a text's words and scores them."""
 
     def __init__(self, counts: dict[str, int], weights: dict[str, float], bias: float):
-        self.decoder, self.weights, self.bias = Decoder(counts), weights, bias
-        self.known = set(weights)
-        self.sizes = sorted({len(k) for k in weights if not k.endswith("*") and len(k) > 3})
-        self.stems = {n: {x for k in weights if k.endswith("*") and len(x := k.rstrip("*")) == n} for n in LENGTHS}
+        self.decoder, self.features, self.weights, self.bias = Decoder(counts), Features(weights), weights, bias
 
     def restored(self, text: str) -> set[str]:
         return self.decoder.restored(text)
@@ -153,43 +214,66 @@ class Model:
     def score(self, text: str | None) -> float:
         total = self.bias
         if text:
-            words = self.restored(text)
-            hits = self.known & words
-            for run in self.decoder.runs(text.lower()):
+            words, found, runs = self.decoder.read(text.lower(), self.features.matters)
+            hits = self.features.of(words | found if found else words)
+            for run in runs:
                 # nothing tells where words begin in a run: known words count anywhere in it
                 run = self.decoder.decode(GAP.sub("", run))
-                hits |= self.known & {run[i:i + n] for n in self.sizes for i in range(len(run) - n + 1)}
-            near = {w for n, stems in self.stems.items() if stems for w in words if w[:n] in stems}
-            if near:
-                hits |= self.known & marks(near, len(words))
+                hits |= self.features.known & {run[i:i + n] for n in self.features.sizes for i in range(len(run) - n + 1)}
             total += sum(self.weights[h] for h in sorted(hits))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Of every code point whether it is a letter of words."""
+    return np.fromiter((WORD.match(chr(i)) is not None for i in range(0x110000)), bool, 0x110000)
+
+
+def grams_of(texts: list[str]) -> dict[str, int]:
+    """How often three characters follow one another in the words of texts; ^^ begins and $ ends a word."""
+    codes = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.concatenate([[0, 0], np.where(letters()[codes], codes, 0), [0]]).astype(np.int64)
+    alphabet = np.flatnonzero(np.bincount(codes))  # 0 first: outside of words, or before them
+    if len(alphabet) < 2:
+        return {}
+    place = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    c, n = place[codes], len(alphabet) + 1
+    at = np.flatnonzero(c[2:]) + 2
+    one, two = c[at - 1], c[at - 2]
+    keys = (np.where(one == 0, 0, two) * n + one) * n + c[at]
+    last = at[c[at + 1] == 0]
+    keys = np.concatenate([keys, (c[last - 1] * n + c[last]) * n + n - 1])
+    if n <= 256:
+        counts = np.bincount(keys, minlength=1)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(keys, return_counts=True)
+    names = ["^", *map(chr, alphabet[1:].tolist()), "$"]
+    return {names[k // n // n] + names[k // n % n] + names[k % n]: v for k, v in zip(found.tolist(), counts.tolist())}
+
+
 def trigrams(df: DataFrame, text: str) -> dict[str, int]:
     """How often three characters follow one another in the words of all texts, for those of SHARE or more; ^^ begins and $ ends a word."""
 
     def count(batches):
-        words: Counter[str] = Counter()
         grams: Counter[str] = Counter()
-
-        def turn() -> None:
-            for w, n in words.items():
-                w = f"^^{w}$"
-                for i in range(len(w) - 2):
-                    grams[w[i:i + 3]] += n
-            words.clear()
-
         for pdf in batches:
+            texts, held, size = [], [], 0
             for t in pdf["t"]:
                 if t:
-                    words.update(WORD.findall(t.lower()))
-                    if len(words) > TURN:
-                        turn()
+                    held.append(t)
+                    size += len(t)
+                    if size > 1 << 20:
+                        texts.append(held)
+                        held, size = [], 0
+            for own in [*texts, held]:
+                grams.update(grams_of(own))
             if len(grams) > TURN:
                 yield pd.DataFrame(list(grams.items()), columns=["gram", "n"])
                 grams.clear()
-        turn()
         yield pd.DataFrame(list(grams.items()), columns=["gram", "n"])
 
     bounded_batches(df)
@@ -262,24 +346,26 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     shared = spark.sparkContext.broadcast(grams)
     made: list[Decoder] = []
 
-    def features(texts) -> list[set[str]]:
+    def words(pdf: pd.DataFrame) -> pd.DataFrame:
         if not made:
             made.append(Decoder(shared.value))
-        return [marks(words, len(words)) for words in map(made[0].restored, texts)]
+        return pd.DataFrame({"y": pdf["y"], "words": [sorted(made[0].restored(t)) for t in pdf["t"]]})
+
+    read = s.table(map_rows(texts, "y int, words array<string>", words), "words")
 
     def in_toxic(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = Counter(f for x in features(pdf["t"]) for f in x)
+        found = Counter(f for x in pdf["words"] for f in marks(set(x), len(x)))
         return pd.DataFrame(list(found.items()), columns=["f", "n"])
 
-    offered = map_rows(texts.where("y = 1").select("t"), "f string, n long", in_toxic).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    offered = map_rows(read.where("y = 1").select("words"), "f string, n long", in_toxic).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
     offered = {r["f"]: r["n"] for r in offered.orderBy(F.desc("n"), F.length("f"), "f").limit(CANDIDATES).collect()}
     candidates = spark.sparkContext.broadcast(set(offered))
 
     def in_clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = Counter(f for x in features(pdf["t"]) for f in candidates.value & x)
+        found = Counter(f for x in pdf["words"] for f in candidates.value & marks(set(x), len(x)))
         return pd.DataFrame(list(found.items()), columns=["f", "n"])
 
-    clean = {r["f"]: r["n"] for r in map_rows(texts.where("y = 0").select("t"), "f string, n long", in_clean).groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    clean = {r["f"]: r["n"] for r in map_rows(read.where("y = 0").select("words"), "f string, n long", in_clean).groupBy("f").agg(F.sum("n").alias("n")).collect()}
     base = sizes[1] / sum(sizes.values())
 
     def evidence(f: str) -> float:
@@ -294,10 +380,11 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     place = {f: i for i, f in enumerate(kept)}
 
     def have(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"y": pdf["y"], "f": [sorted(place[f] for f in place.keys() & x) for x in features(pdf["t"])]})
+        features = Features(place)
+        return pd.DataFrame({"y": pdf["y"], "f": [sorted(place[f] for f in features.of(set(x))) for x in pdf["words"]]})
 
     # at most ``sample`` lists of at most 2 x FEATURES places
-    found = map_rows(texts, "y int, f array<int>", have).toArrow()
+    found = map_rows(read, "y int, f array<int>", have).toArrow()
     rows, holders = found.column("f").to_pylist(), [[] for _ in kept]
     for n, x in enumerate(rows):
         for i in x:
