@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, html_text, language, media, packing, pieces, simhash, token_shards, toxicity, url_filter
+from . import embedding, html_text, language, media, packing, pieces, pipeline, simhash, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_simhash_near_dedup, op2_token_shards, op3_language_id, op4_embedding_near_dedup, op5_media_columns,
              op6_best_fit_packing, op7_sentencepiece, op8_html_text, op9_toxicity, op10_url_filter]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
