@@ -11,9 +11,11 @@ state of that fold is one long, a bit for each cut. Where a merge opens the way
 an edge that has gone by, the segment is folded again outside, exactly; so are segments
 of more than LONGEST characters.
 
-Documents are never shuffled while the dictionary of distinct segments stays within
-its bound; beyond it, segments carry the numbers of the document groups that hold
-them and each group gets its own part of the dictionary.
+Documents are never shuffled. A first pass notes the distinct segments of each of its
+tasks; every distinct segment is folded once; a join hands each task's segments back,
+with their ids, in a file of its own; and the second pass, task by task over the same
+documents, reads that file alone. So a task holds the segments of its own documents,
+whatever the corpus, and neither the driver nor a broadcast holds any.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import Scratch
@@ -33,10 +37,8 @@ from .common import bounded_batches, own_columns
 SPACE = "▁"
 #: Longer segments are folded outside the relational part, by the same rule.
 LONGEST = 48
-#: Characters of text in a document group, about.
-GROUP_CHARS = 24_000_000
-#: Distinct segments up to which their dictionary is broadcast, and words that a task keeps.
-DICTIONARY, CACHE = 4_000_000, 500_000
+#: Words that a task keeps with their ids, and segments that it has noted.
+CACHE = 1_000_000
 #: Segments whose lattices one task folds, about.
 TASK = 25_000
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
@@ -112,9 +114,20 @@ class Coder:
         self.table, self.known, self.byte0 = table, table.normal(), table.bytes_at()
         self.joined = {p[i:i + 2] for p in self.known for i in range(len(p) - 1)}
         self.longest = max(map(len, self.known))
+        self.byte_ids = {i for i, k in enumerate(table.kinds) if k == BYTE}
         self.cuts: dict[str, list[str]] = {}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
+    def words(self, text: str) -> list[str]:
+        """A text's words, each with the spaces before it, without the first one where every word has just one."""
+        if self.table.prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+            return text.split(" ")
+        return self.word(self.surface(text))
+
+    def spelled(self, word: str) -> str:
+        """A word of words() with its spaces."""
+        return SPACE + word if self.table.prefix and word[:1] != SPACE else word
+
     def surface(self, text: str) -> str:
         return (SPACE if self.table.prefix and text else "") + text.replace(" ", SPACE)
 
@@ -182,10 +195,10 @@ class Coder:
 
     def surface_of(self, ids: bytes) -> str:
         """A word from its ids, as it stood among the segments."""
-        ids = np.frombuffer(ids, "<i4").tolist()
-        if self.byte0 is None or not any(self.table.kinds[i] == BYTE for i in ids):
-            return "".join([self.table.pieces[i] for i in ids])
-        return b"".join([bytes([i - self.byte0]) if self.table.kinds[i] == BYTE else self.table.pieces[i].encode() for i in ids]).decode("utf-8", "replace")
+        at = struct.unpack(f"<{len(ids) // 4}i", ids)
+        if self.byte0 is None or not self.byte_ids.intersection(at):
+            return "".join([self.table.pieces[i] for i in at])
+        return b"".join([bytes([i - self.byte0]) if self.table.kinds[i] == BYTE else self.table.pieces[i].encode() for i in at]).decode("utf-8", "replace")
 
     def decode(self, ids) -> str:
         """Text of ids: pieces and runs of bytes, spaces back, without the added prefix."""
@@ -260,20 +273,39 @@ def ids_along(table: Table, seg: Column, cuts: Column, ids: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), piece))
 
 
-def paths(table: Table, lattice: DataFrame, *keep: str) -> DataFrame:
-    """seg, ids (null where the fold must be done again) and the kept columns, from seg and the edges of its lattice: structs of span, id and score."""
-    maps = lattice.select(*keep, "seg", "edges", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
+def paths(table: Table, lattice: DataFrame) -> DataFrame:
+    """seg and ids (null where the fold must be done again), from seg and the edges of its lattice: structs of span, id and score."""
+    maps = lattice.select("seg", "edges", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
     if table.unigram:
         scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"])))
-        cuts = maps.withColumn("scores", scores).select(*keep, "seg", "found", viterbi(table, F.length("seg"), F.col("scores")).alias("cuts"))
-        return cuts.select(*keep, "seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
+        cuts = maps.withColumn("scores", scores).select("seg", "found", viterbi(table, F.length("seg"), F.col("scores")).alias("cuts"))
+        return cuts.select("seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
     one = F.lit(1).cast("long")
     bit = lambda n: F.call_function("shiftleft", one, n)
     ranked = F.transform(F.filter("edges", lambda e: e["span"] % 64 - F.floor(e["span"] / 64) > 1), lambda e: let(F.floor(e["span"] / 64).cast("int"), lambda a: F.named_struct(
         F.lit("rank"), -e["score"], F.lit("span"), e["span"], F.lit("ends"), bit(a).bitwiseOR(bit(e["span"] % 64)), F.lit("inner"), bit(e["span"] % 64) - bit(a + 1))))
     state = maps.withColumn("ranked", F.array_sort(ranked)).withColumn("state", merged(F.length("seg"), F.col("ranked")))
-    cuts = state.select(*keep, "seg", "found", "state", F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: F.col("state").bitwiseAND(bit(i)) != 0).alias("cuts"))
-    return cuts.select(*keep, "seg", F.when(F.col("state") >= 0, ids_along(table, F.col("seg"), F.col("cuts"), F.col("found"))).alias("ids"))
+    cuts = state.select("seg", "found", "state", F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: F.col("state").bitwiseAND(bit(i)) != 0).alias("cuts"))
+    return cuts.select("seg", F.when(F.col("state") >= 0, ids_along(table, F.col("seg"), F.col("cuts"), F.col("found"))).alias("ids"))
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Whether the rows come from files, filtered and projected at most, so that two passes have the same tasks."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x.strip(" +-:!") for x in plan.strip().split("\n")]
+    return bool(lines) and lines[-1].startswith("Relation") and all(x.startswith(("Project", "Filter", "Relation")) for x in lines)
+
+
+def folded(segs: DataFrame, table: Table, longest: int) -> DataFrame:
+    """seg and ids (null where the fold must be done again) of distinct segments: their substrings joined to the pieces, grouped and folded."""
+    spark = segs.sparkSession
+    pieces = spark.createDataFrame(pd.DataFrame([(p, i, x) for p, (i, x) in table.normal().items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+    begins = segs.select("seg", F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a"))
+    edges = begins.select("seg", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n")).withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
+    # the piece table's size is fixed by the model file
+    found = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
+    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))
+    return paths(table, found.groupBy("seg").agg(F.collect_list(edge).alias("edges")))
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -281,113 +313,95 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
 
     Null and empty texts have no ids. Repeated rows give equal rows; texts of any
     length are encoded whole; other columns are not read. round_trip tells that the
-    ids decode to the text again.
+    ids decode to the text again. Should the second pass be dealt out otherwise than the
+    first (executors may have come or gone between them), a segment that a task lacks is
+    folded by the task itself, to the same ids.
     """
-    own_columns(key, ["n_tokens", "ids", "ids_crc32", "round_trip", "g"])
+    own_columns(key, ["n_tokens", "ids", "ids_crc32", "round_trip"])
     bounded_batches(df)
     spark, table = df.sparkSession, Table.read(model)
     coder = Coder(table)
-    longest = min(coder.longest, LONGEST)
     s = Scratch(spark, "pieces")
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    names = ["n_tokens", "ids_crc32", "round_trip"] if digest else ["n_tokens", "ids"]
+    docs = docs if plain_scan(docs) else s.table(docs, "docs")
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
 
-    def rows(docs: pd.DataFrame, encoded) -> pd.DataFrame:
-        out = []
-        for ids, exact in encoded([t or "" for t in docs["t"]]):
-            out.append((len(ids), zlib.crc32(ids.tobytes()), exact) if digest else (len(ids), ids))
-        out = pd.DataFrame(out, columns=names)
-        out.insert(0, key, docs["k"].to_numpy())
-        return out
-
-    def cut(batches):
-        seen: set[str] = set()
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        words: set[str] = set()
+        segs: set[str] = set()
         for pdf in batches:
-            words = set().union(*[coder.word(coder.surface(t)) for t in pdf["t"] if t])
-            new = {x for w in words for x in coder.segments(w) if len(x) <= LONGEST}.difference(seen)
-            if len(seen) < CACHE:
-                seen |= new
-            yield pd.DataFrame({"seg": sorted(new)})
-
-    pieces = spark.createDataFrame(pd.DataFrame([(p, i, x) for p, (i, x) in coder.known.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
-
-    def folded(segs: DataFrame, *keep: str) -> DataFrame:
-        begins = segs.select("seg", *keep, F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a"))
-        edges = begins.select("seg", *keep, "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n")).withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
-        # the piece table's size is fixed by the model file
-        found = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-        edge = F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))
-        return paths(table, found.groupBy("seg").agg(*[F.first(c).alias(c) for c in keep], F.collect_list(edge).alias("edges")), *keep)
-
-    segs = s.table(docs.select("t").mapInPandas(cut, "seg string").distinct(), "segs")
-    distinct = segs.count()
-    if distinct <= DICTIONARY:
-        # dealt out once by segment: exploding, joining and grouping then need no further exchange
-        segs = segs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // TASK)), "seg")
-        # sorted hashes with their ids: about 24 bytes a segment, at most DICTIONARY of them
+            new = set().union(*[coder.words(t) for t in pdf["t"] if t]).difference(words)
+            found = {x for w in new for x in coder.segments(coder.spelled(w)) if len(x) <= LONGEST}.difference(segs)
+            if len(words) < CACHE:
+                words |= new
+            if len(segs) < CACHE:
+                segs |= found
+            yield pd.DataFrame({"p": task, "seg": list(found)})
+
+    met = s.table(docs.select("t").mapInPandas(cut, "p int, seg string"), "met")
+    segs = s.table(met.select("seg").distinct(), "segs")
+    # dealt out once by segment: exploding, joining and grouping then need no further exchange
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-segs.count() // TASK))
+    # a task groups by hashing, without sorting: it has about TASK groups
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(4 * TASK))
+    try:
         # written before anything is asked of ``ids``: a filter would be pushed below the fold and repeat it
-        made = s.table(folded(segs).select(F.xxhash64("seg").alias("h"), "ids"), "dictionary").where("ids is not null").toArrow()
-        hashes, lists = made.column("h").to_numpy(), made.column("ids").combine_chunks()
-        order = np.argsort(hashes)
-        hashes, begins, sizes = hashes[order], lists.offsets.to_numpy()[:-1][order], np.diff(lists.offsets.to_numpy())[order]
-        if (hashes[1:] == hashes[:-1]).any():
-            raise RuntimeError("two segments share a hash")
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        flat = lists.values.to_numpy(zero_copy_only=False)[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])].astype("<i4")
-        shared = spark.sparkContext.broadcast((hashes, ends, flat))
-        del made, lists
-
-        def put(batches):
-            import xxhash
-
-            hashes, ends, flat = shared.value
-            kept: dict[str, bytes] = {}
-            wrong: set[str] = set()  # words that their ids do not decode to
-
-            def encoded(texts: list[str]):
-                cut = [coder.word(coder.surface(t)) for t in texts]
-                new = list(set().union(*cut).difference(kept))
-                known = kept if len(kept) + len(new) <= CACHE else dict(kept)
-                parts = [coder.segments(w) for w in new]
-                wanted = list({x for p in parts for x in p if len(x) <= LONGEST})
-                h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in wanted], np.uint64).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                found = {x: flat[ends[i]:ends[i + 1]].tobytes() for x, i, ok in zip(wanted, at.tolist(), hit.tolist()) if ok}
-                for w, p in zip(new, parts):
-                    known[w] = b"".join([found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for x in p])
-                    if coder.surface_of(known[w]) != w:
-                        wrong.add(w)
-                return [(np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4"), not wrong or wrong.isdisjoint(c)) for c in cut]
-
-            for pdf in batches:
-                if len(pdf):
-                    yield rows(pdf, encoded)
-
-        return docs.mapInPandas(put, schema)
-
-    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
-    grouped = docs.withColumn("g", F.pmod(F.xxhash64("k", F.length("t")), F.lit(many)).cast("int")).repartition(many, "g")
-
-    def cut_by_group(batches):
+        made = s.table(folded(segs.repartition(many, "seg"), table, min(coder.longest, LONGEST)), "dictionary")
+    finally:
+        spark.conf.set(limit, before)
+    path = s.path("tasks")
+    met.join(made.where("ids is not null"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p").write.mode("overwrite").partitionBy("p").parquet(path)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, bytes] | None = None
+        kept: dict[str, bytes] = {}
+        wrong: set[str] = set()  # words that their ids do not decode to
         for pdf in batches:
-            for g, own in pdf.groupby("g")["t"]:
-                words = set().union(*[coder.word(coder.surface(t)) for t in own if t])
-                yield pd.DataFrame({"g": int(g), "seg": sorted({x for w in words for x in coder.segments(w) if len(x) <= LONGEST})})
-
-    own = grouped.select("t", "g").mapInPandas(cut_by_group, "g int, seg string").groupBy("seg").agg(F.collect_set("g").alias("gs"))
-    coded = folded(own, "gs").select(F.explode("gs").alias("g"), "seg", "ids")
-
-    def put_group(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = {x: np.asarray(i, "<i4").tobytes() for x, i in zip(own["seg"], own["ids"]) if i is not None}
-        coded = [np.frombuffer(b"".join(
-            found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for w in coder.word(coder.surface(t or "")) for x in coder.segments(w)), "<i4") for t in docs["t"]]
-        return rows(docs, lambda texts: [(ids, coder.decode(ids.tolist()) == t) for ids, t in zip(coded, texts)])
-
-    return grouped.groupBy("g").cogroup(coded.groupBy("g")).applyInPandas(put_group, schema)
+            if not len(pdf):
+                continue
+            if found is None:
+                found = task_segments(path, TaskContext.get().partitionId())
+            cut = [coder.words(t) if t else () for t in pdf["t"]]
+            new = set().union(*cut).difference(kept)
+            if len(kept) + len(new) > CACHE:
+                kept.clear()
+                new = set().union(*cut)
+            for w in new:
+                word = coder.spelled(w)
+                kept[w] = ids = b"".join([found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for x in coder.segments(word)])
+                if coder.surface_of(ids) != word:
+                    wrong.add(w)
+            rows = [b"".join([kept[w] for w in own]) for own in cut]
+            out = {key: pdf["k"], "n_tokens": [len(x) // 4 for x in rows]}
+            if digest:
+                out |= {"ids_crc32": [zlib.crc32(x) for x in rows], "round_trip": [not wrong or wrong.isdisjoint(own) for own in cut]}
+            else:
+                out["ids"] = [np.frombuffer(x, "<i4") for x in rows]
+            yield pd.DataFrame(out)
+
+    return docs.mapInPandas(put, schema)
+
+
+def task_segments(path: str, task: int) -> dict[str, bytes]:
+    """The segments of one task with their ids as bytes."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    files, folder = fs.FileSystem.from_uri(path)
+    at = f"{folder}/p={task}"
+    if files.get_file_info(at).type == fs.FileType.NotFound:
+        return {}
+    found = ds.dataset(at, filesystem=files, format="parquet").to_table(columns=["seg", "ids"]).combine_chunks()
+    if not found.num_rows:
+        return {}
+    lists = found.column("ids").chunk(0)
+    ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+    flat = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    return {x: flat[a:b] for x, a, b in zip(found.column("seg").to_pylist(), ends, ends[1:])}
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -347,20 +347,31 @@ def test_pack(spark, docs):
 
 # --- 7
 
-@pytest.mark.parametrize("bound", [4_000_000, 0])
-def test_pieces_equal_the_library(spark, docs, bound, monkeypatch):
-    monkeypatch.setattr(pieces, "DICTIONARY", bound)
+@pytest.mark.parametrize("lost", [False, True])
+def test_pieces_equal_the_library(spark, docs, lost, monkeypatch, tmp_path):
+    """The very long rows too; and when the second pass finds none of its segments."""
     import sentencepiece
 
     file = tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=file)
-    small = docs.where("doc_id is null or doc_id not in (6, 7)")
-    got = pieces.encode(small, file)
-    for r in got.collect():
-        assert list(r.ids) == sp.encode("null key" if r.doc_id is None else TEXTS[r.doc_id] or ""), r.doc_id
+    spaces = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["  two  spaces ", " a", "b ", "x\u2581y z", "   ", "a\nb c"])], "doc_id long, text string")
+    spaces.union(docs.select("doc_id", "text")).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs")).withColumn("n_tokens_", F.lit(1))
+    assert pieces.plain_scan(stored.select("doc_id", "text")) and not pieces.plain_scan(docs)
+    got = pieces.encode(docs.select("doc_id", "text") if lost else stored, file)
+    if lost:
+        monkeypatch.setattr(pieces, "task_segments", lambda path, task: {})
+        got = pieces.encode(docs, file)
+    want = dict(enumerate(TEXTS)) | {r.doc_id: r.text for r in spaces.collect()}
+    rows = got.collect()
+    assert len(rows) == docs.count() + (0 if lost else spaces.count())
+    for r in rows:
+        assert list(r.ids) == sp.encode("null key" if r.doc_id is None else want[r.doc_id] or ""), r.doc_id
     back = {r.doc_id: r.text for r in pieces.decode(got, file).collect()}
-    assert all(back[i] == (TEXTS[i] or "") for i in back if i is not None)
+    assert all(back[i] == (want[i] or "").replace("\u2581", " ") for i in back if i is not None)
     assert pieces.encode(docs.limit(0), file).count() == 0
+    trip = {r.doc_id: r for r in pieces.encode(stored, file, digest=True).collect()}
+    assert all(r.round_trip for i, r in trip.items()) and trip[0].n_tokens == 0
 
 
 def test_long_segments_fold_alike():
