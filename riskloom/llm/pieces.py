@@ -240,17 +240,18 @@ def viterbi(table: Table, size: Column, scores: Column) -> Column:
 def merged(size: Column, edges: Column) -> Column:
     """Cuts left by merging in rank order, as bits of a long; -1 where an edge that has gone by became possible.
 
-    ``edges``: structs (rank, span, ends, inner), sorted: the bits of an edge's two ends and of the places between.
+    ``edges``: structs sorted by ``key`` (rank, then place), with the bits of all places
+    from end to end as ``every``, of the two ends as ``ends``, and all but the places between as ``rest``.
     """
     one = F.lit(1).cast("long")
 
     def fits(cuts: Column, e: Column) -> Column:
-        x = cuts.bitwiseAND(e["inner"])
-        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (x != 0) & (x.bitwiseAND(x - 1) == 0)
+        # its ends are cuts and just one place between them is
+        return (F.bit_count(cuts.bitwiseAND(e["every"])) == 3) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
 
     def step(cuts: Column, e: Column) -> Column:
-        after = cuts.bitwiseAND(F.bitwise_not(e["inner"]))
-        missed = let(after, lambda now: F.exists(edges, lambda f: ((f["rank"] < e["rank"]) | ((f["rank"] == e["rank"]) & (f["span"] < e["span"]))) & fits(now, f)))
+        after = cuts.bitwiseAND(e["rest"])
+        missed = let(after, lambda now: F.exists(edges, lambda f: (f["key"] < e["key"]) & fits(now, f)))
         return F.when((cuts >= 0) & fits(cuts, e), F.when(missed, F.lit(-1).cast("long")).otherwise(after)).otherwise(cuts)
 
     return F.aggregate(edges, F.call_function("shiftleft", one, size + 1) - 1, step)
@@ -273,20 +274,28 @@ def ids_along(table: Table, seg: Column, cuts: Column, ids: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), piece))
 
 
-def paths(table: Table, lattice: DataFrame) -> DataFrame:
-    """seg and ids (null where the fold must be done again), from seg and the edges of its lattice: structs of span, id and score."""
+def best_sums(table: Table, lattice: DataFrame) -> DataFrame:
+    """seg and ids on the path of greatest sum, from seg and the edges of its lattice: structs of span, id and score."""
     maps = lattice.select("seg", "edges", F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["id"]))).alias("found"))
-    if table.unigram:
-        scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"])))
-        cuts = maps.withColumn("scores", scores).select("seg", "found", viterbi(table, F.length("seg"), F.col("scores")).alias("cuts"))
-        return cuts.select("seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
+    scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["span"], e["score"])))
+    cuts = maps.withColumn("scores", scores).select("seg", "found", viterbi(table, F.length("seg"), F.col("scores")).alias("cuts"))
+    return cuts.select("seg", ids_along(table, F.col("seg"), F.col("cuts"), F.col("found")).alias("ids"))
+
+
+def by_rank(table: Table, lattice: DataFrame) -> DataFrame:
+    """seg and ids (null where the fold must be done again), from seg, ``edges`` of two characters or more as merged() takes them, and the edges of one as ``single``."""
     one = F.lit(1).cast("long")
-    bit = lambda n: F.call_function("shiftleft", one, n)
-    ranked = F.transform(F.filter("edges", lambda e: e["span"] % 64 - F.floor(e["span"] / 64) > 1), lambda e: let(F.floor(e["span"] / 64).cast("int"), lambda a: F.named_struct(
-        F.lit("rank"), -e["score"], F.lit("span"), e["span"], F.lit("ends"), bit(a).bitwiseOR(bit(e["span"] % 64)), F.lit("inner"), bit(e["span"] % 64) - bit(a + 1))))
-    state = maps.withColumn("ranked", F.array_sort(ranked)).withColumn("state", merged(F.length("seg"), F.col("ranked")))
-    cuts = state.select("seg", "found", "state", F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: F.col("state").bitwiseAND(bit(i)) != 0).alias("cuts"))
-    return cuts.select("seg", F.when(F.col("state") >= 0, ids_along(table, F.col("seg"), F.col("cuts"), F.col("found"))).alias("ids"))
+    state = lattice.withColumn("edges", F.array_sort("edges")).withColumn("state", merged(F.length("seg"), F.col("edges")))
+    whole = F.col("state")
+    on = lambda e: (F.bit_count(whole.bitwiseAND(e["every"])) == 2) & (whole.bitwiseAND(e["ends"]) == e["ends"])
+    left = F.filter(F.concat("edges", "single"), on)
+    # in the order of their places; where a character is no piece, pieces are fewer than the stretches between cuts
+    path = F.transform(F.array_sort(F.transform(left, lambda e: F.struct(e["span"], e["id"]))), lambda e: e["id"])
+    cuts = F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: whole.bitwiseAND(F.call_function("shiftleft", one, i)) != 0)
+    found = F.map_from_entries(F.transform(left, lambda e: F.struct(e["span"], e["id"])))
+    state = state.withColumn("path", path)
+    bytewise = let(cuts, lambda c: let(found, lambda f: ids_along(table, F.col("seg"), c, f)))
+    return state.select("seg", F.when(whole >= 0, F.when(F.size("path") == F.bit_count(whole) - 1, F.col("path")).otherwise(bytewise)).alias("ids"))
 
 
 def plain_scan(df: DataFrame) -> bool:
@@ -299,13 +308,22 @@ def plain_scan(df: DataFrame) -> bool:
 def folded(segs: DataFrame, table: Table, longest: int) -> DataFrame:
     """seg and ids (null where the fold must be done again) of distinct segments: their substrings joined to the pieces, grouped and folded."""
     spark = segs.sparkSession
-    pieces = spark.createDataFrame(pd.DataFrame([(p, i, x) for p, (i, x) in table.normal().items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+    known = sorted(table.normal().items(), key=lambda x: -x[1][1])
+    rows = pd.DataFrame([(p, i, x, rank) for rank, (p, (i, x)) in enumerate(known)], columns=["known", "id", "score", "rank"])
+    pieces = spark.createDataFrame(rows, "known string, id int, score double, rank long").withColumn("h", F.xxhash64("known"))
     begins = segs.select("seg", F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a"))
     edges = begins.select("seg", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n")).withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
-    # the piece table's size is fixed by the model file
-    found = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("a") * 64 + F.col("a") + F.col("n")).alias("span"), "id", "score"))
-    return paths(table, found.groupBy("seg").agg(F.collect_list(edge).alias("edges")))
+    # the piece table's size is fixed by the model file; a long is looked up sooner than a string, which is compared only on a hit
+    found = edges.withColumn("h", F.xxhash64("piece")).join(F.broadcast(pieces), "h", "left").where("known = piece or n = 1")
+    hit, end = F.col("known") == F.col("piece"), F.col("a") + F.col("n")
+    span = (F.col("a") * 64 + end).alias("span")
+    if table.unigram:
+        return best_sums(table, found.groupBy("seg").agg(F.collect_list(F.when(hit, F.struct(span, "id", "score"))).alias("edges")))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    found = found.withColumns({"ends": bit(F.col("a")).bitwiseOR(bit(end)), "inner": bit(end) - bit(F.col("a") + 1)})
+    edge = F.struct((F.col("rank") * 4096 + F.col("a") * 64 + end).alias("key"), F.col("ends").bitwiseOR(F.col("inner")).alias("every"), "ends", F.bitwise_not("inner").alias("rest"), span, "id")
+    long = F.col("n") > 1
+    return by_rank(table, found.groupBy("seg").agg(F.collect_list(F.when(hit & long, edge)).alias("edges"), F.collect_list(F.when(hit & ~long, edge)).alias("single")))
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:

@@ -390,8 +390,23 @@ def test_unigram_lattice_takes_the_best_sum(spark):
     words = ["abab", "aba", "bbaab", "acb"]
     rows = [(w, [(a * 64 + b, *known[w[a:b]]) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if w[a:b] in known]) for w in words]
     df = spark.createDataFrame(rows, "seg string, edges array<struct<span:int,id:int,score:double>>")
-    got = {r.seg: r.ids for r in pieces.paths(table, df).collect()}
+    got = {r.seg: r.ids for r in pieces.best_sums(table, df).collect()}
     assert got == {w: coder.fold(w) for w in words} and got["abab"] == [3, 3] and got["aba"] == [3, 1]
+    whole = {r.seg: r.ids for r in pieces.folded(df.select("seg"), table, 3).collect()}
+    assert whole == got
+
+
+def test_ranked_lattice_equals_the_plain_fold(spark):
+    """Ranks in random order, so that merges open the way for edges gone by; and characters that are no piece."""
+    r = random.Random(8)
+    for _ in range(3):
+        names = list(dict.fromkeys("".join(r.choice("abc") for _ in range(r.randrange(2, 5))) for _ in range(40)))
+        table = pieces.Table(["<unk>", *"ab", *names], [0.0, -900.0, -901.0, *[-float(i) for i in r.sample(range(500), len(names))]], [2] + [1] * (len(names) + 2), False, False)
+        coder = pieces.Coder(table)
+        words = list({"".join(r.choice("abc") for _ in range(r.randrange(1, 14))) for _ in range(300)})
+        got = {x.seg: x.ids for x in pieces.folded(spark.createDataFrame([(w,) for w in words], "seg string"), table, 4).collect()}
+        assert len(got) == len(words) and sum(v is not None for v in got.values()) > 100
+        assert all(v is None or v == coder.fold(w) for w, v in got.items())
 
 
 # --- 8
