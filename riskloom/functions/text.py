@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..scratch import Scratch
+
 #: Fixed values.
 NUMBER = r"\d[\d,]*\.?\d*"
 PROBABLE_CAUSES = ("CARD_TESTING", "COORDINATED_RING", "SHARED_CREDENTIAL_REUSE", "SYNTHETIC_IDENTITY", "BENIGN_COINCIDENCE", "UNEXPLAINED")
@@ -65,7 +67,6 @@ def rejection(raw: Column, allowed: Column) -> Column:
     t = strip_code_fence(raw)
     keys = F.json_object_keys(t)
     field = lambda k: F.get_json_object(t, f"$.{k}")
-    quoted = F.from_json(t, "map<string,string>", {"primitivesAsString": "true"})
     needed = F.array(*[F.lit(k) for k in NARRATIVE])
     kinds = F.try_parse_json(t)
     string = lambda k: F.schema_of_variant(F.try_variant_get(kinds, f"$.{k}", "variant")) == "STRING"
@@ -73,7 +74,6 @@ def rejection(raw: Column, allowed: Column) -> Column:
     extra = F.array_sort(F.array_except(keys, needed))
     summary, action = F.trim(field("human_summary")), F.trim(field("suggested_action"))
     used = F.array_sort(F.array_except(F.array_union(extract_numbers(summary), extract_numbers(action)), allowed))
-    del quoted
     ladder = F.when(kinds.isNull(), "not valid JSON").when(keys.isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing field: "), F.array_join(missing, ", "))).when(
         F.size(extra) > 0, F.concat(F.lit("unexpected field: "), F.array_join(extra, ", ")))
     for k in NARRATIVE:
@@ -144,61 +144,130 @@ def facts() -> Column:
     return F.concat_ws("\n", *lines, F.concat(F.lit("shared_attributes: "), F.array_join("shared_attributes", ", ")))
 
 
+def case_facts() -> Column:
+    """A case file as lines of text: its cluster's figures, its own, and its findings."""
+    own = [F.concat(F.lit("rank_by_risk: "), F.col("rank").cast("string"), F.lit(" of "), F.col("total_flagged_clusters").cast("string")), F.format_string("risk_percentile: %.2f", "risk_percentile"),
+           F.concat(F.lit("entities_also_in_other_flagged_clusters: "), F.col("entities_in_other_clusters").cast("string")), F.format_string("transactions_per_entity: %.2f", "transactions_per_entity"),
+           F.format_string("share_of_transactions_flagged: %.2f", "flagged_share"), F.format_string("population_mean_risk_score: %.4f", "population_mean_risk")]
+    listed = [F.when(F.col(c) != "", F.concat(F.lit(f"{title}:\n  - "), F.replace(F.col(c), F.lit("; "), F.lit("\n  - "))))
+              for c, title in (("corroborating", "findings_supporting_concern"), ("contradicting", "findings_arguing_against_concern"))]
+    return F.concat_ws("\n", F.concat(F.lit("case_id: "), F.col("case_id")), facts(), *own, *listed)
+
+
+#: What a figure points at in a cluster's graph. Fixed values.
+TARGETS = {"entity_count": "entities", "component_size": "entities", "distinct_cards": "attributes", "distinct_addresses": "attributes", "distinct_email_domains": "attributes", **dict.fromkeys(
+    ("transaction_count", "flagged_transaction_count", "core_number", "max_degree", "span_days", "total_amount_inr", "max_risk_score", "mean_risk_score"), "all")}
+
+
 def annotate(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``segments``: runs of the text, each with the figure it quotes, if any; together they are the text again."""
+    """Adds ``segments``: runs of the text, each with the figure it quotes and what that points at, if any; together they are the text again."""
+    decimals, whole = [c for c in TARGETS if c in DECIMALS], [c for c in TARGETS if c in INTEGERS]
 
-    def literals(row) -> dict[str, str]:
-        found: dict[str, str] = {}
-        for c in DECIMALS:
+    def literals(row: dict) -> dict[str, tuple[str, str]]:
+        found: dict[str, tuple[str, str]] = {}
+        for c in whole:
+            if (x := row[c]) is not None and x == x and x >= 3:
+                for shape in {f"{int(x)}", f"{int(x):,}"}:
+                    found.setdefault(shape, (c, TARGETS[c]))
+        for c in decimals:
             if (x := row[c]) is not None and x == x:
                 shapes = [f"{x:.4f}", f"{x:.2f}", f"{x:,.2f}"] + ([f"{int(x)}", f"{int(x):,}"] if float(x).is_integer() else [])
                 for shape in shapes:
-                    found.setdefault(shape, c)
-        for c in INTEGERS:
-            if (x := row[c]) is not None and x == x and x >= 3:
-                for shape in {f"{int(x)}", f"{int(x):,}"}:
-                    found.setdefault(shape, c)
+                    found.setdefault(shape, (c, TARGETS[c]))
         for a in row["shared_attributes"] if row["shared_attributes"] is not None else []:
             if a and a != "indirect_attribute_chain":
-                found.setdefault(a, f"attribute:{a}")
+                found.setdefault(a, (f"attribute:{a}", f"attr:{a}"))
         return found
 
-    names = [*INTEGERS, *DECIMALS, "shared_attributes"]
-
-    @F.pandas_udf("array<struct<text:string,field:string>>")
+    @F.pandas_udf("array<struct<text:string,field:string,target:string>>")
     def segments(t: pd.Series, rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for value, (_, row) in zip(t, rows.iterrows()):
+        names, out = list(rows.columns), []
+        for value, *figures in zip(t, *(rows[c] for c in names)):
             value = value or ""
-            known = literals(row)
+            known = literals(dict(zip(names, figures)))
             parts, at = [], 0
             if known:
                 pattern = r"(?<![\w.])(?:" + "|".join(map(re.escape, sorted(known, key=lambda x: (-len(x), x)))) + r")(?![\w.])"
                 for m in re.finditer(pattern, value):
                     if m.start() > at:
-                        parts.append({"text": value[at:m.start()], "field": None})
-                    parts.append({"text": m[0], "field": known[m[0]]})
+                        parts.append({"text": value[at:m.start()], "field": None, "target": None})
+                    parts.append({"text": m[0], "field": known[m[0]][0], "target": known[m[0]][1]})
                     at = m.end()
             if at < len(value):
-                parts.append({"text": value[at:], "field": None})
+                parts.append({"text": value[at:], "field": None, "target": None})
             out.append(parts)
         return pd.Series(out)
 
-    return df.withColumn("segments", segments(F.col(text), F.struct(*names)))
+    return df.withColumn("segments", segments(F.col(text), F.struct(*whole, *decimals, "shared_attributes")))
 
 
-def narrate(df: DataFrame, complete, allowed: str = "allowed", prompt: str = "prompt", fallback: str = "no narrative") -> DataFrame:
-    """Adds narrative and accepted: ``complete(prompt)`` once, once more on refusal with the reason, then the fallback."""
-    kept = f"{df.schema.simpleString()[7:-1]}, answer string"
+ATTEMPTS = 2
 
-    def ask(column: str):
-        def run(batches):
-            for pdf in batches:
-                yield pdf.assign(answer=[complete(p) for p in pdf[column]])
-        return run
 
-    first = df.mapInPandas(ask(prompt), kept).withColumn("why", rejection(F.col("answer"), F.col(allowed)))
-    good = first.where("why is null").drop("why")
-    again = first.where("why is not null").withColumn(prompt, F.concat(prompt, F.lit("\nrefused: "), "why")).drop("answer", "why")
-    second = again.mapInPandas(ask(prompt), kept).withColumn("why", rejection(F.col("answer"), F.col(allowed)))
-    return good.withColumn("accepted", F.lit(True)).union(second.withColumn("accepted", F.col("why").isNull()).withColumn("answer", F.when(F.col("why").isNull(), F.col("answer")).otherwise(fallback)).drop("why")).withColumnRenamed("answer", "narrative")
+def completed(df: DataFrame, providers, cache: str, prompt: str = "prompt") -> DataFrame:
+    """Adds ``answer``: what the first provider that answers says to the prompt, null if none does.
+
+    ``providers``: callables (or one), each tried ATTEMPTS times before the next. Prompts are
+    asked once, by the SHA-256 of their text, and kept in the Parquet folder ``cache``; a
+    prompt that is there is not asked again, and one that got no answer is not kept.
+    """
+    spark, providers = df.sparkSession, list(providers) if isinstance(providers, (list, tuple)) else [providers]
+    s, schema = Scratch(spark, "prompts"), "key string, answer string"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(cache)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    known = spark.read.schema(schema).parquet(cache) if there else spark.createDataFrame([], schema)
+    keyed = df.withColumn("_key", prompt_key(F.col(prompt)))
+    asked = keyed.select(F.col("_key").alias("key"), F.col(prompt).alias("p")).where("key is not null").dropDuplicates(["key"]).join(known, "key", "left_anti")
+
+    def ask(batches):
+        for pdf in batches:
+            answers = []
+            for p in pdf["p"]:
+                answer = None
+                for call in providers:
+                    for _ in range(ATTEMPTS):
+                        try:
+                            answer = call(p)
+                        except Exception:  # any failure means the next attempt
+                            continue
+                        break
+                    if answer is not None:
+                        break
+                answers.append(answer)
+            yield pd.DataFrame({"key": pdf["key"], "answer": answers})
+
+    fresh = s.table(asked.mapInPandas(ask, schema), "fresh").where("answer is not null")
+    fresh.write.mode("append").parquet(cache)
+    # of a prompt that two runs asked at once, one answer
+    answers = spark.read.schema(schema).parquet(cache).groupBy("key").agg(F.min("answer").alias("answer"))
+    return keyed.join(answers.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def drafted(df: DataFrame, providers, cache: str, refused=rejection, allowed: str = "allowed", prompt: str = "prompt", fallback: str = "no narrative") -> DataFrame:
+    """Adds answer, accepted and why: a completion, once more with the reason if it is refused, then the fallback.
+
+    ``refused(raw, allowed)`` gives the reason or null: ``rejection`` for narratives,
+    ``disposition_rejection`` for dispositions. One row per input row; every branch reads
+    the same kept answers.
+    """
+    first = completed(df, providers, cache, prompt)
+    first = first.withColumn("why", F.when(F.col("answer").isNull(), "no provider answered").otherwise(refused(F.col("answer"), F.col(allowed))))
+    first = Scratch(df.sparkSession, "drafts").table(first, "first")
+    good, bad = first.where("why is null"), first.where("why is not null")
+    again = completed(bad.withColumn("_again", F.concat(prompt, F.lit("\nrefused: "), "why")).drop("answer", "why"), providers, cache, "_again")
+    again = again.withColumn("why", F.when(F.col("answer").isNull(), "no provider answered").otherwise(refused(F.col("answer"), F.col(allowed)))).drop("_again")
+    out = good.unionByName(again).withColumn("accepted", F.col("why").isNull())
+    return out.withColumn("answer", F.when(F.col("accepted"), F.col("answer")).otherwise(fallback))
+
+
+def narrate(df: DataFrame, providers, cache: str | None = None, **options) -> DataFrame:
+    """Adds narrative and accepted; without ``cache`` answers are kept in the session's shared folder."""
+    cache = cache or Scratch(df.sparkSession, "narratives").path("cache")
+    return drafted(df, providers, cache, rejection, **options).drop("why").withColumnRenamed("answer", "narrative")
+
+
+def draft_dispositions(cases: DataFrame, providers, cache: str | None = None, fallback: str = "no recommendation", **options) -> DataFrame:
+    """Adds disposition and accepted to case files with prompt and allowed numbers."""
+    cache = cache or Scratch(cases.sparkSession, "dispositions").path("cache")
+    return drafted(cases, providers, cache, disposition_rejection, fallback=fallback, **options).drop("why").withColumnRenamed("answer", "disposition")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import Scratch
 from .components import connected_components
+from .ranges import quantiles_of
 
 LOCAL = 1_000_000
 
@@ -25,13 +26,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
+def stored(edges: DataFrame) -> DataFrame:
+    """The edges as a table in shared storage, which they are read from again and again; as they are if they come from files alone."""
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    plain = not any(x in plan for x in ("Join", "Aggregate", "Union", "Generate", "Window", "MapInPandas", "Repartition"))
+    return edges if plain else Scratch(edges.sparkSession, "graph").table(edges, "edges")
+
+
 def in_one_task(edges: DataFrame, schema: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if held:
             yield f(pd.concat(held, ignore_index=True))
 
-    return edges.coalesce(1).mapInPandas(run, schema)
+    # written first, so that one task reads the edges and does not compute them
+    return Scratch(edges.sparkSession, "one").table(edges, "edges").coalesce(1).mapInPandas(run, schema)
 
 
 def numbered(e: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +75,7 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """(node, component): the least node reachable, for every node with an edge or a loop."""
+    edges = stored(edges)
     kind = edges.schema["src"].dataType.simpleString()
     if edges.count() > local:
         return connected_components(edges)
@@ -101,6 +111,7 @@ def k_core(edges: DataFrame, local: int = LOCAL, max_rounds: int = 500) -> DataF
     again from the degrees downwards until nothing changes. Neighbours are counted by
     value before the window, so a hub sends its distinct values, not its neighbours.
     """
+    edges = stored(edges)
     kind = edges.schema["src"].dataType.simpleString()
     both = undirected(edges)
     if edges.count() <= local:
@@ -156,6 +167,7 @@ def attach(rows: DataFrame, features: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 100, local: int = LOCAL) -> DataFrame:
     """(node, rank): power iteration from 1/N, the mass of nodes without edges spread evenly; the last vector after ``rounds``."""
+    edges = stored(edges)
     kind = edges.schema["src"].dataType.simpleString()
     both = undirected(edges)
     alone = nodes.select(F.col(nodes.columns[0]).alias("src")) if nodes is not None else both.select("src").limit(0)
@@ -196,45 +208,114 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     return rank.select("node", "rank")
 
 
-def brandes(e: pd.DataFrame, n_all: int) -> pd.DataFrame:
-    """Normalised betweenness of one component's nodes; ``e`` holds both directions."""
-    names, a, b = numbered(e)
-    n = len(names)
-    ends, near = adjacency(n, a, b)
+#: Nodes up to which a component is solved as a dense matrix; edges that one task walks over, about, in larger ones.
+DENSE, WALK = 192, 20_000_000
+
+
+def dense_betweenness(near: np.ndarray) -> np.ndarray:
+    """Unscaled betweenness of graphs given as a stack of adjacency matrices of one size: all sources, level by level."""
+    graphs, n, _ = near.shape
+    front = np.broadcast_to(np.eye(n), near.shape)
+    paths, depth, level = front.copy(), np.where(front > 0, 0, -1), 0
+    while True:
+        front = np.where(depth < 0, front @ near, 0.0)
+        if not front.any():
+            break
+        level += 1
+        paths += front
+        depth = np.where(front > 0, level, depth)
+    share = np.zeros(near.shape)
+    for d in range(level, 1, -1):
+        back = np.where(depth == d, (1 + share) / np.where(paths > 0, paths, 1), 0.0) @ near
+        share += np.where(depth == d - 1, paths * back, 0.0)
+    return share.sum(1)
+
+
+def source_betweenness(n: int, ends: np.ndarray, near: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Unscaled betweenness that shortest paths from ``roots`` give to the nodes of one graph."""
     total = np.zeros(n)
-    for root in range(n if n >= 3 and n_all >= 3 else 0):
+    for root in roots:
         depth, paths = np.full(n, -1), np.zeros(n)
         depth[root], paths[root] = 0, 1
-        waves = [np.array([root])]
+        waves, steps = [np.array([root])], []
         while len(waves[-1]):
             # one step outwards for a whole wave: edges from it to nodes not reached before
-            v = np.repeat(waves[-1], np.diff(ends)[waves[-1]])
-            w = np.concatenate([near[ends[x]:ends[x + 1]] for x in waves[-1]])
+            wave = waves[-1]
+            size = np.diff(ends)[wave]
+            v = np.repeat(wave, size)
+            w = near[np.repeat(ends[wave] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             new = depth[w] < 0
             depth[w[new]] = len(waves)
             on = depth[w] == len(waves)
             np.add.at(paths, w[on], paths[v[on]])
+            steps.append((v[on], w[on]))
             waves.append(np.unique(w[new]))
         share = np.zeros(n)
-        for wave in reversed(waves[1:]):
-            for w in wave:
-                up = near[ends[w]:ends[w + 1]]
-                up = up[depth[up] == depth[w] - 1]
-                share[up] += paths[up] / paths[w] * (1 + share[w])
+        for v, w in reversed(steps[1:]):
+            np.add.at(share, v, paths[v] / paths[w] * (1 + share[w]))
         share[root] = 0
         total += share
-    scale = 1 / ((n_all - 1) * (n_all - 2)) if n_all >= 3 else 0
-    return pd.DataFrame({"node": names, "betweenness": total * scale})
+    return total
+
+
+def small_components(e: pd.DataFrame) -> pd.DataFrame:
+    """(node, betweenness), unscaled, of whole components of at most DENSE nodes: those of one size together. ``e`` holds both directions."""
+    names, a, b = numbered(e)
+    label = components_of(len(names), a, b)
+    order = np.argsort(label, kind="stable")
+    size = np.bincount(label, minlength=len(names))
+    first = np.cumsum(size) - size
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names)) - first[label[order]]
+    total = np.zeros(len(names))
+    for n in np.unique(size[size > 2]).tolist():
+        roots = np.flatnonzero(size == n)
+        step = max(1, (1 << 22) // (n * n))
+        for i in range(0, len(roots), step):
+            own = roots[i:i + step]
+            at = np.full(len(names), -1)
+            at[own] = np.arange(len(own))
+            inside = at[label[a]] >= 0
+            near = np.zeros((len(own), n, n))
+            near[at[label[a[inside]]], place[a[inside]], place[b[inside]]] = 1
+            nodes = order[first[own][:, None] + np.arange(n)]
+            total[nodes] = dense_betweenness(near)
+    return pd.DataFrame({"node": names, "betweenness": total})
 
 
 def betweenness(edges: DataFrame, n_all: int | None = None, local: int = LOCAL) -> DataFrame:
-    """(node, betweenness): Brandes within each component, scaled by the whole graph's size; components are independent tasks."""
+    """(node, betweenness): Brandes within each component, scaled by the whole graph's size.
+
+    Components of at most DENSE nodes go to tasks many at a time. The sources of a larger
+    one are dealt to tasks of about WALK steps, each with the component's edges, and their
+    parts are added up.
+    """
     kind = edges.schema["src"].dataType.simpleString()
-    both = undirected(edges)
-    n_all = both.select("src").distinct().count() if n_all is None else n_all
-    comp = components(edges, local)
+    s = Scratch(edges.sparkSession, "betweenness")
+    both = s.table(undirected(edges), "edges")
+    comp = s.table(components(both, local), "components")
+    n_all = comp.count() if n_all is None else n_all
+    scale = 1 / ((n_all - 1) * (n_all - 2)) if n_all >= 3 else 0.0
     own = both.join(comp.withColumnRenamed("node", "src"), "src")
-    return own.groupBy("component").applyInPandas(lambda e: brandes(e[["src", "dst"]], n_all), f"node {kind}, betweenness double")
+    sizes = s.table(own.groupBy("component").agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("ends")), "sizes")
+    schema = f"node {kind}, betweenness double"
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, sizes.count() // 20_000)
+    small = own.join(sizes.where(F.col("nodes") <= DENSE).select("component"), "component").withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)))
+    done = small.groupBy("part").applyInPandas(lambda e: small_components(e[["src", "dst"]]), schema)
+    large = s.table(sizes.where(F.col("nodes") > DENSE), "large")
+    if not large.isEmpty():
+        dealt = large.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("nodes") * F.col("ends") / WALK)).cast("int"))
+        pairs = own.join(dealt.select("component", "chunks"), "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+        def walk(e: pd.DataFrame) -> pd.DataFrame:
+            names, a, b = numbered(e)
+            ends, near = adjacency(len(names), a, b)
+            roots = np.arange(int(e["chunk"].iloc[0]), len(names), int(e["chunks"].iloc[0]))
+            return pd.DataFrame({"node": names, "betweenness": source_betweenness(len(names), ends, near, roots)})
+
+        done = done.union(pairs.groupBy("component", "chunk").applyInPandas(walk, schema).groupBy("node").agg(F.sum("betweenness").alias("betweenness")))
+    return done.select("node", (F.col("betweenness") * scale).alias("betweenness"))
 
 
 def project(edges: DataFrame, max_group: int = 64) -> DataFrame:
@@ -279,10 +360,36 @@ def centrality_variance(ranks: DataFrame, labels: DataFrame) -> DataFrame:
     per = ranks.join(labels, "uid").groupBy("component").agg(
         F.count("*").alias("n"), F.stddev_pop("rank").alias("sd"), F.avg("rank").alias("mean"), F.avg(F.when(F.col("betweenness") == 0, 1.0).otherwise(0.0)).alias("zero"),
         F.count_if(F.col("betweenness") == 0).alias("zeros")).where("n >= 2").withColumn("cv", F.try_divide("sd", "mean"))
-    return per.agg(F.count("*").alias("components"), F.round(F.percentile("cv", 0.5), 6).alias("median_cv"), F.round(F.avg("cv"), 6).alias("mean_cv"),
+    per = Scratch(ranks.sparkSession, "variance").table(per, "components")
+    median = (quantiles_of(per, "cv", [0.5]) or [None])[0]
+    return per.agg(F.count("*").alias("components"), F.round(F.lit(median).cast("double"), 6).alias("median_cv"), F.round(F.avg("cv"), 6).alias("mean_cv"),
                    F.round(F.try_divide(F.sum("zeros"), F.sum("n")), 6).alias("zero_betweenness_share"))
 
 
+def centrality_features(entities: DataFrame, edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(uid, g_pagerank, g_betweenness) of every entity, over the graph of all entities and attributes, isolated ones included."""
+    s = Scratch(edges.sparkSession, "centrality")
+    pairs = s.table(bipartite(edges), "pairs")
+    names = entities.select(F.concat(F.lit("0|"), "uid").alias("node"))
+    nodes = s.table(names.union(pairs.select(F.col("dst").alias("node"))).distinct(), "nodes")
+    uid = F.substring("node", 3, 1 << 30).alias("uid")
+    own = F.col("node").startswith("0|")
+    ranks = pagerank(pairs, nodes, local=local).where(own).select(uid, F.col("rank").alias("g_pagerank"))
+    between = betweenness(pairs, nodes.count(), local).where(own).select(uid, F.col("betweenness").alias("g_betweenness"))
+    return entities.select("uid").join(ranks, "uid", "left").join(between, "uid", "left").withColumn("g_betweenness", F.coalesce("g_betweenness", F.lit(0.0)))
+
+
+def centrality_for_split(train: DataFrame, test: DataFrame, columns: list[str], link_keys: dict, cap: int = 5, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
+    """As features_for_split(), with centrality: train rows from the graph of train alone, test rows from that of both."""
+    from .entity import entity_frame, links_long, suppressed_edges
+
+    def features(rows: DataFrame) -> DataFrame:
+        entities = entity_frame(rows, columns)
+        return centrality_features(entities, suppressed_edges(links_long(entities, link_keys), cap), local)
+
+    return attach(train, features(train)), attach(test, features(train.unionByName(test)))
+
+
 def features_for_split(train: DataFrame, test: DataFrame, columns: list[str], link_keys: dict, cap: int = 5, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """Rows with features of two graphs: train rows from train alone, test rows from both; the train graph never sees a test row."""
     from .entity import entity_frame, links_long, suppressed_edges

@@ -2,46 +2,162 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..scratch import Scratch
+from ..sources.tables import coverage_pct
+from .metrics import average_precision, evaluate, inr
+from .resample import ap_delta
 from .split import TIME, TARGET, cutoff
 
+#: Training parameters; rounds bound the trees, of which the number best on the latest fifth of the rows is kept.
+DEFAULTS = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7", "minInstancesPerNode": 20, "seed": 42}
+
+
+@dataclass
+class Trained:
+    """A fitted pipeline, its inputs, and how many of its trees count."""
+
+    pipeline: PipelineModel
+    features: list[str]
+    rounds: int
+    validation_ap: float
+
+    def save(self, path: str) -> None:
+        """Overwrites a folder with the pipeline and what goes with it."""
+        spark = SparkSession.active()
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark.createDataFrame([(self.features, self.rounds, self.validation_ap)], "features array<string>, rounds int, ap double").coalesce(1).write.mode("overwrite").parquet(f"{path}/inputs")
 
-def train(df: DataFrame, features: list[str], target: str = TARGET, rounds: int = 20, depth: int = 4, weight: str | None = None, seed: int = 42) -> PipelineModel:
-    """Trees with early stopping on the last fifth of the time; missing values become medians beside a flag of missingness."""
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Trained:
+        r = spark.read.parquet(f"{path}/inputs").first()
+        return cls(PipelineModel.load(f"{path}/pipeline"), list(r["features"]), r["rounds"], r["ap"])
+
+
+def train(df: DataFrame, features: list[str], target: str = TARGET, weight: str | None = None, **params) -> Trained:
+    """Trees on the first four fifths of the time, their number chosen by average precision on the last fifth.
+
+    Missing values become medians beside a flag of missingness. ``params``: those of
+    GBTClassifier, over DEFAULTS.
+    """
     at = cutoff(df, 0.8)
-    rows = prepared(df, features).withColumn("_late", F.col(TIME) >= at).withColumn("label", F.col(target).cast("double"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, validationIndicatorCol="_late", subsamplingRate=0.8, featureSubsetStrategy="0.7")
+    s = Scratch(df.sparkSession, "training")
+    rows = s.table(prepared(df, features).withColumn("_late", F.col(TIME) >= at).withColumn("label", F.col(target).cast("double")).select(
+        *[f"_{c}" for c in features], *[f"_{c}_missing" for c in features], "_late", "label", *([weight] if weight else [])), "rows")
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", **(DEFAULTS | params))
     if weight:
         gbt = gbt.setWeightCol(weight)
     stages = [Imputer(inputCols=[f"_{c}" for c in features], outputCols=[f"_{c}_full" for c in features], strategy="median"),
               VectorAssembler(inputCols=[f"_{c}_full" for c in features] + [f"_{c}_missing" for c in features], outputCol="features"), gbt]
-    return Pipeline(stages=stages).fit(rows)
+    pipeline = Pipeline(stages=stages).fit(rows.where("not _late"))
+    late = rows.where("_late")
+    if late.where("label = 1").isEmpty():
+        return Trained(pipeline, list(features), pipeline.stages[-1].getNumTrees, math.nan)
+    sums = s.table(by_rounds(pipeline, late).select("label", F.posexplode("sums").alias("k", "m")), "rounds")
+    best = average_precision(sums, "label", "m", by=("k",)).orderBy(F.desc("ap"), "k").first()
+    return Trained(pipeline, list(features), best["k"] + 1, best["ap"])
+
+
+def by_rounds(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds ``sums``: the margin after 1, 2, ... trees."""
+    model = pipeline.stages[-1]
+    out = df
+    for stage in pipeline.stages[:-1]:
+        out = stage.transform(out)
+    kept = out.columns
+    for i, tree in enumerate(model.trees):
+        out = tree.setPredictionCol(f"_t{i}").transform(out)
+    outputs = F.array(*[F.col(f"_t{i}") * w for i, w in enumerate(model.treeWeights)])
+    # one fold, as sums written out would nest as deep as there are trees
+    none = F.array().cast("array<double>")
+    sums = F.aggregate(outputs, none, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
+    return out.select(*kept, sums.alias("sums"))
 
 
 def prepared(df: DataFrame, features: list[str]) -> DataFrame:
-    cols = {f"_{c}": F.col(c).cast("double") for c in features}
-    return df.withColumns({**cols, **{f"_{c}_missing": F.col(c).isNull().cast("double") for c in features}})
+    """Inputs in columns of their own; one that the table lacks is missing in every row."""
+    have = {c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in features}
+    return df.withColumns({**{f"_{c}": v for c, v in have.items()}, **{f"_{c}_missing": v.isNull().cast("double") for c, v in have.items()}})
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str], key: str = "TransactionID") -> DataFrame:
+def probability(model: Trained, df: DataFrame) -> DataFrame:
+    """The rows with ``score``, the probability of fraud by the trees that count."""
+    if model.rounds == model.pipeline.stages[-1].getNumTrees:
+        return model.pipeline.transform(prepared(df, model.features)).withColumn("score", F.round(vector_to_array("probability")[1], 6)).select(*df.columns, "score")
+    sums = by_rounds(model.pipeline, prepared(df, model.features))
+    # the classifier's probability: logistic in twice the margin
+    return sums.select(*df.columns, F.round(1 / (1 + F.exp(-2 * F.col("sums")[model.rounds - 1])), 6).alias("score"))
+
+
+def predict(model: Trained, df: DataFrame, key: str = "TransactionID") -> DataFrame:
     """key, score: the probability of fraud."""
-    return model.transform(prepared(df, features)).select(key, F.round(vector_to_array("probability")[1], 6).alias("score"))
+    return probability(model, df).select(key, "score")
 
 
-def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    names = [*features, *[f"{c}_missing" for c in features]]
-    return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:8]
+def importances(model: Trained, top: int = 8) -> list[tuple[str, float]]:
+    """The inputs of greatest gain, as shares of the whole."""
+    names = [*model.features, *[f"{c}_missing" for c in model.features]]
+    return sorted(zip(names, model.pipeline.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def variants(train_rows: DataFrame, test_rows: DataFrame, sets: dict[str, list[str]], **options) -> DataFrame:
-    """(variant, TransactionID, score): one model for each feature set, all on the same test rows."""
-    out = None
+def score_payments(model: Trained | None, payments: DataFrame, features: Column, total: int | None = None) -> DataFrame:
+    """payments with score, features_present, features_total, coverage_pct, available.
+
+    ``features``: a struct of the inputs that a payment tells; all other inputs are missing.
+    Without a model nothing is scored and nothing is available.
+    """
+    if model is None:
+        return payments.withColumns({"score": F.lit(None).cast("double"), "features_present": F.lit(0), "features_total": F.lit(0), "coverage_pct": F.lit(0.0), "available": F.lit(False)})
+    kept = payments.columns
+    own = payments.withColumn("_f", features)
+    mapped = [c for c in own.schema["_f"].dataType.names if c in model.features]
+    present = sum((F.col(f"_f.{c}").isNotNull().cast("int") for c in mapped), F.lit(0))
+    total = len(model.features) if total is None else total
+    rows = own.select(*kept, present.alias("features_present"), *[F.col(f"_f.{c}").alias(c) for c in mapped if c not in kept])
+    return probability(model, rows).withColumn("features_total", F.lit(total)).withColumn("coverage_pct", coverage_pct(F.col("features_present"), F.lit(total))).withColumn(
+        "available", F.lit(True)).select(*kept, "score", "features_present", "features_total", "coverage_pct", "available")
+
+
+def variants(train_rows: DataFrame, test_rows: DataFrame, sets: dict[str, list[str]], cache: str | None = None, weights: dict[str, str] | None = None, **params) -> DataFrame:
+    """(variant, TransactionID, score): one model for each feature set, all on the same test rows.
+
+    Scores go to a folder for each variant below ``cache`` (by default of this call alone); a variant that is there is not fitted again.
+    """
+    spark = train_rows.sparkSession
+    cache = cache or Scratch(spark, "variants").path("scores")
+    jvm = spark._jvm
     for name, features in sets.items():
-        scored = predict(train(train_rows, features, **options), test_rows, features).select(F.lit(name).alias("variant"), "TransactionID", "score")
-        out = scored if out is None else out.union(scored)
+        done = jvm.org.apache.hadoop.fs.Path(f"{cache}/variant={name}/_SUCCESS")
+        if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+            model = train(train_rows, features, weight=(weights or {}).get(name), **params)
+            predict(model, test_rows).write.mode("overwrite").parquet(f"{cache}/variant={name}")
+    found = spark.read.option("basePath", cache).parquet(*[f"{cache}/variant={name}" for name in sets])
+    return found.select(F.col("variant").cast("string").alias("variant"), "TransactionID", "score")
+
+
+def compare(scores: DataFrame, test_rows: DataFrame, base: str, draws: int = 400, comparisons: int | None = None, target: str = TARGET, amount: str = "TransactionAmt") -> DataFrame:
+    """One row a variant: AUC-PR, AUC-ROC, both operating points, and the change of AUC-PR from ``base`` with its interval and verdict."""
+    rows = Scratch(scores.sparkSession, "compare").table(scores.join(test_rows.select("TransactionID", F.col(target).alias("y"), inr(F.col(amount)).alias("amount_inr")), "TransactionID"), "rows")
+    names = sorted(r["variant"] for r in rows.select("variant").distinct().collect())
+    comparisons = max(1, len(names) - 1) if comparisons is None else comparisons
+    first = rows.where(F.col("variant") == base).select("TransactionID", "y", F.col("score").alias("s"))
+    out = None
+    for name in names:
+        own = rows.where(F.col("variant") == name).withColumnRenamed("score", "s")
+        report = evaluate(name, own)[0]
+        if name == base:
+            more = scores.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("delta", "low", "high")], F.lit(None).cast("string").alias("verdict"))
+        else:
+            pair = first.join(own.select("TransactionID", F.col("s").alias("v")), "TransactionID")
+            more = ap_delta(pair, "TransactionID", draws, comparisons=comparisons).select("delta", "low", "high", "verdict")
+        one = report.crossJoin(more)  # one row by one row
+        out = one if out is None else out.union(one)
     return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranges import quantiles_of
+
 ID, TARGET, TIME = "TransactionID", "isFraud", "TransactionDT"
 #: Columns that are never model inputs. Fixed values.
 NOT_FEATURES = (ID, TARGET, TIME, "g_component", "uid", "tx_day")
@@ -23,10 +25,10 @@ def cutoff(df: DataFrame, quantile: float = 0.8, t: str = TIME) -> float:
     """The exact, linearly interpolated quantile of the times: one number."""
     if not 0 < quantile < 1:
         raise ValueError("the quantile lies between 0 and 1")
-    value = df.agg(F.percentile(t, quantile)).first()[0]
-    if value is None:
+    found = quantiles_of(df, t, [quantile])
+    if not found:
         raise ValueError("no times to split")
-    return value
+    return found[0]
 
 
 def temporal_split(df: DataFrame, quantile: float = 0.8, t: str = TIME) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,8 @@ SQL: dict[str, str] = {}
 FLAG = 0.6
 #: Bootstrap draws and permutations of the original workload.
 DRAWS, PERMUTATIONS = 400, 200
+#: More characters than any name has.
+WHOLE = 1 << 30
 
 
 def query(oracle: str | None = None):
@@ -70,6 +72,17 @@ def inner_split_summary(spark, d):
     return split.split_summary(split.temporal_split(txn(spark, d))[0])
 
 
+@query("SELECT o_orderkey AS TransactionID, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS DeviceType FROM orders")
+def merged_tables(spark, d):
+    """Two CSV files joined, through the cache that the first reading leaves."""
+    s, o = Scratch(spark, "merged"), table(spark, d, "orders")
+    o.select(F.col("o_orderkey").alias("TransactionID"), F.col("o_orderstatus").alias("status")).write.csv(s.path("transactions"), header=True)
+    o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("TransactionID"), F.col("o_orderpriority").alias("DeviceType")).write.csv(s.path("identity"), header=True)
+    for _ in range(2):
+        out = tables.load_merged(spark, s.path("transactions"), s.path("identity"), s.path("cache"))
+    return out.select(F.col("TransactionID").cast("bigint").alias("TransactionID"), "status", "DeviceType")
+
+
 # --- entities and graph
 
 G = graph_sql("scored")
@@ -107,7 +120,7 @@ def coverage_by_cap(spark, d):
 @query(sql("SELECT uid, component FROM comp", G))
 def connected_components(spark, d):
     c = graph.components(graph.bipartite(edges(txn(spark, d)))).where(F.col("node").startswith("0|"))
-    return c.select(F.substring("node", 3, 99).alias("uid"), F.substring("component", 3, 99).alias("component"))
+    return c.select(F.substring("node", 3, WHOLE).alias("uid"), F.substring("component", 3, WHOLE).alias("component"))
 
 
 @query(sql("SELECT n AS size, count(*) AS components FROM size GROUP BY 1", G))
@@ -170,16 +183,26 @@ def betweenness(spark, d):
     return graph.betweenness(graph.bipartite(edges(txn(spark, d)))).select("node", F.round("betweenness", 10).alias("betweenness"))
 
 
+@query()
+def centrality_rows(spark, d):
+    a, b = split.temporal_split(entity.build_uid(txn(spark, d)))
+    a, b = graph.centrality_for_split(a, b, views.COLUMNS, KEYS, CAP)
+    cols = ["TransactionID", F.round("g_pagerank", 9).alias("g_pagerank"), F.round("g_betweenness", 12).alias("g_betweenness")]
+    return a.select(F.lit("train").alias("side"), *cols).union(b.select(F.lit("test"), *cols))
+
+
 @query()
 def centrality_variance(spark, d):
     e = Scratch(spark, "central").table(graph.bipartite(edges(txn(spark, d))), "e")
-    uid = F.substring("node", 3, 99).alias("uid")
+    uid = F.substring("node", 3, WHOLE).alias("uid")
     own = F.col("node").startswith("0|")
     ranks = graph.pagerank(e).where(own).select(uid, "rank").join(graph.betweenness(e).where(own).select(uid, "betweenness"), "uid")
     return graph.centrality_variance(ranks, graph.components(e).where(own).select(uid, "component"))
 
 
-@query()
+@query(sql("""SELECT node, kind, round(cos(2*pi()*(r - 1)/least(40, total)), 4) AS x, round(sin(2*pi()*(r - 1)/least(40, total)), 4) AS y, total > 40 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY kind DESC, node) AS r, count(*) OVER () AS total FROM
+  (SELECT DISTINCT uid AS node, 'entity' AS kind FROM own UNION SELECT DISTINCT key_name || '|' || value, 'attribute' FROM own)) WHERE r <= 40""", G,
+           "big AS (SELECT g_component FROM feat ORDER BY g_component_size DESC, g_component LIMIT 1)", "own AS (SELECT e.* FROM edges e JOIN feat USING (uid) WHERE g_component = (SELECT g_component FROM big))"))
 def component_subgraph(spark, d):
     f = features(txn(spark, d))
     best = f.orderBy(F.desc("g_component_size"), "g_component").first()["g_component"]
@@ -222,50 +245,67 @@ def pr_curve(spark, d):
     return metrics.pr_curve(scored(spark, d))
 
 
-def costs_sql(ts: str) -> str:
+def costs_sql(ts: str, source: str = "scored") -> str:
     return f"""SELECT t AS threshold, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp/(tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp/(tp + fn) ELSE 0 END, 6) AS recall,
   round(CASE WHEN fp + tn > 0 THEN fp/(fp + tn) ELSE 0 END, 6) AS insult_rate, round(caught, 2) AS caught_inr, round(lost + fn*1200.0::DOUBLE, 2) AS missed_inr, round(bad*0.12::DOUBLE, 2) AS insult_cost_inr,
   round(lost + fn*1200.0::DOUBLE + bad*0.12::DOUBLE, 2) AS total_cost_inr FROM (
   SELECT t, count(*) FILTER (WHERE y = 1 AND s >= t) AS tp, count(*) FILTER (WHERE y = 0 AND s >= t) AS fp, count(*) FILTER (WHERE y = 1 AND s < t) AS fn, count(*) FILTER (WHERE y = 0 AND s < t) AS tn,
     coalesce(sum(amount_inr) FILTER (WHERE y = 1 AND s >= t), 0) AS caught, coalesce(sum(amount_inr) FILTER (WHERE y = 1 AND s < t), 0) AS lost, coalesce(sum(amount_inr) FILTER (WHERE y = 0 AND s >= t), 0) AS bad
-  FROM scored, ({ts}) GROUP BY t)"""
+  FROM {source}, ({ts}) GROUP BY t)"""
+
+
+def levels_sql(levels: tuple, extra: str = "") -> str:
+    """Distinct exact quantiles: order statistics and what lies between two that differ."""
+    at = "q*(n - 1)"
+    low, high = f"a[CAST(floor({at}) AS BIGINT) + 1]", f"a[CAST(ceil({at}) AS BIGINT) + 1]"
+    value = f"CASE WHEN {low} = {high} THEN {low} ELSE {low}*(1 - ({at} - floor({at}))) + {high}*({at} - floor({at})) END"
+    return f"SELECT DISTINCT unnest(list_transform({metrics.linspace(*levels)}::DOUBLE[], lambda q: {value})) AS t FROM (SELECT list(s ORDER BY s) AS a, count(*)::DOUBLE AS n FROM scored){extra}"
+
 
+def shown(costs: str) -> str:
+    return f"SELECT round(threshold, 6) AS threshold, c.* EXCLUDE (threshold) FROM ({costs}) c"
 
-def levels_sql(a: float, b: float, n: int, extra: str = "") -> str:
-    return f"SELECT DISTINCT round(unnest(quantile_cont(s, {metrics.linspace(a, b, n)})), 6) AS t FROM scored{extra}"
 
+def shown_costs(df):
+    return df.withColumn("threshold", F.round("threshold", 6))
 
-@query(sql(costs_sql(f"SELECT {FLAG}::DOUBLE AS t")))
+
+@query(sql(shown(costs_sql(f"SELECT {FLAG}::DOUBLE AS t"))))
 def cost_at_threshold(spark, d):
-    return metrics.at_thresholds(scored(spark, d), [FLAG])
+    return shown_costs(metrics.at_thresholds(scored(spark, d), [FLAG]))
 
 
-BY_COST = costs_sql(levels_sql(0.5, 0.9999, 200)) + " ORDER BY total_cost_inr, threshold LIMIT 1"
-BY_CAP = "SELECT * FROM (" + costs_sql(levels_sql(0.5, 0.99999, 200)) + ") ORDER BY insult_rate > 0.01, CASE WHEN insult_rate > 0.01 THEN insult_rate ELSE total_cost_inr END, threshold LIMIT 1"
+BY_COST = costs_sql(levels_sql(metrics.BY_COST)) + " ORDER BY total_cost_inr, threshold LIMIT 1"
+BY_CAP = "SELECT * FROM (" + costs_sql(levels_sql(metrics.UNDER_CAP)) + ") ORDER BY insult_rate > 0.01, CASE WHEN insult_rate > 0.01 THEN insult_rate ELSE total_cost_inr END, threshold LIMIT 1"
 
 
-@query(sql(BY_COST))
+@query(sql(shown(BY_COST)))
 def threshold_by_cost(spark, d):
-    return metrics.threshold_by_cost(scored(spark, d))
+    return shown_costs(metrics.threshold_by_cost(scored(spark, d)))
 
 
-@query(sql(BY_CAP))
+@query(sql(shown(BY_CAP)))
 def threshold_under_cap(spark, d):
-    return metrics.threshold_under_cap(scored(spark, d))
+    return shown_costs(metrics.threshold_under_cap(scored(spark, d)))
 
 
-@query(sql(costs_sql(levels_sql(0.85, 0.99995, 150, f" UNION SELECT {FLAG}::DOUBLE"))))
+@query(sql(shown(costs_sql(levels_sql(metrics.SWEEP, f" UNION SELECT {FLAG}::DOUBLE")))))
 def threshold_sweep(spark, d):
-    return metrics.threshold_sweep(scored(spark, d), extra=(FLAG,))
+    return shown_costs(metrics.threshold_sweep(scored(spark, d), extra=(FLAG,)))
+
+
+@query(sql(f"SELECT point, t.* EXCLUDE (point) FROM (SELECT 'cost' AS point, * FROM ({shown(BY_COST)}) UNION ALL SELECT 'cap', * FROM ({shown(BY_CAP)})) t"))
+def operating_points(spark, d):
+    return shown_costs(metrics.evaluate("base", scored(spark, d))[1])
 
 
 REPORT = f"""SELECT 'base' AS name, (SELECT count(*) FROM scored) AS rows, round((SELECT avg(y) FROM scored), 6) AS prevalence, round({ap_sql('scored')}, 6) AS auc_pr, round({ap_sql('scored')}/(SELECT avg(y) FROM scored), 4) AS lift,
-  round({auc_sql('scored')}, 6) AS auc_roc, a.threshold AS cost_threshold, a.total_cost_inr AS cost_total_inr, b.threshold AS cap_threshold, b.total_cost_inr AS cap_total_inr FROM ({BY_COST}) a, ({BY_CAP}) b"""
+  round({auc_sql('scored')}, 6) AS auc_roc, round(a.threshold, 6) AS cost_threshold, a.total_cost_inr AS cost_total_inr, round(b.threshold, 6) AS cap_threshold, b.total_cost_inr AS cap_total_inr FROM ({BY_COST}) a, ({BY_CAP}) b"""
 
 
 @query(sql(REPORT))
 def evaluation_report(spark, d):
-    return metrics.evaluation_report("base", scored(spark, d))
+    return metrics.evaluation_report("base", scored(spark, d)).withColumns({c: F.round(c, 6) for c in ("cost_threshold", "cap_threshold")})
 
 
 @query(sql(f"SELECT name, printf('%s: AUC-PR %.4f (%.1fx prevalence), AUC-ROC %.4f', name, auc_pr, lift, auc_roc) AS line FROM ({REPORT})"))
@@ -273,6 +313,16 @@ def report_line(spark, d):
     return metrics.report_line(metrics.evaluation_report("base", scored(spark, d)))
 
 
+POINT = """printf('%s at %.4f: precision %.4f, recall %.4f, %d caught and %d missed, %d legitimate declined (%.3f%%), Rs %.2f missed, Rs %.2f insult cost, Rs %.2f in all', point, threshold, precision, recall, tp, fn, fp, insult_rate*100, missed_inr, insult_cost_inr, total_cost_inr)"""
+
+
+@query(sql(f"""SELECT 0 AS place, printf('%s: AUC-PR %.4f (%.1fx prevalence), AUC-ROC %.4f', name, auc_pr, lift, auc_roc) AS line FROM ({REPORT})
+UNION ALL SELECT CASE WHEN point = 'cost' THEN 1 ELSE 2 END, {POINT} FROM (SELECT 'cost' AS point, * FROM ({BY_COST}) UNION ALL SELECT 'cap', * FROM ({BY_CAP}))"""))
+def summary_lines(spark, d):
+    report, points, _ = metrics.evaluate("base", scored(spark, d))
+    return metrics.summary_lines(report, points)
+
+
 BINS = """(SELECT len(list_filter(e, lambda x: x < s)) AS bin, count(*) AS n, avg(s) AS ms, avg(y) AS ry FROM scored, (SELECT quantile_cont(s, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM scored) GROUP BY 1)"""
 
 
@@ -303,18 +353,15 @@ def psi_sql(c: str) -> str:
     FROM b LEFT JOIN {count('<')} p USING (bin) LEFT JOIN {count('>=')} q USING (bin))) AS psi"""
 
 
-VERDICT = "CASE WHEN psi IS NULL THEN 'undefined' WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS verdict"
+VERDICT = "CASE WHEN psi IS NULL THEN 'undefined' WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate shift' ELSE 'significant shift' END AS verdict"
 
 
 @query(sql(f"SELECT feature, psi, {VERDICT} FROM ({' UNION ALL '.join(map(psi_sql, PSI_OF))})"))
 def psi_by_feature(spark, d):
     rows = scored(spark, d)
     at = split.cutoff(rows)
-    out = None
-    for c in PSI_OF:
-        one = metrics.psi(rows.where(F.col("TransactionDT") < at), rows.where(F.col("TransactionDT") >= at), c).select(F.lit(c).alias("feature"), "psi", metrics.psi_verdict(F.col("psi")).alias("verdict"))
-        out = one if out is None else out.union(one)
-    return out
+    early, late = rows.where(F.col("TransactionDT") < at), rows.where(F.col("TransactionDT") >= at)
+    return metrics.psi_table(early, late, list(PSI_OF)).select("feature", "psi", metrics.psi_verdict(F.col("psi")).alias("verdict"))
 
 
 @query(sql(f"SELECT feature, psi FROM ({' UNION ALL '.join(map(psi_sql, PSI_OF))}) ORDER BY psi DESC, feature LIMIT 1"))
@@ -333,13 +380,68 @@ def drift_windows(spark, d):
     return metrics.drift_windows(scored(spark, d))
 
 
-@query(sql("""SELECT round(f.auc_pr - l.auc_pr, 6) AS first_minus_last, f.auc_pr > l.auc_pr AS falling FROM (SELECT auc_pr FROM q ORDER BY w LIMIT 1) f, (SELECT auc_pr FROM q ORDER BY w DESC LIMIT 1) l""",
-           "ed AS (SELECT [a + i*(b + 1 - a)/6.0::DOUBLE for i in range(1, 6)] AS e FROM (SELECT min(TransactionDT) AS a, max(TransactionDT) AS b FROM scored))",
-           "win AS (SELECT len(list_filter(e, lambda x: x <= TransactionDT)) AS w, y, s FROM scored, ed)",
-           "q AS (SELECT w, round(sum(tp*ctp/cn)/sum(tp), 6) AS auc_pr FROM (SELECT w, tp, sum(tp) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY w ORDER BY s DESC)::DOUBLE AS cn FROM (SELECT w, s, sum(y) AS tp, count(*) AS n FROM win GROUP BY 1, 2)) GROUP BY w HAVING sum(tp) > 0)"))
+DRIFT_OF, DRIFT_DRAWS = ("TransactionAmt", "addr1", "card3"), 200
+
+
+def window_psi_sql(c: str) -> str:
+    side = lambda x, more="": f"(SELECT {more}{c}::DOUBLE AS x FROM {x} WHERE {c} IS NOT NULL)"
+    place = "len(list_filter(e, lambda z: z <= x)) AS bin"
+    return f"""SELECT w, '{c}' AS feature, round(sum((qq - pp)*ln(qq/pp)), 6) AS psi FROM (SELECT w, greatest(coalesce(p.n, 0)/sum(coalesce(p.n, 0)) OVER (PARTITION BY w), 1e-6) AS pp, greatest(coalesce(q.n, 0)/sum(coalesce(q.n, 0)) OVER (PARTITION BY w), 1e-6) AS qq
+    FROM (SELECT unnest(range(0, k)) AS bin, w FROM i_{c}, (SELECT DISTINCT w FROM win)) b LEFT JOIN (SELECT {place}, count(*)::DOUBLE AS n FROM {side('early')}, i_{c} GROUP BY 1) p USING (bin)
+    LEFT JOIN (SELECT w, {place}, count(*)::DOUBLE AS n FROM {side('win', 'w, ')}, i_{c} GROUP BY 1, 2) q USING (w, bin)) GROUP BY w"""
+
+
+LATE = ("early AS (SELECT * FROM scored WHERE TransactionDT < (SELECT c FROM cut))", "late AS (SELECT * FROM scored WHERE TransactionDT >= (SELECT c FROM cut))",
+        "ed AS (SELECT [a + i*(b + 1 - a)/6.0::DOUBLE for i in range(0, 7)] AS e FROM (SELECT min(TransactionDT) AS a, max(TransactionDT) AS b FROM late))",
+        "win AS (SELECT len(list_filter(e[2:6], lambda x: x <= TransactionDT)) AS w, late.* FROM late, ed)")
+
+
+def resampled_sql(source: str, by: str) -> tuple[str, ...]:
+    """Average precision and ROC area of every draw, and their intervals, by the columns ``by`` (with a comma after them)."""
+    return (f"rs AS (SELECT * FROM (SELECT {by}y, s, b, {poisson_sql('id', 'b')} AS k FROM {source}, range(1, {DRIFT_DRAWS + 1}) AS t(b)) WHERE k > 0)",
+            f"""rc AS (SELECT *, sum(pos) OVER (PARTITION BY {by}b ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY {by}b ORDER BY s DESC) AS cn FROM (SELECT {by}b, s, sum(k*y)::DOUBLE AS pos, sum(k*(1 - y))::DOUBLE AS neg FROM rs GROUP BY ALL))""",
+            f"rm AS (SELECT {by}b, sum(pos*cp/(cp + cn))/sum(pos) AS ap, sum(neg*(cp - pos/2))/(sum(pos)*sum(neg)) AS auc FROM rc GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0)",
+            f"""ci AS (SELECT {by}count(*) AS draws, round(quantile_cont(ap, 0.025), 6) AS auc_pr_low, round(quantile_cont(ap, 0.975), 6) AS auc_pr_high, round(quantile_cont(auc, 0.025), 6) AS auc_roc_low, round(quantile_cont(auc, 0.975), 6) AS auc_roc_high FROM rm GROUP BY ALL)""")
+
+
+def drift_ctes() -> tuple[str, ...]:
+    inner = [f"i_{c} AS (SELECT q[2:len(q) - 1] AS e, len(q) - 1 AS k FROM (SELECT list_sort(list_distinct(quantile_cont({c}::DOUBLE, {[i / 10 for i in range(11)]}))) AS q FROM early WHERE {c} IS NOT NULL))" for c in DRIFT_OF]
+    return (*LATE, *resampled_sql("win", "w, "), *inner,
+            f"ps AS ({' UNION ALL '.join(map(window_psi_sql, DRIFT_OF))})", "wp AS (SELECT w, max_by(feature, (psi, feature)) AS worst_feature, max(psi) AS worst_psi FROM ps GROUP BY w)",
+            """ec AS (SELECT w, round(sum(g*n)/sum(n), 6) AS ece FROM (SELECT w, len(list_filter(q, lambda x: x < s)) AS bin, count(*) AS n, abs(avg(s) - avg(y)) AS g FROM win JOIN (SELECT w, quantile_cont(s, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM win GROUP BY w) USING (w) GROUP BY 1, 2) GROUP BY w)""",
+            """dw AS (SELECT w, count(*) AS rows, sum(y) AS fraud, round(avg(y), 6) AS prevalence, round(avg(pow(s - y, 2)), 6) AS brier, round(any_value(e)[w + 1]/86400, 4) AS start_day, round(any_value(e)[w + 2]/86400, 4) AS end_day FROM win, ed GROUP BY w HAVING sum(y) > 0)""",
+            """da AS (SELECT w, round(sum(pos*cp/(cp + cn))/sum(pos), 6) AS auc_pr, round(sum(neg*(cp - pos/2))/(sum(pos)*sum(neg)), 6) AS auc_roc FROM (SELECT *, sum(pos) OVER (PARTITION BY w ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY w ORDER BY s DESC) AS cn FROM (SELECT w, s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM win GROUP BY ALL)) GROUP BY w)""",
+            'dr AS (SELECT w AS "window", rows, fraud, prevalence, brier, start_day, end_day, ece, auc_pr, auc_pr_low, auc_pr_high, auc_roc, auc_roc_low, auc_roc_high, worst_feature, worst_psi FROM dw LEFT JOIN da USING (w) LEFT JOIN ec USING (w) LEFT JOIN ci USING (w) LEFT JOIN wp USING (w))')
+
+
+def poisson_sql(key: str, b: str) -> str:
+    h = f"substr(md5(concat({key}, ':', {b})), 1, 8)"
+    return "CASE " + " ".join(f"WHEN {h} < '{x}' THEN {i}" for i, x in enumerate(resample.POISSON)) + " ELSE 7 END"
+
+
+@query(sql("SELECT * FROM dr", *drift_ctes()))
+def drift_report(spark, d):
+    rows = scored(spark, d)
+    at = split.cutoff(rows)
+    return metrics.drift_report(rows.where(F.col("TransactionDT") >= at), rows.where(F.col("TransactionDT") < at), list(DRIFT_OF), draws=DRIFT_DRAWS)
+
+
+def trend_sql(metric: str) -> str:
+    return f"""SELECT f."window" AS first, l."window" AS last, (SELECT count(*) FROM dr) >= 2 AND (f.{metric}_low > l.{metric}_high OR l.{metric}_low > f.{metric}_high) AS distinguishable
+  FROM (SELECT * FROM dr ORDER BY "window" LIMIT 1) f, (SELECT * FROM dr ORDER BY "window" DESC LIMIT 1) l"""
+
+
+@query(sql(f"SELECT 'auc_pr' AS metric, * FROM ({trend_sql('auc_pr')}) UNION ALL SELECT 'auc_roc', * FROM ({trend_sql('auc_roc')})", *drift_ctes()))
 def ranking_quality_trend(spark, d):
-    w = metrics.drift_windows(scored(spark, d))
-    return w.agg(F.min_by("auc_pr", "window").alias("f"), F.max_by("auc_pr", "window").alias("l")).select(F.round(F.col("f") - F.col("l"), 6).alias("first_minus_last"), (F.col("f") > F.col("l")).alias("falling"))
+    w = Scratch(spark, "trend").table(drift_report(spark, d), "windows")
+    return metrics.trend(w, "auc_pr").select(F.lit("auc_pr").alias("metric"), "*").union(metrics.trend(w, "auc_roc").select(F.lit("auc_roc"), "*"))
+
+
+@query(sql("SELECT draws, auc_pr_low, auc_pr_high, auc_roc_low, auc_roc_high FROM ci", *resampled_sql("scored", "")))
+def metric_intervals(spark, d):
+    rows = Scratch(spark, "intervals").table(scored(spark, d).select("id", "y", "s"), "rows")
+    ap, auc = (resample.metric_interval(rows, "id", m, DRIFT_DRAWS) for m in ("ap", "auc"))
+    return ap.select("draws", F.col("low").alias("auc_pr_low"), F.col("high").alias("auc_pr_high")).crossJoin(auc.select(F.col("low").alias("auc_roc_low"), F.col("high").alias("auc_roc_high")))  # one row each
 
 
 @query(sql(f"""SELECT count(*) AS fraud_rows, round(count(*) FILTER (WHERE m)/count(*), 6) AS count_share, round(coalesce(sum(amount_inr) FILTER (WHERE m), 0)/sum(amount_inr), 6) AS value_share,
@@ -370,11 +472,6 @@ def effective_sample_size(spark, d):
 
 # --- resampling and permutation
 
-def poisson_sql(key: str, b: str) -> str:
-    h = f"substr(md5(concat({key}, ':', {b})), 1, 8)"
-    return "CASE " + " ".join(f"WHEN {h} < '{x}' THEN {i}" for i, x in enumerate(resample.POISSON)) + " ELSE 7 END"
-
-
 def interval_sql(source: str) -> str:
     return f"""SELECT draws, delta, low, high, low > 0 OR high < 0 AS significant, CASE WHEN NOT (low > 0 OR high < 0) THEN 'no significant difference' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS verdict
   FROM (SELECT count(*) AS draws, round(avg(delta), 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM {source})"""
@@ -409,9 +506,9 @@ def bootstrap_exact(spark, d):
     return resample.exact_bootstrap(scored(spark, d), ap, draws=DRAWS)
 
 
-@query(sql(f"SELECT count(*) AS n, round(max(s), 4) AS metric FROM scored WHERE y = 1").replace("count(*) AS n, ", ""))
+@query(sql("SELECT round(avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0), 6) AS metric FROM scored"))
 def pluggable_metric(spark, d):
-    return metrics.metric(scored(spark, d).where("y = 1").select("y", "s"), lambda pdf: round(pdf["s"].max(), 4))
+    return metrics.metric(scored(spark, d).select("y", "s"), lambda pdf: round(pdf["s"][pdf["y"] == 1].mean() - pdf["s"][pdf["y"] == 0].mean(), 6))
 
 
 MEMBERS = "mem AS (SELECT f.uid, g_component AS component, CAST(fraud AS INT) AS fraud FROM feat f JOIN (SELECT uid, max(isFraud) AS fraud FROM scored WHERE uid IS NOT NULL GROUP BY uid) USING (uid) WHERE g_is_linked = 1)"
@@ -514,13 +611,21 @@ def case_files(spark, d):
     return clusters.case_files(evidence(spark, d)).select(*CASE_COLUMNS)
 
 
-@query(sql("""SELECT case_id, concat_ws('; ', CASE WHEN len(na) >= 2 THEN printf('all %d entities share %d identifying attributes (%s)', entity_count, len(na), array_to_string(na, ', ')) WHEN len(na) = 1 THEN printf('all %d entities share %s', entity_count, na[1]) END,
+@query(sql("SELECT case_id, rank, cluster_id FROM cf WHERE case_id = 'case-1'", TEST, CLUSTERS, CASES))
+def case_by_id(spark, d):
+    return tables.case_by_id(clusters.case_files(evidence(spark, d)), "case-1").select("case_id", "rank", "cluster_id")
+
+
+FINDINGS = """SELECT case_id, concat_ws('; ', CASE WHEN len(na) >= 2 THEN printf('all %d entities share %d identifying attributes (%s)', entity_count, len(na), array_to_string(na, ', ')) WHEN len(na) = 1 THEN printf('all %d entities share %s', entity_count, na[1]) END,
   CASE WHEN core_number >= 2 THEN printf('k-core number %d indicates mutually reinforcing links rather than a chain of one-off coincidences', core_number) END, CASE WHEN span_days <= 7 THEN printf('activity is compressed into %d days, consistent with a burst', span_days) END,
   CASE WHEN flagged_share >= 0.5 THEN printf('%d of %d transactions were independently flagged by the model', flagged_transaction_count, transaction_count) END, CASE WHEN entities_in_other_clusters > 0 THEN printf('%d of its entities also appear in other flagged clusters', entities_in_other_clusters) END) AS corroborating,
   concat_ws('; ', CASE WHEN len(na) = 0 THEN 'no single attribute is shared by every entity; the link is an indirect chain' END, CASE WHEN span_days > 7 THEN printf('activity spans %d days, longer than a typical card-testing burst and consistent with ordinary shared usage', span_days) END,
   CASE WHEN flagged_share <= 0.34 THEN printf('only %d of %d transactions were flagged; most of the cluster''s activity scored normally', flagged_transaction_count, transaction_count) END,
   CASE WHEN distinct_cards = 1 AND entity_count > 1 THEN 'a single card across several entities is also the ordinary signature of one household or a shared business account' END) AS contradicting
-FROM (SELECT *, list_filter(shared_attributes, lambda x: x <> 'indirect_attribute_chain') AS na FROM cf)""", TEST, CLUSTERS, CASES))
+FROM (SELECT *, list_filter(shared_attributes, lambda x: x <> 'indirect_attribute_chain') AS na FROM cf)"""
+
+
+@query(sql(FINDINGS, TEST, CLUSTERS, CASES))
 def case_findings(spark, d):
     return clusters.case_findings(clusters.case_files(evidence(spark, d)))
 
@@ -550,7 +655,38 @@ def linked_subgroup_ap(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def event_dedup(spark, d):
     e = table(spark, d, "events")
-    return e.union(e.where("event_id % 3 = 0")).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    return ingest.deduplicated(e.union(e.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM events")
+def event_count(spark, d):
+    return tables.event_count(table(spark, d, "events"))
+
+
+def decisions(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("case_id"), F.when(F.col("event_id") % 3 == 0, "rejected").otherwise("approved").alias("decision"))
+
+
+TRAIL = "(SELECT event_id AS id, user_id % 40 AS case_id, CASE WHEN event_id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT 'all' AS asked, * FROM {TRAIL} ORDER BY id DESC LIMIT 200) UNION ALL SELECT * FROM (SELECT 'case' AS asked, * FROM {TRAIL} WHERE case_id = 7 ORDER BY id DESC LIMIT 50)")
+def audit_trail(spark, d):
+    rows = decisions(spark, d)
+    return tables.audit_trail(rows, limit=500).select(F.lit("all").alias("asked"), "*").union(tables.audit_trail(rows, 7).select(F.lit("case"), "*"))
+
+
+@query("SELECT * FROM (VALUES ('case-1', 'rejected', 'me'), ('case-2', 'approved', 'unattributed')) AS t(case_id, decision, reviewer)")
+def recorded_decisions(spark, d):
+    path = Scratch(spark, "decisions").path("rows")
+    for case, decision, who in (("case-1", "approved", "me"), ("case-2", "approved", " "), ("case-1", "rejected", "me")):
+        tables.record_decision(spark, path, case, decision, who)
+    return tables.latest_decisions(spark.read.parquet(path)).select("case_id", "decision", "reviewer")
+
+
+@query("SELECT 'ok' AS status, (SELECT count(*) FROM events) AS events, true AS results, false AS model, true AS ready")
+def health(spark, d):
+    return tables.health(table(spark, d, "events"), table(spark, d, "region"))
 
 
 def live_rows(spark, d):
@@ -586,6 +722,12 @@ def latest_analysis(spark, d):
     return tables.latest_analysis(e).select("event_id", "structural")
 
 
+@query("SELECT user_id AS event_id, event_type AS structural FROM events WHERE event_id = (SELECT max(event_id) FROM events WHERE user_id = 3)")
+def analysis_by_id(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("event_id"), F.col("event_type").alias("structural"), F.col("event_id").alias("analysed_at"))
+    return tables.get_analysis(e, 3).select("event_id", "structural")
+
+
 PAYMENT = """'{"payload":{"payment":{"entity":{"id":"pay_' || c_custkey || '","amount":' || (c_custkey * 37 % 90000) || ',"created_at":' || (c_custkey * 86399) || ',"email":"' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '@Mail' || (c_custkey % 7) || '.Example.COM' END || '","contact":" ' || (CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '+91' || c_custkey END) || ' ","vpa":"U' || c_custkey || '@UPI","card":{"last4":"' || (CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(1000 + c_custkey % 9000 AS VARCHAR(9)) END) || '","network":"Visa","issuer":"' || c_mktsegment || '"}}}}}'"""
 
 
@@ -608,12 +750,30 @@ def payment_features(spark, d):
     return f.withColumn("coverage_pct", F.round(tables.coverage_pct(present, F.lit(3)), 4)).withColumn("TransactionAmt", F.round("TransactionAmt", 6))
 
 
+@query(f"SELECT c_custkey AS event_id, json_extract_string({PAYMENT}, '$.payload.payment.entity.id') AS payment_id FROM customer")
+def all_payments(spark, d):
+    stored = payments(spark, d).select(F.col("c_custkey").alias("event_id"), F.col("body").alias("payload"), F.col("c_custkey").alias("received_at"))
+    more = stored.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit('{"payload":{}}').alias("payload"), F.lit(0).cast("bigint").alias("received_at"))
+    return tables.all_payments(stored.union(more)).select("event_id", F.get_json_object("payment", "$.id").alias("payment_id"))
+
+
+MODEL_INPUTS = ["TransactionAmt", "card3", "addr1", "tx_hour", "tx_dayofweek"]
+
+
+@query()
+def score_payments(spark, d):
+    """Payments scored by a model of the transactions; what a payment does not tell is missing."""
+    trained = model.train(split.add_time_features(txn(spark, d)), MODEL_INPUTS)
+    rows = payments(spark, d).select("c_custkey", tables.payment_json(F.col("body")).alias("payment"))
+    return model.score_payments(trained, rows, tables.payment_features(F.col("payment"))).drop("payment")
+
+
 @query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey AND o_orderkey IN (SELECT c_custkey FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)")
 def resolve_edges(spark, d):
     return tables.resolve_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query()
+@query("SELECT c_custkey % 4 <> 0 AS valid, count(*) AS n FROM customer GROUP BY 1")
 def signature_check(spark, d):
     body = payments(spark, d)
     signed = body.withColumn("signature", F.when(F.col("c_custkey") % 4 != 0, text.hmac_sha256(F.col("body"), b"secret")).otherwise(F.lit("00")))
@@ -653,10 +813,46 @@ def allowed_numbers(spark, d):
     return evidence(spark, d).select("cluster_id", F.array_join(text.allowed_numbers(), " ").alias("allowed"))
 
 
+OF_CASE = ("risk_percentile", "transactions_per_entity", "flagged_share", "population_mean_risk")
+SHOWN_CASE = SHOWN + [f"CAST({c} AS VARCHAR)" for c in ("rank", "total_flagged_clusters", "entities_in_other_clusters")] + [
+    x for c in OF_CASE for x in (f"rtrim(printf('%.4f', {c}), '0')", f"CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR)", f"printf('%.2f', {c})", f"printf('%.1f', {c})", f"printf('%.0f', {c})")]
+
+
+@query(sql(f"""SELECT case_id, array_to_string(list_sort(list_distinct(list_concat(list_transform([{', '.join(SHOWN_CASE)}], lambda x: CASE WHEN contains(x, '.') THEN CASE WHEN rtrim(rtrim(x, '0'), '.') = '' THEN '0' ELSE rtrim(rtrim(x, '0'), '.') END ELSE x END),
+  {numbers_sql('corroborating')}, {numbers_sql('contradicting')}))), ' ') AS allowed FROM cf JOIN fi USING (case_id)""", TEST, CLUSTERS, CASES, f"fi AS ({FINDINGS})"))
+def allowed_case_numbers(spark, d):
+    return whole_cases(spark, d).select("case_id", F.array_join(text.allowed_numbers(case=True), " ").alias("allowed"))
+
+
+def whole_cases(spark, d):
+    """Case files with their findings."""
+    cases = Scratch(spark, "cases").table(clusters.case_files(evidence(spark, d)), "cases")
+    return cases.join(clusters.case_findings(cases), "case_id")
+
+
+def lines_sql(*more: str) -> str:
+    facts = [f"'{c}: ' || CAST({c} AS VARCHAR)" for c in text.INTEGERS] + [f"'{c}: ' || printf('%.4f', {c})" for c in text.DECIMALS] + ["'shared_attributes: ' || array_to_string(shared_attributes, ', ')"]
+    return " || chr(10) || ".join([*more[:1], *facts, *more[1:]])
+
+
+def listed_sql(title: str, c: str) -> str:
+    return f"CASE WHEN {c} <> '' THEN chr(10) || '{title}:' || chr(10) || '  - ' || replace({c}, '; ', chr(10) || '  - ') ELSE '' END"
+
+
+CASE_PROMPT = lines_sql("'case_id: ' || case_id", "'rank_by_risk: ' || rank || ' of ' || total_flagged_clusters", "printf('risk_percentile: %.2f', risk_percentile)", "'entities_also_in_other_flagged_clusters: ' || entities_in_other_clusters",
+                        "printf('transactions_per_entity: %.2f', transactions_per_entity)", "printf('share_of_transactions_flagged: %.2f', flagged_share)", "printf('population_mean_risk_score: %.4f', population_mean_risk)"
+                        ) + " || " + listed_sql("findings_supporting_concern", "corroborating") + " || " + listed_sql("findings_arguing_against_concern", "contradicting")
+
+
+@query(sql(f"SELECT case_id, {CASE_PROMPT} AS prompt FROM cf JOIN fi USING (case_id)", TEST, CLUSTERS, CASES, f"fi AS ({FINDINGS})"))
+def case_prompts(spark, d):
+    return whole_cases(spark, d).select("case_id", text.case_facts().alias("prompt"))
+
+
 RAW = """CASE c_custkey % 8 WHEN 0 THEN 'not json' WHEN 1 THEN '{"probable_cause":"CARD_TESTING","confidence":"high","human_summary":"few"}'
   WHEN 2 THEN '{"probable_cause":"NOTHING","confidence":"high","human_summary":"a","suggested_action":"b"}' WHEN 3 THEN '{"probable_cause":"UNEXPLAINED","confidence":"sure","human_summary":"a","suggested_action":"b"}'
   WHEN 4 THEN '{"probable_cause":"UNEXPLAINED","confidence":"low","human_summary":" ","suggested_action":"b"}' WHEN 5 THEN '{"probable_cause":"UNEXPLAINED","confidence":"low","human_summary":"a","suggested_action":"b","more":1}'
-  ELSE '{"probable_cause":"COORDINATED_RING","confidence":"medium","human_summary":"' || (c_custkey % 30) || ' entities","suggested_action":"look at 1,2' || (c_custkey % 3) || '.50"}' END"""
+  ELSE CASE WHEN c_custkey % 8 = 7 THEN '```json' || char(10) ELSE '' END || '{"probable_cause":"COORDINATED_RING","confidence":"medium","human_summary":"' || (c_custkey % 30) || ' entities","suggested_action":"look at 1,2' || (c_custkey % 3) || '.50"}' || CASE WHEN c_custkey % 8 = 7 THEN char(10) || '```' ELSE '' END END"""
 
 
 @query(f"""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'not valid JSON' WHEN 1 THEN 'missing field: suggested_action' WHEN 2 THEN 'probable_cause is not allowed' WHEN 3 THEN 'confidence is not allowed' WHEN 4 THEN 'human_summary is empty' WHEN 5 THEN 'unexpected field: more'
@@ -666,7 +862,7 @@ def narrative_validation(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.rejection(F.expr(RAW), allowed).alias("reason"))
 
 
-@query()
+@query("""SELECT CASE c_custkey % 4 WHEN 1 THEN 'invented number: 77' WHEN 2 THEN 'key_factors is empty' WHEN 3 THEN 'recommendation is not allowed' END AS reason, count(*) AS n FROM customer GROUP BY 1""")
 def disposition_validation(spark, d):
     raw = F.expr("""CASE c_custkey % 4 WHEN 0 THEN '{"recommendation":"confirm","confidence":"high","rationale":"seen 3 times","key_factors":["one card"]}' WHEN 1 THEN '{"recommendation":"confirm","confidence":"high","rationale":"seen 77 times","key_factors":["one card"]}'
       WHEN 2 THEN '{"recommendation":"confirm","confidence":"high","rationale":"r","key_factors":[]}' ELSE '{"recommendation":"wait","confidence":"high","rationale":"r","key_factors":["x"]}' END""")
@@ -705,13 +901,69 @@ def to_paise(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.to_paise(F.round("c_acctbal", 2).cast("string")).alias("paise"))
 
 
+@query("SELECT name FROM (VALUES ('TransactionAmt'), ('card1'), ('addr1'), ('P_emaildomain'), ('card3'), ('card5'), ('card6'), ('D1'), ('tx_hour'), ('tx_dayofweek')) AS t(name)")
+def feature_names(spark, d):
+    rows = entity.build_uid(split.add_time_features(txn(spark, d)))
+    return spark.createDataFrame([(c,) for c in split.feature_columns(rows)], "name string")
+
+
+@query(sql("SELECT cluster_id, CASE WHEN entity_count <= 10 THEN 'confirm' END AS recommendation, entity_count <= 10 AS accepted FROM ev", TEST, CLUSTERS))
+def drafted_dispositions(spark, d):
+    """A drafter that quotes the number of entities, where only 0 to 10 may be quoted."""
+    e = evidence(spark, d).select("cluster_id", text.facts().alias("prompt"), F.array(*[F.lit(str(n)) for n in range(11)]).alias("allowed"))
+
+    def stub(prompt: str) -> str:
+        count = next(x for x in prompt.split("\n") if x.startswith("entity_count"))[14:]
+        return '{"recommendation": "confirm", "confidence": "low", "rationale": "%s entities", "key_factors": ["shared"]}' % count
+
+    return text.draft_dispositions(e, stub).select("cluster_id", F.get_json_object("disposition", "$.recommendation").alias("recommendation"), "accepted")
+
+
 # --- model, maintained cores
 
+def feature_sets(spark, d):
+    """Train and test rows with graph features of their own graphs, and the columns of each variant."""
+    a, b = split.temporal_split(split.add_time_features(entity.build_uid(txn(spark, d))))
+    a, b = graph.features_for_split(a, b, views.COLUMNS, KEYS, CAP)
+    s = Scratch(spark, "ablation")
+    return s.table(a, "train"), s.table(b, "test"), {
+        "tabular": MODEL_INPUTS, "components": [*MODEL_INPUTS, "g_component_size", "g_component_size_total", "g_is_linked"],
+        "kcore": [*MODEL_INPUTS, "g_core_number", "g_degree"], "graph": [*MODEL_INPUTS, "g_component_size", "g_component_size_total", "g_is_linked", "g_core_number", "g_degree"]}
+
+
 @query()
 def gbt_scores(spark, d):
-    rows = split.add_time_features(txn(spark, d))
-    a, b = split.temporal_split(rows)
-    return model.variants(a, b, {"plain": ["TransactionAmt", "card3", "addr1", "tx_hour"]}, rounds=5, depth=3)
+    a, b, sets = feature_sets(spark, d)
+    return model.variants(a, b, {"tabular": sets["tabular"]})
+
+
+@query()
+def top_features(spark, d):
+    """The inputs of greatest gain, of a model that was saved and loaded again."""
+    path = Scratch(spark, "model").path("tabular")
+    model.train(split.add_time_features(txn(spark, d)), MODEL_INPUTS).save(path)
+    return spark.createDataFrame(model.importances(model.Trained.load(spark, path)), "feature string, gain double")
+
+
+@query()
+def ablation(spark, d):
+    """Every feature set's metrics on the same test rows, with the change from the tabular one and its interval."""
+    a, b, sets = feature_sets(spark, d)
+    return model.compare(model.variants(a, b, sets), b, "tabular", DRAWS)
+
+
+@query()
+def results_document(spark, d):
+    """One JSON document of the dataset, the operating points and the calibration, as served to readers."""
+    rows = Scratch(spark, "results").table(scored(spark, d), "rows")
+    report, points, _ = metrics.evaluate("base", rows)
+    one = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))  # noqa: E731  # at most a few hundred rows
+    parts = [one(split.dataset_summary(rows), "dataset"), one(report, "report"), one(points, "operating_points"), one(metrics.threshold_sweep(rows, (FLAG,)), "sweep"),
+             one(metrics.calibration_report("base", rows), "calibration"), one(metrics.value_concentration(rows, F.col("s") >= FLAG), "concentration")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out.select(F.to_json(F.struct(*out.columns)).alias("document"))
 
 
 @query(sql("SELECT node, core FROM core", G))

@@ -10,13 +10,23 @@ DISPOSITIONS = T.StructType([T.StructField("id", T.LongType(), False), T.StructF
                              T.StructField("reviewer", T.StringType()), T.StructField("note", T.StringType()), T.StructField("drafted", T.StringType()), T.StructField("evidence_seen", T.StringType())])
 #: Fields of which a payment has at least one, and decisions that may be recorded. Fixed values.
 PAYMENT_FIELDS = ("id", "amount", "email", "contact", "card", "vpa", "created_at", "method")
-VERBS = ("confirm", "dismiss", "escalate")
+VERBS = ("approved", "rejected")
 
 
-def downcast(df: DataFrame) -> DataFrame:
-    """Narrow integers to long and decimals to double; floats are not cut to single precision, which would lose sums."""
-    to = {"float": "double", "int": "bigint", "smallint": "bigint", "tinyint": "bigint"}
-    return df.select(*[F.col(f"`{c}`").cast("double" if k.startswith("decimal") else to.get(k, k)).alias(c) for c, k in df.dtypes])
+def downcast(df: DataFrame, floats: bool = True) -> DataFrame:
+    """Numbers in the smallest type that holds them: whole ones by their observed range (one pass), others in single precision.
+
+    Without ``floats`` doubles stay, for sums that single precision would lose. Text is left as it is.
+    """
+    whole = [c for c, k in df.dtypes if k in ("bigint", "int", "smallint")]
+    to = {c: "float" for c, k in df.dtypes if floats and (k == "double" or k.startswith("decimal"))}
+    if whole:
+        r = df.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(whole) for n, f in (("a", F.min), ("b", F.max))]).first()
+        for i, c in enumerate(whole):
+            a, b = r[f"a{i}"], r[f"b{i}"]
+            if a is not None:
+                to[c] = next(k for k, n in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << n) <= a and b < 1 << n)
+    return df.select(*[F.col(f"`{c}`").cast(to.get(c, k)).alias(c) for c, k in df.dtypes])
 
 
 def load_merged(spark: SparkSession, transactions: str, identity: str, cache: str | None = None, schemas: tuple | None = None) -> DataFrame:
@@ -90,6 +100,42 @@ def recent_events(events: DataFrame, analysis: DataFrame, limit: int = 50) -> Da
     return events.join(analysis, "event_id", "left").orderBy(F.desc("received_at"), F.desc("event_id")).limit(limit)
 
 
+def event_count(events: DataFrame) -> DataFrame:
+    return events.agg(F.count("*").alias("n"))
+
+
+def all_payments(events: DataFrame) -> DataFrame:
+    """(event_id, payment) of every stored payment, oldest first; events without the payment envelope are left out."""
+    at = F.get_json_object("payload", "$.payload.payment.entity")
+    return events.select("event_id", at.alias("payment"), "received_at").where(F.json_object_keys("payment").isNotNull()).orderBy("received_at", "event_id").select("event_id", "payment")
+
+
+def get_analysis(analysis: DataFrame, event_id: str) -> DataFrame:
+    """The last analysis of one event; no row if there is none."""
+    return latest_analysis(analysis.where(F.col("event_id") == event_id))
+
+
+def audit_trail(decisions: DataFrame, case_id: str | None = None, limit: int = 50) -> DataFrame:
+    """Newest decisions first, of one case or of all, at most ``limit`` (1 to 200)."""
+    rows = decisions if case_id is None else decisions.where(F.col("case_id") == case_id)
+    return rows.orderBy(F.desc("id")).limit(max(1, min(limit, 200)))
+
+
+def case_by_id(cases: DataFrame, case_id: str) -> DataFrame:
+    """The first case of that id by rank; no row if there is none."""
+    return cases.where(F.col("case_id") == case_id).orderBy("rank").limit(1)
+
+
+def health(events: DataFrame | None, results: DataFrame | None, model=None) -> DataFrame:
+    """One row: whether events, results and a model are at hand, the number of events, and whether all that requests need is ready."""
+    some = events if events is not None else results
+    if some is None:
+        raise ValueError("nothing to report on")
+    n = events.count() if events is not None else 0
+    has = results is not None and not results.isEmpty()
+    return some.sparkSession.range(1).select(F.lit("ok").alias("status"), F.lit(n).cast("long").alias("events"), F.lit(has).alias("results"), F.lit(model is not None).alias("model"), F.lit(events is not None and has).alias("ready"))
+
+
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """Of each case the decision with the greatest id."""
     rest = F.struct(*decisions.columns)
@@ -108,6 +154,8 @@ def record_decision(spark: SparkSession, path: str, case_id: str, decision: str,
 
     if decision not in VERBS:
         raise ValueError(f"decision must be one of {VERBS}")
+    if not case_id:
+        raise ValueError("a case is required")
     row = (time.time_ns(), case_id, datetime.datetime.now(datetime.timezone.utc), decision, (reviewer or "").strip() or "unattributed", note, drafted, evidence)
     spark.createDataFrame([row], DISPOSITIONS).coalesce(1).write.mode("append").parquet(path)
 

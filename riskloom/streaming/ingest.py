@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import verify_signature
 from ..operators.components import connected_components
 from ..operators.graph import k_core
-from ..operators.live import analyse_all
+from ..operators.live import analyse_near
 from ..scratch import Scratch
 from ..sources.tables import extract_event, payment_json
 
@@ -32,9 +32,10 @@ def store(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def analyse_batches(events: DataFrame, history: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Per batch of payment events: add them to the history, analyse its payers, write the rows of the batch's payers.
+    """Per batch of payment events: add them to the history, analyse the components of its payers, write their rows.
 
-    A batch that runs again overwrites its own folders, so the result does not depend on retries.
+    A batch that runs again overwrites its own folders, so the result does not depend on
+    retries. A batch without payments writes nothing.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -42,8 +43,9 @@ def analyse_batches(events: DataFrame, history: str, out: str, checkpoint: str)
         own = batch.where(F.col("event_type").startswith("payment.")).select("event_id", extract_event(payment_json(F.col("body")), F.col("event_id")).alias("e")).select("event_id", "e.*")
         own.write.mode("overwrite").parquet(f"{history}/batch={number}")
         past = spark.read.parquet(history).where(F.col("batch") <= number)
-        touched = spark.read.parquet(f"{history}/batch={number}").select("payer_key").distinct()
-        analyse_all(past).join(touched, "payer_key", "left_semi").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        touched = spark.read.schema(own.schema).parquet(f"{history}/batch={number}").select("payer_key").distinct()
+        if not touched.isEmpty():
+            analyse_near(past, touched).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return deduplicated(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -12,6 +12,9 @@ FAST = [
     "average_precision", "value_weighted_ap", "roc_auc", "pr_curve", "threshold_by_cost", "threshold_under_cap", "threshold_sweep", "calibration_report", "psi_by_feature", "drift_windows", "value_concentration",
     "cost_weights_summary", "bootstrap_vdr_delta_hash", "bootstrap_ap_delta_hash", "ring_observed", "cluster_evidence", "case_findings", "event_dedup", "live_entities", "payer_extract", "extract_numbers",
     "narrative_validation", "indian_grouping", "to_paise",
+    "connected_components", "k_core", "pagerank", "train_test_graph_features", "component_subgraph", "case_files", "case_by_id", "operating_points", "summary_lines", "evaluation_report", "drift_report",
+    "ranking_quality_trend", "metric_intervals", "pluggable_metric", "ring_permutation_hash", "homophily_permutation_hash", "event_count", "audit_trail", "health", "analysis_by_id", "all_payments",
+    "signature_check", "disposition_validation", "drafted_dispositions", "feature_names", "incremental_core_replay",
 ]
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import components, entity, graph, live
+from riskloom.streaming.cores import Cores, maintained
 from riskloom.streaming.ingest import IncrementalCore
 
 
@@ -78,6 +79,88 @@ def test_betweenness_of_a_path(spark):
     assert [round(got[i], 6) for i in range(5)] == [0, 0.5, round(4 / 6, 6), 0.5, 0]
 
 
+def plain_betweenness(edges):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, defaultdict(float, {s: 1.0}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w]
+    n = len(near)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+@pytest.mark.parametrize("dense,walk", [(192, 20_000_000), (3, 500)])
+def test_betweenness_however_dealt(spark, monkeypatch, dense, walk):
+    """Small components as matrices, and a large one's sources over many tasks."""
+    monkeypatch.setattr(graph, "DENSE", dense)
+    monkeypatch.setattr(graph, "WALK", walk)
+    e = SHAPES["random"] + [(a + 1000, b + 1000) for a, b in SHAPES["barbell"]] + [(2000 + 3 * i, 2001 + 3 * i) for i in range(9)] + [(3000 + 5 * i + j, 3001 + 5 * i + j) for i in range(6) for j in range(3)]
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(e, "src long, dst long")).collect()}
+    want = plain_betweenness(e)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_centrality_keeps_the_future_out(spark):
+    cols = "TransactionID long, TransactionDT long, card1 long, addr1 long, D1 long"
+    a = entity.build_uid(spark.createDataFrame([(1, 0, 1, 7, 0), (9, 0, None, 7, 0)], cols))
+    b = entity.build_uid(spark.createDataFrame([(2, 86400, 2, 7, 0), (3, 86400, 3, 8, 0)], cols))
+    tr, te = graph.centrality_for_split(a, b, ["addr1"], {"addr1": ("addr1",)})
+    first = {r.TransactionID: r for r in tr.collect()}
+    later = {r.TransactionID: r for r in te.collect()}
+    assert abs(first[1].g_pagerank - 1) < 1e-9 and first[1].g_betweenness == 0 and first[9].g_pagerank is None
+    assert later[2].g_pagerank > later[3].g_pagerank > 0
+
+
+def test_cores_follow_every_edge():
+    r = random.Random(3)
+    for name in SHAPES:
+        e = [(str(a), str(b)) for a, b in SHAPES[name]]
+        r.shuffle(e)
+        c = Cores()
+        for i, (a, b) in enumerate(e):
+            before = dict(c.core)
+            rose = c.insert(a, b)
+            assert rose == {n for n, k in c.core.items() if k != before.get(n, 0)}
+            assert i % 5 or c.matches_batch()
+        assert c.matches_batch() and c.insert(*e[0]) == c.insert("x", "x") == set()
+        seeded = Cores.of(e[:-1], ["lone"])
+        seeded.insert(*e[-1])
+        assert seeded.core == c.core | {"lone": 0}
+
+
+def test_cores_as_the_state_of_a_stream(spark, tmp_path):
+    e = gnm(12, 24, 8)
+    (tmp_path / "in").mkdir()
+    base = f"file://{tmp_path}"
+    last = {}
+    for i in range(2):
+        spark.createDataFrame([("g", str(a), str(b)) for a, b in e[12 * i:12 * i + 12]] + [("h", "p", f"q{i}")], "graph string, src string, dst string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        edges = spark.readStream.schema("graph string, src string, dst string").parquet(f"{base}/in")
+
+        def each(batch, n):
+            for x in batch.collect():
+                last[x.graph, x.node] = x.core
+
+        maintained(edges).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert {int(n): k for (g, n), k in last.items() if g == "g"} == cores(e) and last["h", "p"] == 1
+
+
 def test_empty_graph(spark):
     df = spark.createDataFrame([], "src long, dst long")
     assert graph.components(df).count() == graph.k_core(df).count() == components.connected_components(df).count() == 0

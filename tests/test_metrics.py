@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics, resample, split
+from riskloom.operators.ranges import parts, quantiles, quantiles_of
 
 ROWS = [(1, .90, 1000.0), (1, .30, 2000.0), (0, .80, 5000.0), (0, .20, 300.0), (0, .10, 400.0), (1, .95, 1500.0)]
 
@@ -62,10 +63,71 @@ def test_no_positives_is_null(spark):
 
 def test_sweep_equals_single_points(spark):
     df = spark.createDataFrame(scores(300, 5), "y int, s double, amount_inr double")
-    for r in metrics.threshold_sweep(df, n=20).collect():
+    for r in metrics.threshold_sweep(df, extra=(0.5,)).collect()[::9]:
         assert metrics.at_thresholds(df, [r.threshold]).first() == r
 
 
+def test_quantiles_are_exact(spark):
+    r = random.Random(2)
+    for data in ([r.random() ** 9 for _ in range(501)], [1.0] * 40 + [2.0], [3.0], [r.randrange(3) / 7 for _ in range(100)] + [None, float("nan")]):
+        df = spark.createDataFrame([(x, i % 2) for i, x in enumerate(data)], "x double, side int").repartition(5)
+        levels = metrics.linspace(0, 1, 13)
+        clean = [x for x in data if x is not None and x == x]
+        assert np.allclose(quantiles_of(df, "x", levels), np.quantile(clean, levels), rtol=0, atol=1e-12)
+        for (side,), got in quantiles(df, "x", levels, ("side",)).items():
+            own = [x for i, x in enumerate(data) if i % 2 == side and x is not None and x == x]
+            assert np.allclose(got, np.quantile(own, levels), rtol=0, atol=1e-12)
+    assert quantiles_of(df.limit(0), "x", [0.5]) == []
+
+
+def test_candidates_are_scores_not_rounded_ones(spark):
+    """A threshold rounded down would let in scores that the exact one does not, rounded up lose its own."""
+    df = spark.createDataFrame([(i % 2, 0.123456789 + i * 1e-9, 1.0) for i in range(50)], "y int, s double, amount_inr double")
+    found = metrics.candidates(metrics.by_score(df), 0.0, 1.0, 50)
+    assert len(found) == 50 and np.allclose(found, [0.123456789 + i * 1e-9 for i in range(50)], rtol=0, atol=1e-15)
+
+
+def test_no_part_holds_most_bunched_scores(spark):
+    """Nine in ten scores lie below 0.001."""
+    r = random.Random(7)
+    df = spark.createDataFrame([(r.random() ** 40,) for _ in range(4000)], "s double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [x["count"] for x in parts(df, ["s"]).groupBy("_part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 2000
+
+
+def test_evaluation_in_one_pass(spark):
+    df = spark.createDataFrame(scores(400, 3), "y int, s double, amount_inr double")
+    report, points, curve = metrics.evaluate("m", df)
+    r, p = report.first(), {x.point: x for x in points.collect()}
+    assert abs(r.auc_pr - metrics.average_precision(df).first().ap) < 1e-6 and abs(r.auc_roc - metrics.roc_auc(df).first().auc) < 1e-6
+    assert (r.cost_threshold, r.cap_total_inr) == (p["cost"].threshold, p["cap"].total_cost_inr)
+    assert p["cost"].total_cost_inr == metrics.threshold_by_cost(df).first().total_cost_inr <= p["cap"].total_cost_inr
+    assert sorted(map(tuple, curve.fillna(-1).collect())) == sorted(map(tuple, metrics.pr_curve(df).fillna(-1).collect()))
+    assert metrics.summary_lines(report, points).count() == 3
+
+
+def test_drift_report_and_trend(spark):
+    r = random.Random(4)
+    rows = [(i, i * 100, int(r.random() < .2), r.random(), r.random() + (i > 300)) for i in range(600)]
+    rows = [(i, t, y, min(1.0, s + (.6 * y if i < 300 else 0)), x) for i, t, y, s, x in rows]
+    df = spark.createDataFrame(rows, "id long, TransactionDT long, y int, s double, x double")
+    got = {w.window: w for w in metrics.drift_report(df, df.where("id < 100"), ["x"], n=3, draws=60).collect()}
+    assert len(got) == 3 and got[0].auc_roc > got[2].auc_roc and got[2].worst_feature == "x" and got[2].worst_psi > got[0].worst_psi
+    assert all(w.auc_pr_low <= w.auc_pr <= w.auc_pr_high and w.auc_roc_low <= w.auc_roc <= w.auc_roc_high for w in got.values())
+    windows = metrics.drift_report(df, df, ["x"], n=3, draws=60)
+    assert metrics.trend(windows, "auc_roc").first().distinguishable
+    same = spark.createDataFrame([(0, .1, .3), (1, .2, .4)], "window int, m_low double, m_high double")
+    assert not metrics.trend(same, "m").first().distinguishable and not metrics.trend(same.limit(1), "m").first().distinguishable
+
+
+def test_intervals_skip_draws_of_one_class(spark):
+    df = spark.createDataFrame([(i, int(i == 0), i / 10) for i in range(8)], "id long, y int, s double")
+    got = resample.metric_interval(df, "id", "auc", 50).first()
+    assert 0 < got.draws < 50 and got.low is not None
+
+
 def test_calibration_of_perfect_scores(spark):
     df = spark.createDataFrame([(i % 2, float(i % 2)) for i in range(40)], "y int, s double")
     r = metrics.calibration_report("m", df).first()
@@ -107,6 +169,12 @@ def test_permutation_keeps_the_labels(spark):
     df = spark.createDataFrame([(f"u{i}", int(i < 7)) for i in range(40)], "uid string, fraud int")
     for r in resample.permuted(df, "uid", "fraud", 5).groupBy("b").agg(F.sum("fraud").alias("f"), F.count("*").alias("n")).collect():
         assert (r.f, r.n) == (7, 40)
+    import hashlib
+    for b in (1, 4):
+        order = sorted((hashlib.md5(f"u{i}:{b}".encode()).hexdigest(), f"u{i}") for i in range(40))
+        got = {r.uid for r in resample.permuted(df, "uid", "fraud", 5).where(f"b = {b} and fraud = 1").collect()}
+        assert got == {u for _, u in order[:7]}
+    assert resample.permuted(df.withColumn("fraud", F.lit(0)), "uid", "fraud", 2).agg(F.sum("fraud")).first()[0] == 0
 
 
 def test_planted_rings_stand_out(spark):

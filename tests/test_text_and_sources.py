@@ -54,7 +54,7 @@ def test_segments_join_back(spark):
     row = {c: 12 if c == "entity_count" else 1 for c in text.INTEGERS} | {c: 0.5 for c in text.DECIMALS} | {"total_amount_inr": 1234.5, "shared_attributes": ["card1"], "text": "12 entities, 1,234.50 on card1; 112 no"}
     got = text.annotate(spark.createDataFrame([row])).first().segments
     assert "".join(s.text for s in got) == row["text"]
-    assert [(s.text, s.field) for s in got if s.field] == [("12", "entity_count"), ("1,234.50", "total_amount_inr"), ("card1", "attribute:card1")]
+    assert [(s.text, s.field, s.target) for s in got if s.field] == [("12", "entity_count", "entities"), ("1,234.50", "total_amount_inr", "all"), ("card1", "attribute:card1", "attr:card1")]
 
 
 def test_payments(spark):
@@ -85,13 +85,61 @@ def test_observed_graph(spark, tmp_path):
 
 def test_decisions_are_appended(spark, tmp_path):
     path = f"file://{tmp_path}/decisions"
-    tables.record_decision(spark, path, "case-1", "confirm", " ")
-    tables.record_decision(spark, path, "case-1", "dismiss", "me")
+    tables.record_decision(spark, path, "case-1", "approved", " ")
+    tables.record_decision(spark, path, "case-1", "rejected", "me")
     df = spark.read.parquet(path)
-    assert df.count() == 2 and tables.latest_decisions(df).first().decision == "dismiss"
+    assert df.count() == 2 and tables.latest_decisions(df).first().decision == "rejected"
     assert df.where("reviewer = 'unattributed'").count() == 1
     with pytest.raises(ValueError):
         tables.record_decision(spark, path, "c", "maybe")
+    with pytest.raises(ValueError):
+        tables.record_decision(spark, path, "", "approved")
+    assert [r.decision for r in tables.audit_trail(df, "case-1", 1).collect()] == ["rejected"] and tables.audit_trail(df, "none").count() == 0
+
+
+def test_stored_payments_and_lookups(spark):
+    rows = [("b", "payment.captured", 2, '{"payload":{"payment":{"entity":{"id":"p2"}}}}'), ("a", "payment.captured", 1, '{"payload":{"payment":{"entity":{"id":"p1"}}}}'), ("c", "x", 3, '{"payload":{}}'), ("d", "x", 4, None)]
+    events = spark.createDataFrame(rows, "event_id string, event_type string, received_at int, payload string")
+    assert [r.event_id for r in tables.all_payments(events).collect()] == ["a", "b"] and tables.event_count(events).first().n == 4
+    analysis = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "event_id string, analysed_at int, structural string")
+    assert tables.get_analysis(analysis, "a").first().structural == "new" and tables.get_analysis(analysis, "z").count() == 0
+    r = tables.health(events, None).first()
+    assert (r.events, r.results, r.ready) == (4, False, False)
+
+
+def test_numbers_take_the_smallest_type(spark):
+    df = tables.downcast(spark.createDataFrame([(1, 300, 1 << 40, 2.5, "x"), (-5, None, 0, None, None)], "a long, b long, c long, d double, e string"))
+    assert [k for _, k in df.dtypes] == ["tinyint", "smallint", "bigint", "float", "string"] and tuple(df.first()) == (1, 300, 1 << 40, 2.5, "x")
+    assert dict(tables.downcast(df.withColumn("d", F.col("d").cast("double")), floats=False).dtypes)["d"] == "double"
+
+
+def test_completions_are_asked_once_and_kept(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def broken(prompt):
+        (log / f"broken{len(list(log.iterdir()))}").write_text(prompt)
+        raise OSError("down")
+
+    def works(prompt):
+        (log / f"works{len(list(log.iterdir()))}").write_text(prompt)
+        return json.dumps(GOOD | {"human_summary": "77 seen" if prompt == "bad" else "ok" if "refused" in prompt else "3"})
+
+    df = spark.createDataFrame([("one",), ("one",), ("bad",), (None,)], "prompt string").coalesce(1).withColumn("allowed", F.array(*[F.lit(str(i)) for i in range(11)]))
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        got = text.narrate(df, [broken, works], cache).collect()
+        assert sorted((r.prompt or "-", r.accepted) for r in got) == [("-", False), ("bad", True), ("one", True), ("one", True)]
+        # three prompts, each two tries of the first provider and one of the second
+        assert len(list(log.iterdir())) == 9
+    assert text.narrate(df, broken, f"file://{tmp_path}/other", fallback="none").where("narrative = 'none' and not accepted").count() == 4
+
+
+def test_case_facts(spark):
+    row = {c: 3 for c in text.INTEGERS} | {c: 0.5 for c in text.DECIMALS} | {"shared_attributes": ["card1"], "case_id": "case-3", "rank": 1, "total_flagged_clusters": 2, "risk_percentile": 50.0,
+           "entities_in_other_clusters": 0, "transactions_per_entity": 1.5, "flagged_share": 0.25, "population_mean_risk": 0.125, "corroborating": "a; b", "contradicting": ""}
+    lines = spark.createDataFrame([row]).select(text.case_facts()).first()[0].split("\n")
+    assert lines[0] == "case_id: case-3" and lines[-3:] == ["findings_supporting_concern:", "  - a", "  - b"] and "risk_percentile: 50.00" in lines
 
 
 def test_results_document(spark, tmp_path):
@@ -110,3 +158,11 @@ def test_stream_takes_each_signed_event_once(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(f"{base}/events").collect()) == ["e1", "e3"]
     ingest.analyse_batches(ingest.signed_events(spark, f"{base}/in", b"s"), f"{base}/history", f"{base}/analysis", f"{base}/c2").awaitTermination(60)
     assert [r.payer_key for r in spark.read.parquet(f"{base}/analysis").collect()] == ["a@b.c"]
+    # a second batch: a payer who shares a card with the first, one apart, and an event that is no payment
+    def more(i, mail, kind="payment.captured"):
+        b = json.dumps({"payload": {"payment": {"entity": {"id": i, "email": mail, "contact": "77" if i != "p9" else "88"}}}})
+        return json.dumps({"event_id": i, "event_type": kind, "received_at": "2024-01-02T00:00:00Z", "signature": hmac.new(b"s", b.encode(), hashlib.sha256).hexdigest(), "body": b})
+    (tmp_path / "in" / "2.json").write_text("\n".join([more("p7", "x@b.c"), more("p8", "y@z.c"), more("p9", "q@q.q"), more("p10", "no@no.no", "refund.created")]))
+    ingest.analyse_batches(ingest.signed_events(spark, f"{base}/in", b"s"), f"{base}/history", f"{base}/analysis", f"{base}/c2").awaitTermination(60)
+    got = {r.payer_key: r for r in spark.read.parquet(f"{base}/analysis").where("batch = 1").collect()}
+    assert set(got) == {"x@b.c", "y@z.c", "q@q.q"} and got["x@b.c"].linked_payers == ["a@b.c", "y@z.c"] and got["y@z.c"].component_size == 3 and got["q@q.q"].component_size == 1
