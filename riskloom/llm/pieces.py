@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,10 @@ SPACE = "▁"
 LONGEST = 48
 #: Words that a task keeps with their ids, and segments that it has noted.
 CACHE = 1_000_000
-#: Segments whose lattices one task folds, about.
-TASK = 25_000
+#: Notes of a task's segments that one task of the second step takes; a quarter of them, about, are lattices to fold.
+TASK = 30_000
+#: Marks that mostly end a word as a segment of their own.
+MARKS = ".,;:!?"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 
 
@@ -115,7 +118,6 @@ class Coder:
         self.joined = {p[i:i + 2] for p in self.known for i in range(len(p) - 1)}
         self.longest = max(map(len, self.known))
         self.byte_ids = {i for i, k in enumerate(table.kinds) if k == BYTE}
-        self.cuts: dict[str, list[str]] = {}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def words(self, text: str) -> list[str]:
@@ -133,13 +135,18 @@ class Coder:
 
     def segments(self, word: str) -> list[str]:
         """A word cut wherever no piece has the two characters side by side."""
-        found = self.cuts.get(word)
-        if found is None:
-            ends = [i + 1 for i in range(len(word) - 1) if word[i:i + 2] not in self.joined]
-            found = [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
-            if len(self.cuts) < 200_000 and len(word) <= LONGEST:
-                self.cuts[word] = found
-        return found
+        pairs = list(map(add, word, word[1:]))
+        if self.joined.issuperset(pairs):
+            return [word]
+        ends = [i for i, p in enumerate(pairs, 1) if p not in self.joined]
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
+
+    def parted(self, word: str) -> tuple[str, str]:
+        """A word and the marks at its end, where no piece spans the two; else the word and nothing."""
+        body = word.rstrip(MARKS)
+        if not body or len(body) == len(word) or word[len(body) - 1:len(body) + 1] in self.joined:
+            return word, ""
+        return body, word[len(body):]
 
     def lone(self, c: str) -> list[int]:
         if c in self.known:
@@ -348,41 +355,52 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
         words: set[str] = set()
-        segs: set[str] = set()
+        bodies: set[str] = set()
         for pdf in batches:
             new = set().union(*[coder.words(t) for t in pdf["t"] if t]).difference(words)
-            found = {x for w in new for x in coder.segments(coder.spelled(w)) if len(x) <= LONGEST}.difference(segs)
+            own = {x for w in new for x in coder.parted(coder.spelled(w))}.difference(bodies, ("",))
             if len(words) < CACHE:
                 words |= new
-            if len(segs) < CACHE:
-                segs |= found
-            yield pd.DataFrame({"p": task, "seg": list(found)})
+                bodies |= own
+            # a segment of two bodies may be noted twice
+            yield pd.DataFrame({"p": task, "seg": list({x for w in own for x in coder.segments(w) if len(x) <= LONGEST})})
 
     met = s.table(docs.select("t").mapInPandas(cut, "p int, seg string"), "met")
-    segs = s.table(met.select("seg").distinct(), "segs")
-    # dealt out once by segment: exploding, joining and grouping then need no further exchange
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-segs.count() // TASK))
-    # a task groups by hashing, without sorting: it has about TASK groups
+    # dealt out by segment: counting, exploding, joining, grouping and handing back then need no further exchange
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TASK))
+    dealt = met.repartition(many, "seg")
+    made = folded(dealt.select("seg").distinct(), table, min(coder.longest, LONGEST))
+    path = s.path("tasks")
+    # a task groups and looks up by hashing, without sorting: it has fewer than TASK segments
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(limit)
-    spark.conf.set(limit, str(4 * TASK))
+    spark.conf.set(limit, str(TASK))
     try:
-        # written before anything is asked of ``ids``: a filter would be pushed below the fold and repeat it
-        made = s.table(folded(segs.repartition(many, "seg"), table, min(coder.longest, LONGEST)), "dictionary")
+        dealt.join(made.hint("shuffle_hash"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p").write.mode("overwrite").partitionBy("p").parquet(path)
     finally:
         spark.conf.set(limit, before)
-    path = s.path("tasks")
-    met.join(made.where("ids is not null"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p").write.mode("overwrite").partitionBy("p").parquet(path)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, bytes] | None = None
+        found: dict[str, bytes] = {}
+        bad: set[str] = set()  # segments that their ids do not decode to
+        wrong: set[str] = set()  # words with such a segment
         kept: dict[str, bytes] = {}
-        wrong: set[str] = set()  # words that their ids do not decode to
+        first = True
+
+        def ids_of(segment: str) -> bytes:
+            ids = found.get(segment)
+            if ids is None:
+                ids = np.array(coder.fold(segment), "<i4").tobytes()
+                if coder.surface_of(ids) != segment:
+                    bad.add(segment)
+            return ids
+
         for pdf in batches:
             if not len(pdf):
                 continue
-            if found is None:
-                found = task_segments(path, TaskContext.get().partitionId())
+            if first:
+                found, first = task_segments(path, TaskContext.get().partitionId()), False
+                bad |= mistaken(coder, found)
             cut = [coder.words(t) if t else () for t in pdf["t"]]
             new = set().union(*cut).difference(kept)
             if len(kept) + len(new) > CACHE:
@@ -390,10 +408,14 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
                 new = set().union(*cut)
             for w in new:
                 word = coder.spelled(w)
-                kept[w] = ids = b"".join([found[x] if x in found else np.array(coder.fold(x), "<i4").tobytes() for x in coder.segments(word)])
-                if coder.surface_of(ids) != word:
-                    wrong.add(w)
-            rows = [b"".join([kept[w] for w in own]) for own in cut]
+                ids = found.get(word)
+                if ids is None or bad:
+                    parts = [x for part in coder.parted(word) if part for x in ([part] if part in found else coder.segments(part))]
+                    ids = b"".join(map(ids_of, parts))
+                    if bad and not bad.isdisjoint(parts):
+                        wrong.add(w)
+                kept[w] = ids
+            rows = [b"".join(map(kept.__getitem__, own)) for own in cut]
             out = {key: pdf["k"], "n_tokens": [len(x) // 4 for x in rows]}
             if digest:
                 out |= {"ids_crc32": [zlib.crc32(x) for x in rows], "round_trip": [not wrong or wrong.isdisjoint(own) for own in cut]}
@@ -404,6 +426,22 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     return docs.mapInPandas(put, schema)
 
 
+def mistaken(coder: Coder, found: dict[str, bytes]) -> set[str]:
+    """The segments that their ids do not decode to."""
+    if not found:
+        return set()
+    ids = np.frombuffer(b"".join(found.values()), "<i4")
+    ends = np.cumsum([len(x) // 4 for x in found.values()])
+    at = ids.tolist()
+    # all at once: the same characters in all, and as many in each
+    size = np.array([len(p) for p in coder.table.pieces])[ids]
+    starts = np.concatenate([[0], ends[:-1]])
+    if not coder.byte_ids.intersection(at) and (starts < ends).all() and "".join([coder.table.pieces[i] for i in at]) == "".join(found) and (
+            np.add.reduceat(size, starts) == [len(x) for x in found]).all():
+        return set()
+    return {x for x, own in found.items() if coder.surface_of(own) != x}
+
+
 def task_segments(path: str, task: int) -> dict[str, bytes]:
     """The segments of one task with their ids as bytes."""
     import pyarrow.dataset as ds
@@ -419,7 +457,8 @@ def task_segments(path: str, task: int) -> dict[str, bytes]:
     lists = found.column("ids").chunk(0)
     ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
     flat = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-    return {x: flat[a:b] for x, a, b in zip(found.column("seg").to_pylist(), ends, ends[1:])}
+    # what the fold left open has no ids
+    return {x: flat[a:b] for x, a, b in zip(found.column("seg").to_pylist(), ends, ends[1:]) if a < b}
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
