@@ -55,6 +55,13 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(vectors.shape[1])
 
 
+def normed(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors in double precision, whatever their scale."""
+    raw = np.stack(vectors.to_numpy()).astype(np.float64)
+    raw /= np.abs(raw).max(1, keepdims=True)
+    return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
+
+
 def close_pairs(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (left, right) with cosine at the threshold or above, in blocks."""
     dim = unit.shape[1]
@@ -83,8 +90,7 @@ def in_cells(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.Data
         cell = pd.concat(held) if len(held) > 1 else held[0]
         if len(cell) < 2:
             return
-        raw = np.stack(cell["v"].to_numpy()).astype(np.float64)
-        unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        unit = normed(cell["v"])
         code = np.stack([np.frombuffer(c, np.uint8) for c in cell["code"]])
         factor, keys, weight = cell["factor"].to_numpy(), np.stack(cell["keys"].to_numpy()), cell["copies"].to_numpy()
         part, t = cell["part"].to_numpy(), int(cell["t"].iloc[0])
@@ -140,19 +146,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.withColumn("h", F.xxhash64("v"))
     classes = s.table(rows.where("v is not null").groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     signs, many = plan(classes.count(), cosine, recall)
+    # shipped as they came, in single precision where they are: doubles would be twice the shuffle
+    kind = df.schema[vector].dataType.simpleString()
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, own in pdf.groupby(pdf["v"].map(len)):
-                raw = np.stack(own["v"].to_numpy()).astype(np.float64)
-                raw /= np.abs(raw).max(1, keepdims=True)
-                unit = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
+                unit = normed(own["v"])
                 code, factor = encode(unit)
                 bits = (unit @ planes(dim, signs * many) > 0).reshape(len(own), many, signs)
                 keys = (bits << np.arange(signs)).sum(2)
-                yield pd.DataFrame({"rep": own["rep"].to_numpy(), "copies": own["copies"].to_numpy(), "dim": dim, "v": list(unit), "code": [c.tobytes() for c in code], "factor": factor, "keys": list(keys)})
+                yield pd.DataFrame({"rep": own["rep"].to_numpy(), "copies": own["copies"].to_numpy(), "dim": dim, "v": own["v"].to_numpy(), "code": [c.tobytes() for c in code], "factor": factor, "keys": list(keys)})
 
-    codes = s.table(classes.mapInPandas(coded, "rep long, copies long, dim int, v array<double>, code binary, factor double, keys array<int>"), "codes")
+    codes = s.table(classes.mapInPandas(coded, f"rep long, copies long, dim int, v {kind}, code binary, factor double, keys array<int>"), "codes")
     met = codes.select("dim", F.posexplode("keys").alias("t", "key"))
     large = s.table(met.groupBy("dim", "t", "key").count().where(F.col("count") > CELL).select("dim", "t", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "large")
     dealt = codes.select("*", F.posexplode("keys").alias("t", "key")).join(large, ["dim", "t", "key"], "left")
@@ -169,3 +175,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     out = rows.where("v is not null").join(named, ["h", "v"]).select("id", "n", "c").union(
         rows.where("v is null").select("id", F.lit(0).cast("long"), F.col("id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept"))
+
+
+def oracle(cosine: float = COSINE) -> str:
+    """DuckDB SQL of near_duplicates() over ``embeddings``, by all pairs."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
+r(x, y) AS (SELECT a, b FROM p UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+c AS (SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, coalesce((SELECT min(y) FROM r WHERE r.x = v.vec_id), v.vec_id) AS component_id FROM v)
+SELECT vec_id, n_links, least(vec_id, component_id) AS component_id, vec_id <= component_id AS kept FROM c"""

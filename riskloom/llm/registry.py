@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle()}
+    return {"op4_embedding_near_dedup": embedding.oracle(), "op10_url_filter": url_filter.oracle()}
