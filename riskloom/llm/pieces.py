@@ -40,6 +40,8 @@ SPACE = "▁"
 LONGEST = 48
 #: Words that a task keeps with their ids, and segments that it has noted.
 CACHE = 1_000_000
+#: Texts that the second pass has cut into words at once.
+SLICE = 200
 #: Notes of a task's segments that one task of the second step takes; a quarter of them, about, are lattices to fold.
 TASK = 30_000
 #: Marks that mostly end a word as a segment of their own.
@@ -141,6 +143,10 @@ class Coder:
         ends = [i for i, p in enumerate(pairs, 1) if p not in self.joined]
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
 
+    def begins(self, segment: str) -> bool:
+        """Whether a segment begins a word that words() has without its space."""
+        return self.table.prefix and segment[:1] == SPACE and segment[1:2] not in ("", SPACE)
+
     def parted(self, word: str) -> tuple[str, str]:
         """A word and the marks at its end, where no piece spans the two; else the word and nothing."""
         body = word.rstrip(MARKS)
@@ -355,15 +361,15 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
         words: set[str] = set()
-        bodies: set[str] = set()
+        segs: set[str] = {""}
         for pdf in batches:
             new = set().union(*[coder.words(t) for t in pdf["t"] if t]).difference(words)
-            own = {x for w in new for x in coder.parted(coder.spelled(w))}.difference(bodies, ("",))
+            bodies = {x for w in new for x in coder.parted(coder.spelled(w))}.difference(segs)
+            own = {x for w in bodies for x in coder.segments(w) if len(x) <= LONGEST}.difference(segs)
             if len(words) < CACHE:
                 words |= new
-                bodies |= own
-            # a segment of two bodies may be noted twice
-            yield pd.DataFrame({"p": task, "seg": list({x for w in own for x in coder.segments(w) if len(x) <= LONGEST})})
+                segs |= own
+            yield pd.DataFrame({"p": task, "seg": list(own)})
 
     met = s.table(docs.select("t").mapInPandas(cut, "p int, seg string"), "met")
     # dealt out by segment: counting, exploding, joining, grouping and handing back then need no further exchange
@@ -381,47 +387,51 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
         spark.conf.set(limit, before)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, bytes] = {}
+        kept: dict[str, bytes] = {}  # ids by word, as words() has it
+        rest: dict[str, bytes] = {}  # ids of segments that begin no word
         bad: set[str] = set()  # segments that their ids do not decode to
         wrong: set[str] = set()  # words with such a segment
-        kept: dict[str, bytes] = {}
         first = True
 
         def ids_of(segment: str) -> bytes:
-            ids = found.get(segment)
+            ids = kept.get(segment[1:]) if coder.begins(segment) else rest.get(segment)
             if ids is None:
                 ids = np.array(coder.fold(segment), "<i4").tobytes()
                 if coder.surface_of(ids) != segment:
                     bad.add(segment)
             return ids
 
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if first:
-                found, first = task_segments(path, TaskContext.get().partitionId()), False
-                bad |= mistaken(coder, found)
-            cut = [coder.words(t) if t else () for t in pdf["t"]]
-            new = set().union(*cut).difference(kept)
-            if len(kept) + len(new) > CACHE:
-                kept.clear()
-                new = set().union(*cut)
-            for w in new:
-                word = coder.spelled(w)
-                ids = found.get(word)
-                if ids is None or bad:
-                    parts = [x for part in coder.parted(word) if part for x in ([part] if part in found else coder.segments(part))]
-                    ids = b"".join(map(ids_of, parts))
+        for whole in batches:
+            for i in range(0, len(whole), SLICE):
+                pdf = whole.iloc[i:i + SLICE]
+                if first:
+                    first = False
+                    for part in task_segments(path, TaskContext.get().partitionId()):
+                        bad |= mistaken(coder, part)
+                        for x, ids in part.items():
+                            if coder.begins(x):
+                                kept[x[1:]] = ids
+                            else:
+                                rest[x] = ids
+                    wrong |= {x[1:] for x in bad if coder.begins(x)}
+                cut = [coder.words(t) if t else () for t in pdf["t"]]
+                more: dict[str, bytes] = {}
+                for w in set().union(*cut).difference(kept):
+                    parts = [x for part in coder.parted(coder.spelled(w)) if part for x in coder.segments(part)]
+                    more[w] = b"".join(map(ids_of, parts))
                     if bad and not bad.isdisjoint(parts):
                         wrong.add(w)
-                kept[w] = ids
-            rows = [b"".join(map(kept.__getitem__, own)) for own in cut]
-            out = {key: pdf["k"], "n_tokens": [len(x) // 4 for x in rows]}
-            if digest:
-                out |= {"ids_crc32": [zlib.crc32(x) for x in rows], "round_trip": [not wrong or wrong.isdisjoint(own) for own in cut]}
-            else:
-                out["ids"] = [np.frombuffer(x, "<i4") for x in rows]
-            yield pd.DataFrame(out)
+                if len(kept) < CACHE:
+                    kept |= more
+                    rows = [b"".join(map(kept.__getitem__, own)) for own in cut]
+                else:
+                    rows = [b"".join([more[w] if w in more else kept[w] for w in own]) for own in cut]
+                out = {key: pdf["k"].to_numpy(), "n_tokens": [len(x) // 4 for x in rows]}
+                if digest:
+                    out |= {"ids_crc32": [zlib.crc32(x) for x in rows], "round_trip": [not wrong or wrong.isdisjoint(own) for own in cut]}
+                else:
+                    out["ids"] = [np.frombuffer(x, "<i4") for x in rows]
+                yield pd.DataFrame(out)
 
     return docs.mapInPandas(put, schema)
 
@@ -442,23 +452,21 @@ def mistaken(coder: Coder, found: dict[str, bytes]) -> set[str]:
     return {x for x, own in found.items() if coder.surface_of(own) != x}
 
 
-def task_segments(path: str, task: int) -> dict[str, bytes]:
-    """The segments of one task with their ids as bytes."""
+def task_segments(path: str, task: int) -> Iterator[dict[str, bytes]]:
+    """The segments of one task with their ids as bytes, some at a time; what the fold left open is not there."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     files, folder = fs.FileSystem.from_uri(path)
     at = f"{folder}/p={task}"
     if files.get_file_info(at).type == fs.FileType.NotFound:
-        return {}
-    found = ds.dataset(at, filesystem=files, format="parquet").to_table(columns=["seg", "ids"]).combine_chunks()
-    if not found.num_rows:
-        return {}
-    lists = found.column("ids").chunk(0)
-    ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
-    flat = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-    # what the fold left open has no ids
-    return {x: flat[a:b] for x, a, b in zip(found.column("seg").to_pylist(), ends, ends[1:]) if a < b}
+        return
+    for batch in ds.dataset(at, filesystem=files, format="parquet").to_batches(columns=["seg", "ids"], batch_size=50_000, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        if batch.num_rows:
+            lists = batch.column("ids")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            ends = (4 * np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])).tolist()
+            yield {x: flat[a:b] for x, a, b in zip(batch.column("seg").to_pylist(), ends, ends[1:]) if a < b}
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
