@@ -339,6 +339,17 @@ def folded(segs: DataFrame, table: Table, longest: int) -> DataFrame:
     return by_rank(table, found.groupBy("seg").agg(F.collect_list(F.when(hit & long, edge)).alias("edges"), F.collect_list(F.when(hit & ~long, edge)).alias("single")))
 
 
+def width(table: Table) -> int:
+    """Bytes of a packed id."""
+    return 2 if len(table.pieces) <= 1 << 16 else 4
+
+
+def packed(ids: Column, table: Table) -> Column:
+    """Ids as bytes, the highest of each first; null stays null."""
+    digits = 2 * width(table)
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
+
+
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """key, n_tokens, ids (or ids_crc32 and round_trip): one row per input row.
 
@@ -371,18 +382,21 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
                 segs |= own
             yield pd.DataFrame({"p": task, "seg": list(own)})
 
-    met = s.table(docs.select("t").mapInPandas(cut, "p int, seg string"), "met")
+    docs.select("t").mapInPandas(cut, "p int, seg string").write.mode("overwrite").option("compression", "zstd").parquet(s.path("met"))
+    met = spark.read.schema("p int, seg string").parquet(s.path("met"))
     # dealt out by segment: counting, exploding, joining, grouping and handing back then need no further exchange
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TASK))
-    dealt = met.repartition(many, "seg")
-    made = folded(dealt.select("seg").distinct(), table, min(coder.longest, LONGEST))
+    dealt = met.where("seg is not null").repartition(many, "seg")
+    # with p, though only to tell it is there, so that counting and handing back read one and the same exchange
+    segs = dealt.groupBy("seg").agg(F.min("p").alias("least")).where("least >= 0")
+    made = folded(segs, table, min(coder.longest, LONGEST)).select("seg", packed(F.col("ids"), table).alias("ids"))
     path = s.path("tasks")
     # a task groups and looks up by hashing, without sorting: it has fewer than TASK segments
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(TASK))
     try:
-        dealt.join(made.hint("shuffle_hash"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p").write.mode("overwrite").partitionBy("p").parquet(path)
+        dealt.join(made.hint("shuffle_hash"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p", "seg").write.mode("overwrite").option("compression", "zstd").partitionBy("p").parquet(path)
     finally:
         spark.conf.set(limit, before)
 
@@ -406,7 +420,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
                 pdf = whole.iloc[i:i + SLICE]
                 if first:
                     first = False
-                    for part in task_segments(path, TaskContext.get().partitionId()):
+                    for part in task_segments(path, TaskContext.get().partitionId(), width(table)):
                         bad |= mistaken(coder, part)
                         for x, ids in part.items():
                             if coder.begins(x):
@@ -452,8 +466,8 @@ def mistaken(coder: Coder, found: dict[str, bytes]) -> set[str]:
     return {x for x, own in found.items() if coder.surface_of(own) != x}
 
 
-def task_segments(path: str, task: int) -> Iterator[dict[str, bytes]]:
-    """The segments of one task with their ids as bytes, some at a time; what the fold left open is not there."""
+def task_segments(path: str, task: int, width: int) -> Iterator[dict[str, bytes]]:
+    """The segments of one task with their ids as 32-bit integers, some at a time; what the fold left open is not there."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -462,11 +476,11 @@ def task_segments(path: str, task: int) -> Iterator[dict[str, bytes]]:
     if files.get_file_info(at).type == fs.FileType.NotFound:
         return
     for batch in ds.dataset(at, filesystem=files, format="parquet").to_batches(columns=["seg", "ids"], batch_size=50_000, batch_readahead=1, fragment_readahead=1, use_threads=False):
-        if batch.num_rows:
-            lists = batch.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-            ends = (4 * np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])).tolist()
-            yield {x: flat[a:b] for x, a, b in zip(batch.column("seg").to_pylist(), ends, ends[1:]) if a < b}
+        own = batch.column("ids").to_pylist()
+        size = [len(x) // width * 4 if x else 0 for x in own]
+        flat = np.frombuffer(b"".join([x for x in own if x]), f">u{width}").astype("<i4").tobytes()
+        ends = [0, *np.cumsum(size).tolist()]
+        yield {x: flat[a:b] for x, a, b in zip(batch.column("seg").to_pylist(), ends, ends[1:]) if a < b}
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

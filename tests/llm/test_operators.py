@@ -360,7 +360,7 @@ def test_pieces_equal_the_library(spark, docs, lost, monkeypatch, tmp_path):
     assert pieces.plain_scan(stored.select("doc_id", "text")) and not pieces.plain_scan(docs)
     got = pieces.encode(docs.select("doc_id", "text") if lost else stored, file)
     if lost:
-        monkeypatch.setattr(pieces, "task_segments", lambda path, task: iter(()))
+        monkeypatch.setattr(pieces, "task_segments", lambda path, task, width: iter(()))
         got = pieces.encode(docs, file)
     want = dict(enumerate(TEXTS)) | {r.doc_id: r.text for r in spaces.collect()}
     rows = got.collect()
