@@ -22,7 +22,9 @@ def parts(per: DataFrame, order: list[str]) -> DataFrame:
 
 def running(df: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), ascending: bool = False) -> DataFrame:
     """One row per distinct value (and ``by``): each sum, and its running total from the highest (or lowest) value on as ``cum_``."""
-    per = parts(df.groupBy(*by, value).agg(*[v.alias(k) for k, v in sums.items()]), [*by, value])
+    # written before it is dealt out: ranges are found by a sample, which would compute the counts a second time
+    counts = Scratch(df.sparkSession, "running").table(df.groupBy(*by, value).agg(*[v.alias(k) for k, v in sums.items()]), "counts")
+    per = parts(counts, [*by, value])
     first = (lambda c: F.col(c)) if ascending else F.desc
     # as many rows as there are ranges, for each value of ``by`` in them
     whole = per.groupBy(*by, "_part").agg(*[F.sum(k).alias(k) for k in sums])

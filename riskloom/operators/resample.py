@@ -20,15 +20,24 @@ POISSON = ("5e2d58d8", "bc5ab1b1", "eb715e1d", "fb239797", "ff1025f5", "ffd90f3b
 
 def poisson(key: Column, draw: Column) -> Column:
     h = F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), draw.cast("string"))), 1, 8)
-    w = F.when(h < POISSON[0], 0)
-    for k, below in enumerate(POISSON[1:], 1):
-        w = w.when(h < below, k)
-    return w.otherwise(7)
+
+    def weight(x: Column) -> Column:
+        w = F.when(x < POISSON[0], 0)
+        for k, below in enumerate(POISSON[1:], 1):
+            w = w.when(x < below, k)
+        return w.otherwise(7)
+
+    # through an array of one, so that the hash is made once and not for every bound
+    return F.get(F.transform(F.array(h), weight), F.lit(0))
 
 
 def drawn(df: DataFrame, key: str, draws: int) -> DataFrame:
-    """Each row once for each draw with weight ``w`` above 0."""
-    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson(F.col(key), F.col("b"))).where("w > 0")
+    """Each row once for each draw with its weight ``w``, which may be 0.
+
+    Rows of weight 0 are left to the aggregation that follows: a filter here would be pushed
+    below the weight and make it, and its hash, a second time.
+    """
+    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson(F.col(key), F.col("b")))
 
 
 def interval(deltas: DataFrame, comparisons: int = 1) -> DataFrame:
@@ -43,7 +52,7 @@ def vdr_delta(df: DataFrame, key: str, draws: int, base_t: float, variant_t: flo
     """Change in value detection rate from a base to a variant score, each at its fixed threshold."""
     a = F.col("w") * F.col(amount)
     caught = lambda c, t: F.coalesce(F.try_divide(F.sum(F.when(F.col(c) >= t, a).otherwise(0.0)), F.sum(a)), F.lit(0.0))
-    per = drawn(df.where(F.col(y) == 1).select(key, base, variant, amount), key, draws).groupBy("b").agg((caught(variant, variant_t) - caught(base, base_t)).alias("delta"))
+    per = drawn(df.where(F.col(y) == 1).select(key, base, variant, amount), key, draws).groupBy("b").agg((caught(variant, variant_t) - caught(base, base_t)).alias("delta"), F.sum("w").alias("n")).where("n > 0").select("b", "delta")
     return interval(per, comparisons)
 
 
@@ -75,21 +84,27 @@ def exact_bootstrap(df: DataFrame, metric, y: str = "y", base: str = "s", varian
     return interval(rows.groupBy().applyInPandas(run, "delta double"), comparisons)
 
 
-def metric_interval(df: DataFrame, key: str, metric: str, draws: int = 200, by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
-    """(by, draws, low, high): 95 % percentile interval of "ap" or "auc" under Poisson resampling; draws of one class alone are skipped."""
+def resampled(df: DataFrame, key: str, draws: int, by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
+    """(by, b, s, y, w): the weight of every score and label in each Poisson draw; a table in shared storage."""
     rows = drawn(df.select(key, *by, F.col(y).alias("y"), F.col(s).alias("s")), key, draws)
-    rows = rows.groupBy(*by, "b", "s", "y").agg(F.sum("w").cast("double").alias("w"))
-    if metric == "ap":
-        per = average_precision(rows, weight="w", by=(*by, "b")).withColumnRenamed("ap", "m")
-    else:
-        per = roc_auc(rows, weight="w", by=(*by, "b")).withColumnRenamed("auc", "m")
-    one_class = rows.groupBy(*by, "b").agg((F.countDistinct("y") < 2).alias("skip"))
+    return Scratch(df.sparkSession, "resampled").table(rows.groupBy(*by, "b", "s", "y").agg(F.sum("w").cast("double").alias("w")).where("w > 0"), "rows")
+
+
+def interval_of(rows: DataFrame, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, draws, low, high): 95 % percentile interval of "ap" or "auc" over the draws of resampled(); those of one class alone are skipped."""
+    per = (average_precision if metric == "ap" else roc_auc)(rows, weight="w", by=(*by, "b")).withColumnRenamed(metric, "m")
+    one_class = rows.groupBy(*by, "b").agg((F.min("y") == F.max("y")).alias("skip"))
     per = per.join(one_class, [*by, "b"]).where("not skip and m is not null")
     grouped = per.groupBy(*by) if by else per
-    # at most ``draws`` values a group
+    # at most as many values a group as there are draws
     return grouped.agg(F.count("*").alias("draws"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
 
 
+def metric_interval(df: DataFrame, key: str, metric: str, draws: int = 200, by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
+    """As interval_of(), from rows."""
+    return interval_of(resampled(df, key, draws, by, y, s), metric, by)
+
+
 def permuted(df: DataFrame, key: str, label: str, draws: int) -> DataFrame:
     """(b, key, label): for each draw the 0/1 labels dealt anew: as many ones as before, on the keys first by md5.
 

@@ -439,8 +439,8 @@ def ranking_quality_trend(spark, d):
 
 @query(sql("SELECT draws, auc_pr_low, auc_pr_high, auc_roc_low, auc_roc_high FROM ci", *resampled_sql("scored", "")))
 def metric_intervals(spark, d):
-    rows = Scratch(spark, "intervals").table(scored(spark, d).select("id", "y", "s"), "rows")
-    ap, auc = (resample.metric_interval(rows, "id", m, DRIFT_DRAWS) for m in ("ap", "auc"))
+    rows = resample.resampled(scored(spark, d), "id", DRIFT_DRAWS)
+    ap, auc = (resample.interval_of(rows, m) for m in ("ap", "auc"))
     return ap.select("draws", F.col("low").alias("auc_pr_low"), F.col("high").alias("auc_pr_high")).crossJoin(auc.select(F.col("low").alias("auc_roc_low"), F.col("high").alias("auc_roc_high")))  # one row each
 
 
