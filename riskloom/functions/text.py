@@ -39,6 +39,16 @@ def renderings(values: pd.Series) -> pd.Series:
     return values.map(lambda x: [] if x != x else [repr(float(x)), str(int(x)), *[f"{x:.{k}f}" for k in (4, 2, 1, 0)]])
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals as printf shows it: its binary value decides the rounding, halves go to even. Null stays null."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: f"{x:.{places}f}")
+
+    return F.when(value.isNotNull(), shown(value.cast("double")))
+
+
 def allowed_numbers(case: bool = False) -> Column:
     """Every rendering of a cluster's figures that prose may quote, and 0 to 10; of a case also its own figures and those in its findings.
 
@@ -140,15 +150,15 @@ def prompt_key(prompt: Column) -> Column:
 
 def facts() -> Column:
     """A cluster's figures as lines of text."""
-    lines = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in INTEGERS] + [F.concat(F.lit(f"{c}: "), F.format_string("%.4f", F.col(c))) for c in DECIMALS]
+    lines = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in INTEGERS] + [F.concat(F.lit(f"{c}: "), fixed(F.col(c), 4)) for c in DECIMALS]
     return F.concat_ws("\n", *lines, F.concat(F.lit("shared_attributes: "), F.array_join("shared_attributes", ", ")))
 
 
 def case_facts() -> Column:
     """A case file as lines of text: its cluster's figures, its own, and its findings."""
-    own = [F.concat(F.lit("rank_by_risk: "), F.col("rank").cast("string"), F.lit(" of "), F.col("total_flagged_clusters").cast("string")), F.format_string("risk_percentile: %.2f", "risk_percentile"),
-           F.concat(F.lit("entities_also_in_other_flagged_clusters: "), F.col("entities_in_other_clusters").cast("string")), F.format_string("transactions_per_entity: %.2f", "transactions_per_entity"),
-           F.format_string("share_of_transactions_flagged: %.2f", "flagged_share"), F.format_string("population_mean_risk_score: %.4f", "population_mean_risk")]
+    own = [F.concat(F.lit("rank_by_risk: "), F.col("rank").cast("string"), F.lit(" of "), F.col("total_flagged_clusters").cast("string")), F.concat(F.lit("risk_percentile: "), fixed(F.col("risk_percentile"), 2)),
+           F.concat(F.lit("entities_also_in_other_flagged_clusters: "), F.col("entities_in_other_clusters").cast("string")), F.concat(F.lit("transactions_per_entity: "), fixed(F.col("transactions_per_entity"), 2)),
+           F.concat(F.lit("share_of_transactions_flagged: "), fixed(F.col("flagged_share"), 2)), F.concat(F.lit("population_mean_risk_score: "), fixed(F.col("population_mean_risk"), 4))]
     listed = [F.when(F.col(c) != "", F.concat(F.lit(f"{title}:\n  - "), F.replace(F.col(c), F.lit("; "), F.lit("\n  - "))))
               for c, title in (("corroborating", "findings_supporting_concern"), ("contradicting", "findings_arguing_against_concern"))]
     return F.concat_ws("\n", F.concat(F.lit("case_id: "), F.col("case_id")), facts(), *own, *listed)

@@ -166,3 +166,12 @@ def test_stream_takes_each_signed_event_once(spark, tmp_path):
     ingest.analyse_batches(ingest.signed_events(spark, f"{base}/in", b"s"), f"{base}/history", f"{base}/analysis", f"{base}/c2").awaitTermination(60)
     got = {r.payer_key: r for r in spark.read.parquet(f"{base}/analysis").where("batch = 1").collect()}
     assert set(got) == {"x@b.c", "y@z.c", "q@q.q"} and got["x@b.c"].linked_payers == ["a@b.c", "y@z.c"] and got["y@z.c"].component_size == 3 and got["q@q.q"].component_size == 1
+
+
+def test_figures_are_shown_as_printf_rounds_them(spark):
+    row = {c: 1 for c in text.INTEGERS} | {c: 0.5 for c in text.DECIMALS} | {"shared_attributes": ["card1"], "case_id": "case-0", "rank": 1, "total_flagged_clusters": 2, "risk_percentile": 0.125,
+           "entities_in_other_clusters": 0, "transactions_per_entity": 2.125, "flagged_share": 0.375, "population_mean_risk": 0.03125, "corroborating": "", "contradicting": ""}
+    lines = spark.createDataFrame([row]).select(text.case_facts()).first()[0].split("\n")
+    assert {"risk_percentile: 0.12", "transactions_per_entity: 2.12", "share_of_transactions_flagged: 0.38", "population_mean_risk_score: 0.0312"} <= set(lines)
+    got = spark.createDataFrame([(1.625,), (2.675,), (-0.001,), (None,)], "x double").select(text.fixed(F.col("x"), 2)).collect()
+    assert [r[0] for r in got] == ["1.62", "2.67", "-0.00", None]
