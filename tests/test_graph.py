@@ -217,3 +217,9 @@ def test_train_graph_never_sees_test_rows(spark):
     tr, te = graph.features_for_split(a, b, ["addr1"], {"addr1": ("addr1",)})
     assert tr.first().g_is_linked == 0 and te.first().g_is_linked == 1
     assert tr.where(F.col("g_component_size") != 1).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_shape_of_a_graph_without_edges(spark, local):
+    vertices, none = spark.range(3), spark.createDataFrame([], "src long, dst long")
+    assert tuple(graph.describe_graph("g", vertices, none, local).first()) == ("g", 3, 0, 0.0, 1.0, 0, None, None, None)
