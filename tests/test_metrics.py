@@ -108,6 +108,15 @@ def test_evaluation_in_one_pass(spark):
     assert metrics.summary_lines(report, points).count() == 3
 
 
+def test_lines_round_as_printf_does(spark):
+    report = spark.createDataFrame([("m", 0.03125, 1.25, 0.90625)], "name string, auc_pr double, lift double, auc_roc double")
+    assert metrics.report_line(report).first().line == "m: AUC-PR 0.0312 (1.2x prevalence), AUC-ROC 0.9062"
+    point = spark.createDataFrame([("cost", 0.5, 0.53125, 0.21875, 3, 4, 5, 0.000625, 2.125, 0.375, 1e13 + 0.015625)],
+                                  "point string, threshold double, precision double, recall double, tp long, fn long, fp long, insult_rate double, missed_inr double, insult_cost_inr double, total_cost_inr double")
+    assert metrics.point_lines(point).first().line == (
+        "cost at 0.5000: precision 0.5312, recall 0.2188, 3 caught and 4 missed, 5 legitimate declined (0.062%), Rs 2.12 missed, Rs 0.38 insult cost, Rs 10000000000000.02 in all")
+
+
 def test_drift_report_and_trend(spark):
     r = random.Random(4)
     rows = [(i, i * 100, int(r.random() < .2), r.random(), r.random() + (i > 300)) for i in range(600)]
