@@ -117,6 +117,12 @@ def test_lines_round_as_printf_does(spark):
         "cost at 0.5000: precision 0.5312, recall 0.2188, 3 caught and 4 missed, 5 legitimate declined (0.062%), Rs 2.12 missed, Rs 0.38 insult cost, Rs 10000000000000.02 in all")
 
 
+def test_worst_psi_of_equals_is_the_first_by_name(spark):
+    worst = lambda rows: tuple(metrics.worst_psi(spark.createDataFrame(rows, "feature string, psi double")).first())
+    assert worst([("b", 0.5), ("a", 0.5), ("c", None), ("d", 0.1)]) == ("a", 0.5)
+    assert worst([("b", None), ("a", None)]) == ("a", None)
+
+
 def test_drift_report_and_trend(spark):
     r = random.Random(4)
     rows = [(i, i * 100, int(r.random() < .2), r.random(), r.random() + (i > 300)) for i in range(600)]
