@@ -1,9 +1,13 @@
 """The registered resampling queries draw as often as the original workload."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from riskloom.operators import resample
+from riskloom.operators.metrics import average_precision
 
 
 @pytest.mark.parametrize("name", ["bootstrap_vdr_delta_hash", "bootstrap_exact"])
@@ -18,3 +22,22 @@ def test_permutation_queries_take_200(spark, sf, monkeypatch):
     for name in ("ring_permutation_hash", "homophily_permutation_hash"):
         driver.queries()[name](spark, sf)
     assert seen == [200, 200]
+
+
+def exploded_aps(df, key, draws, scores):
+    """A row for every row, draw and score."""
+    rows = resample.drawn(df.select(key, "y", *scores), key, draws)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).alias("x")) for m, c in enumerate(scores)])).alias("o")
+    return average_precision(rows.select("b", "y", "w", each).select("b", "y", "w", "o.m", "o.x"), "y", "x", "w", ("b", "m"))
+
+
+@pytest.mark.parametrize("few, size", [(resample.FEW, resample.RANGE), (0, 300), (0, resample.RANGE)])
+def test_draws_without_a_row_each(spark, few, size, monkeypatch):
+    r = random.Random(1)
+    # long keys, negative and missing ones, missing labels and scores, one score of many rows
+    rows = [(None if i % 50 == 0 else "k" * (i % 70) + str(i - 9), r.choice([0, 0, 0, 1, None]), r.choice([round(r.random(), 1), None, 0.3]), r.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, y int, s double, v double").repartition(3)
+    told = lambda d: sorted((x.m, x.b, round(x.ap, 10)) for x in d.collect())
+    wanted = told(exploded_aps(df, "id", 30, ["s", "v"]))
+    monkeypatch.setattr(resample, "drawn", None)
+    assert told(resample.draw_aps(df, "id", 30, ["s", "v"], few=few, size=size)) == wanted
