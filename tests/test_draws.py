@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +42,21 @@ def test_draws_without_a_row_each(spark, few, size, monkeypatch):
     wanted = told(exploded_aps(df, "id", 30, ["s", "v"]))
     monkeypatch.setattr(resample, "drawn", None)
     assert told(resample.draw_aps(df, "id", 30, ["s", "v"], few=few, size=size)) == wanted
+
+
+def test_exact_draws_of_counts_are_those_of_rows(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(r.randrange(2), r.randrange(5) / 4, r.randrange(3) / 2) for _ in range(500)]
+    df = spark.createDataFrame(rows, "y int, s double, v double")
+    monkeypatch.setattr(resample, "INDEXES", 64)
+    mean = lambda y, s: float((y * s).mean())
+    keyed = df.select("*", F.xxhash64("s", "v", "y").alias("k")).toPandas().sort_values("k")
+    rng, deltas = np.random.default_rng(0), []
+    for _ in range(30):
+        i = rng.integers(0, 500, 500)
+        y, a, b = (keyed[c].to_numpy()[i] for c in ("y", "s", "v"))
+        deltas.append(mean(y, b) - mean(y, a))
+    wanted = (30, *(round(float(x), 6) for x in (np.mean(deltas), np.quantile(deltas, 0.025), np.quantile(deltas, 0.975))))
+    assert tuple(resample.exact_bootstrap(df, mean, draws=30).first())[:4] == wanted
+    counted = lambda y, s, n: float((y * s * n).sum() / n.sum())
+    assert tuple(resample.exact_bootstrap(df, counted, draws=30, counted=True).first())[:4] == wanted
