@@ -60,3 +60,17 @@ def test_variants_are_fitted_once_and_compared(spark, rows, tmp_path, monkeypatc
     assert model.variants(early, late, sets, cache).count() == 2 * late.count()
     got = {r.name: r for r in model.compare(scores, late, "plain", draws=60).collect()}
     assert got["plain"].delta is None and got["full"].auc_pr > got["plain"].auc_pr and got["full"].low <= got["full"].delta <= got["full"].high and got["full"].verdict == "better"
+
+
+def test_variants_are_weighed_once(spark, monkeypatch):
+    """And as in pairs, also where a variant lacks rows."""
+    late = spark.createDataFrame([(i, int(i % 3 == 0), 10.0) for i in range(200)], "TransactionID long, isFraud int, TransactionAmt double")
+    scores = [(v, i, (i * k % 97) / 97 + (i % 3 == 0) * w) for v, k, w in (("plain", 31, 0.1), ("a", 57, 0.2), ("b", 83, 0.0)) for i in range(200)]
+    weighed, draw_aps = [], model.draw_aps
+    monkeypatch.setattr(model, "draw_aps", lambda df, key, draws, names: weighed.append(len(names)) or draw_aps(df, key, draws, names))
+    whole = spark.createDataFrame(scores, "variant string, TransactionID long, score double")
+    got = {r.name: r for r in model.compare(whole, late, "plain", draws=40).collect()}
+    assert weighed == [3] and got["plain"].delta is None
+    lacking = whole.where("variant <> 'b' or TransactionID > 0")
+    some = {r.name: r for r in model.compare(lacking, late, "plain", draws=40).collect()}
+    assert weighed == [3] and got["a"] == some["a"] and some["b"].delta != got["b"].delta
