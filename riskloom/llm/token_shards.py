@@ -111,21 +111,26 @@ class Encoder:
     tokens, go to it whole.
     """
 
-    #: By tokenizer; a worker keeps it from one task to the next.
-    kept: dict[int, dict[str, bytes]] = {}
+    #: Library tokenizer and ids of words, by tokenizer; a worker keeps them from one task to the next.
+    kept: dict[int, tuple] = {}
+    #: White space that may stand side by side, apart from plain spaces and line ends, which splitting shows.
+    RARE = ("\t\r\v\f\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
     def __init__(self, spec: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        known = zlib.crc32(f"{width}{spec}".encode())
+        if known not in self.kept:
+            self.kept[known] = (Tokenizer.from_str(spec), {})
+        self.tokenizer, self.cache = self.kept[known]
         self.kind = "H" if width == 2 else "I"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = lambda text: any(x in text for x in added)
-        # white space side by side, apart from plain spaces and line ends, which splitting shows
-        self.rare = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        # a search for each sign runs over memory, a class of signs over signs
+        few, all_ = self.RARE[0], self.RARE[0] + self.RARE[1]
+        self.rare = lambda text: any([x in text for x in (few if text.isascii() else all_)])
         self.odd = re.compile(r"\A | \Z|\s |\s\n| \s|\n\s").search
-        self.cache = self.kept.setdefault(zlib.crc32(f"{width}{spec}".encode()), {})
         self.end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:

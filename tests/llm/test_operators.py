@@ -506,3 +506,18 @@ def test_globs_match_as_regular_expressions_do():
     for j, g in enumerate(globs):
         p = re.compile(re.escape(g).replace(rb"\*", b".*").replace(rb"\?", b"."), re.S)
         assert [bool(p.fullmatch(t)) for t in texts] == hit[:, j].tolist()
+
+
+def test_a_worker_keeps_its_tokenizer(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+    from riskloom.llm.token_shards import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(Encoder, "kept", {})
+    first = Encoder(spec, 2)
+    assert Encoder(spec, 2).tokenizer is first.tokenizer and Encoder(spec, 4).cache is not first.cache
+    signs = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0     　"
+    texts = [f"a{x}{y}b {x}é c{x}" for x in signs for y in signs + " \n"] + [f"{x} a" for x in signs]
+    assert [list(memoryview(x).cast("H")) for x in first(texts)] == [e.ids for e in tokenizers.Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
