@@ -25,10 +25,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,14 +40,12 @@ from .common import bounded_batches, own_columns
 SPACE = "▁"
 #: Longer segments are folded outside the relational part, by the same rule.
 LONGEST = 48
-#: Words that a task keeps with their ids, and segments that it has noted.
+#: Segments that a task has noted, or keeps with their ids.
 CACHE = 1_000_000
-#: Texts that the second pass has cut into words at once.
-SLICE = 200
+#: Bytes of text that are cut into words at once.
+SLICE = 4 << 20
 #: Notes of a task's segments that one task of the second step takes; a quarter of them, about, are lattices to fold.
 TASK = 30_000
-#: Marks that mostly end a word as a segment of their own.
-MARKS = ".,;:!?"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 
 
@@ -122,37 +122,62 @@ class Coder:
         self.byte_ids = {i for i, k in enumerate(table.kinds) if k == BYTE}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
-    def words(self, text: str) -> list[str]:
-        """A text's words, each with the spaces before it, without the first one where every word has just one."""
-        if self.table.prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-            return text.split(" ")
-        return self.word(self.surface(text))
-
-    def spelled(self, word: str) -> str:
-        """A word of words() with its spaces."""
-        return SPACE + word if self.table.prefix and word[:1] != SPACE else word
+    @cached_property
+    def beside(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """A number for each character, how many numbers there are, and which pairs of them a piece has side by side: as a table, or sorted where that is too large."""
+        chars = sorted({c for pair in self.joined for c in pair})
+        number = np.zeros(0x110000, "u4")
+        number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        many = len(chars) + 1
+        pairs = np.array(sorted(int(number[ord(a)]) * many + int(number[ord(b)]) for a, b in self.joined), "i8")
+        if many <= 1 << 13:
+            table = np.zeros(many * many, bool)
+            table[pairs] = True
+            return number, many, table
+        return number, many, pairs
+
+    @cached_property
+    def spelling(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pieces by id, the bytes of each, and which are bytes."""
+        pieces = pa.array(self.table.pieces, pa.large_string())
+        return pieces, np.diff(layout(pieces)[0]), np.array(self.table.kinds) == BYTE
+
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words of some texts, each with the spaces before it; of every word in turn which it is; and where each text's words begin, and the last one's end."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), SPACE, " ")
+        if self.table.prefix:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        at, data = layout(texts)
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(begins)
+        found = laid_out(np.append(starts, len(data)), data).dictionary_encode()
+        return pc.replace_substring(found.dictionary, " ", SPACE), found.indices.to_numpy(), np.searchsorted(starts, at)
 
     def surface(self, text: str) -> str:
         return (SPACE if self.table.prefix and text else "") + text.replace(" ", SPACE)
 
     def segments(self, word: str) -> list[str]:
-        """A word cut wherever no piece has the two characters side by side."""
-        pairs = list(map(add, word, word[1:]))
-        if self.joined.issuperset(pairs):
-            return [word]
-        ends = [i for i, p in enumerate(pairs, 1) if p not in self.joined]
-        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
-
-    def begins(self, segment: str) -> bool:
-        """Whether a segment begins a word that words() has without its space."""
-        return self.table.prefix and segment[:1] == SPACE and segment[1:2] not in ("", SPACE)
-
-    def parted(self, word: str) -> tuple[str, str]:
-        """A word and the marks at its end, where no piece spans the two; else the word and nothing."""
-        body = word.rstrip(MARKS)
-        if not body or len(body) == len(word) or word[len(body) - 1:len(body) + 1] in self.joined:
-            return word, ""
-        return body, word[len(body):]
+        return self.cut(pa.array([word], pa.large_string()))[0].to_pylist()
+
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words cut wherever no piece has the two characters side by side; and where each word's segments begin, and the last one's end."""
+        at, data = layout(words)
+        number, many, pairs = self.beside
+        chars = number[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")]
+        pair = chars[:-1].astype("i8") * many + chars[1:]
+        begins = np.ones(len(chars), bool)
+        if pairs.dtype == bool:
+            begins[1:] = ~pairs[pair]
+        else:
+            begins[1:] = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
+        first = np.zeros(len(data), bool)
+        first[at[:-1]] = True
+        place = np.flatnonzero((data & 0xC0) != 0x80)  # of every character
+        ends = np.append(place[begins | first[place]], len(data))
+        return laid_out(ends, data), np.searchsorted(ends, at)
 
     def lone(self, c: str) -> list[int]:
         if c in self.known:
@@ -227,6 +252,39 @@ class Coder:
         return text[1:] if self.table.prefix and text[:1] == " " else text
 
 
+def layout(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of some large strings begins, and the last one's end, and their bytes."""
+    at = np.frombuffer(values.buffers()[1], "<i8")[values.offset:values.offset + len(values) + 1] if len(values) else np.zeros(1, "<i8")
+    data = np.frombuffer(values.buffers()[2], "u1") if at[-1] else np.zeros(0, "u1")
+    return at - at[0], data[at[0]:at[-1]]
+
+
+def laid_out(at: np.ndarray, data: np.ndarray, kind: pa.DataType = pa.large_string()) -> pa.Array:
+    """The reverse of layout()."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype("<i8", copy=False)), pa.py_buffer(data)])
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches by some SLICE bytes of text, their last column."""
+    pa.set_memory_pool(pa.system_memory_pool())  # which hands back what a slice took
+    held, size = [], 0
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        whole = pa.concat_batches(held)
+        part = np.cumsum(pc.binary_length(whole.column(whole.num_columns - 1)).fill_null(0).to_numpy().astype("i8")) // SLICE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(whole)]
+        return (whole[a:b] for a, b in zip(edges, edges[1:]) if a < b)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE:
+            yield from dealt()
+            held, size = [], 0
+    if held:
+        yield from dealt()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -369,20 +427,18 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        words: set[str] = set()
-        segs: set[str] = {""}
-        for pdf in batches:
-            new = set().union(*[coder.words(t) for t in pdf["t"] if t]).difference(words)
-            bodies = {x for w in new for x in coder.parted(coder.spelled(w))}.difference(segs)
-            own = {x for w in bodies for x in coder.segments(w) if len(x) <= LONGEST}.difference(segs)
-            if len(words) < CACHE:
-                words |= new
-                segs |= own
-            yield pd.DataFrame({"p": task, "seg": list(own)})
-
-    docs.select("t").mapInPandas(cut, "p int, seg string").write.mode("overwrite").option("compression", "zstd").parquet(s.path("met"))
+        noted = pa.array([""], pa.large_string())
+        for batch in slices(batches):
+            segs = coder.cut(coder.words(batch.column(0))[0])[0].unique()
+            segs = segs.filter(pc.less_equal(pc.utf8_length(segs), LONGEST))
+            segs = segs.filter(pc.invert(pc.is_in(segs, value_set=noted)))
+            if len(noted) < CACHE:
+                noted = pa.concat_arrays([noted, segs])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(segs), task, "i4")), segs.cast(pa.string())], ["p", "seg"])
+
+    docs.select("t").mapInArrow(cut, "p int, seg string").write.mode("overwrite").option("compression", "zstd").parquet(s.path("met"))
     met = spark.read.schema("p int, seg string").parquet(s.path("met"))
     # dealt out by segment: counting, exploding, joining, grouping and handing back then need no further exchange
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TASK))
@@ -400,74 +456,73 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     finally:
         spark.conf.set(limit, before)
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, bytes] = {}  # ids by word, as words() has it
-        rest: dict[str, bytes] = {}  # ids of segments that begin no word
-        bad: set[str] = set()  # segments that their ids do not decode to
-        wrong: set[str] = set()  # words with such a segment
-        first = True
-
-        def ids_of(segment: str) -> bytes:
-            ids = kept.get(segment[1:]) if coder.begins(segment) else rest.get(segment)
-            if ids is None:
-                ids = np.array(coder.fold(segment), "<i4").tobytes()
-                if coder.surface_of(ids) != segment:
-                    bad.add(segment)
-            return ids
-
-        for whole in batches:
-            for i in range(0, len(whole), SLICE):
-                pdf = whole.iloc[i:i + SLICE]
-                if first:
-                    first = False
-                    for part in task_segments(path, TaskContext.get().partitionId(), width(table)):
-                        bad |= mistaken(coder, part)
-                        for x, ids in part.items():
-                            if coder.begins(x):
-                                kept[x[1:]] = ids
-                            else:
-                                rest[x] = ids
-                    wrong |= {x[1:] for x in bad if coder.begins(x)}
-                cut = [coder.words(t) if t else () for t in pdf["t"]]
-                more: dict[str, bytes] = {}
-                for w in set().union(*cut).difference(kept):
-                    parts = [x for part in coder.parted(coder.spelled(w)) if part for x in coder.segments(part)]
-                    more[w] = b"".join(map(ids_of, parts))
-                    if bad and not bad.isdisjoint(parts):
-                        wrong.add(w)
-                if len(kept) < CACHE:
-                    kept |= more
-                    rows = [b"".join(map(kept.__getitem__, own)) for own in cut]
-                else:
-                    rows = [b"".join([more[w] if w in more else kept[w] for w in own]) for own in cut]
-                out = {key: pdf["k"].to_numpy(), "n_tokens": [len(x) // 4 for x in rows]}
-                if digest:
-                    out |= {"ids_crc32": [zlib.crc32(x) for x in rows], "round_trip": [not wrong or wrong.isdisjoint(own) for own in cut]}
-                else:
-                    out["ids"] = [np.frombuffer(x, "<i4") for x in rows]
-                yield pd.DataFrame(out)
-
-    return docs.mapInPandas(put, schema)
-
-
-def mistaken(coder: Coder, found: dict[str, bytes]) -> set[str]:
-    """The segments that their ids do not decode to."""
-    if not found:
-        return set()
-    ids = np.frombuffer(b"".join(found.values()), "<i4")
-    ends = np.cumsum([len(x) // 4 for x in found.values()])
-    at = ids.tolist()
-    # all at once: the same characters in all, and as many in each
-    size = np.array([len(p) for p in coder.table.pieces])[ids]
-    starts = np.concatenate([[0], ends[:-1]])
-    if not coder.byte_ids.intersection(at) and (starts < ends).all() and "".join([coder.table.pieces[i] for i in at]) == "".join(found) and (
-            np.add.reduceat(size, starts) == [len(x) for x in found]).all():
-        return set()
-    return {x for x, own in found.items() if coder.surface_of(own) != x}
-
-
-def task_segments(path: str, task: int, width: int) -> Iterator[dict[str, bytes]]:
-    """The segments of one task with their ids as 32-bit integers, some at a time; what the fold left open is not there."""
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in slices(batches):
+            kept = kept or Kept(coder, task_segments(path, TaskContext.get().partitionId(), width(table)))
+            words, which, text_at = coder.words(batch.column(1))
+            segs, word_at = coder.cut(words)
+            segs = segs.dictionary_encode()
+            known, wrong, place = kept.ids(segs.dictionary)
+            place = place[segs.indices.to_numpy()]
+            at, data = layout(known.take(pa.array(place)))
+            at, data = layout(laid_out(at[word_at], data, pa.large_binary()).take(pa.array(which)))
+            at = at[text_at] // 4
+            out = [batch.column(0), pa.array(np.diff(at))]
+            if digest:
+                ids = memoryview(data)
+                bad = np.append(0, np.cumsum(np.diff(np.append(0, np.cumsum(wrong[place]))[word_at])[which]))[text_at]
+                out += [pa.array([zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(at.tolist(), at[1:].tolist())], pa.int64()), pa.array(np.diff(bad) == 0)]
+            else:
+                out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(data.view("<i4"))))
+            yield pa.RecordBatch.from_arrays(out, [key, "n_tokens", *(["ids_crc32", "round_trip"] if digest else ["ids"])])
+
+    return docs.mapInArrow(put, schema)
+
+
+class Kept:
+    """The segments of a task with their ids as 32-bit integers, and whether these decode to something else."""
+
+    def __init__(self, coder: Coder, found: Iterator[tuple[pa.Array, pa.Array]]):
+        self.coder, names, known, wrong = coder, [pa.array([], pa.large_string())], [pa.array([], pa.large_binary())], [np.zeros(0, bool)]
+        for segs, ids in found:
+            names.append(segs)
+            known.append(ids)
+            wrong.append(mistaken(coder, segs, ids))
+        self.names, self.known, self.wrong = pa.concat_arrays(names), pa.concat_arrays(known), np.concatenate(wrong)
+
+    def ids(self, segs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids and wrongness by place, and the places of some distinct segments; what is not there is folded, and kept while there is room."""
+        place = pc.index_in(segs, value_set=self.names)
+        names, known, wrong = segs.filter(place.is_null()), self.known, self.wrong
+        place = place.fill_null(-1).to_numpy().astype("i8")
+        if len(names):
+            more = pa.array([np.array(self.coder.fold(x), "<i4").tobytes() for x in names.to_pylist()], pa.large_binary())
+            place[place < 0] = np.arange(len(known), len(known) + len(more))
+            known, wrong = pa.concat_arrays([known, more]), np.concatenate([wrong, mistaken(self.coder, names, more)])
+            if len(self.names) < CACHE:
+                self.names, self.known, self.wrong = pa.concat_arrays([self.names, names]), known, wrong
+        return known, wrong, place
+
+
+def mistaken(coder: Coder, segs: pa.Array, ids: pa.Array) -> np.ndarray:
+    """Of each segment whether its ids decode to something else."""
+    pieces, sizes, is_byte = coder.spelling
+    (ends, _), (at, data) = layout(segs), layout(ids)
+    at, flat = at // 4, data.view("<i4")
+    sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])
+    wrong = sums(sizes[flat]) != np.diff(ends)
+    odd = wrong | (sums(is_byte[flat]) > 0)
+    # the others all at once: as many bytes in each, and the same bytes in all
+    if layout(pieces.take(pa.array(flat[np.repeat(~odd, np.diff(at))])))[1].tobytes() != layout(segs.filter(pa.array(~odd)))[1].tobytes():
+        odd[:] = True
+    for i in np.flatnonzero(odd).tolist():
+        wrong[i] = coder.surface_of(ids[i].as_py()) != segs[i].as_py()
+    return wrong
+
+
+def task_segments(path: str, task: int, width: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The segments of one task and their ids as 32-bit integers, some at a time; what the fold left open is not there."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -476,11 +531,9 @@ def task_segments(path: str, task: int, width: int) -> Iterator[dict[str, bytes]
     if files.get_file_info(at).type == fs.FileType.NotFound:
         return
     for batch in ds.dataset(at, filesystem=files, format="parquet").to_batches(columns=["seg", "ids"], batch_size=50_000, batch_readahead=1, fragment_readahead=1, use_threads=False):
-        own = batch.column("ids").to_pylist()
-        size = [len(x) // width * 4 if x else 0 for x in own]
-        flat = np.frombuffer(b"".join([x for x in own if x]), f">u{width}").astype("<i4").tobytes()
-        ends = [0, *np.cumsum(size).tolist()]
-        yield {x: flat[a:b] for x, a, b in zip(batch.column("seg").to_pylist(), ends, ends[1:]) if a < b}
+        batch = batch.filter(pc.greater(pc.binary_length(batch.column("ids")), 0))
+        ends, data = layout(batch.column("ids").cast(pa.large_binary()))
+        yield batch.column("seg").cast(pa.large_string()), laid_out(ends // width * 4, data.view(f">u{width}").astype("<i4"), pa.large_binary())
 
 
 def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

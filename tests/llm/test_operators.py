@@ -383,6 +383,55 @@ def test_long_segments_fold_alike():
         assert [i for w in c.word(c.surface(t)) for s in c.segments(w) for i in c.fold(s)] == sp.encode(t)
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+def test_words_and_segments_are_cut_in_bulk(prefix, monkeypatch):
+    """Just as the plain rules cut them, with no call for each word; and wrong ids are seen."""
+    import sys
+    import pyarrow as pa
+
+    coder = pieces.Coder(pieces.Table.read(tokenizer("piece_bpe_32k.model")))
+    coder.table.prefix = prefix
+    r = random.Random(5)
+    texts = [None, "", " ", "  two  spaces ", " a", "b ", "x\u2581y  z", "\u2581", "a\nb, c.", "\U0001f600 \u4e2d\u6587e\u0301 \x00"] + [
+        "".join(r.choice("abcdefe\u00e9\u4e2d ,.\u2581") for _ in range(r.randrange(40))) for _ in range(200)]
+    plain = [coder.word(coder.surface(t or "")) for t in texts]
+    words, which, at = coder.words(pa.array(texts, pa.string())[0:])
+    names = words.to_pylist()
+    assert [[names[i] for i in which[a:b]] for a, b in zip(at, at[1:])] == plain and len(set(names)) == len(names)
+    number, many, pairs = coder.beside
+    for form in (pairs, np.flatnonzero(pairs)):
+        coder.__dict__["beside"] = number, many, form
+        segs, at = coder.cut(words)
+        for w, a, b in zip(names, at, at[1:]):
+            ends = [i for i in range(1, len(w)) if w[i - 1:i + 1] not in coder.joined]
+            assert segs[a:b].to_pylist() == [w[i:j] for i, j in zip([0, *ends], [*ends, len(w)])]
+    own = segs.unique()
+    ids = [np.array(coder.fold(x), "<i4").tobytes() for x in own.to_pylist()]
+    right = pa.array(ids, pa.large_binary())
+    assert not pieces.mistaken(coder, own, right).any()
+    odd = pa.array([ids[1], *ids[1:]], pa.large_binary())
+    assert pieces.mistaken(coder, own, odd).tolist() == [True] + [False] * (len(own) - 1)
+    kept = pieces.Kept(coder, iter([(own[:5], odd[:5])]))
+    known, wrong, place = kept.ids(own)
+    assert known.take(pa.array(place)).to_pylist() == odd.to_pylist() and wrong[place].tolist() == [True] + [False] * (len(own) - 1)
+    assert kept.ids(own[7:9])[2].tolist() == [7, 8]
+
+    calls = [0]
+    many = pa.array([" ".join(r.choice(["the", "tree", "ab,", "zq"]) + str(r.randrange(1000)) for _ in range(100)) for _ in range(100)])
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + 1))
+    try:
+        segs = coder.cut(coder.words(many)[0])[0]
+    finally:
+        sys.setprofile(None)
+    assert len(segs) > 2000 and calls[0] < 1000
+
+    monkeypatch.setattr(pieces, "SLICE", 50)
+    rows = [(i, t) for i, t in enumerate([*texts, "long " * 30, None, "x"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part], pa.string())], ["k", "t"]) for part in (rows[:3], rows[3:100], rows[100:])]
+    got = list(pieces.slices(iter(batches)))
+    assert [x for b in got for x in zip(*map(pa.Array.to_pylist, b.columns))] == rows and len(got) > 20 and list(pieces.slices(iter([]))) == []
+
+
 def test_unigram_lattice_takes_the_best_sum(spark):
     table = pieces.Table(["<unk>", "a", "b", "ab", "ba", "aba"], [0, -1.0, -1.5, -1.8, -2.0, -4.0], [2, 1, 1, 1, 1, 1], True, False)
     coder = pieces.Coder(table)
