@@ -43,7 +43,9 @@ LONGEST = 48
 #: Segments that a task has noted, or keeps with their ids.
 CACHE = 1_000_000
 #: Bytes of text that are cut into words at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Bytes of words that are cut into segments at once.
+BLOCK = 1 << 17
 #: Notes of a task's segments that one task of the second step takes; a quarter of them, about, are lattices to fold.
 TASK = 30_000
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
@@ -166,17 +168,22 @@ class Coder:
         """Words cut wherever no piece has the two characters side by side; and where each word's segments begin, and the last one's end."""
         at, data = layout(words)
         number, many, pairs = self.beside
-        chars = number[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")]
-        pair = chars[:-1].astype("i8") * many + chars[1:]
-        begins = np.ones(len(chars), bool)
-        if pairs.dtype == bool:
-            begins[1:] = ~pairs[pair]
-        else:
-            begins[1:] = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
-        first = np.zeros(len(data), bool)
-        first[at[:-1]] = True
-        place = np.flatnonzero((data & 0xC0) != 0x80)  # of every character
-        ends = np.append(place[begins | first[place]], len(data))
+        found = []
+        for part in np.split(at[:-1], np.flatnonzero(np.diff(at[:-1] // BLOCK)) + 1) if len(words) else []:
+            end = at[np.searchsorted(at, part[-1]) + 1]
+            own = data[part[0]:end]
+            chars = number[np.frombuffer(own.tobytes().decode().encode("utf-32-le"), "<u4")]
+            pair = chars[:-1].astype("i8") * many + chars[1:]
+            begins = np.ones(len(chars), bool)
+            if pairs.dtype == bool:
+                begins[1:] = ~pairs[pair]
+            else:
+                begins[1:] = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
+            first = np.zeros(len(own), bool)
+            first[part - part[0]] = True
+            place = np.flatnonzero((own & 0xC0) != 0x80)  # of every character
+            found.append(place[begins | first[place]] + part[0])
+        ends = np.concatenate([*found, [len(data)]]).astype("i8")
         return laid_out(ends, data), np.searchsorted(ends, at)
 
     def lone(self, c: str) -> list[int]:
@@ -308,11 +315,13 @@ def viterbi(table: Table, size: Column, scores: Column) -> Column:
             F.get(cuts, F.lit(0)) > 0, F.concat(F.array(-F.get(best, F.get(cuts, F.lit(0)))["back"]), cuts)).otherwise(cuts)))
 
 
-def merged(size: Column, edges: Column) -> Column:
+def merged(size: Column, edges: Column, late: Column) -> Column:
     """Cuts left by merging in rank order, as bits of a long; -1 where an edge that has gone by became possible.
 
     ``edges``: structs sorted by ``key`` (rank, then place), with the bits of all places
     from end to end as ``every``, of the two ends as ``ends``, and all but the places between as ``rest``.
+    An edge is opened by the merge of one of its two halves; it has gone by then only if it
+    begins or ends with a piece of a later rank, which ``late`` tells.
     """
     one = F.lit(1).cast("long")
 
@@ -322,7 +331,7 @@ def merged(size: Column, edges: Column) -> Column:
 
     def step(cuts: Column, e: Column) -> Column:
         after = cuts.bitwiseAND(e["rest"])
-        missed = let(after, lambda now: F.exists(edges, lambda f: (f["key"] < e["key"]) & fits(now, f)))
+        missed = let(after, lambda now: F.exists(late, lambda f: (f["key"] < e["key"]) & fits(now, f)))
         return F.when((cuts >= 0) & fits(cuts, e), F.when(missed, F.lit(-1).cast("long")).otherwise(after)).otherwise(cuts)
 
     return F.aggregate(edges, F.call_function("shiftleft", one, size + 1) - 1, step)
@@ -356,12 +365,13 @@ def best_sums(table: Table, lattice: DataFrame) -> DataFrame:
 def by_rank(table: Table, lattice: DataFrame) -> DataFrame:
     """seg and ids (null where the fold must be done again), from seg, ``edges`` of two characters or more as merged() takes them, and the edges of one as ``single``."""
     one = F.lit(1).cast("long")
-    state = lattice.withColumn("edges", F.array_sort("edges")).withColumn("state", merged(F.length("seg"), F.col("edges")))
+    # sort_array compares natively, where array_sort has a lambda of its own
+    state = lattice.withColumns({"edges": F.sort_array("edges"), "late": F.filter("edges", lambda e: e["late"])}).withColumn("state", merged(F.length("seg"), F.col("edges"), F.col("late")))
     whole = F.col("state")
     on = lambda e: (F.bit_count(whole.bitwiseAND(e["every"])) == 2) & (whole.bitwiseAND(e["ends"]) == e["ends"])
     left = F.filter(F.concat("edges", "single"), on)
     # in the order of their places; where a character is no piece, pieces are fewer than the stretches between cuts
-    path = F.transform(F.array_sort(F.transform(left, lambda e: F.struct(e["span"], e["id"]))), lambda e: e["id"])
+    path = F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["span"], e["id"]))), lambda e: e["id"])
     cuts = F.filter(F.sequence(F.lit(0), F.length("seg")), lambda i: whole.bitwiseAND(F.call_function("shiftleft", one, i)) != 0)
     found = F.map_from_entries(F.transform(left, lambda e: F.struct(e["span"], e["id"])))
     state = state.withColumn("path", path)
@@ -380,8 +390,10 @@ def folded(segs: DataFrame, table: Table, longest: int) -> DataFrame:
     """seg and ids (null where the fold must be done again) of distinct segments: their substrings joined to the pieces, grouped and folded."""
     spark = segs.sparkSession
     known = sorted(table.normal().items(), key=lambda x: -x[1][1])
-    rows = pd.DataFrame([(p, i, x, rank) for rank, (p, (i, x)) in enumerate(known)], columns=["known", "id", "score", "rank"])
-    pieces = spark.createDataFrame(rows, "known string, id int, score double, rank long").withColumn("h", F.xxhash64("known"))
+    ranks = {p: rank for rank, (p, _) in enumerate(known)}
+    late = [any(ranks.get(x, -1) > rank for n in range(2, len(p)) for x in (p[:n], p[-n:])) for p, rank in ranks.items()]
+    rows = pd.DataFrame([(p, i, x, rank, later) for (rank, (p, (i, x))), later in zip(enumerate(known), late)], columns=["known", "id", "score", "rank", "late"])
+    pieces = spark.createDataFrame(rows, "known string, id int, score double, rank long, late boolean").withColumn("h", F.xxhash64("known"))
     begins = segs.select("seg", F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("a"))
     edges = begins.select("seg", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("a")))).alias("n")).withColumn("piece", F.substring("seg", F.col("a") + 1, F.col("n")))
     # the piece table's size is fixed by the model file; a long is looked up sooner than a string, which is compared only on a hit
@@ -392,7 +404,7 @@ def folded(segs: DataFrame, table: Table, longest: int) -> DataFrame:
         return best_sums(table, found.groupBy("seg").agg(F.collect_list(F.when(hit, F.struct(span, "id", "score"))).alias("edges")))
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
     found = found.withColumns({"ends": bit(F.col("a")).bitwiseOR(bit(end)), "inner": bit(end) - bit(F.col("a") + 1)})
-    edge = F.struct((F.col("rank") * 4096 + F.col("a") * 64 + end).alias("key"), F.col("ends").bitwiseOR(F.col("inner")).alias("every"), "ends", F.bitwise_not("inner").alias("rest"), span, "id")
+    edge = F.struct((F.col("rank") * 4096 + F.col("a") * 64 + end).alias("key"), F.col("ends").bitwiseOR(F.col("inner")).alias("every"), "ends", F.bitwise_not("inner").alias("rest"), span, "id", "late")
     long = F.col("n") > 1
     return by_rank(table, found.groupBy("seg").agg(F.collect_list(F.when(hit & long, edge)).alias("edges"), F.collect_list(F.when(hit & ~long, edge)).alias("single")))
 

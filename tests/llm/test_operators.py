@@ -445,6 +445,13 @@ def test_unigram_lattice_takes_the_best_sum(spark):
     assert whole == got
 
 
+def test_an_edge_opened_late_is_left_to_the_plain_fold(spark):
+    """abc goes before bc, by which alone it can be made; xyz after xy."""
+    table = pieces.Table(["<unk>", *"abcxyz", "abc", "bc", "xy", "xyz"], [0.0, *[-900.0 - i for i in range(6)], -1.0, -2.0, -3.0, -4.0], [2] + [1] * 10, False, False)
+    got = {x.seg: x.ids for x in pieces.folded(spark.createDataFrame([(w,) for w in ("abc", "bc", "bcxyz", "xyzabc")], "seg string"), table, 3).collect()}
+    assert got == {"abc": None, "bc": [8], "bcxyz": [8, 10], "xyzabc": None} and pieces.Coder(table).fold("xyzabc") == [10, 7]
+
+
 def test_ranked_lattice_equals_the_plain_fold(spark):
     """Ranks in random order, so that merges open the way for edges gone by; and characters that are no piece."""
     r = random.Random(8)
