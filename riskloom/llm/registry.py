@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, html_text, language, media, packing, pieces, pipeline, simhash, token_shards, toxicity, url_filter
+from . import embedding, html_text, language, media, neighbours, packing, periodic, pieces, pipeline, simhash, token_shards, toxicity, url_filter, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_simhash_near_dedup, op2_token_shards, op3_language_id, op4_embedding_near_dedup, op5_media_columns,
-             op6_best_fit_packing, op7_sentencepiece, op8_html_text, op9_toxicity, op10_url_filter]
+             op6_best_fit_packing, op7_sentencepiece, op8_html_text, op9_toxicity, op10_url_filter,
+             op11_nearest_neighbours, op12_periodic_runs, op13_spelling_variants]
     return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dedup": embedding.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {"op4_embedding_near_dedup": embedding.oracle(), "op10_url_filter": url_filter.oracle(), "op11_nearest_neighbours": neighbours.oracle(), "op13_spelling_variants": variants.oracle()}
