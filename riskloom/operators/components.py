@@ -1,57 +1,91 @@
-"""Connected components by rounds of edge contraction."""
+"""Connected components by rounds in which every task contracts the edges it holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import Scratch
 
+#: Edges that a task contracts at once.
+HELD = 1 << 19
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least node of each node's component: minima over edges with pointer jumping."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        while True:
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        new = new[label]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def stars(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, root, h): of each node the one of its component among these edges whose hash ``h`` is least. ``edges``: a, b, ha, hb."""
+    n = len(edges)
+    code, names = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True))
+    h = np.empty(len(names), np.int64)
+    h[code] = np.concatenate([edges["ha"].to_numpy(), edges["hb"].to_numpy()])
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    root = order[least_labels(len(names), place[code[:n]], place[code[n:]])[place]]
+    names = np.asarray(names)
+    return pd.DataFrame({"node": names, "root": names[root], "h": h[root]})
+
+
+def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, many = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        many += len(pdf)
+        if many >= HELD:
+            yield stars(pd.concat(held, ignore_index=True))
+            held, many = [], 0
+    if many:
+        yield stars(pd.concat(held, ignore_index=True))
+
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): component is the smallest node reachable, itself included.
 
-    Each round every node points at the neighbour (or itself) that comes first in
-    a hashed order, and edges are rewritten to the pointed-at nodes; loops vanish.
-    The hashed order makes even a sorted chain shrink by a constant factor, so
-    rounds are logarithmic and the work of all rounds is a small multiple of the
-    first. Only aggregations with map-side combining and equi-joins are used, so
-    a hub is split by adaptive skew handling rather than gathered in one task.
+    Each round every task turns the edges it holds, at most HELD at a time, into stars
+    around the node of each component that comes first in a hashed order. A node of
+    several stars joins their middles, and these edges are the next round's. What fits one
+    task is done in one round; beyond, stars leave only middles, and the hashed order makes
+    even a sorted chain dealt edge by edge shrink by a constant factor, so rounds are
+    logarithmic and their work falls off. A hub has at most as many stars as there are tasks.
     Null endpoints are dropped; self-loops only register their node.
     """
-    spark = edges.sparkSession
-    s = Scratch(spark, "components")
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    e = s.table(pairs.distinct(), "e0")
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    s = Scratch(edges.sparkSession, "components")
+    kind = edges.schema[src].dataType.simpleString()
+    live = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     hops: list[DataFrame] = []
-    live = e.where("a <> b")
-    for r in range(max_rounds):
+    while True:
+        both = live.withColumns({"ha": F.xxhash64("a"), "hb": F.xxhash64("b")})
+        # without a number of parts, small rounds go to one task
+        made = both.repartition("a").mapInPandas(contract, f"node {kind}, root {kind}, h long")
+        first = F.min(F.struct("h", "root")).over(Window.partitionBy("node"))
+        made = s.table(made.withColumn("first", first).select("node", "root", F.col("first.root").alias("to")), f"stars{len(hops)}")
+        hops.append(made.select("node", "to").distinct())
+        live = made.where("root <> to").select(F.col("root").alias("a"), F.col("to").alias("b")).distinct()
         if live.isEmpty():
             break
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        hop = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m")).select(
-            "node", F.least(F.col("m"), order("node"))["v"].alias("to"))
-        hop = s.table(hop, f"hop{r}")
-        hops.append(hop)
-        to_a = hop.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        to_b = hop.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = live.join(to_a, "a").join(to_b, "b").where("x <> y").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        live = s.table(moved, f"e{r + 1}")
-        if r:
-            s.drop(f"e{r}")
-    else:
-        raise RuntimeError("components did not settle")
-    roots = None
-    for hop in reversed(hops):
-        if roots is None:
-            roots = hop
-        else:
-            after = roots.select(F.col("node").alias("to"), F.col("to").alias("end"))
-            roots = hop.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    if roots is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    roots = s.table(nodes.join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")), "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(least, "root").select("node", "component")
+    at = hops[0]
+    for r, hop in enumerate(hops[1:]):
+        on = hop.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        at = s.table(at.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"at{r}")
+    least = at.groupBy("to").agg(F.min("node").alias("component"))
+    return at.join(least, "to").select("node", "component")

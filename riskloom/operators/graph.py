@@ -1,23 +1,23 @@
 """Graph operators over edge tables: cores, features, PageRank, betweenness, projection.
 
-Edges are two columns ``src`` and ``dst``, undirected. Small graphs (at most LOCAL
-edges, counted first) are solved in one task with exact in-memory algorithms; larger
-ones by rounds of joins and aggregations over tables in shared storage.
+Edges are two columns ``src`` and ``dst``, undirected. What a component decides alone is
+solved component by component: of at most LOCAL ends in tasks, many components to each,
+with exact in-memory algorithms; larger ones by rounds of joins and aggregations over
+tables in shared storage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import Scratch
-from .components import connected_components
+from .components import connected_components, least_labels as components_of
 from .ranges import quantiles_of
 
-LOCAL = 1_000_000
+#: Ends of edges up to which a component is one task's work, and about which a task is given of small ones.
+LOCAL, DEALT = 4_000_000, 1_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,23 +26,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
-def stored(edges: DataFrame) -> DataFrame:
-    """The edges as a table in shared storage, which they are read from again and again; as they are if they come from files alone."""
-    plan = edges._jdf.queryExecution().optimizedPlan().toString()
-    plain = not any(x in plan for x in ("Join", "Aggregate", "Union", "Generate", "Window", "MapInPandas", "Repartition"))
-    return edges if plain else Scratch(edges.sparkSession, "graph").table(edges, "edges")
-
-
-def in_one_task(edges: DataFrame, schema: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield f(pd.concat(held, ignore_index=True))
-
-    # written first, so that one task reads the edges and does not compute them
-    return Scratch(edges.sparkSession, "one").table(edges, "edges").coalesce(1).mapInPandas(run, schema)
-
-
 def numbered(e: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Node names in order, and the ends of each edge as places among them."""
     names, at = np.unique(np.concatenate([e["src"].to_numpy(), e["dst"].to_numpy()]), return_inverse=True)
@@ -55,37 +38,21 @@ def adjacency(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]), b[order]
 
 
-def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least node of each node's component: minima over edges with pointer jumping."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, label[a], label[b])
-        np.minimum.at(new, label[b], label[a])
-        while True:
-            jump = new[new]
-            if (jump == new).all():
-                break
-            new = jump
-        new = new[label]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node with an edge or a loop."""
-    edges = stored(edges)
-    kind = edges.schema["src"].dataType.simpleString()
-    if edges.count() > local:
-        return connected_components(edges)
+    return connected_components(edges)
 
-    def solve(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.dropna()
-        names, a, b = numbered(e)
-        return pd.DataFrame({"node": names, "component": names[components_of(len(names), a, b)] if len(names) else names})
 
-    return in_one_task(edges.select("src", "dst"), f"node {kind}, component {kind}", solve)
+def dealt(both: DataFrame, comp: DataFrame, s: Scratch, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """(component, src, dst, part) of components of at most ``local`` ends, dealt to tasks whole and many together, and the edges of larger ones, if any."""
+    own = s.table(both.join(comp.withColumnRenamed("node", "src"), "src"), "own")
+    sizes = own.groupBy("component").agg(F.count("*").alias("ends"))
+    large = s.table(sizes.where(F.col("ends") > local).select("component"), "large")
+    # as even as hashing makes them; a part is about as large as the largest component that it may hold
+    parts = max(1, own.count() // max(1, min(local, DEALT)))
+    some = not large.isEmpty()
+    small = own.join(large, "component", "left_anti") if some else own
+    return small.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts))), own.join(large, "component", "left_semi").select("src", "dst") if some else None
 
 
 def peel(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,36 +71,44 @@ def peel(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return core
 
 
-def k_core(edges: DataFrame, local: int = LOCAL, max_rounds: int = 500) -> DataFrame:
+def k_core(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """(node, core): exact core number of every node with an edge.
 
-    Beyond the local bound, the h-index of the neighbours' values is taken again and
-    again from the degrees downwards until nothing changes. Neighbours are counted by
-    value before the window, so a hub sends its distinct values, not its neighbours.
+    Cores of a component depend on it alone: components of at most ``local`` ends are peeled
+    in tasks, many together. In larger ones the h-index of the neighbours' values is taken
+    again and again from the degrees downwards until nothing changes. Neighbours are counted
+    by value before the window, so a hub sends its distinct values, not its neighbours.
     """
-    edges = stored(edges)
     kind = edges.schema["src"].dataType.simpleString()
-    both = undirected(edges)
-    if edges.count() <= local:
-        def solve(e: pd.DataFrame) -> pd.DataFrame:
-            names, a, b = numbered(e)
-            return pd.DataFrame({"node": names, "core": peel(len(names), a, b)})
-
-        return in_one_task(both, f"node {kind}, core long", solve)
     s = Scratch(edges.sparkSession, "kcore")
-    both = s.table(both, "edges")
+    both = s.table(undirected(edges), "edges")
+    small, large = dealt(both, connected_components(both), s, local)
+
+    def solve(e: pd.DataFrame) -> pd.DataFrame:
+        names, a, b = numbered(e)
+        return pd.DataFrame({"node": names, "core": peel(len(names), a, b)})
+
+    done = small.groupBy("part").applyInPandas(solve, f"node {kind}, core long")
+    return done if large is None else done.union(large_cores(s.table(large, "rest"), s))
+
+
+def large_cores(both: DataFrame, s: Scratch) -> DataFrame:
+    """(node, core) by rounds of joins; ``both`` holds both directions. Values only fall, so the rounds end."""
     h = s.table(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("h")), "h0")
-    for r in range(max_rounds):
+    r = 0
+    while True:
         own = both.join(h.select(F.col("node").alias("dst"), F.col("h").alias("theirs")), "dst").join(
             h.select(F.col("node").alias("src"), F.col("h").alias("mine")), "src")
         counted = own.groupBy("src", "mine", F.least("theirs", "mine").alias("v")).agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("v")))
         new = counted.withColumn("m", F.least("v", at_least)).groupBy(F.col("src").alias("node")).agg(F.max("m").alias("h"), F.max("mine").alias("was"))
-        new = s.table(new, f"h{r + 1}")
+        r += 1
+        new = s.table(new, f"h{r}")
         h = new.select("node", "h")
         if new.where("h <> was").isEmpty():
             return h.select("node", F.col("h").alias("core"))
-    raise RuntimeError("core numbers did not settle")
+        if r > 1:
+            s.drop(f"h{r - 2}")
 
 
 def bipartite(edges: DataFrame) -> DataFrame:
@@ -147,7 +122,7 @@ def graph_features(entities: DataFrame, edges: DataFrame, local: int = LOCAL) ->
     An isolated entity is its own component of size 1 with core number and degree 0.
     """
     pairs = Scratch(edges.sparkSession, "features").table(bipartite(edges), "pairs")
-    comp = components(pairs, local)
+    comp = components(pairs)
     entity = F.col("node").startswith("0|")
     sizes = comp.groupBy("component").agg(F.count_if(entity).alias("g_component_size"), F.count("*").alias("g_component_size_total"))
     uid = F.substring("node", 3, 1 << 30)
@@ -166,46 +141,67 @@ def attach(rows: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 100, local: int = LOCAL) -> DataFrame:
-    """(node, rank): power iteration from 1/N, the mass of nodes without edges spread evenly; the last vector after ``rounds``."""
-    edges = stored(edges)
+    """(node, rank): power iteration from 1/N, the mass of nodes without edges spread evenly; the last vector after ``rounds``.
+
+    Only nodes without edges give their mass to all, and all of them have one rank, which is
+    known for every round from their number. So components go their own ways: those of at
+    most ``local`` ends in tasks, many together, each telling how far its ranks moved in every
+    round; larger ones by rounds of joins. The rounds end when all moves together are small.
+    """
     kind = edges.schema["src"].dataType.simpleString()
-    both = undirected(edges)
-    alone = nodes.select(F.col(nodes.columns[0]).alias("src")) if nodes is not None else both.select("src").limit(0)
-    every = both.select("src").union(alone).where("src is not null").distinct()
-    if edges.count() <= local:
-        lone = every.join(both.select("src").distinct(), "src", "left_anti").select("src", F.lit(None).cast(kind).alias("dst"))
-
-        def solve(e: pd.DataFrame) -> pd.DataFrame:
-            real = e.dropna()
-            names = np.unique(e["src"].to_numpy())
-            a, b = np.searchsorted(names, real["src"].to_numpy()), np.searchsorted(names, real["dst"].to_numpy())
-            n = len(names)
-            degree, rank = np.bincount(a, minlength=n), np.full(n, 1 / n)
-            for _ in range(rounds):
-                give = rank / np.maximum(degree, 1)
-                new = (1 - damping) / n + damping * (np.bincount(b, give[a], n) + rank[degree == 0].sum() / n)
-                done, rank = np.abs(new - rank).sum() < tolerance, new
-                if done:
-                    break
-            return pd.DataFrame({"node": names, "rank": rank})
-
-        return in_one_task(both.union(lone), f"node {kind}, rank double", solve)
     s = Scratch(edges.sparkSession, "pagerank")
-    both = s.table(both, "edges")
-    state = s.table(every.join(both.groupBy("src").agg(F.count("*").alias("d")), "src", "left").select(F.col("src").alias("node"), F.coalesce("d", F.lit(0)).alias("d")), "nodes")
-    n = state.count()
-    rank = state.withColumn("rank", F.lit(1.0 / n))
+    both = s.table(undirected(edges), "edges")
+    linked = both.select(F.col("src").alias("node")).distinct()
+    lone = None
+    if nodes is not None:
+        lone = s.table(nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null").distinct().join(linked, "node", "left_anti"), "lone")
+    alone = lone.count() if lone is not None else 0
+    n = linked.count() + alone
+    if not n:
+        return linked.withColumn("rank", F.lit(0.0))
+    # what every node is given in each round, and how far the lone ones moved
+    given, moved, x = [], np.zeros(rounds), 1 / n
     for r in range(rounds):
-        lost = rank.where("d = 0").agg(F.sum("rank")).first()[0] or 0.0
-        given = both.join(rank.select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("g")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("g").alias("g"))
-        new = rank.withColumnRenamed("rank", "was").join(given, "node", "left").select(
-            "node", "d", (F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("g", F.lit(0.0))).alias("rank"), "was")
-        new = s.table(new, f"rank{r}")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        given.append((1 - damping + damping * alone * x) / n)
+        moved[r] = alone * abs(given[-1] - x)
+        x = given[-1]
+    small, large = dealt(both, connected_components(both), s, local)
+
+    def solve(e: pd.DataFrame, upto: int) -> pd.DataFrame:
+        names, a, b = numbered(e)
+        degree, rank, far = np.bincount(a, minlength=len(names)), np.full(len(names), 1 / n), np.zeros(rounds)
+        for r in range(upto):
+            new = given[r] + damping * np.bincount(b, (rank / degree)[a], len(names))
+            far[r], rank = np.abs(new - rank).sum(), new
+        return pd.DataFrame({"node": names, "rank": rank, "far": [far if i == 0 else None for i in range(len(names))]})
+
+    solved = lambda upto: small.groupBy("part").applyInPandas(lambda e: solve(e, upto), f"node {kind}, rank double, far array<double>")
+    ranks = s.table(solved(rounds), "small")
+    for r, far in ranks.where("far is not null").select(F.posexplode("far").alias("r", "far")).groupBy("r").agg(F.sum("far")).collect():
+        moved[r] += far
+    last = rounds
+    out = None
+    if large is not None:
+        out, last = _large_ranks(s.table(large, "rest"), s, n, damping, given, moved, tolerance)
+    elif (moved < tolerance).any():
+        last = int(np.argmax(moved < tolerance)) + 1
+    done = (ranks if last == rounds else solved(last)).select("node", "rank")
+    if out is not None:
+        done = done.union(out)
+    return done if lone is None else done.union(lone.select("node", F.lit(given[last - 1]).alias("rank")))
+
+
+def _large_ranks(both: DataFrame, s: Scratch, n: int, damping: float, given: list[float], moved: np.ndarray, tolerance: float) -> tuple[DataFrame, int]:
+    """(node, rank) of large components and the number of rounds; ``moved``: how far all other ranks move in each."""
+    rank = s.table(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")), "nodes").withColumn("rank", F.lit(1.0 / n))
+    for r, base in enumerate(given):
+        shares = both.join(rank.select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("g")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("g").alias("g"))
+        new = s.table(rank.withColumnRenamed("rank", "was").join(shares, "node").select("node", "d", (F.lit(base) + damping * F.col("g")).alias("rank"), "was"), f"rank{r}")
+        far = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         rank = new.drop("was")
-        if moved < tolerance:
+        if far + moved[r] < tolerance:
             break
-    return rank.select("node", "rank")
+    return rank.select("node", "rank"), r + 1
 
 
 #: Nodes up to which a component is solved as a dense matrix; edges that one task walks over, about, in larger ones.
@@ -293,7 +289,7 @@ def betweenness(edges: DataFrame, n_all: int | None = None, local: int = LOCAL)
     kind = edges.schema["src"].dataType.simpleString()
     s = Scratch(edges.sparkSession, "betweenness")
     both = s.table(undirected(edges), "edges")
-    comp = s.table(components(both, local), "components")
+    comp = s.table(components(both), "components")
     n_all = comp.count() if n_all is None else n_all
     scale = 1 / ((n_all - 1) * (n_all - 2)) if n_all >= 3 else 0.0
     own = both.join(comp.withColumnRenamed("node", "src"), "src")
@@ -332,7 +328,7 @@ def describe_graph(name: str, vertices: DataFrame, edges: DataFrame, local: int
     both = undirected(edges)
     deg = vertices.select(F.col(key).alias("node")).join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")), "node", "left")
     base = deg.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("d"), F.lit(0)).alias("ends"), F.count_if(F.col("d").isNull()).alias("lone"))
-    comps = components(both, local).groupBy("component").count().agg(
+    comps = components(both).groupBy("component").count().agg(
         F.count("*").alias("components"), F.max("count").alias("largest_component"), F.round(F.avg("count"), 4).alias("mean_component"))
     cores = k_core(edges, local).agg(F.max("core").alias("max_core"))
     return base.crossJoin(comps).crossJoin(cores).select(  # one row each

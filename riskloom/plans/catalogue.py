@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import clusters, entity, graph, live, metrics, model, resample, split
 from ..scratch import Scratch
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import core_tables, ingest, live_index
 from . import views
 from .views import CAP, KEYS, TEST, edges, entities, features, graph_sql, scored, sql, table, test_rows, txn
 
@@ -705,6 +705,47 @@ def live_entities(spark, d):
     return live.analyse_all(live_rows(spark, d), ("mark",)).select("payer_key", "component_size", "degree", F.array_join("linked_payers", ",").alias("linked_payers"))
 
 
+def payment_marks(spark, d):
+    """Events as payments: each brings one of the four attributes of its payer, by turns."""
+    v = F.concat("event_type", F.lit("~"), F.col("value").cast("decimal(18,2)").cast("string"))
+    at = lambda i: F.when(F.col("event_id") % 4 == i, v)
+    return table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("payer_key"), *[at(i).alias(a) for i, a in enumerate(live.ATTRIBUTES)])
+
+
+MARKS = f"""l AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid, {list(live.ATTRIBUTES)}[CAST(event_id % 4 AS INT) + 1] AS key_name, event_type || '~' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value FROM events WHERE value IS NOT NULL),
+g AS (SELECT key_name, value FROM l GROUP BY ALL HAVING count(*) BETWEEN 2 AND {CAP}), e AS (SELECT l.* FROM l JOIN g USING (key_name, value)),
+r(a, b) AS (SELECT x.uid, y.uid FROM e x JOIN e y USING (key_name, value) UNION SELECT r.a, y.uid FROM r JOIN e x ON r.b = x.uid JOIN e y USING (key_name, value)),
+adj AS (SELECT '0|' || uid AS src, key_name || '|' || value AS dst FROM e UNION ALL SELECT key_name || '|' || value, '0|' || uid FROM e),
+kc(i, v, h) AS (SELECT 0, src, count(*) FROM adj GROUP BY src UNION ALL SELECT i + 1, v, CAST(max(least(h, rn)) AS BIGINT) FROM (
+  SELECT k.i, a.src AS v, k.h, row_number() OVER (PARTITION BY a.src ORDER BY k.h DESC) AS rn FROM kc k JOIN adj a ON a.dst = k.v WHERE k.i < 60) GROUP BY i, v),
+near AS (SELECT x.uid, array_to_string(list_sort(list(DISTINCT y.uid)), ',') AS linked_payers, array_to_string(list_sort(list(DISTINCT key_name)), ',') AS shared_attributes FROM e x JOIN e y USING (key_name, value) WHERE x.uid <> y.uid GROUP BY 1),
+size AS (SELECT a AS uid, count(*) AS n FROM r GROUP BY 1), deg AS (SELECT uid, count(*) AS n FROM e GROUP BY 1),
+live AS (SELECT u.uid AS payer_key, coalesce(size.n, 1) AS component_size, coalesce(kc.h, 0) AS core_number, coalesce(deg.n, 0) AS degree, coalesce(near.linked_payers, '') AS linked_payers, coalesce(near.shared_attributes, '') AS shared_attributes
+  FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid FROM events) u LEFT JOIN size USING (uid) LEFT JOIN deg USING (uid) LEFT JOIN near USING (uid) LEFT JOIN kc ON kc.v = '0|' || u.uid AND kc.i = 60)"""
+
+
+def shown(analysis: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return analysis.select("payer_key", "component_size", "core_number", "degree", joined("linked_payers"), joined("shared_attributes"))
+
+
+@query(f"WITH RECURSIVE {MARKS} SELECT * FROM live")
+def live_attributes(spark, d):
+    return shown(live.analyse_all(payment_marks(spark, d)))
+
+
+#: Events of the last of the batches that live_batches() takes.
+BATCHES = 3
+
+
+@query(f"WITH RECURSIVE {MARKS} SELECT live.*, (SELECT count(DISTINCT user_id) FROM events) AS total_entities FROM live WHERE payer_key IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_id % {BATCHES} = {BATCHES - 1})")
+def live_batches(spark, d):
+    index, rows = live_index.LiveIndex(spark), payment_marks(spark, d)
+    for i in range(BATCHES):
+        last = index.take(rows.where(F.col("event_id") % BATCHES == i), i)
+    return shown(last).withColumn("total_entities", F.lit(index.total()).cast("long"))
+
+
 @query("SELECT event_id AS id, user_id AS case_id, event_type AS decision FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id)")
 def latest_decisions(spark, d):
     return tables.latest_decisions(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.col("event_type").alias("decision")))
@@ -969,10 +1010,10 @@ def results_document(spark, d):
 @query(sql("SELECT node, core FROM core", G))
 def incremental_core_replay(spark, d):
     e = Scratch(spark, "replay").table(graph.bipartite(edges(txn(spark, d))), "e")
-    kept = ingest.IncrementalCore(spark)
+    kept = core_tables.IncrementalCore(spark)
     part = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
     for i in range(3):
-        kept.insert(e.where(part == i))
+        kept.insert(e.where(part == i), i)
     return kept.state.select("node", "core")
 
 

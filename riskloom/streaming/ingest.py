@@ -1,4 +1,4 @@
-"""Streams of signed payment events: exact ingest, analysis per batch, maintained core numbers."""
+"""Streams of signed payment events: exact ingest and analysis per batch."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import verify_signature
-from ..operators.components import connected_components
-from ..operators.graph import k_core
-from ..operators.live import analyse_near
-from ..scratch import Scratch
 from ..sources.tables import extract_event, payment_json
+from .live_index import LiveIndex
 
 
 def signed_events(spark: SparkSession, folder: str, secret: bytes) -> DataFrame:
@@ -31,62 +28,23 @@ def store(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return deduplicated(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def analyse_batches(events: DataFrame, history: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Per batch of payment events: add them to the history, analyse the components of its payers, write their rows.
+def analyse_batches(events: DataFrame, state: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Per batch of payment events: add what links their payers to the state, analyse the components of the payers, write their rows.
 
-    A batch that runs again overwrites its own folders, so the result does not depend on
-    retries. A batch without payments writes nothing.
+    The state is bucketed, so a batch costs what it touches, whatever came before. A batch
+    that runs again is known by its number, adds nothing and overwrites its own folder. A
+    batch without payments writes nothing.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = batch.where(F.col("event_type").startswith("payment.")).select("event_id", extract_event(payment_json(F.col("body")), F.col("event_id")).alias("e")).select("event_id", "e.*")
-        own.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        past = spark.read.parquet(history).where(F.col("batch") <= number)
-        touched = spark.read.schema(own.schema).parquet(f"{history}/batch={number}").select("payer_key").distinct()
-        if not touched.isEmpty():
-            analyse_near(past, touched).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = batch.where(F.col("event_type").startswith("payment.")).select(extract_event(payment_json(F.col("body")), F.col("event_id")).alias("e")).select("e.*")
+        rows = LiveIndex(batch.sparkSession, state).take(own, number)
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return deduplicated(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class IncrementalCore:
-    """Core numbers kept up to date as batches of edges arrive.
-
-    A new edge can change core numbers only in its own component, so a batch recomputes
-    the components it touches, merged ones included, and leaves all others alone.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.s, self.n = spark, Scratch(spark, "cores"), 0
-        self.edges = self.s.table(spark.createDataFrame([], "src string, dst string"), "edges0")
-        self.state = self.s.table(spark.createDataFrame([], "node string, component string, core long"), "state0")
-
-    def insert(self, batch: DataFrame) -> DataFrame:
-        """Take edges (src, dst; loops and repeats are ignored); returns (node, component, core) of all nodes."""
-        new = batch.select(F.least(F.col("src").cast("string"), F.col("dst").cast("string")).alias("src"), F.greatest(F.col("src").cast("string"), F.col("dst").cast("string")).alias("dst")).where("src <> dst").distinct().join(
-            self.edges, ["src", "dst"], "left_anti")
-        self.n += 1
-        new = self.s.table(new, f"new{self.n}")
-        ends = new.select(F.col("src").alias("node")).union(new.select("dst")).distinct()
-        touched = self.state.join(ends, "node", "left_semi").select("component").distinct()
-        rest = self.state.join(touched, "component", "left_anti")
-        inside = self.state.join(touched, "component", "left_semi").select(F.col("node").alias("src"))
-        work = self.s.table(self.edges.join(inside, "src", "left_semi").union(new), f"work{self.n}")
-        fresh = connected_components(work).join(k_core(work), "node").select("node", "component", "core")
-        self.state = self.s.table(rest.select("node", "component", "core").union(fresh), f"state{self.n}")
-        self.edges = self.s.table(self.edges.union(new), f"edges{self.n}")
-        return self.state
-
-    def matches_batch(self) -> bool:
-        """Whether the state equals a computation from all edges."""
-        if self.edges.isEmpty():
-            return self.state.isEmpty()
-        whole = k_core(self.edges)
-        own = self.state.select("node", "core")
-        return own.exceptAll(whole).isEmpty() and whole.exceptAll(own).isEmpty()
-
-
 def random_edges(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> DataFrame:
     """Distinct random pairs, the same in every run; for benches."""
     pick = lambda c: F.pmod(F.xxhash64("id", F.lit(f"{seed}{c}")), F.lit(nodes))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import components, entity, graph, live
 from riskloom.streaming.cores import Cores, maintained
-from riskloom.streaming.ingest import IncrementalCore
+from riskloom.streaming.core_tables import IncrementalCore
 
 
 def gnm(n, m, seed):
@@ -201,12 +201,91 @@ def test_live_entities(spark):
     assert live.analyse(e, "c", attributes=("card_fingerprint",)).first().total_entities == 3
 
 
-def test_incremental_core_equals_batch(spark):
-    kept, e = IncrementalCore(spark), gnm(20, 40, 4)
-    for i in range(0, 40, 20):
-        kept.insert(spark.createDataFrame(e[i:i + 20] + [(1, 1)], "src long, dst long"))
-        assert {int(r.node): r.core for r in kept.state.collect()} == cores(e[:i + 20])
-    assert kept.matches_batch()
+@pytest.mark.parametrize("buckets", [4, 256])
+def test_incremental_core_equals_batch(spark, buckets):
+    """Few buckets are all read, of many only those of the plateau; a batch may raise a node several times."""
+    kept, e = IncrementalCore(spark, buckets=buckets), gnm(16, 50, 4)
+    random.Random(1).shuffle(e)
+    before = {}
+    for i, j in ((0, 20), (20, 21), (21, 22), (22, 50)):
+        rose = {int(r.node): r.core for r in kept.insert(spark.createDataFrame(e[i:j] + [(1, 1), e[0]], "src long, dst long")).collect()}
+        now = {int(r.node): r.core for r in kept.state.collect()}
+        assert now == cores(e[:j]) and rose == {k: v for k, v in now.items() if before.get(k) != v}
+        before = now
+    assert kept.matches_batch() and kept.edges.count() == 50
+
+
+def test_core_state_outlives_its_process_and_its_failures(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/state"
+    df = lambda *e: spark.createDataFrame(list(e), "src string, dst string")
+    IncrementalCore(spark, path).insert(df(("a", "b"), ("b", "c")), 0)
+    kept = IncrementalCore(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(kept.store, "commit", lambda n=None: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            kept.insert(df(("a", "c")), 1)
+    again = IncrementalCore(spark, path)
+    assert {r.node: r.core for r in again.state.collect()} == {"a": 1, "b": 1, "c": 1}
+    assert {r.node: r.core for r in again.insert(df(("a", "c")), 1).collect()} == {"a": 2, "b": 2, "c": 2}
+    assert again.insert(df(("c", "d")), 1).count() == 0  # a number that was committed
+    with pytest.raises(RuntimeError):
+        kept.store.forget()
+        kept.insert(df(("x", "y")), 1)  # another writer was first
+    last = IncrementalCore(spark, path)
+    assert last.insert(df(("c", "d")), 2).count() == 1 and last.matches_batch() and last.edges.count() == 4
+
+
+def test_a_step_reads_and_writes_its_own_buckets(spark, monkeypatch):
+    """An edge far from the rest leaves the other buckets alone, however many there are."""
+    kept = IncrementalCore(spark, buckets=512)
+    kept.insert(spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(300)], "src string, dst string"))
+    reads, plain = [], kept.store.read
+    monkeypatch.setattr(kept.store, "read", lambda name, own=None: (reads.append(512 if own is None else len(own)), plain(name, own))[1])
+    at = {b: v for b, v in kept.store.at["core"].items()}
+    kept.insert(spark.createDataFrame([("a7", "b9")], "src string, dst string"))
+    assert max(reads) <= 8 and sum(kept.store.at["core"][b] != v for b, v in at.items()) <= 4
+
+
+def test_long_chains_and_hubs(spark):
+    """A path of 5,000 nodes in an order of its own, a star of 20,000 and a ring that hangs on the path."""
+    e = [(i * 7919 % 5000, (i + 1) * 7919 % 5000) for i in range(4999)] + [(10_000, 10_001 + i) for i in range(20_000)]
+    ring = [(40_000 + i, 40_000 + (i + 1) % 500) for i in range(500)]
+    df = spark.createDataFrame(e + ring + [(0, 40_000)], "src long, dst long")
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    assert got == roots(e + ring + [(0, 40_000)])
+    core = {r.node: r.core for r in graph.k_core(df).collect()}
+    assert len(core) == 25_501 and all(c == (2 if n >= 40_000 else 1) for n, c in core.items())
+
+
+@pytest.mark.parametrize("held", [3, 1 << 19])
+def test_components_however_few_edges_a_task_holds(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
+    r = random.Random(9)
+    e = [(str(a), str(b)) for a, b in gnm(200, 150, 3)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)] + [("hub", f"h{i}") for i in range(100)] + [("z", "z")]
+    r.shuffle(e)
+    df = spark.createDataFrame(e + [(None, "q"), ("q", None)], "src string, dst string").repartition(7)
+    assert {x.node: x.component for x in components.connected_components(df).collect()} == roots(e)
+
+
+@pytest.mark.parametrize("local", [40, 10**6])
+def test_ranks_of_large_and_small_components_stop_together(spark, local):
+    e = gnm(60, 120, 1) + [(1000 + 3 * i, 1001 + 3 * i) for i in range(9)] + [(2000 + i, 2001 + i) for i in range(6)]
+    nodes = spark.createDataFrame([(x,) for x in {n for p in e for n in p} | {9000, 9001, 9002}] + [(None,)], "n long")
+    near = defaultdict(set)
+    for a, b in e:
+        near[a].add(b)
+        near[b].add(a)
+    every = [*near, 9000, 9001, 9002]
+    rank, n = dict.fromkeys(every, 1 / len(every)), len(every)
+    for done in range(100):
+        lost = sum(rank[x] for x in (9000, 9001, 9002))
+        new = {x: 0.15 / n + 0.85 * (sum(rank[y] / len(near[y]) for y in near.get(x, ())) + lost / n) for x in every}
+        moved, rank = sum(abs(new[x] - rank[x]) for x in every), new
+        if moved < 1e-4:
+            break
+    assert done < 60
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame(e, "src long, dst long"), nodes, tolerance=1e-4, local=local).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 1e-12 for k in got)
 
 
 def test_train_graph_never_sees_test_rows(spark):
