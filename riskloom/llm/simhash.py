@@ -281,7 +281,7 @@ BANDS, ROWS = 32, 6
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(WORDS)]
 #: Fingerprints of a part, and shingles of a part; a task compares the members of two parts.
-PART, PART_SHINGLES = 4096, 1 << 20
+PART, PART_SHINGLES = 1024, 1 << 20
 #: Groups of so few fingerprints are a single leaf of the index; the leaves of a batch are searched at once.
 LEAF = 32
 
@@ -462,34 +462,28 @@ def in_cells(rows: DataFrame) -> DataFrame:
     return rows.select("*", "cell.i", "cell.j").drop("cell", "own_i", "own_j", "parts", "open", "weight").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
-def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = PART) -> DataFrame:
-    """key, component_id (smallest key reachable): texts linked where their sets of five-word shingles have Jaccard similarity 0.8.
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two numbers."""
+    import xxhash
 
-    Texts that share a key of least hashes are a group. Each group's fingerprints are searched
-    by the Gray-order index for pairs within SIMILAR_BITS; what is linked so, directly or
-    through others, is a family. Within a family pairs are compared on whole shingle sets,
-    and only those of 0.8 or more are linked. In a group of over ``group`` texts, and in a
-    family of over ``group`` texts or PART_SHINGLES shingles, all members first meet the
-    leader, and the pairs that this leaves open meet in cells of two parts, each a task's
-    work; so no group is too large and none is cut short. Equal sets are one from the start.
-    Texts without words are equal. Rows with a null key link with nothing and have a null
-    component_id.
-    """
-    own_columns(key, ["component_id"])
-    s = Scratch(df.sparkSession, "similar")
+    return np.array([[(d := xxhash.xxh3_128_intdigest(x.tobytes())) >> 64, d & ((1 << 64) - 1)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import xxhash
 
+def similar_classes(df: DataFrame, s: Scratch, key: str, text: str, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, h0, h1) with the name of their set, and classes (h0, h1, least, c): equal sets, their least key, and the number of the component of similar sets."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t) for t in pdf["t"]]
-        names = np.array([[(d := xxhash.xxh3_128_intdigest(x.tobytes())) >> 64, d & ((1 << 64) - 1)] for x in sets], np.uint64).view(np.int64)
+        names = set_names(sets)
         return pd.DataFrame({"k": pdf["k"], "h0": names[:, 0], "h1": names[:, 1], "n": [len(x) for x in sets],
                              "bands": [band_keys(x) for x in sets], "code": [wide_fingerprint(x).tobytes() for x in sets]})
 
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = s.table(map_rows(texts, "k long, h0 long, h1 long, n long, bands array<long>, code binary", run), "rows")
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = s.table(map_rows(texts, f"k {kind}, h0 long, h1 long, n long, bands array<long>, code binary", run), "rows")
+    # a class is one set whatever keys it has, so its number comes from neither
     classes = s.table(rows.groupBy("h0", "h1").agg(
-        F.min("k").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), "classes")
+        F.min("k").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")).withColumn("node", F.monotonically_increasing_id()), "classes")
     code = classes.select("node", "code")
 
     # groups: keys that two classes or more share, each with the code of its least node, the leader
@@ -511,16 +505,20 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", gr
 
     # families: whole sets of their members
     family = s.table(connected_components(links).select("node", F.col("component").alias("g")), "families")
-    weights = family.join(classes.select("node", "n", "code"), "node").withColumn("weight", F.greatest(F.lit(1 / group), F.col("n") / PART_SHINGLES))
+    weights = family.join(classes.select("node", "least", "h0", "h1", "n", "code"), "node").withColumn("weight", F.greatest(F.lit(1 / group), F.col("n") / PART_SHINGLES))
     heavy = weights.groupBy("g").agg((F.sum("weight") > 1).alias("heavy"))
-    weights = weights.join(heavy, "g").select("node", "g", "code", "weight", "heavy")
-    # merged at every size: the families grow with the documents
-    whole = texts.join(weights.hint("merge"), F.col("k") == F.col("node")).dropDuplicates(["node"]).select("node", "g", "code", "weight", "heavy", "t")
+    weights = weights.join(heavy, "g").select("node", "least", "h0", "h1", "g", "code", "weight", "heavy")
+    # merged at every size: the families grow with the documents; repeated rows are read once
+    whole = texts.join(weights.hint("merge"), F.col("k") == F.col("least")).dropDuplicates(["least", "node", "t"]).select("node", "h0", "h1", "g", "code", "weight", "heavy", "t")
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["node", "g", "code", "weight", "heavy"]].assign(own=[shingle_set(t).tobytes() for t in pdf["t"]])
+        sets = [shingle_set(t) for t in pdf["t"]]
+        # a key may have other texts too
+        own = (set_names(sets) == pdf[["h0", "h1"]].to_numpy()).all(1)
+        return pdf[["node", "g", "code", "weight", "heavy"]].assign(own=[x.tobytes() for x in sets])[own]
 
-    sets = s.table(map_rows(whole, "node long, g long, code binary, weight double, heavy boolean, own binary", again), "sets")
+    # nor is a set that several texts of one key have compared twice
+    sets = s.table(map_rows(whole, "node long, g long, code binary, weight double, heavy boolean, own binary", again).dropDuplicates(["node"]), "sets")
     large = sets.where("heavy")
     lead = large.where("node = g").select("g", F.col("own").alias("lead"))
 
@@ -535,19 +533,60 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", gr
     found = s.table(in_cells(every).mapInPandas(near_sets, "src long, dst long"), "links")
     found = found.union(led.where("near and node <> g").select(F.col("g").alias("src"), F.col("node").alias("dst")))
     linked = connected_components(found)
-    named = classes.select("h0", "h1", "node").join(linked, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("k", "h0", "h1").join(named, ["h0", "h1"]).select(F.col("k").alias(key), "component_id").union(
-        df.where(F.col(key).isNull()).select(F.col(key).cast("long"), F.lit(None).cast("long")))
+    return rows.select("k", "h0", "h1"), classes.select("h0", "h1", "least", "node").join(linked, "node", "left").select("h0", "h1", "least", F.coalesce("component", "node").alias("c"))
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = PART) -> DataFrame:
+    """key, component_id (smallest key reachable): texts linked where their sets of five-word shingles have Jaccard similarity 0.8.
+
+    Texts that share a key of least hashes are a group. Each group's fingerprints are searched
+    by the Gray-order index for pairs within SIMILAR_BITS; what is linked so, directly or
+    through others, is a family. Within a family pairs are compared on whole shingle sets,
+    and only those of 0.8 or more are linked. In a group of over ``group`` texts, and in a
+    family of over ``group`` texts or PART_SHINGLES shingles, all members first meet the
+    leader, and the pairs that this leaves open meet in cells of two parts, each a task's
+    work; so no group is too large and none is cut short. Equal sets are one from the start.
+    Texts without words are equal. A key may be of any ordered type; with several texts it has a
+    row of each, linked each for itself. Rows with a null key link with nothing and have a null
+    component_id.
+    """
+    own_columns(key, ["component_id"])
+    rows, classes = similar_classes(df, Scratch(df.sparkSession, "similar"), key, text, group)
+    named = classes.join(classes.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("h0", "h1", "component_id")
+    return rows.join(named, ["h0", "h1"]).select(F.col("k").alias(key), "component_id").union(
+        df.where(F.col(key).isNull()).select(F.col(key), F.lit(None).cast(df.schema[key].dataType)))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Of similar documents the row that names its component, all columns as they are; of repeated rows of that key one stays.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = PART) -> DataFrame:
+    """Of similar documents the one of least key, all columns as they are.
 
-    Rows with a null key cannot be told apart by it and stay.
+    Of several texts of that key in one component the one first by the name of its set stays, and
+    of repeated rows of it one, the first by a hash of all its columns; other texts of the key are
+    documents of their own. Rows with a null key cannot be told apart by it and stay.
     """
-    found = Scratch(df.sparkSession, "kept").table(similar_documents(df, key, text, **options).where(F.col(key) == F.col("component_id")).select(key), "keys")
+    s = Scratch(df.sparkSession, "kept")
+    rows, classes = similar_classes(df, s, key, text, group)
+    first = classes.groupBy("c").agg(F.min(F.struct("least", "h0", "h1")).alias("f")).select(F.col("f.least").alias("k"), "f.h0", "f.h1")
+    found = s.table(first, "found")
     # merged at every size: the keys grow with the documents
-    kept = df.join(found.hint("merge"), key, "left_semi")
-    if found.count() != found.distinct().count():
-        kept = kept.dropDuplicates([key])
-    return kept.union(df.where(F.col(key).isNull())).select(df.columns)
+    kept = df.join(found.select(F.col("k").alias(key)).distinct().hint("merge"), key, "left_semi").select(df.columns)
+    again = s.table(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").join(found.select("k").distinct(), "k", "left_semi").select(F.col("k").alias(key)), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").select(df.columns).union(_first_rows(kept.join(again, key, "left_semi").select(df.columns), found, key, text))
+    return kept.union(df.where(F.col(key).isNull()))
+
+
+def _first_rows(rows: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """Of rows of keys that come again, one of each (k, h0, h1) found."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def names(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = set_names([shingle_set(t) for t in pdf["t"]])
+        return pd.DataFrame({"k": pdf["k"], "th": pdf["th"], "h0": made[:, 0], "h1": made[:, 1]})
+
+    plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+    row = F.struct(*rows.columns)
+    each = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("th"), F.xxhash64(*plain).alias("rh"), row.alias("row"))
+    named = map_rows(each.select("k", "th", "t").dropDuplicates(["k", "th"]), f"k {kind}, th long, h0 long, h1 long", names)
+    named = named.join(found, ["k", "h0", "h1"], "left_semi")
+    return each.join(named, ["k", "th"]).groupBy("k", "h0", "h1").agg(F.min_by("row", "rh").alias("row")).select("row.*")

@@ -107,3 +107,29 @@ def test_awkward_texts(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 4, 5, 6]
+
+
+def test_one_key_with_several_texts(spark):
+    """Texts are linked for themselves, whatever keys they share, and no document is lost, in any order of the rows."""
+    r = random.Random(6)
+    a, b = words(r, 100), words(r, 100)
+    near = lambda w: " ".join(w + words(r, 4))
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (9, near(b)), (7, "x y"), (7, "x y"), (7, "z")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(k, t, {"m": t}) for k, t in rows], "doc_id long, text string, extra map<string,string>").repartition(3)
+        got = sorted((x.doc_id, x.component_id) for x in simhash.similar_documents(df).collect())
+        assert got == [(1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (7, 7), (9, 5)]
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted((x.doc_id, x.text, x.extra["m"]) for x in kept.collect()) == sorted((k, t, t) for k, t in {(1, " ".join(a)), (5, " ".join(b)), (7, "x y"), (7, "z")})
+    least = spark.createDataFrame([(2, near(b)) if k == 9 else (k, t) for k, t in rows], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(least).collect()) == [1, 2, 7, 7]
+    one = spark.createDataFrame([(3, " ".join(a)), (3, near(a)), (4, "x")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(one).collect()) == [3, 4] and len({x.text for x in simhash.keep_one(one).collect() for _ in range(3)}) == 2
+
+
+def test_keys_of_text(spark):
+    df = spark.createDataFrame([("b", "one two"), ("a", "ONE two"), (None, "one two"), ("c", None)], "doc_id string, text string")
+    assert sorted((x.doc_id or "", x.component_id) for x in simhash.similar_documents(df).collect()) == [("", None), ("a", "a"), ("b", "a"), ("c", "c")]
+    assert sorted(x.doc_id or "" for x in simhash.keep_one(df).collect()) == ["", "a", "c"]
