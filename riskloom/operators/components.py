@@ -75,8 +75,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     hops: list[DataFrame] = []
     while True:
         both = live.withColumns({"ha": F.xxhash64("a"), "hb": F.xxhash64("b")})
-        # without a number of parts, small rounds go to one task
-        made = both.repartition("a").mapInPandas(contract, f"node {kind}, root {kind}, h long")
+        # evened at run time: small rounds go to one task, and a hub's edges to several
+        made = both.hint("rebalance", "a").mapInPandas(contract, f"node {kind}, root {kind}, h long")
         first = F.min(F.struct("h", "root")).over(Window.partitionBy("node"))
         made = s.table(made.withColumn("first", first).select("node", "root", F.col("first.root").alias("to")), f"stars{len(hops)}")
         hops.append(made.select("node", "to").distinct())
