@@ -348,7 +348,7 @@ def drift_report(df: DataFrame, reference: DataFrame, features: list[str], key:
     ``reference``: the rows that PSI compares each window with. Intervals are of the
     Poisson bootstrap by ``key``; draws of one class alone are skipped.
     """
-    from .resample import interval_of, resampled
+    from .resample import draw_metrics, intervals_of
 
     rows, edges = windowed(df, t, n)
     rows = Scratch(df.sparkSession, "drift").table(rows.select(key, "window", F.col(y).alias("y"), F.col(s).alias("s"), *[c for c in features if c not in (key, y, s)]), "rows")
@@ -358,13 +358,12 @@ def drift_report(df: DataFrame, reference: DataFrame, features: list[str], key:
     base = base.withColumns({"start_day": F.round(F.get(at, F.col("window")), 4), "end_day": F.round(F.get(at, F.col("window") + 1), 4)})
     ap = average_precision(rows, by=("window",)).select("window", F.round("ap", 6).alias("auc_pr"))
     auc = roc_auc(rows, by=("window",)).select("window", F.round("auc", 6).alias("auc_roc"))
-    drawn = resampled(rows, key, draws, ("window",))
-    ap_ci = interval_of(drawn, "ap", ("window",)).select("window", F.col("low").alias("auc_pr_low"), F.col("high").alias("auc_pr_high"))
-    auc_ci = interval_of(drawn, "auc", ("window",)).select("window", F.col("low").alias("auc_roc_low"), F.col("high").alias("auc_roc_high"))
+    found = intervals_of(draw_metrics(rows, key, draws, ["s"], by=("window",)), ("window",))
+    intervals = found.select("window", F.col("ap_low").alias("auc_pr_low"), F.col("ap_high").alias("auc_pr_high"), F.col("auc_low").alias("auc_roc_low"), F.col("auc_high").alias("auc_roc_high"))
     worst = psi_table(reference, rows, features, F.col("window")).where("psi is not null").groupBy(F.col("side").alias("window")).agg(
-        F.max_by(F.struct("feature", "psi"), F.struct(F.col("psi"), F.col("feature"))).alias("w")).select("window", F.col("w.feature").alias("worst_feature"), F.col("w.psi").alias("worst_psi"))
+        F.min_by(F.struct("feature", "psi"), F.struct(-F.col("psi"), F.col("feature"))).alias("w")).select("window", F.col("w.feature").alias("worst_feature"), F.col("w.psi").alias("worst_psi"))
     out = base
-    for more in (window_ece(rows), ap, ap_ci, auc, auc_ci, worst):
+    for more in (window_ece(rows), ap, auc, intervals, worst):
         out = out.join(more, "window", "left")
     return out
 

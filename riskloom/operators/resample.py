@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import hashes
 from ..scratch import Scratch
-from .metrics import average_precision, roc_auc
 
 #: First eight hex digits below which the weight is 0, 1, 2, ... (cumulative Poisson(1)). Fixed values.
 POISSON = ("5e2d58d8", "bc5ab1b1", "eb715e1d", "fb239797", "ff1025f5", "ffd90f3b", "fffa8b71")
@@ -49,118 +48,126 @@ def weights(keys: list, draws: range):
             yield j, lost, np.full(len(lost), 7, np.uint8)  # a null hash is below no bound
 
 
-#: Distinct scores up to which every task counts all of them for all draws (some 50 MB).
-FEW = 4096
 #: Rows that are weighed at once, rows of a range of scores, and draws of it that are held at once.
 HELD, RANGE, AT_ONCE = 65536, 65536, 25
+#: Rows that a range has at least, where there are enough.
+LEAST = 8192
 
 
-def draw_aps(df: DataFrame, key: str, draws: int, scores: list[str], y: str = "y", few: int = FEW, size: int = RANGE) -> DataFrame:
-    """(m, b, ap): average precision of the m-th of the scores in each Poisson draw, null without positives.
+def in_blocks(batches, rows: int = HELD):
+    """Batches put together to blocks of about that many rows."""
+    held, many = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        many += len(pdf)
+        if many >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, many = [], 0
+    if many:
+        yield pd.concat(held, ignore_index=True)
 
-    No row is made for a row and a draw: tasks weigh their rows by blocks. Of few distinct
-    scores each task counts all; of many, rows are dealt by ranges of scores, whose totals
-    in each draw give each range its start.
+
+def draw_sums(df: DataFrame, key: str, draws: int, columns: dict[str, Column]) -> DataFrame:
+    """(b, n, sums): in each Poisson draw the number of rows and the sum of each column, nulls as 0.
+
+    A task weighs its rows by blocks under all draws and gives one row a draw.
     """
-    names = [f"x{m}" for m in range(len(scores))]
-    x = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(float("inf"))).otherwise(F.col(c).cast("double"))  # noqa: E731  # NaN is the highest
-    rows = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("double").alias("y"), *[x(c).alias(n) for c, n in zip(scores, names)]).where("y is not null")
-    rows = Scratch(df.sparkSession, "draws").table(rows, "rows")
-    told = rows.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(n).alias(n) for n in names]).first()
-    if sum(told[n] for n in names) <= few:
-        return _aps_of_few(rows, names, draws)
-    return _aps_by_ranges(rows, names, draws, told["rows"] * len(names) // size + 1)
+    names = list(columns)
+    rows = df.select(F.col(key).cast("string").alias("_k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in columns.items()])
 
+    def run(batches):
+        total = np.zeros((draws, 1 + len(names)))
+        for pdf in in_blocks(batches):
+            values = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
+            for j, at, w in weights(pdf["_k"].tolist(), range(1, draws + 1)):
+                total[j] += w @ values[at]
+        yield pd.DataFrame({"b": np.arange(1, draws + 1), "n": total[:, 0]} | {c: total[:, i + 1] for i, c in enumerate(names)})
 
-def _aps_of_few(rows: DataFrame, names: list[str], draws: int) -> DataFrame:
-    def count(batches):
-        index = [{} for _ in names]
-        tp, n = [np.zeros((draws, 0)) for _ in names], [np.zeros((draws, 0)) for _ in names]
-
-        def add(pdf: pd.DataFrame) -> None:
-            y, codes = pdf["y"].to_numpy(), []
-            for m, name in enumerate(names):
-                values, code = np.unique(pdf[name].to_numpy(), return_inverse=True)  # null comes as NaN
-                own = np.array([index[m].setdefault(None if v != v else v, len(index[m])) for v in values.tolist()], np.int64)
-                codes.append(own[code])
-                more = np.zeros((draws, len(index[m]) - tp[m].shape[1]))
-                tp[m], n[m] = np.hstack([tp[m], more]), np.hstack([n[m], more])
-            for j, at, w in weights(pdf["k"].tolist(), range(1, draws + 1)):
-                own = y[at]
-                some = np.flatnonzero(own)
-                gained = w[some] * own[some]
-                for m, code in enumerate(codes):
-                    c = code[at]
-                    n[m][j] += np.bincount(c, w, n[m].shape[1])
-                    tp[m][j] += np.bincount(c[some], gained, n[m].shape[1])
-
-        held, many = [], 0
-        for pdf in batches:
-            held.append(pdf)
-            many += len(pdf)
-            if many >= HELD:
-                add(pd.concat(held, ignore_index=True))
-                held, many = [], 0
-        if many:
-            add(pd.concat(held, ignore_index=True))
-        for m, known in enumerate(index):
-            for x, i in known.items():
-                if x is not None:
-                    yield pd.DataFrame({"m": m, "b": np.arange(1, draws + 1), "x": x, "tp": tp[m][:, i], "n": n[m][:, i]})
-
-    per = rows.mapInPandas(count, "m int, b int, x double, tp double, n double").groupBy("m", "b", "x").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    down = Window.partitionBy("m", "b").orderBy(F.desc("x"))  # few scores
-    per = per.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
-    return per.groupBy("m", "b").agg(F.try_divide(F.sum(F.col("tp") * F.try_divide("ctp", "cn")), F.sum("tp")).alias("ap"))
-
-
-def _aps_by_ranges(rows: DataFrame, names: list[str], draws: int, ranges: int) -> DataFrame:
-    s = Scratch(rows.sparkSession, "draw-ranges")
+    made = rows.mapInPandas(run, ", ".join(["b int", "n double", *(f"`{c}` double" for c in names)]))
+    return made.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+
+
+def draw_metrics(df: DataFrame, key: str, draws: int, scores: list[str], y: str = "y", weight: str | None = None, by: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
+    """(by, m, b, ap, auc): both metrics of the m-th of the scores in each Poisson draw, for every group; null where the draw does not tell.
+
+    ``weight``: what a row counts for besides, any number from 0 on; rows without one are left out. No row is made for a row
+    and a draw: rows are dealt by ranges of scores, tasks weigh them by blocks under all draws,
+    and the ranges' totals in each draw give each range its start.
+    """
+    names = [f"x{m}" for m in range(len(scores))]
+    x = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(float("inf"))).otherwise(F.col(c).cast("double"))  # noqa: E731  # NaN is the highest
+    v = F.lit(1.0) if weight is None else F.when(F.assert_true(F.coalesce(F.col(weight) >= 0, F.lit(True)), "weights may not be negative").isNull(), F.col(weight).cast("double"))
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("double").alias("y"), v.alias("v"), *by, *[x(c).alias(n) for c, n in zip(scores, names)]).where("y is not null and v is not null")
+    s = Scratch(df.sparkSession, "draws")
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(n).alias("x")) for m, n in enumerate(names)])).alias("o")
-    long = rows.select("k", "y", each).select("k", "y", "o.m", "o.x").where("x is not null")
+    # written before it is dealt: ranges are found by a sample, and their number by the count
+    long = s.table(rows.select("k", "y", "v", *by, each).select("k", "y", "v", *by, "o.m", "o.x").where("x is not null"), "rows")
+    many, tasks = long.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # hashes are made by columns, which short ranges would make slow
+    ranges = max(many // size, min(tasks, many // LEAST)) + 1
     # keys too, so that rows of one score can lie in several ranges
-    long = s.table(long.repartitionByRange(ranges, "m", F.desc("x"), "k").withColumn("part", F.spark_partition_id()), "long")
+    long = s.table(long.repartitionByRange(ranges, *by, "m", F.desc("x"), "k").withColumn("part", F.spark_partition_id()), "ranges")
+    group = [*by, "m"]
+    kinds = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in group)
+
+    def named(keys: tuple, **made) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(group, keys)) | made)
+
+    def groups(pdf: pd.DataFrame) -> list[tuple[tuple, pd.DataFrame]]:
+        """By group; a null one, which pandas reads as NaN, is None again."""
+        return [(tuple(None if x != x else x for x in keys), own) for keys, own in pdf.groupby(group, dropna=False)]
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for m, own in pdf.groupby("m"):
-            y, tp, n = own["y"].to_numpy(), np.zeros(draws), np.zeros(draws)
+        for keys, own in groups(pdf):
+            v = own["v"].to_numpy()
+            values, sums = np.column_stack([v * own["y"].to_numpy(), v]), np.zeros((draws, 2))
             for j, at, w in weights(own["k"].tolist(), range(1, draws + 1)):
-                tp[j] += w @ y[at]
-                n[j] += w.sum(dtype=np.int64)
-            out.append(pd.DataFrame({"part": int(pdf["part"].iloc[0]), "m": m, "b": np.arange(1, draws + 1), "tp": tp, "n": n}))
+                sums[j] += w @ values[at]
+            out.append(named(keys, part=int(pdf["part"].iloc[0]), b=np.arange(1, draws + 1), tp=sums[:, 0], n=sums[:, 1]))
         return pd.concat(out)
 
-    totals = long.groupBy("part").applyInPandas(total, "part int, m int, b int, tp double, n double")
-    before = Window.partitionBy("m", "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = totals.select("part", "m", "b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("tp", "n")])
+    totals = long.groupBy("part").applyInPandas(total, f"{kinds}, part int, b int, tp double, n double")
+    before = Window.partitionBy(*group, "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = totals.select("part", *group, "b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("tp", "n")])
 
     def gains(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        first = {keys: own.sort_values("b") for keys, own in groups(start)}
         out = []
-        for m, own in pdf.groupby("m"):
-            y, keys = own["y"].to_numpy(), own["k"].tolist()
+        for keys, own in groups(pdf):
+            v, texts = own["v"].to_numpy(), own["k"].tolist()
+            hits = v * own["y"].to_numpy()
             values, code = np.unique(-own["x"].to_numpy(), return_inverse=True)
-            first = start[start["m"] == m].sort_values("b")
+            at_start = first[keys]
+            # the first and the last score may go on in other ranges
+            ends, inner = sorted({0, len(values) - 1}), slice(1, max(1, len(values) - 1))
             for low in range(0, draws, AT_ONCE):
                 some = range(low + 1, min(low + AT_ONCE, draws) + 1)
                 tp, n = np.zeros((len(some), len(values))), np.zeros((len(some), len(values)))
-                for j, at, w in weights(keys, some):
-                    tp[j] += np.bincount(code[at], w * y[at], len(values))
-                    n[j] += np.bincount(code[at], w, len(values))
-                ctp = first["tp"].to_numpy()[low:low + len(some), None] + np.cumsum(tp, axis=1)
-                cn = first["n"].to_numpy()[low:low + len(some), None] + np.cumsum(n, axis=1)
-                gain = tp * ctp / np.maximum(cn, 1)
-                # the first and the last score may go on in other ranges
-                ends, b = sorted({0, len(values) - 1}), np.array(some)
-                inner = slice(1, max(1, len(values) - 1))
-                out.append(pd.DataFrame({"m": m, "b": b, "x": np.nan, "tp": tp[:, inner].sum(axis=1), "ctp": 0.0, "cn": 0.0, "gain": gain[:, inner].sum(axis=1)}))
-                out += [pd.DataFrame({"m": m, "b": b, "x": -values[i], "tp": tp[:, i], "ctp": ctp[:, i], "cn": cn[:, i], "gain": 0.0}) for i in ends]
+                for j, at, w in weights(texts, some):
+                    tp[j] += np.bincount(code[at], w * hits[at], len(values))
+                    n[j] += np.bincount(code[at], w * v[at], len(values))
+                ctp = at_start["tp"].to_numpy()[low:low + len(some), None] + np.cumsum(tp, axis=1)
+                cn = at_start["n"].to_numpy()[low:low + len(some), None] + np.cumsum(n, axis=1)
+                gain = tp * np.divide(ctp, cn, out=np.zeros_like(cn), where=cn > 0)
+                area, b = (n - tp) * (ctp - tp / 2), np.array(some)
+                sums = {c: z[:, inner].sum(axis=1) for c, z in (("tp", tp), ("n", n), ("gain", gain), ("area", area))}
+                out.append(named(keys, b=b, x=np.nan, ctp=0.0, cn=0.0, **sums))
+                out += [named(keys, b=b, x=-values[i], ctp=ctp[:, i], cn=cn[:, i], tp=tp[:, i], n=n[:, i], gain=0.0, area=0.0) for i in ends]
         return pd.concat(out)
 
-    per = long.groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(gains, "m int, b int, x double, tp double, ctp double, cn double, gain double")
-    per = per.groupBy("m", "b", "x").agg(F.sum("tp").alias("tp"), F.max("ctp").alias("ctp"), F.max("cn").alias("cn"), F.sum("gain").alias("gain"))
-    whole = F.sum(F.when(F.col("x").isNull(), F.col("gain")).otherwise(F.coalesce(F.col("tp") * F.try_divide("ctp", "cn"), F.lit(0.0))))
-    return per.groupBy("m", "b").agg(F.try_divide(whole, F.sum("tp")).alias("ap"))
+    schema = f"{kinds}, b int, x double, ctp double, cn double, tp double, n double, gain double, area double"
+    per = long.groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(gains, schema)
+    per = per.groupBy(*group, "b", "x").agg(F.max("ctp").alias("ctp"), F.max("cn").alias("cn"), *[F.sum(c).alias(c) for c in ("tp", "n", "gain", "area")])
+    edge = F.col("x").isNotNull()
+    gain = F.sum(F.when(edge, F.coalesce(F.col("tp") * F.try_divide("ctp", "cn"), F.lit(0.0))).otherwise(F.col("gain")))
+    area = F.sum(F.when(edge, (F.col("n") - F.col("tp")) * (F.col("ctp") - F.col("tp") / 2)).otherwise(F.col("area")))
+    return per.groupBy(*group, "b").agg(F.try_divide(gain, F.sum("tp")).alias("ap"), F.try_divide(area, F.sum("tp") * (F.sum("n") - F.sum("tp"))).alias("auc"))
+
+
+def draw_aps(df: DataFrame, key: str, draws: int, scores: list[str], y: str = "y", weight: str | None = None, size: int = RANGE) -> DataFrame:
+    """(m, b, ap): average precision of the m-th of the scores in each Poisson draw, null without positives."""
+    return draw_metrics(df, key, draws, scores, y, weight, size=size).select("m", "b", "ap")
 
 
 def delta(aps: DataFrame, variant: int = 1, base: int = 0) -> DataFrame:
@@ -169,15 +176,6 @@ def delta(aps: DataFrame, variant: int = 1, base: int = 0) -> DataFrame:
     return aps.groupBy("b").agg((of(variant) - of(base)).alias("delta"))
 
 
-def drawn(df: DataFrame, key: str, draws: int) -> DataFrame:
-    """Each row once for each draw with its weight ``w``, which may be 0.
-
-    Rows of weight 0 are left to the aggregation that follows: a filter here would be pushed
-    below the weight and make it, and its hash, a second time.
-    """
-    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson(F.col(key), F.col("b")))
-
-
 def interval(deltas: DataFrame, comparisons: int = 1) -> DataFrame:
     """Mean delta with a Bonferroni-corrected 95 % interval and a verdict."""
     tail = 0.05 / (2 * comparisons)
@@ -188,15 +186,15 @@ def interval(deltas: DataFrame, comparisons: int = 1) -> DataFrame:
 
 def vdr_delta(df: DataFrame, key: str, draws: int, base_t: float, variant_t: float, y: str = "y", base: str = "s", variant: str = "v", amount: str = "amount_inr", comparisons: int = 1) -> DataFrame:
     """Change in value detection rate from a base to a variant score, each at its fixed threshold."""
-    a = F.col("w") * F.col(amount)
-    caught = lambda c, t: F.coalesce(F.try_divide(F.sum(F.when(F.col(c) >= t, a).otherwise(0.0)), F.sum(a)), F.lit(0.0))
-    per = drawn(df.where(F.col(y) == 1).select(key, base, variant, amount), key, draws).groupBy("b").agg((caught(variant, variant_t) - caught(base, base_t)).alias("delta"), F.sum("w").alias("n")).where("n > 0").select("b", "delta")
-    return interval(per, comparisons)
+    caught = lambda c, t: F.when(F.col(c) >= t, F.col(amount))
+    per = draw_sums(df.where(F.col(y) == 1), key, draws, {"all": F.col(amount), "base": caught(base, base_t), "variant": caught(variant, variant_t)}).where("n > 0")
+    rate = lambda c: F.coalesce(F.try_divide(c, "all"), F.lit(0.0))
+    return interval(per.select("b", (rate("variant") - rate("base")).alias("delta")), comparisons)
 
 
-def ap_delta(df: DataFrame, key: str, draws: int, y: str = "y", base: str = "s", variant: str = "v", comparisons: int = 1) -> DataFrame:
-    """Change in average precision; a draw without positives counts as 0."""
-    return interval(delta(draw_aps(df, key, draws, [base, variant], y)), comparisons)
+def ap_delta(df: DataFrame, key: str, draws: int, y: str = "y", base: str = "s", variant: str = "v", comparisons: int = 1, weight: str | None = None) -> DataFrame:
+    """Change in average precision, of rows weighted by ``weight`` if given; a draw without positives, or without any of their weight, counts as 0."""
+    return interval(delta(draw_aps(df, key, draws, [base, variant], y, weight)), comparisons)
 
 
 #: Tasks among which the draws of exact_bootstrap() are dealt, and indexes that are drawn at once.
@@ -244,78 +242,135 @@ def exact_bootstrap(df: DataFrame, metric, y: str = "y", base: str = "s", varian
     return interval(rows.repartitionByRange(DEALT, "task").groupBy("task").applyInPandas(run, "delta double"), comparisons)
 
 
-def resampled(df: DataFrame, key: str, draws: int, by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
-    """(by, b, s, y, w): the weight of every score and label in each Poisson draw; a table in shared storage."""
-    rows = drawn(df.select(key, *by, F.col(y).alias("y"), F.col(s).alias("s")), key, draws)
-    return Scratch(df.sparkSession, "resampled").table(rows.groupBy(*by, "b", "s", "y").agg(F.sum("w").cast("double").alias("w")).where("w > 0"), "rows")
-
-
-def interval_of(rows: DataFrame, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, draws, low, high): 95 % percentile interval of "ap" or "auc" over the draws of resampled(); those of one class alone are skipped."""
-    per = (average_precision if metric == "ap" else roc_auc)(rows, weight="w", by=(*by, "b")).withColumnRenamed(metric, "m")
-    one_class = rows.groupBy(*by, "b").agg((F.min("y") == F.max("y")).alias("skip"))
-    per = per.join(one_class, [*by, "b"]).where("not skip and m is not null")
+def intervals_of(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, draws, ap_low, ap_high, auc_low, auc_high): 95 % percentile intervals over the draws of draw_metrics(); those of one class alone are skipped."""
+    per = metrics.where("ap is not null and auc is not null")
     grouped = per.groupBy(*by) if by else per
     # at most as many values a group as there are draws
-    return grouped.agg(F.count("*").alias("draws"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    return grouped.agg(F.count("*").alias("draws"), *[F.round(F.percentile(m, q), 6).alias(f"{m}_{n}") for m in ("ap", "auc") for n, q in (("low", 0.025), ("high", 0.975))])
 
 
 def metric_interval(df: DataFrame, key: str, metric: str, draws: int = 200, by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
-    """As interval_of(), from rows."""
-    return interval_of(resampled(df, key, draws, by, y, s), metric, by)
+    """(by, draws, low, high) of intervals_of() for "ap" or "auc", from rows."""
+    found = intervals_of(draw_metrics(df, key, draws, [s], y, by=by), by)
+    return found.select(*by, "draws", F.col(f"{metric}_low").alias("low"), F.col(f"{metric}_high").alias("high"))
 
 
-def permuted(df: DataFrame, key: str, label: str, draws: int) -> DataFrame:
-    """(b, key, label): for each draw the 0/1 labels dealt anew: as many ones as before, on the keys first by md5.
+#: Leading bits of a hash by which keys are counted in each draw.
+DIGITS = 12
+
 
-    Keys are counted by draw and the first four digits of their hash; only those that share
-    the digits at which a draw's ones run out are ordered, so no task sorts all keys.
+def permuted_bits(df: DataFrame, key: str, label: str, draws: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, bits): for each draw the 0/1 labels dealt anew, as many ones as before, on the keys first by md5; 64 draws to a number.
+
+    Tasks count their keys by draw and the first bits of their hash, which tells where a
+    draw's ones run out; keys before that are ones. Only the few that share those bits are
+    ordered by their whole hash, a draw each. No row is made for a key and a draw.
     """
     s = Scratch(df.sparkSession, "permuted")
-    ones = df.agg(F.sum(label)).first()[0] or 0
-    per = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
+    rows = s.table(df.select(key, label, *carry), "rows")
+    ones, words = int(rows.agg(F.sum(label)).first()[0] or 0), -(-draws // 64)
+    shift = np.uint32(32 - DIGITS)
+    told = rows.select(F.col(key).cast("string").alias("_k"))
+
+    def count(batches):
+        n = np.zeros((draws, 1 << DIGITS), np.int64)
+        for pdf in in_blocks(batches):
+            for j, at, h in hashes([x.encode() for x in pdf["_k"]], [f":{b}".encode() for b in range(1, draws + 1)]):
+                n[j] += np.bincount(h >> shift, minlength=1 << DIGITS)
+        b, p = np.nonzero(n)
+        yield pd.DataFrame({"b": b, "p": p, "n": n[b, p]})
+
+    up_to = F.sum("n").over(Window.partitionBy("b").orderBy("p"))  # at most 2^DIGITS rows a draw
+    counts = told.where("_k is not null").mapInPandas(count, "b int, p int, n long").groupBy("b", "p").agg(F.sum("n").alias("n")).withColumn("to", up_to)
+    edge, left = np.full(draws, 1 << DIGITS), np.zeros(draws, np.int64)
+    for r in counts.where(F.col("to") >= ones).groupBy("b").agg(F.min_by(F.struct("p", "to", "n"), "p").alias("e")).select("b", "e.*").collect():  # a row a draw
+        edge[r["b"]], left[r["b"]] = r["p"], ones - (r["to"] - r["n"])
+    if not ones:
+        edge[:] = 0
+
+    def mark(batches):
+        for pdf in batches:
+            bits, tied = np.zeros((len(pdf), words * 64), np.uint8), [[] for _ in range(len(pdf))]
+            known = np.flatnonzero(pdf["_k"].notna())
+            for j, at, h in hashes([x.encode() for x in pdf["_k"].iloc[known]], [f":{b}".encode() for b in range(1, draws + 1)]):
+                at, p = known[at], (h >> shift).astype(np.int64)
+                bits[at[p < edge[j]], j] = 1
+                for i in at[(p == edge[j]) & (ones > 0)].tolist():
+                    tied[i].append(j + 1)
+            out = pdf.drop(columns="_k")
+            out["bits"] = list(np.packbits(bits, axis=1, bitorder="little").view(np.int64))
+            out["tied"] = tied
+            yield out
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    marked = s.table(rows.select(key, *carry, F.col(key).cast("string").alias("_k")).mapInPandas(mark, f"{kinds}, bits array<long>, tied array<int>"), "marked")
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.col("b").cast("string")))
-    per = per.withColumn("h", h).withColumn("p", F.substring("h", 1, 4))
-    up_to = F.sum("n").over(Window.partitionBy("b").orderBy("p"))  # at most 65,536 rows a draw
-    counts = per.groupBy("b", "p").agg(F.count("*").alias("n")).withColumn("to", up_to)
-    # one row a draw: the digits that the last one of the ones has, and how many are before them
-    edge = s.table(counts.where(F.col("to") >= ones).groupBy("b").agg(F.min_by(F.struct(F.col("p").alias("edge"), (F.col("to") - F.col("n")).alias("before")), "p").alias("e")).select("b", "e.*"), "edges")
-    per = per.join(F.broadcast(edge), "b", "left")
-    plain = per.where("edge is null or p <> edge").select("b", key, F.when(F.col("p") < F.col("edge"), 1).otherwise(0).alias(label))
-    order = Window.partitionBy("b").orderBy("h", key)
-    tied = per.where("p = edge").withColumn("r", F.row_number().over(order) + F.col("before"))
-    return plain.union(tied.select("b", key, F.when(F.col("r") <= ones, 1).otherwise(0)))
+    tied = marked.select(key, F.explode("tied").alias("b")).withColumn("h", h)
+    take = F.array(*[F.lit(int(x)) for x in left])
+    late = tied.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", key))).where(F.col("r") <= F.get(take, F.col("b") - 1))
+    more = late.groupBy(key).agg(F.collect_set("b").alias("more"))
+    word = lambda w: F.aggregate(F.filter("more", lambda b: F.floor((b - 1) / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b - 1, F.lit(64)))))
+    joined = marked.join(more, key, "left")
+    bits = F.array(*[F.get("bits", F.lit(w)).bitwiseOR(F.coalesce(word(w), F.lit(0).cast("long"))) for w in range(words)])
+    return joined.select(key, *carry, bits.alias("bits"))
+
+
+def permuted(df: DataFrame, key: str, label: str, draws: int) -> DataFrame:
+    """(b, key, label) of permuted_bits(), a row for a key and a draw."""
+    bit = F.call_function("shiftrightunsigned", F.get("bits", F.floor((F.col("b") - 1) / 64).cast("int")), F.pmod(F.col("b") - 1, F.lit(64))).bitwiseAND(F.lit(1).cast("long"))
+    return permuted_bits(df, key, label, draws).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("b", key, bit.cast("int").alias(label))
+
+
+def bit_counts(df: DataFrame, draws: int) -> DataFrame:
+    """(b, k): how many rows' ``bits`` have the bit of each draw. A task adds its rows up and gives one row a draw."""
+
+    def run(batches):
+        total = np.zeros(draws, np.int64)
+        for pdf in in_blocks(batches):
+            words = np.ascontiguousarray(np.stack(pdf["bits"].to_numpy()))
+            total += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :draws].sum(0, dtype=np.int64)
+        yield pd.DataFrame({"b": np.arange(1, draws + 1), "k": total})
+
+    return df.select("bits").mapInPandas(run, "b int, k long").groupBy("b").agg(F.sum("k").alias("k"))
 
 
 def z_score(observed: Column, mean: Column, sd: Column) -> Column:
     return (observed - mean) / (sd + 1e-9)
 
 
-def ring_counts(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ring_counts(members: DataFrame) -> DataFrame:
     """Components of two or more linked members that are all fraud, mixed or clean. ``members``: component, fraud."""
-    per = members.groupBy(*by, "component").agg(F.count("*").alias("n"), F.sum("fraud").alias("f")).where("n >= 2")
-    grouped = per.groupBy(*by) if by else per
-    return grouped.agg(F.count("*").alias("components"), F.count_if(F.col("f") == F.col("n")).alias("all_fraud"), F.count_if((F.col("f") > 0) & (F.col("f") < F.col("n"))).alias("mixed"), F.count_if(F.col("f") == 0).alias("clean"))
+    per = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("fraud").alias("f")).where("n >= 2")
+    return per.agg(F.count("*").alias("components"), F.count_if(F.col("f") == F.col("n")).alias("all_fraud"), F.count_if((F.col("f") > 0) & (F.col("f") < F.col("n"))).alias("mixed"), F.count_if(F.col("f") == 0).alias("clean"))
 
 
 def ring_test(members: DataFrame, key: str = "uid", draws: int = 200) -> DataFrame:
-    """All-fraud components against permuted labels. ``members``: uid, component, fraud of linked entities."""
+    """All-fraud components against permuted labels. ``members``: uid, component, fraud of linked entities.
+
+    The draws in which all members of a component are ones are the bits that all of them have.
+    """
     seen = ring_counts(members)
-    null = permuted(members, key, "fraud", draws).join(members.select(key, "component"), key)
-    null = ring_counts(null, ("b",)).agg(F.avg("all_fraud").alias("m"), F.stddev_pop("all_fraud").alias("sd"))
+    dealt = permuted_bits(members, key, "fraud", draws, ("component",))
+    words = range(-(-draws // 64))
+    whole = dealt.groupBy("component").agg(F.count("*").alias("n"), *[F.bit_and(F.get("bits", F.lit(w))).alias(f"w{w}") for w in words]).where("n >= 2")
+    null = bit_counts(whole.select(F.array(*[f"w{w}" for w in words]).alias("bits")), draws).agg(F.avg("k").alias("m"), F.stddev_pop("k").alias("sd"))
     return seen.crossJoin(null).select("components", "all_fraud", "mixed", "clean", F.round("m", 6).alias("null_mean"), F.round("sd", 6).alias("null_std"), F.round(z_score(F.col("all_fraud"), F.col("m"), F.col("sd")), 4).alias("z"))
 
 
-def homophily(edges: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def homophily(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of edges with both ends labelled that join two bad ends. ``labels``: node, bad; parallel edges count each."""
     a = labels.withColumnRenamed("node", "src").withColumnRenamed("bad", "x")
     b = labels.withColumnRenamed("node", "dst").withColumnRenamed("bad", "y")
-    both = edges.join(a, "src").join(b, ["dst", *by])
-    grouped = both.groupBy(*by) if by else both
-    return grouped.agg(F.count("*").alias("edges"), F.try_divide(F.sum(F.col("x") * F.col("y")), F.count("*")).alias("share"))
+    both = edges.join(a, "src").join(b, "dst")
+    return both.agg(F.count("*").alias("edges"), F.try_divide(F.sum(F.col("x") * F.col("y")), F.count("*")).alias("share"))
 
 
 def homophily_test(edges: DataFrame, labels: DataFrame, draws: int = 200) -> DataFrame:
+    """homophily() against permuted labels: in a draw an edge joins two bad ends if both have its bit."""
     seen = homophily(edges, labels)
-    null = homophily(edges, permuted(labels, "node", "bad", draws), ("b",)).agg(F.avg("share").alias("m"), F.stddev_pop("share").alias("sd"))
+    dealt = Scratch(edges.sparkSession, "homophily").table(permuted_bits(labels, "node", "bad", draws), "dealt")
+    both = edges.join(dealt.select(F.col("node").alias("src"), F.col("bits").alias("x")), "src").join(dealt.select(F.col("node").alias("dst"), F.col("bits").alias("y")), "dst")
+    null = bit_counts(both.select(F.zip_with("x", "y", lambda a, b: a.bitwiseAND(b)).alias("bits")), draws)
+    null = null.crossJoin(seen.select("edges")).agg(F.avg(F.try_divide("k", "edges")).alias("m"), F.stddev_pop(F.try_divide("k", "edges")).alias("sd"))  # one row
     return seen.crossJoin(null).select("edges", F.round("share", 6).alias("share"), F.round("m", 6).alias("null_mean"), F.round("sd", 6).alias("null_std"), F.round(z_score(F.col("share"), F.col("m"), F.col("sd")), 4).alias("z"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..operators import clusters, entity, graph, live, metrics, model, resample, split
+from ..operators import caps, clusters, entity, graph, ids, live, metrics, model, resample, split
 from ..scratch import Scratch
 from ..sources import tables
-from ..streaming import core_tables, ingest, live_index
+from ..streaming import core_tables, decision_log, ingest, live_index
 from . import views
 from .views import CAP, KEYS, TEST, edges, entities, features, graph_sql, scored, sql, table, test_rows, txn
 
@@ -98,6 +98,12 @@ def entity_frame(spark, d):
     return entities(txn(spark, d))
 
 
+@query(sql("SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS id, (SELECT count(*) FROM ent) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges FROM ent", G))
+def entity_index(spark, d):
+    rows = txn(spark, d)
+    return ids.entity_index(entities(rows), edges(rows))
+
+
 @query(sql("SELECT uid, key_name, value FROM edges", G))
 def hub_suppressed_edges(spark, d):
     return edges(txn(spark, d))
@@ -117,6 +123,32 @@ def coverage_by_cap(spark, d):
     return entity.coverage(rows.where(F.col("TransactionDT") >= split.cutoff(rows)), entities(txn(spark, d)), KEYS)
 
 
+#: Hub caps of the sweep. Fixed values.
+CAPS = (5, 20, 50)
+CAP_FEATURES = (*[graph_sql("scored", f"k{c}_", c) for c in CAPS], "swept AS (" + " UNION ALL ".join(f"SELECT {c} AS cap, * FROM k{c}_feat" for c in CAPS) + ")")
+
+
+def swept(spark, d):
+    rows = txn(spark, d)
+    return caps.features_by_cap(entities(rows), entity.links_long(entities(rows), KEYS), CAPS)
+
+
+@query(sql("SELECT * FROM swept", *CAP_FEATURES))
+def features_by_cap(spark, d):
+    return swept(spark, d)
+
+
+@query(sql("""SELECT * FROM (SELECT cap, sum(g_degree) AS edges, count(*) FILTER (WHERE g_is_linked = 1) AS linked_entities, count(DISTINCT g_component) FILTER (WHERE g_is_linked = 1) AS components, max(g_component_size) AS largest_component, max(g_core_number) AS max_core FROM swept GROUP BY 1)
+JOIN (SELECT cap, round(avg(CASE WHEN g_is_linked = 1 THEN 1.0 ELSE 0.0 END), 6) AS row_coverage, count(*) FILTER (WHERE g_is_linked = 1) AS linked_rows, coalesce(sum(y) FILTER (WHERE g_is_linked = 1), 0) AS linked_fraud FROM late GROUP BY 1) USING (cap)
+LEFT JOIN (SELECT cap, round(max(ap) FILTER (WHERE m = 's'), 6) AS base_ap, round(max(ap) FILTER (WHERE m = 'v'), 6) AS variant_ap FROM (SELECT cap, m, sum(tp*ctp/cn)/sum(tp) AS ap FROM
+  (SELECT cap, m, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM (SELECT cap, m, x, sum(y)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM (SELECT cap, 's' AS m, s AS x, y FROM late WHERE g_is_linked = 1 UNION ALL SELECT cap, 'v', v, y FROM late WHERE g_is_linked = 1) GROUP BY ALL)
+   WINDOW w AS (PARTITION BY cap, m ORDER BY x DESC)) GROUP BY ALL) GROUP BY cap) USING (cap)""", *CAP_FEATURES,
+           f"late AS (SELECT t.cap, r.y, r.s, r.v, f.g_is_linked FROM scored r CROSS JOIN (VALUES {', '.join(f'({c})' for c in CAPS)}) t(cap) LEFT JOIN swept f ON f.uid = r.uid AND f.cap = t.cap WHERE r.TransactionDT >= (SELECT c FROM cut))"))
+def cap_metrics(spark, d):
+    rows = entity.build_uid(scored(spark, d))
+    return caps.cap_report(swept(spark, d), rows.where(F.col("TransactionDT") >= split.cutoff(rows)), CAPS)
+
+
 @query(sql("SELECT uid, component FROM comp", G))
 def connected_components(spark, d):
     c = graph.components(graph.bipartite(edges(txn(spark, d)))).where(F.col("node").startswith("0|"))
@@ -407,7 +439,7 @@ def resampled_sql(source: str, by: str) -> tuple[str, ...]:
 def drift_ctes() -> tuple[str, ...]:
     inner = [f"i_{c} AS (SELECT q[2:len(q) - 1] AS e, len(q) - 1 AS k FROM (SELECT list_sort(list_distinct(quantile_cont({c}::DOUBLE, {[i / 10 for i in range(11)]}))) AS q FROM early WHERE {c} IS NOT NULL))" for c in DRIFT_OF]
     return (*LATE, *resampled_sql("win", "w, "), *inner,
-            f"ps AS ({' UNION ALL '.join(map(window_psi_sql, DRIFT_OF))})", "wp AS (SELECT w, max_by(feature, (psi, feature)) AS worst_feature, max(psi) AS worst_psi FROM ps GROUP BY w)",
+            f"ps AS ({' UNION ALL '.join(map(window_psi_sql, DRIFT_OF))})", "wp AS (SELECT w, first(feature ORDER BY psi DESC, feature) AS worst_feature, max(psi) AS worst_psi FROM ps GROUP BY w)",
             """ec AS (SELECT w, round(sum(g*n)/sum(n), 6) AS ece FROM (SELECT w, len(list_filter(q, lambda x: x < s)) AS bin, count(*) AS n, abs(avg(s) - avg(y)) AS g FROM win JOIN (SELECT w, quantile_cont(s, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM win GROUP BY w) USING (w) GROUP BY 1, 2) GROUP BY w)""",
             """dw AS (SELECT w, count(*) AS rows, sum(y) AS fraud, round(avg(y), 6) AS prevalence, round(avg(pow(s - y, 2)), 6) AS brier, round(any_value(e)[w + 1]/86400, 4) AS start_day, round(any_value(e)[w + 2]/86400, 4) AS end_day FROM win, ed GROUP BY w HAVING sum(y) > 0)""",
             """da AS (SELECT w, round(sum(pos*cp/(cp + cn))/sum(pos), 6) AS auc_pr, round(sum(neg*(cp - pos/2))/(sum(pos)*sum(neg)), 6) AS auc_roc FROM (SELECT *, sum(pos) OVER (PARTITION BY w ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY w ORDER BY s DESC) AS cn FROM (SELECT w, s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM win GROUP BY ALL)) GROUP BY w)""",
@@ -439,9 +471,8 @@ def ranking_quality_trend(spark, d):
 
 @query(sql("SELECT draws, auc_pr_low, auc_pr_high, auc_roc_low, auc_roc_high FROM ci", *resampled_sql("scored", "")))
 def metric_intervals(spark, d):
-    rows = resample.resampled(scored(spark, d), "id", DRIFT_DRAWS)
-    ap, auc = (resample.interval_of(rows, m) for m in ("ap", "auc"))
-    return ap.select("draws", F.col("low").alias("auc_pr_low"), F.col("high").alias("auc_pr_high")).crossJoin(auc.select(F.col("low").alias("auc_roc_low"), F.col("high").alias("auc_roc_high")))  # one row each
+    found = resample.intervals_of(resample.draw_metrics(scored(spark, d), "id", DRIFT_DRAWS, ["s"]))
+    return found.select("draws", F.col("ap_low").alias("auc_pr_low"), F.col("ap_high").alias("auc_pr_high"), F.col("auc_low").alias("auc_roc_low"), F.col("auc_high").alias("auc_roc_high"))
 
 
 @query(sql(f"""SELECT count(*) AS fraud_rows, round(count(*) FILTER (WHERE m)/count(*), 6) AS count_share, round(coalesce(sum(amount_inr) FILTER (WHERE m), 0)/sum(amount_inr), 6) AS value_share,
@@ -492,6 +523,13 @@ def bootstrap_ap_delta_hash(spark, d):
     return resample.ap_delta(scored(spark, d), "id", DRAWS)
 
 
+@query(sql(interval_sql("(SELECT b, coalesce(max(ap) FILTER (WHERE m = 1), 0) - coalesce(max(ap) FILTER (WHERE m = 0), 0) AS delta FROM aps GROUP BY b)"), DRAWN,
+           """aps AS (SELECT b, m, sum(tp*ctp/cn)/sum(tp) AS ap FROM (SELECT b, m, tp, sum(tp) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS cn
+  FROM (SELECT b, m, x, sum(w*y*amount_inr)::DOUBLE AS tp, sum(w*amount_inr)::DOUBLE AS n FROM (SELECT b, 0 AS m, s AS x, w, y, amount_inr FROM dr UNION ALL SELECT b, 1, v, w, y, amount_inr FROM dr) GROUP BY 1, 2, 3)) GROUP BY 1, 2)"""))
+def bootstrap_value_ap_delta_hash(spark, d):
+    return resample.ap_delta(scored(spark, d), "id", DRAWS, weight="amount_inr")
+
+
 @query()
 def bootstrap_exact(spark, d):
     import numpy as np
@@ -616,12 +654,13 @@ def case_by_id(spark, d):
     return tables.case_by_id(clusters.case_files(evidence(spark, d)), "case-1").select("case_id", "rank", "cluster_id")
 
 
-FINDINGS = """SELECT case_id, concat_ws('; ', CASE WHEN len(na) >= 2 THEN printf('all %d entities share %d identifying attributes (%s)', entity_count, len(na), array_to_string(na, ', ')) WHEN len(na) = 1 THEN printf('all %d entities share %s', entity_count, na[1]) END,
-  CASE WHEN core_number >= 2 THEN printf('k-core number %d indicates mutually reinforcing links rather than a chain of one-off coincidences', core_number) END, CASE WHEN span_days <= 7 THEN printf('activity is compressed into %d days, consistent with a burst', span_days) END,
-  CASE WHEN flagged_share >= 0.5 THEN printf('%d of %d transactions were independently flagged by the model', flagged_transaction_count, transaction_count) END, CASE WHEN entities_in_other_clusters > 0 THEN printf('%d of its entities also appear in other flagged clusters', entities_in_other_clusters) END) AS corroborating,
-  concat_ws('; ', CASE WHEN len(na) = 0 THEN 'no single attribute is shared by every entity; the link is an indirect chain' END, CASE WHEN span_days > 7 THEN printf('activity spans %d days, longer than a typical card-testing burst and consistent with ordinary shared usage', span_days) END,
-  CASE WHEN flagged_share <= 0.34 THEN printf('only %d of %d transactions were flagged; most of the cluster''s activity scored normally', flagged_transaction_count, transaction_count) END,
-  CASE WHEN distinct_cards = 1 AND entity_count > 1 THEN 'a single card across several entities is also the ordinary signature of one household or a shared business account' END) AS contradicting
+SAID = clusters.STATEMENTS
+FINDINGS = f"""SELECT case_id, concat_ws('; ', CASE WHEN len(na) >= 2 THEN printf('{SAID['several']}', entity_count, len(na), array_to_string(na, ', ')) WHEN len(na) = 1 THEN printf('{SAID['one']}', entity_count, na[1]) END,
+  CASE WHEN core_number >= 2 THEN printf('{SAID['core']}', core_number) END, CASE WHEN span_days <= {clusters.BURST_DAYS} THEN printf('{SAID['burst']}', span_days) END,
+  CASE WHEN flagged_share >= {clusters.HALF} THEN printf('{SAID['flagged']}', flagged_transaction_count, transaction_count) END, CASE WHEN entities_in_other_clusters > 0 THEN printf('{SAID['elsewhere']}', entities_in_other_clusters) END) AS corroborating,
+  concat_ws('; ', CASE WHEN len(na) = 0 THEN '{SAID['chain']}' END, CASE WHEN span_days > {clusters.BURST_DAYS} THEN printf('{SAID['spread']}', span_days) END,
+  CASE WHEN flagged_share <= {clusters.LOW_SHARE} THEN printf('{SAID['few']}', flagged_transaction_count, transaction_count) END,
+  CASE WHEN distinct_cards = 1 AND entity_count > 1 THEN '{SAID['card']}' END) AS contradicting
 FROM (SELECT *, list_filter(shared_attributes, lambda x: x <> 'indirect_attribute_chain') AS na FROM cf)"""
 
 
@@ -676,12 +715,18 @@ def audit_trail(spark, d):
     return tables.audit_trail(rows, limit=500).select(F.lit("all").alias("asked"), "*").union(tables.audit_trail(rows, 7).select(F.lit("case"), "*"))
 
 
-@query("SELECT * FROM (VALUES ('case-1', 'rejected', 'me'), ('case-2', 'approved', 'unattributed')) AS t(case_id, decision, reviewer)")
+@query("""SELECT case_id, decision, CASE WHEN reviewer = '' THEN 'unattributed' ELSE reviewer END AS reviewer, n AS decisions, last AS evidence_seen FROM (
+  SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) AS n, max(event_id) AS last, arg_max(CASE WHEN event_id % 3 = 0 THEN 'rejected' ELSE 'approved' END, event_id) AS decision, arg_max(trim(CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END), event_id) AS reviewer FROM events GROUP BY 1)""")
 def recorded_decisions(spark, d):
-    path = Scratch(spark, "decisions").path("rows")
-    for case, decision, who in (("case-1", "approved", "me"), ("case-2", "approved", " "), ("case-1", "rejected", "me")):
-        tables.record_decision(spark, path, case, decision, who)
-    return tables.latest_decisions(spark.read.parquet(path)).select("case_id", "decision", "reviewer")
+    """Events as decisions, recorded in three batches, the second of which is sent again."""
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("case_id"), F.when(F.col("event_id") % 3 == 0, "rejected").otherwise("approved").alias("decision"),
+                                            F.when(F.col("event_id") % 5 == 0, " ").otherwise(F.col("event_type")).alias("reviewer"), F.col("event_id").cast("string").alias("evidence_seen"), "event_id")
+    log = decision_log.DecisionLog(spark)
+    ends = rows.agg((F.max("event_id") / 3).alias("a"), (F.max("event_id") * 2 / 3).alias("b")).first()
+    for number, part in ((0, rows.where(F.col("event_id") <= ends["a"])), (1, rows.where((F.col("event_id") > ends["a"]) & (F.col("event_id") <= ends["b"]))), (1, rows.where("event_id % 7 = 0")), (2, rows.where(F.col("event_id") > ends["b"]))):
+        log.record(part, ["event_id"], number)
+    count = log.rows().groupBy("case_id").agg(F.count("*").alias("decisions"))
+    return tables.latest_decisions(log.rows()).join(count, "case_id").select("case_id", "decision", "reviewer", "decisions", F.col("evidence_seen").cast("long").alias("evidence_seen"))
 
 
 @query("SELECT 'ok' AS status, (SELECT count(*) FROM events) AS events, true AS results, false AS model, true AS ready")
@@ -942,10 +987,14 @@ def to_paise(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.to_paise(F.round("c_acctbal", 2).cast("string")).alias("paise"))
 
 
-@query("SELECT name FROM (VALUES ('TransactionAmt'), ('card1'), ('addr1'), ('P_emaildomain'), ('card3'), ('card5'), ('card6'), ('D1'), ('tx_hour'), ('tx_dayofweek')) AS t(name)")
+@query(sql("""SELECT name, count(*) FILTER (WHERE x IS NOT NULL) AS present FROM (UNPIVOT (SELECT TransactionAmt::VARCHAR AS TransactionAmt, card1::VARCHAR AS card1, addr1::VARCHAR AS addr1, P_emaildomain::VARCHAR AS P_emaildomain, card3::VARCHAR AS card3, card5::VARCHAR AS card5, card6::VARCHAR AS card6, D1::VARCHAR AS D1,
+  (floor(TransactionDT/3600) % 24)::VARCHAR AS tx_hour, (floor(TransactionDT/86400) % 7)::VARCHAR AS tx_dayofweek FROM txn) ON COLUMNS(*) INTO NAME name VALUE x) GROUP BY 1"""))
 def feature_names(spark, d):
+    """The model's inputs, with how many rows have each."""
     rows = entity.build_uid(split.add_time_features(txn(spark, d)))
-    return spark.createDataFrame([(c,) for c in split.feature_columns(rows)], "name string")
+    names = split.feature_columns(rows)
+    one = rows.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("present")) for c in names]).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
 
 
 @query(sql("SELECT cluster_id, CASE WHEN entity_count <= 10 THEN 'confirm' END AS recommendation, entity_count <= 10 AS accepted FROM ev", TEST, CLUSTERS))

@@ -73,15 +73,15 @@ scored AS (
 cut AS (SELECT quantile_cont(TransactionDT, 0.8) AS c FROM txn)"""
 
 
-def graph_sql(source: str, p: str = "") -> str:
-    """Entity frame, links, edges, components, cores and features of a source's rows; names take the prefix."""
+def graph_sql(source: str, p: str = "", cap: int = CAP) -> str:
+    """Entity frame, links, edges, components, cores and features of a source's rows under a hub cap; names take the prefix."""
     first = ", ".join(f"first({c} ORDER BY TransactionDT, TransactionID) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in COLUMNS)
     links = " UNION ".join(f"SELECT uid, '{k}' AS key_name, {chr(39) + '|' + chr(39)} AS sep, {' || ' .join(x for i, c in enumerate(parts) for x in ([chr(39) + '|' + chr(39)] if i else []) + [f'CAST({c} AS VARCHAR)'])} AS value FROM {p}ent" for k, parts in KEYS.items())
     return f"""
 {p}ent AS (SELECT uid, {first} FROM {source} WHERE uid IS NOT NULL GROUP BY uid),
 {p}links AS (SELECT uid, key_name, value FROM ({links}) WHERE value IS NOT NULL),
 {p}grp AS (SELECT key_name, value, count(*) AS members FROM {p}links GROUP BY 1, 2),
-{p}edges AS (SELECT l.* FROM {p}links l JOIN {p}grp g USING (key_name, value) WHERE members BETWEEN 2 AND {CAP}),
+{p}edges AS (SELECT l.* FROM {p}links l JOIN {p}grp g USING (key_name, value) WHERE members BETWEEN 2 AND {cap}),
 {p}reach(a, b) AS (
   SELECT e1.uid, e2.uid FROM {p}edges e1 JOIN {p}edges e2 USING (key_name, value)
   UNION SELECT r.a, e2.uid FROM {p}reach r JOIN {p}edges e1 ON r.b = e1.uid JOIN {p}edges e2 ON e1.key_name = e2.key_name AND e1.value = e2.value),
