@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,14 @@ GROUP, CELL, PART = 64, 4096, 1024
 DEVIATIONS = 4.5
 
 
+@lru_cache(4)
 def rotation(dim: int) -> np.ndarray:
-    """A random orthogonal matrix, the same on every machine."""
+    """A random orthogonal matrix, the same on every machine; made once a worker, as every cell needs it."""
     q, r = np.linalg.qr(np.random.default_rng((SEED, dim)).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+@lru_cache(4)
 def planes(dim: int, count: int) -> np.ndarray:
     return np.random.default_rng((SEED, dim, count)).standard_normal((dim, count))
 

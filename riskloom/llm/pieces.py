@@ -453,7 +453,8 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     docs.select("t").mapInArrow(cut, "p int, seg string").write.mode("overwrite").option("compression", "zstd").parquet(s.path("met"))
     met = spark.read.schema("p int, seg string").parquet(s.path("met"))
     # dealt out by segment: counting, exploding, joining, grouping and handing back then need no further exchange
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TASK))
+    told = met.agg(F.count("*").alias("n"), (F.max("p") + 1).alias("tasks")).first()
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-told["n"] // TASK))
     dealt = met.where("seg is not null").repartition(many, "seg")
     # with p, though only to tell it is there, so that counting and handing back read one and the same exchange
     segs = dealt.groupBy("seg").agg(F.min("p").alias("least")).where("least >= 0")
@@ -464,7 +465,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", d
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(TASK))
     try:
-        dealt.join(made.hint("shuffle_hash"), "seg").select("p", "seg", "ids").repartition("p").sortWithinPartitions("p", "seg").write.mode("overwrite").option("compression", "zstd").partitionBy("p").parquet(path)
+        dealt.join(made.hint("shuffle_hash"), "seg").select("p", "seg", "ids").repartition(told["tasks"] or 1, "p").sortWithinPartitions("p", "seg").write.mode("overwrite").option("compression", "zstd").partitionBy("p").parquet(path)
     finally:
         spark.conf.set(limit, before)
 
