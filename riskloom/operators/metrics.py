@@ -6,6 +6,8 @@ from that table, in ranges of scores, so no task sees all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fixed
@@ -376,10 +378,18 @@ def trend(windows: DataFrame, metric: str) -> DataFrame:
     return ends.select("first", "last", F.coalesce((F.col("n") >= 2) & apart, F.lit(False)).alias("distinguishable"))
 
 
-def metric(df: DataFrame, f, name: str = "metric", by: tuple[str, ...] = ()) -> DataFrame:
-    """A pluggable metric: ``f`` takes a pandas frame of y and s and returns a number; one group to a task."""
-    import pandas as pd
+def metric(df: DataFrame, f: Callable[[Column, Column], Column], name: str = "metric", by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
+    """A pluggable metric: ``f`` takes the columns of labels and scores and returns an aggregate of them, by groups or of all rows.
+
+    Any aggregate of Spark's will do, also one of several; they are combined before the
+    shuffle. Metrics of an order, such as areas, have operators of their own.
+    """
+    grouped = df.groupBy(*by) if by else df
+    return grouped.agg(f(F.col(y), F.col(s)).cast("double").alias(name))
+
 
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.applyInPandas(lambda pdf: pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, name: [float(f(pdf))]}), f"{keys + ', ' if keys else ''}{name} double")
+def metric_by_score(df: DataFrame, f: Callable[[Column, Column, Column, Column], Column], name: str = "metric", by: tuple[str, ...] = (), y: str = "y", s: str = "s") -> DataFrame:
+    """A pluggable metric of the order of scores: ``f`` takes, for each distinct score from the highest on, its positives, its rows and both running totals, and returns an aggregate over scores."""
+    at = running(df.where(F.col(y).isNotNull() & F.col(s).isNotNull()), s, {"tp": F.sum(F.col(y).cast("double")), "n": F.sum(F.lit(1.0))}, by)
+    grouped = at.groupBy(*by) if by else at
+    return grouped.agg(f(*[F.col(c) for c in ("tp", "n", "cum_tp", "cum_n")]).cast("double").alias(name))

@@ -544,9 +544,14 @@ def bootstrap_exact(spark, d):
     return resample.exact_bootstrap(scored(spark, d), ap, draws=DRAWS, counted=True)
 
 
-@query(sql("SELECT round(avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0), 6) AS metric FROM scored"))
+@query(sql("""SELECT round(avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0), 6) AS gap, (SELECT round(max(2*ctp/(cn + p)), 6) FROM (SELECT sum(tp) OVER (ORDER BY s DESC) AS ctp, sum(n) OVER (ORDER BY s DESC) AS cn, sum(tp) OVER () AS p
+  FROM (SELECT s, sum(y)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM scored GROUP BY 1))) AS best_f1 FROM scored"""))
 def pluggable_metric(spark, d):
-    return metrics.metric(scored(spark, d).select("y", "s"), lambda pdf: round(pdf["s"][pdf["y"] == 1].mean() - pdf["s"][pdf["y"] == 0].mean(), 6))
+    """The gap of mean scores, and the best F1 of any threshold."""
+    rows = Scratch(spark, "pluggable").table(scored(spark, d).select("y", "s"), "rows")
+    gap = metrics.metric(rows, lambda y, s: F.round(F.avg(F.when(y == 1, s)) - F.avg(F.when(y == 0, s)), 6), "gap")
+    positives = rows.agg(F.sum("y")).first()[0]
+    return gap.crossJoin(metrics.metric_by_score(rows, lambda tp, n, ctp, cn: F.round(F.max(2 * ctp / (cn + positives)), 6), "best_f1"))  # one row each
 
 
 MEMBERS = "mem AS (SELECT f.uid, g_component AS component, CAST(fraud AS INT) AS fraud FROM feat f JOIN (SELECT uid, max(isFraud) AS fraud FROM scored WHERE uid IS NOT NULL GROUP BY uid) USING (uid) WHERE g_is_linked = 1)"
@@ -966,7 +971,7 @@ def traced_narratives(spark, d):
     return text.annotate(e).select("cluster_id", "text", F.to_json("segments").alias("segments"))
 
 
-@query()
+@query(sql("""SELECT cluster_id, true AS accepted, '{"probable_cause": "UNEXPLAINED", "confidence": "low", "human_summary": "' || entity_count || ' entities", "suggested_action": "review"}' AS narrative FROM ev""", TEST, CLUSTERS))
 def drafted_narratives(spark, d):
     e = evidence(spark, d).select("cluster_id", text.facts().alias("prompt"), text.allowed_numbers().alias("allowed"))
 

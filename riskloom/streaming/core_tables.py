@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.components import connected_components
 from ..operators.graph import k_core
@@ -42,10 +45,11 @@ class IncrementalCore:
         self.n += 1
         return self.s.table(df, f"t{self.n}")
 
-    def insert(self, batch: DataFrame, number: int | None = None) -> DataFrame:
+    def insert(self, batch: DataFrame, number: int | None = None, before: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Takes edges (src, dst; loops, nulls and repeats are ignored) and returns (node, core) of the nodes that rose.
 
         ``number``: of the batch in its stream; one that was committed before changes nothing.
+        ``before`` is given the result ahead of the commit, so that what it writes is there if the batch counts.
         """
         nothing = self.spark.createDataFrame([], "node string, core long")
         if number is not None and number <= self.store.number:
@@ -60,6 +64,8 @@ class IncrementalCore:
             rose = self._raise(new.select(F.col("src").alias("node")).distinct())
             own = self.store.buckets_of(rose)
             self.store.replace("core", self.store.read("core", own).join(rose, "node", "left_anti").union(rose), own)
+        if before:
+            before(rose)
         self.store.commit(number)
         return rose
 
@@ -135,3 +141,16 @@ class IncrementalCore:
         whole = k_core(edges)
         own = self.state.select("node", "core")
         return own.exceptAll(whole).isEmpty() and whole.exceptAll(own).isEmpty()
+
+
+def maintained_cores(edges: DataFrame, state: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Core numbers kept by a stream of edges (src, dst): each batch's new numbers go to ``out``, the state of all nodes is in ``state``.
+
+    A batch writes its folder before it is committed and does nothing if it was, so whatever is
+    tried again, each change of a number is in ``out`` once. Ends when what is there has been read.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        IncrementalCore(batch.sparkSession, state, buckets).insert(batch, number, lambda rose: rose.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+
+    return edges.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -43,9 +43,3 @@ def analyse_batches(events: DataFrame, state: str, out: str, checkpoint: str) ->
             rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return deduplicated(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def random_edges(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> DataFrame:
-    """Distinct random pairs, the same in every run; for benches."""
-    pick = lambda c: F.pmod(F.xxhash64("id", F.lit(f"{seed}{c}")), F.lit(nodes))
-    return spark.range(edges * 2).select(pick("a").alias("a"), pick("b").alias("b")).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct().limit(edges)

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import caps, entity, graph, ids, live
+from riskloom.operators.random_graphs import random_edges
 from riskloom.scratch import Scratch
 from riskloom.streaming.buckets import FOLDERS, Store
+from riskloom.streaming.core_tables import IncrementalCore, maintained_cores
 from riskloom.streaming.decision_log import DecisionLog
 from riskloom.streaming.live_index import LiveIndex
 
@@ -123,3 +125,28 @@ def test_cap_report(spark):
 def test_edges_counted_by_cap(spark):
     links = spark.createDataFrame([(f"u{i}", "k", str(i % 3)) for i in range(10)], "uid string, key_name string, value string")
     assert caps.levelled_edges(links, (3, 4)).groupBy("level").count().orderBy("level").select(F.col("count")).collect() == [(6,), (4,)]
+
+
+@pytest.mark.parametrize("nodes,edges", [(2, 1), (3, 3), (50, 735), (50, 1225), (1000, 5000), (7, 0), (3_000_000_000, 200)])
+def test_random_edges_are_distinct_and_as_many_as_asked(spark, nodes, edges):
+    got = [tuple(r) for r in random_edges(spark, nodes, edges, 3).collect()]
+    assert len(got) == len(set(got)) == edges and all(0 <= a < b < nodes for a, b in got)
+    assert got == [tuple(r) for r in random_edges(spark, nodes, edges, 3).collect()]
+    if edges == 5000:
+        assert set(got) != {tuple(r) for r in random_edges(spark, nodes, edges, 4).collect()} and len({x for p in got for x in p}) > 990
+    with pytest.raises(ValueError):
+        random_edges(spark, 4, 7)
+
+
+def test_a_stream_keeps_cores(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    (tmp_path / "in").mkdir()
+    changes = {}
+    for i, edges in enumerate(([("a", "b"), ("b", "c"), ("a", "a")], [("a", "c"), ("c", "d"), ("a", "b")])):
+        spark.createDataFrame(edges, "src string, dst string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("src string, dst string").parquet(f"{base}/in")
+        maintained_cores(stream, f"{base}/state", f"{base}/out", f"{base}/c", 4).awaitTermination(120)
+        changes[i] = {r.node: r.core for r in spark.read.parquet(f"{base}/out/batch={i}").collect()}
+    assert changes == {0: {"a": 1, "b": 1, "c": 1}, 1: {"a": 2, "b": 2, "c": 2, "d": 1}}
+    kept = IncrementalCore(spark, f"{base}/state")
+    assert kept.matches_batch() and kept.store.number == 1
