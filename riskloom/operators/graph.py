@@ -47,12 +47,13 @@ def dealt(both: DataFrame, comp: DataFrame, s: Scratch, local: int) -> tuple[Dat
     """(component, src, dst, part) of components of at most ``local`` ends, dealt to tasks whole and many together, and the edges of larger ones, if any."""
     own = s.table(both.join(comp.withColumnRenamed("node", "src"), "src"), "own")
     sizes = own.groupBy("component").agg(F.count("*").alias("ends"))
-    large = s.table(sizes.where(F.col("ends") > local).select("component"), "large")
+    told = sizes.agg(F.max("ends").alias("most"), F.sum("ends").alias("all")).first()
     # as even as hashing makes them; a part is about as large as the largest component that it may hold
-    parts = max(1, own.count() // max(1, min(local, DEALT)))
-    some = not large.isEmpty()
-    small = own.join(large, "component", "left_anti") if some else own
-    return small.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts))), own.join(large, "component", "left_semi").select("src", "dst") if some else None
+    part = F.pmod(F.xxhash64("component"), F.lit(max(1, (told["all"] or 0) // max(1, min(local, DEALT)))))
+    if (told["most"] or 0) <= local:
+        return own.withColumn("part", part), None
+    large = s.table(sizes.where(F.col("ends") > local).select("component"), "large")
+    return own.join(large, "component", "left_anti").withColumn("part", part), own.join(large, "component", "left_semi").select("src", "dst")
 
 
 def peel(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -50,8 +50,8 @@ def weights(keys: list, draws: range):
 
 #: Rows that are weighed at once, rows of a range of scores, and draws of it that are held at once.
 HELD, RANGE, AT_ONCE = 65536, 65536, 25
-#: Rows that a range has at least, where there are enough.
-LEAST = 8192
+#: Rows whose weights are made or read at once.
+BLOCK = 8192
 
 
 def in_blocks(batches, rows: int = HELD):
@@ -87,26 +87,49 @@ def draw_sums(df: DataFrame, key: str, draws: int, columns: dict[str, Column]) -
     return made.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
+def with_weights(df: DataFrame, key: str, draws: int) -> DataFrame:
+    """The rows with ``w``: their weights in all Poisson draws, half a byte each. The hashes cost most by far, so each is made once."""
+    rows = df.withColumn("_k", F.col(key).cast("string"))
+
+    def run(batches):
+        for pdf in in_blocks(batches, BLOCK):
+            w = np.zeros((len(pdf), draws + draws % 2), np.uint8)
+            for j, at, own in weights(pdf["_k"].tolist(), range(1, draws + 1)):
+                w[at, j] = own
+            halves = w[:, ::2] | w[:, 1::2] << 4
+            yield pdf.drop(columns="_k").assign(w=[x.tobytes() for x in halves])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return rows.mapInPandas(run, f"{kinds}, w binary")
+
+
+def unpacked(w: pd.Series, draws: int) -> np.ndarray:
+    """(row, draw): the weights again."""
+    halves = np.frombuffer(b"".join(w), np.uint8).reshape(len(w), -1)
+    return np.stack([halves & 15, halves >> 4], axis=2).reshape(len(w), -1)[:, :draws]
+
+
 def draw_metrics(df: DataFrame, key: str, draws: int, scores: list[str], y: str = "y", weight: str | None = None, by: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
     """(by, m, b, ap, auc): both metrics of the m-th of the scores in each Poisson draw, for every group; null where the draw does not tell.
 
-    ``weight``: what a row counts for besides, any number from 0 on; rows without one are left out. No row is made for a row
-    and a draw: rows are dealt by ranges of scores, tasks weigh them by blocks under all draws,
-    and the ranges' totals in each draw give each range its start.
+    ``weight``: what a row counts for besides, any number from 0 on; rows without one are left
+    out. No row is made for a row and a draw: rows take their weights in all draws along as
+    half a byte each and are dealt by ranges of scores, and the ranges' totals in each draw give
+    each range its start.
     """
     names = [f"x{m}" for m in range(len(scores))]
     x = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(float("inf"))).otherwise(F.col(c).cast("double"))  # noqa: E731  # NaN is the highest
     v = F.lit(1.0) if weight is None else F.when(F.assert_true(F.coalesce(F.col(weight) >= 0, F.lit(True)), "weights may not be negative").isNull(), F.col(weight).cast("double"))
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("double").alias("y"), v.alias("v"), *by, *[x(c).alias(n) for c, n in zip(scores, names)]).where("y is not null and v is not null")
     s = Scratch(df.sparkSession, "draws")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # spread, as a small table comes in one part
+    rows = s.table(with_weights(rows.repartition(tasks, "k"), "k", draws), "rows")
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(n).alias("x")) for m, n in enumerate(names)])).alias("o")
-    # written before it is dealt: ranges are found by a sample, and their number by the count
-    long = s.table(rows.select("k", "y", "v", *by, each).select("k", "y", "v", *by, "o.m", "o.x").where("x is not null"), "rows")
-    many, tasks = long.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # hashes are made by columns, which short ranges would make slow
-    ranges = max(many // size, min(tasks, many // LEAST)) + 1
-    # keys too, so that rows of one score can lie in several ranges
-    long = s.table(long.repartitionByRange(ranges, *by, "m", F.desc("x"), "k").withColumn("part", F.spark_partition_id()), "ranges")
+    long = rows.select("y", "v", "w", *by, each).select("y", "v", "w", *by, "o.m", "o.x").where("x is not null")
+    ranges = max(tasks, rows.count() * len(names) // size + 1)
+    # weights too, so that rows of one score can lie in several ranges
+    long = s.table(long.repartitionByRange(ranges, *by, "m", F.desc("x"), F.xxhash64("w", "y")).withColumn("part", F.spark_partition_id()), "ranges")
     group = [*by, "m"]
     kinds = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in group)
 
@@ -121,10 +144,10 @@ def draw_metrics(df: DataFrame, key: str, draws: int, scores: list[str], y: str
         out = []
         for keys, own in groups(pdf):
             v = own["v"].to_numpy()
-            values, sums = np.column_stack([v * own["y"].to_numpy(), v]), np.zeros((draws, 2))
-            for j, at, w in weights(own["k"].tolist(), range(1, draws + 1)):
-                sums[j] += w @ values[at]
-            out.append(named(keys, part=int(pdf["part"].iloc[0]), b=np.arange(1, draws + 1), tp=sums[:, 0], n=sums[:, 1]))
+            values, sums = np.column_stack([v * own["y"].to_numpy(), v]), np.zeros((2, draws))
+            for low in range(0, len(own), BLOCK):
+                sums += values[low:low + BLOCK].T @ unpacked(own["w"].iloc[low:low + BLOCK], draws).astype(float)
+            out.append(named(keys, part=int(pdf["part"].iloc[0]), b=np.arange(1, draws + 1), tp=sums[0], n=sums[1]))
         return pd.concat(out)
 
     totals = long.groupBy("part").applyInPandas(total, f"{kinds}, part int, b int, tp double, n double")
@@ -135,25 +158,28 @@ def draw_metrics(df: DataFrame, key: str, draws: int, scores: list[str], y: str
         first = {keys: own.sort_values("b") for keys, own in groups(start)}
         out = []
         for keys, own in groups(pdf):
-            v, texts = own["v"].to_numpy(), own["k"].tolist()
-            hits = v * own["y"].to_numpy()
-            values, code = np.unique(-own["x"].to_numpy(), return_inverse=True)
-            at_start = first[keys]
+            own = own.sort_values("x", ascending=False, kind="stable")
+            scores, v = own["x"].to_numpy(), own["v"].to_numpy()
+            new = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+            values, hits, w = scores[new], v * own["y"].to_numpy(), unpacked(own["w"], draws)
             # the first and the last score may go on in other ranges
             ends, inner = sorted({0, len(values) - 1}), slice(1, max(1, len(values) - 1))
+            sums, edges = {c: np.zeros(draws) for c in ("tp", "n", "gain", "area")}, {i: {c: np.zeros(draws) for c in ("ctp", "cn", "tp", "n")} for i in ends}
             for low in range(0, draws, AT_ONCE):
-                some = range(low + 1, min(low + AT_ONCE, draws) + 1)
-                tp, n = np.zeros((len(some), len(values))), np.zeros((len(some), len(values)))
-                for j, at, w in weights(texts, some):
-                    tp[j] += np.bincount(code[at], w * hits[at], len(values))
-                    n[j] += np.bincount(code[at], w * v[at], len(values))
-                ctp = at_start["tp"].to_numpy()[low:low + len(some), None] + np.cumsum(tp, axis=1)
-                cn = at_start["n"].to_numpy()[low:low + len(some), None] + np.cumsum(n, axis=1)
-                gain = tp * np.divide(ctp, cn, out=np.zeros_like(cn), where=cn > 0)
-                area, b = (n - tp) * (ctp - tp / 2), np.array(some)
-                sums = {c: z[:, inner].sum(axis=1) for c, z in (("tp", tp), ("n", n), ("gain", gain), ("area", area))}
-                out.append(named(keys, b=b, x=np.nan, ctp=0.0, cn=0.0, **sums))
-                out += [named(keys, b=b, x=-values[i], ctp=ctp[:, i], cn=cn[:, i], tp=tp[:, i], n=n[:, i], gain=0.0, area=0.0) for i in ends]
+                some = slice(low, min(low + AT_ONCE, draws))
+                drawn = w[:, some].astype(float)
+                tp, n = np.add.reduceat(drawn * hits[:, None], new, axis=0), np.add.reduceat(drawn * v[:, None], new, axis=0)
+                ctp = first[keys]["tp"].to_numpy()[some] + np.cumsum(tp, axis=0)
+                cn = first[keys]["n"].to_numpy()[some] + np.cumsum(n, axis=0)
+                gain, area = tp * np.divide(ctp, cn, out=np.zeros_like(cn), where=cn > 0), (n - tp) * (ctp - tp / 2)
+                for c, z in (("tp", tp), ("n", n), ("gain", gain), ("area", area)):
+                    sums[c][some] = z[inner].sum(axis=0)
+                for i, told in edges.items():
+                    for c, z in (("ctp", ctp), ("cn", cn), ("tp", tp), ("n", n)):
+                        told[c][some] = z[i]
+            b = np.arange(1, draws + 1)
+            out.append(named(keys, b=b, x=np.nan, ctp=0.0, cn=0.0, **sums))
+            out += [named(keys, b=b, x=values[i], gain=0.0, area=0.0, **told) for i, told in edges.items()]
         return pd.concat(out)
 
     schema = f"{kinds}, b int, x double, ctp double, cn double, tp double, n double, gain double, area double"

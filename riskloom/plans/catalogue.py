@@ -790,7 +790,7 @@ BATCHES = 3
 
 @query(f"WITH RECURSIVE {MARKS} SELECT live.*, (SELECT count(DISTINCT user_id) FROM events) AS total_entities FROM live WHERE payer_key IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_id % {BATCHES} = {BATCHES - 1})")
 def live_batches(spark, d):
-    index, rows = live_index.LiveIndex(spark), payment_marks(spark, d)
+    index, rows = live_index.LiveIndex(spark, buckets=16), payment_marks(spark, d)
     for i in range(BATCHES):
         last = index.take(rows.where(F.col("event_id") % BATCHES == i), i)
     return shown(last).withColumn("total_entities", F.lit(index.total()).cast("long"))
@@ -1064,7 +1064,7 @@ def results_document(spark, d):
 @query(sql("SELECT node, core FROM core", G))
 def incremental_core_replay(spark, d):
     e = Scratch(spark, "replay").table(graph.bipartite(edges(txn(spark, d))), "e")
-    kept = core_tables.IncrementalCore(spark)
+    kept = core_tables.IncrementalCore(spark, buckets=16)
     part = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
     for i in range(3):
         kept.insert(e.where(part == i), i)
