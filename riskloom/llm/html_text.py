@@ -3,10 +3,12 @@
 A page's text blocks are grouped by their path of block tags from the root to the
 leaf. A path's ratio joins its text length and its punctuation, each per block.
 Ratios are smoothed over the containers that a path runs through, every container
-having the mean ratio of the text in it, then fused with the path's own ratio. The
-paths over a share of the page's mean ratio are the content, ``article`` and ``main``
-included. Names of page furniture only veto. Paths are nodes of a tree, so the work
-is linear in the page, however many classes or levels it has.
+having the mean ratio of the text in it, less where it holds little of the page's
+text, then fused with the path's own ratio. The paths over a share of the page's own
+mean are the content, ``article`` and ``main`` included. Names of page furniture and
+of articles only weigh a ratio, within the bounds of WEAK and STRONG; text that is not
+displayed is none. Paths are nodes of a tree, so the work is linear in the page,
+however many classes or levels it has.
 """
 
 from __future__ import annotations
@@ -40,41 +42,45 @@ FURNITURE = set("nav footer aside form fieldset menu dialog search".split())
 ROLES = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|menu|menubar|alert|dialog|form|note|toolbar)\b")
 #: Names of furniture, and names that furniture and articles both have.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|nav(?:igation|bar)?|menus?|breadcrumbs?|sidebars?|footers?|"
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|nav(?:igation|bar)?|menus?|breadcrumbs?|sidebars?|footers?|"
     r"headers?|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|respond|disqus|share|sharing|"
-    r"widgets?|pagination|pager)(?=$|[\s_-])")
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:side|foot|social|related|recommended|recommendations|tags?|skip|hidden|copyright|legal|disclaimer|rail)(?=$|[\s_-])")
+    r"widgets?|pagination|pager")
+DOUBTFUL = re.compile(r"side|foot|social|related|recommended|recommendations|tags?|skip|hidden|copyright|legal|disclaimer|rail")
 LABEL = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-HEAD = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|banners?)(?=$|[\s_-])")
+HEAD = re.compile(r"headers?|masthead|banners?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 #: Elements whose mean ratio smooths the ratios of the paths in them; inside an article there is the article alone.
-BOXES = set("html body div section article main center".split())
+BOXES = set("html body div section article main center nav header footer aside form".split())
 #: Elements whose text may be all links and is prose still.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Share of the page's mean ratio that a path needs; share of links over which a path is a menu; weights of a path's own ratio
-#: against its container's, and of a container's mean against the one around it; what a doubtful name leaves of a ratio.
-THRESHOLD, MENU, OWN, NEAR, DOUBT = 0.4, 0.6, 0.5, 0.75, 0.5
+#: against its container's, and of a container's mean against the one around it.
+THRESHOLD, MENU, OWN, NEAR = 0.5, 0.6, 0.3, 0.75
+#: What the names of furniture leave of a ratio at least, and what those of an article make of it at most.
+WEAK, STRONG = 0.15, 3.0
+#: Share of the mean without names that the page's mean counts as at least, so that a page of furniture alone has no content.
+BARE = 0.4
 
 
-def furniture(tag: str, attributes: str, inside: bool) -> float:
-    """What an element's names leave of its ratio: 0 for page furniture; ``inside`` tells that an article is open."""
-    if tag in FURNITURE or tag == "header" and not inside:
-        return 0.0
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return 1.0
-    left = 1.0
+def weight(tag: str, attributes: str, inside: bool) -> float:
+    """Factor of an element's names, from WEAK to STRONG, or 0 if it is not displayed; ``inside`` tells that an article is open.
+
+    Names of several words weigh by the share of the words that are furniture's: ``ad`` in full, ``notice board`` by half.
+    """
+    factor = STRONG if tag in ("article", "main") and not inside else WEAK if tag in FURNITURE or tag == "header" and not inside else 1.0
+    if tag in ("html", "body") or not attributes:
+        return factor
     for m in LABEL.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and (not value or value in ("hidden", "true")) or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return 0.0
         if name == "role" and ROLES.search(value):
-            return 0.0
-        if name in ("class", "id"):
-            if NAMES.search(HEAD.sub(" ", value) if inside else value):
-                return 0.0
-            if DOUBTFUL.search(value):
-                left = DOUBT
-    return left
+            factor = min(factor, WEAK)
+        if name in ("class", "id") and tag not in ("article", "main"):
+            words = [w for w in re.split(r"[\s_-]+", value) if w and not (inside and HEAD.fullmatch(w))]
+            named = sum(1.0 if NAMES.fullmatch(w) else 0.5 if DOUBTFUL.fullmatch(w) else 0.0 for w in words)
+            factor = min(factor, WEAK ** (named / max(1, len(words))))
+    return factor
 
 
 @dataclass(slots=True)
@@ -97,7 +103,7 @@ class Path:
         if not self.chars:
             return 0.0
         menu = self.linked / self.chars
-        return self.left * math.sqrt(self.chars / self.count * (1 + self.marks / self.count)) * (1 - menu if menu > MENU and self.tag not in PROSE else 1)
+        return math.sqrt(self.chars / self.count * (1 + self.marks / self.count)) * (1 - menu if menu > MENU and self.tag not in PROSE else 1)
 
 
 def blocks(page: str) -> tuple[list[Path], list[tuple[int, str]]]:
@@ -131,7 +137,8 @@ def blocks(page: str) -> tuple[list[Path], list[tuple[int, str]]]:
     def push(tag: str, attributes: str) -> None:
         label = re.search(r"class\s*=\s*[\"']?([\w -]+)", attributes, re.I) if tag in ("div", "section", "td") else None
         up = tree[stack[-1]]
-        left = min(up.left, furniture(tag, attributes, up.inside))
+        own = weight(tag, attributes, up.inside)
+        left = up.left * own if own >= 1 else min(up.left, own * (STRONG if up.inside else 1))
         way = (tag, label[1].strip() if label else "", left)
         if way not in up.ways:
             up.ways[way] = len(tree)
@@ -202,8 +209,8 @@ def blocks(page: str) -> tuple[list[Path], list[tuple[int, str]]]:
 
 
 def scores(tree: list[Path]) -> tuple[list[float], float]:
-    """Every path's ratio smoothed and fused, and the page's mean ratio; both weigh ratios by text."""
-    ratio = [x.ratio() for x in tree]
+    """Every path's ratio smoothed, fused and weighed, and the page's mean of these, or BARE of it without names if more; means weigh by text."""
+    ratio = [x.ratio() if x.left else 0.0 for x in tree]
     chars, mass = [x.chars if r else 0 for x, r in zip(tree, ratio)], [x.chars * r for x, r in zip(tree, ratio)]
     for i in range(len(tree) - 1, 0, -1):
         chars[tree[i].up] += chars[i]
@@ -213,10 +220,13 @@ def scores(tree: list[Path]) -> tuple[list[float], float]:
         if x.box != i:
             smooth.append(smooth[x.box])
             continue
-        mean = mass[i] / chars[i] if chars[i] else 0.0
+        mean = mass[i] / chars[i] * math.sqrt(chars[i] / chars[0]) if chars[i] else 0.0
         smooth.append(NEAR * mean + (1 - NEAR) * smooth[tree[x.up].box] if i else mean)
-    fused = [(OWN * r + (1 - OWN) * x.left * smooth[i]) if r else 0.0 for i, (x, r) in enumerate(zip(tree, ratio))]
-    return fused, mass[0] / chars[0] if chars[0] else 0.0
+    fused = [OWN * r + (1 - OWN) * smooth[i] if r else 0.0 for i, r in enumerate(ratio)]
+    weighed = [x.left * f for x, f in zip(tree, fused)]
+    if not chars[0]:
+        return weighed, 0.0
+    return weighed, max(sum(x.chars * w for x, w in zip(tree, weighed)), BARE * sum(x.chars * f for x, f in zip(tree, fused))) / chars[0]
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
