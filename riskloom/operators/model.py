@@ -18,6 +18,7 @@ from ..sources.tables import coverage_pct
 from .metrics import average_precision, evaluate, inr
 from .resample import ap_delta, delta, draw_aps, interval
 from .split import TIME, TARGET, cutoff
+from .values import compare_values
 
 #: Training parameters; rounds bound the trees, of which the number best on the latest fifth of the rows is kept.
 DEFAULTS = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7", "minInstancesPerNode": 20, "seed": 42}
@@ -181,3 +182,11 @@ def compare(scores: DataFrame, test_rows: DataFrame, base: str, draws: int = 400
         one = report.crossJoin(more)  # one row by one row
         out = one if out is None else out.union(one)
     return out
+
+
+def compare_by_value(scores: DataFrame, test_rows: DataFrame, base: str, draws: int = 400, target: str = TARGET, amount: str = "TransactionAmt", cap: float = 0.01) -> DataFrame:
+    """As compare_values(), of variants(): every variant's score of a row beside the others, on rows that all have scored."""
+    names = sorted(r["variant"] for r in scores.select("variant").distinct().collect())
+    wide = scores.groupBy("TransactionID").agg(*[F.max(F.when(F.col("variant") == n, F.col("score"))).alias(f"v{i}") for i, n in enumerate(names)]).na.drop()
+    rows = wide.join(test_rows.select("TransactionID", F.col(target).alias("y"), inr(F.col(amount)).alias("amount_inr")), "TransactionID")
+    return compare_values(rows, "TransactionID", {n: f"v{i}" for i, n in enumerate(names)}, base, draws, cap)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..operators import caps, clusters, entity, graph, ids, live, metrics, model, resample, split
+from ..operators import caps, clusters, entity, graph, ids, live, metrics, model, resample, split, values
 from ..scratch import Scratch
 from ..sources import tables
 from ..streaming import core_tables, decision_log, ingest, live_index
@@ -1014,6 +1014,35 @@ def drafted_dispositions(spark, d):
     return text.draft_dispositions(e, stub).select("cluster_id", F.get_json_object("disposition", "$.recommendation").alias("recommendation"), "accepted")
 
 
+def value_interval_sql(measure: str, comparisons: int, deltas: str) -> str:
+    q = lambda p: f"round(quantile_cont(delta, {p}), 6)"
+    tail = 0.025 / comparisons
+    return f"SELECT '{measure}' AS measure, round(avg(delta), 6) AS delta, {q(0.025)} AS low, {q(0.975)} AS high, {q(tail)} AS corrected_low, {q(1 - tail)} AS corrected_high FROM ({deltas})"
+
+
+def draw_ap_sql(w: str) -> str:
+    """Change of average precision by draw, of rows weighed by ``w``."""
+    return f"""SELECT b, coalesce(max(ap) FILTER (WHERE m = 1), 0) - coalesce(max(ap) FILTER (WHERE m = 0), 0) AS delta FROM (SELECT b, m, sum(tp*ctp/cn)/sum(tp) AS ap FROM (
+  SELECT b, m, tp, sum(tp) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS ctp, sum(n) OVER (PARTITION BY b, m ORDER BY x DESC)::DOUBLE AS cn
+  FROM (SELECT b, m, x, sum(w*y*{w})::DOUBLE AS tp, sum(w*{w})::DOUBLE AS n FROM (SELECT b, 0 AS m, s AS x, w, y, amount_inr FROM dr UNION ALL SELECT b, 1, v, w, y, amount_inr FROM dr) GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY b"""
+
+
+CAUGHT = "sum(CASE WHEN {0} >= (SELECT threshold FROM pt WHERE name = '{0}') THEN w*amount_inr ELSE 0 END)"
+DRAW_VDR = f"SELECT b, ({CAUGHT.format('v')} - {CAUGHT.format('s')})/sum(w*amount_inr) AS delta FROM dr WHERE y = 1 GROUP BY b"
+
+
+@query(sql("""SELECT name, measure, round(observed, 6) AS observed, threshold AS cap_threshold, recall AS cap_recall, insult_rate AS cap_insult_rate, total_cost_inr AS cap_total_inr,
+  round(total_cost_inr - (SELECT total_cost_inr FROM pt WHERE name = 's'), 2) AS cap_more_inr, delta, low, high, corrected_low, corrected_high, corrected_low > 0 OR corrected_high < 0 AS significant
+  FROM seen JOIN pt USING (name) LEFT JOIN ci USING (name, measure)""", DRAWN, "scored_v AS (SELECT * REPLACE (v AS s) FROM scored)",
+           f"pt AS (SELECT 's' AS name, * FROM ({BY_CAP}) UNION ALL SELECT 'v', * FROM ({BY_CAP.replace('scored', 'scored_v')}))",
+           f"""seen AS (SELECT 's' AS name, 'count' AS measure, {ap_sql('scored')} AS observed UNION ALL SELECT 'v', 'count', {ap_sql('scored_v')} UNION ALL SELECT 's', 'value', {ap_sql('scored', 'amount_inr')}
+  UNION ALL SELECT 'v', 'value', {ap_sql('scored_v', 'amount_inr')} UNION ALL SELECT name, 'vdr', sum(CASE WHEN (CASE WHEN name = 's' THEN s ELSE v END) >= threshold THEN amount_inr ELSE 0 END)/sum(amount_inr) FROM scored, pt WHERE y = 1 GROUP BY name)""",
+           f"ci AS (SELECT 'v' AS name, * FROM ({value_interval_sql('count', 2, draw_ap_sql('1.0'))} UNION ALL {value_interval_sql('value', 2, draw_ap_sql('amount_inr'))} UNION ALL {value_interval_sql('vdr', 1, DRAW_VDR)}))"))
+def value_comparison(spark, d):
+    """Two scores by count, by value and by what each detects and costs under the insult cap."""
+    return values.compare_values(scored(spark, d), "id", {"s": "s", "v": "v"}, "s", DRAWS)
+
+
 # --- model, maintained cores
 
 def feature_sets(spark, d):
@@ -1047,6 +1076,30 @@ def ablation(spark, d):
     return model.compare(model.variants(a, b, sets), b, "tabular", DRAWS)
 
 
+def value_sets(spark, d):
+    """As feature_sets(), with centrality of the same graphs beside the other features of a graph."""
+    a, b, sets = feature_sets(spark, d)
+    a, b = graph.centrality_for_split(a, b, views.COLUMNS, KEYS, CAP)
+    s = Scratch(spark, "values")
+    return s.table(a, "train"), s.table(b, "test"), {**sets, "centrality": [*sets["graph"], "g_pagerank", "g_betweenness"]}
+
+
+@query()
+def value_ablation(spark, d):
+    """Every feature set, centrality included, by count, by value and under the insult cap, against the tabular one."""
+    a, b, sets = value_sets(spark, d)
+    return model.compare_by_value(model.variants(a, b, sets), b, "tabular", DRAWS)
+
+
+@query()
+def cost_training(spark, d):
+    """The tabular inputs with rows weighed by what an error on them costs, against the same inputs unweighed."""
+    a, b = split.temporal_split(split.add_time_features(txn(spark, d)))
+    a = Scratch(spark, "weighed").table(metrics.cost_weights(a, split.TARGET, "TransactionAmt"), "train")
+    sets = {"tabular": MODEL_INPUTS, "cost": MODEL_INPUTS}
+    return model.compare_by_value(model.variants(a, b, sets, weights={"cost": "weight"}), b, "tabular", DRAWS)
+
+
 @query()
 def results_document(spark, d):
     """One JSON document of the dataset, the operating points and the calibration, as served to readers."""

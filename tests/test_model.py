@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import model
+from riskloom.operators import metrics, model, values
 
 INPUTS = ["a", "b", "c"]
 
@@ -74,3 +74,42 @@ def test_variants_are_weighed_once(spark, monkeypatch):
     lacking = whole.where("variant <> 'b' or TransactionID > 0")
     some = {r.name: r for r in model.compare(lacking, late, "plain", draws=40).collect()}
     assert weighed == [3] and got["a"] == some["a"] and some["b"].delta != got["b"].delta
+
+
+def test_variants_by_value(spark):
+    """Against plain Python: a variant that finds the dear frauds is better by value, and thresholds keep the cap."""
+    r = random.Random(3)
+    late = [(i, int(i % 10 == 0), 1000.0 if i % 20 == 0 else 10.0) for i in range(2000)]
+    high = {"plain": lambda y, a: 0.3 * y, "dear": lambda y, a: 0.9 * y * (a > 100) + 0.1 * y}
+    scored = {n: [round(r.random() * 0.7 + f(y, a), 4) for _, y, a in late] for n, f in high.items()}
+    scores = spark.createDataFrame([(n, i, s) for n, x in scored.items() for i, s in enumerate(x)], "variant string, TransactionID long, score double")
+    rows = spark.createDataFrame(late, "TransactionID long, isFraud int, TransactionAmt double")
+    got = {(x.name, x.measure): x for x in model.compare_by_value(scores, rows, "plain", draws=50).collect()}
+    assert len(got) == 6 and all(got["plain", m].delta is None and got["plain", m].cap_more_inr == 0 for m in ("count", "value", "vdr"))
+    for n, x in scored.items():
+        t = got[n, "vdr"].cap_threshold
+        caught, whole = (sum(a for (_, y, a), s in zip(late, x) if y and s >= least) for least in (t, -1))
+        assert abs(got[n, "vdr"].observed - caught / whole) < 1e-6
+        for m, w in (("count", lambda a: 1), ("value", lambda a: a)):  # average precision by its definition, ties at once
+            ap = sum(y * w(a) * sum(v * w(b) for (_, v, b), u in zip(late, x) if u >= s) / sum(w(b) for (_, _, b), u in zip(late, x) if u >= s) for (_, y, a), s in zip(late, x) if y)
+            assert abs(got[n, m].observed - ap / sum(y * w(a) for _, y, a in late)) < 1e-6
+        assert got[n, "vdr"].cap_insult_rate <= 0.01 and abs(got[n, "count"].cap_insult_rate - sum(1 - y for (_, y, _), s in zip(late, x) if s >= t) / 1800) < 1e-6
+    for m in ("value", "vdr"):
+        x = got["dear", m]
+        assert x.significant and x.corrected_low <= x.low <= x.delta <= x.high <= x.corrected_high and x.delta > 0
+    assert got["dear", "vdr"].cap_more_inr < 0
+
+
+def test_no_variants_by_value(spark):
+    none = spark.createDataFrame([], "id long, y int, amount_inr double, s double, v double")
+    assert values.compare_values(none, "id", {"s": "s", "v": "v"}, "s", draws=5).count() == 0
+    odd = spark.createDataFrame([(1, None, None, None, 0.2), (1, 1, 5.0, 0.4, None), (2, 0, 3.0, 0.1, 0.9), (None, 0, 3.0, 0.1, 0.1)], "id long, y int, amount_inr double, s double, v double")
+    got = values.compare_values(odd.withColumns({"m": F.lit("clash"), "name": F.lit("clash")}), "id", {"s": "s", "v": "v"}, "s", draws=5).collect()
+    assert len(got) == 6 and {x.observed for x in got if x.name == "s"} == {1.0}
+
+
+def test_weighted_rows_train_another_model(spark, rows):
+    early, late = rows.where("TransactionDT < 50000"), rows.where("TransactionDT >= 50000")
+    weighed = metrics.cost_weights(early, "isFraud", "TransactionAmt")
+    got = model.variants(weighed, late, {"plain": INPUTS, "cost": INPUTS}, weights={"cost": "weight"}, maxIter=4, maxDepth=3)
+    assert got.groupBy("TransactionID").agg(F.count_distinct("score").alias("n")).where("n = 2").count() > 0.5 * late.count()
