@@ -1102,15 +1102,25 @@ def cost_training(spark, d):
 
 @query()
 def results_document(spark, d):
-    """One JSON document of the dataset, the operating points and the calibration, as served to readers."""
-    rows = Scratch(spark, "results").table(scored(spark, d), "rows")
+    """One JSON document of the dataset, the models' figures, the graph, the clusters and what is said of them, as served to readers."""
+    s = Scratch(spark, "results")
+    rows, late = s.table(scored(spark, d), "rows"), s.table(test_rows(spark, d), "late")
     report, points, _ = metrics.evaluate("base", rows)
-    one = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))  # noqa: E731  # at most a few hundred rows
-    parts = [one(split.dataset_summary(rows), "dataset"), one(report, "report"), one(points, "operating_points"), one(metrics.threshold_sweep(rows, (FLAG,)), "sweep"),
-             one(metrics.calibration_report("base", rows), "calibration"), one(metrics.value_concentration(rows, F.col("s") >= FLAG), "concentration")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
+    linked = F.col("g_is_linked") == 1
+    held = clusters.case_files(clusters.cluster_evidence(late, FLAG))
+    facts = spark.range(1).select(F.lit(metrics.USD_TO_INR).alias("usd_to_inr"), F.lit(metrics.MARGIN).alias("gross_margin"), F.lit(metrics.CHARGEBACK).alias("chargeback_inr"), F.lit(CAP).alias("hub_cap"))
+    # at most a few hundred rows each
+    sections = {
+        "dataset": split.dataset_summary(rows), "report": report, "operating_points": points, "sweep": metrics.threshold_sweep(rows, (FLAG,)),
+        "calibration": metrics.calibration_report("base", rows).union(metrics.calibration_report("variant", rows, s="v")), "concentration": metrics.value_concentration(rows, F.col("s") >= FLAG),
+        "ablation": value_comparison(spark, d), "ring_evidence": ring_permutation_hash(spark, d), "graph": graph_summary(spark, d),
+        "linked": late.agg(F.count_if(linked).alias("test_rows_linked"), F.round(F.try_divide(100 * F.count_if(linked), F.count("*")), 4).alias("test_rows_linked_pct")),
+        "drift": drift_report(spark, d), "clusters": held, "findings": clusters.case_findings(held), "cluster_outcomes": outcomes(late), "narratives": drafted_narratives(spark, d), "assumptions": facts,
+    }
+    out = None
+    for name, df in sections.items():
+        one = s.table(df, name).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
     return out.select(F.to_json(F.struct(*out.columns)).alias("document"))
 
 

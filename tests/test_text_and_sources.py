@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
+from riskloom.plans import catalogue
 from riskloom.sources import tables
 from riskloom.streaming import ingest
 
@@ -175,3 +176,14 @@ def test_figures_are_shown_as_printf_rounds_them(spark):
     assert {"risk_percentile: 0.12", "transactions_per_entity: 2.12", "share_of_transactions_flagged: 0.38", "population_mean_risk_score: 0.0312"} <= set(lines)
     got = spark.createDataFrame([(1.625,), (2.675,), (-0.001,), (None,)], "x double").select(text.fixed(F.col("x"), 2)).collect()
     assert [r[0] for r in got] == ["1.62", "2.67", "-0.00", None]
+
+
+def test_every_section_of_the_document(spark, sf):
+    """Sections hold what the queries of their parts give."""
+    doc = json.loads(catalogue.results_document(spark, sf).first().document)
+    assert set(doc) == {"dataset", "report", "operating_points", "sweep", "calibration", "concentration", "ablation", "ring_evidence", "graph", "linked", "drift", "clusters", "findings", "cluster_outcomes", "narratives", "assumptions"}
+    assert {x["name"] for x in doc["calibration"]} == {"base", "variant"} and {(x["name"], x["measure"]) for x in doc["ablation"]} == {(a, b) for a in "sv" for b in ("count", "value", "vdr")}
+    assert {x["cluster_id"] for x in doc["clusters"]} == {x["cluster_id"] for x in doc["cluster_outcomes"]} and len(doc["findings"]) == len(doc["clusters"]) == len(doc["narratives"]) > 0
+    assert all(len(doc[x]) == 1 for x in ("dataset", "ring_evidence", "graph", "linked", "concentration", "assumptions"))
+    want = catalogue.ring_permutation_hash(spark, sf).first().asDict()
+    assert doc["ring_evidence"][0] == {k: v for k, v in want.items() if v is not None}
