@@ -871,6 +871,21 @@ def signature_check(spark, d):
     return signed.groupBy(text.verify_signature(F.col("body"), F.col("signature"), b"secret").alias("valid")).agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT CASE event_id % 6 WHEN 1 THEN '{ingest.BAD_SIGNATURE}' WHEN 2 THEN '{ingest.MALFORMED}' WHEN 3 THEN '{ingest.NO_ID}' WHEN 4 THEN '{ingest.BAD_SIGNATURE}' WHEN 5 THEN '{ingest.MALFORMED}'
+  ELSE '{ingest.ACCEPTED}' END AS status, count(*) AS n, count(DISTINCT CASE WHEN event_id % 6 IN (0, 1, 3) THEN event_type END) AS types FROM events GROUP BY 1""")
+def delivery_verdicts(spark, d):
+    """Deliveries of events in raw bytes: good, wrongly signed, no object, without an id, written anew after signing, not UTF-8."""
+    e = table(spark, d, "events").withColumn("i", F.col("event_id") % 6)
+    sent = F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").alias("id")))
+    sent = F.when(F.col("i") == 2, F.concat(F.lit("["), sent, F.lit("]"))).otherwise(sent).cast("binary")
+    sent = F.when(F.col("i") == 5, F.concat(sent, F.unhex(F.lit("C328")))).otherwise(sent)
+    e = e.withColumn("sent", sent).withColumn("signature", text.hmac_sha256(F.col("sent"), b"secret"))
+    came = F.when(F.col("i") == 4, F.concat(F.col("sent"), F.lit(" ").cast("binary"))).otherwise(F.col("sent"))
+    raw = e.select(F.when(F.col("i") != 3, F.col("event_id").cast("string")).alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("timestamp").alias("received_at"),
+                   F.when(F.col("i") == 1, F.reverse("signature")).otherwise(F.col("signature")).alias("signature"), F.lit(None).cast("string").alias("body"), F.base64(came).alias("body64"))
+    return ingest.judged(raw, b"secret").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("body").isNotNull() & (F.col("event_type") != "unknown") & (F.col("status") != ingest.MALFORMED), F.col("event_type"))).alias("types"))
+
+
 # --- text
 
 NORM = "CASE WHEN x = '' THEN '0' ELSE x END"

@@ -15,7 +15,7 @@ FAST = [
     "connected_components", "k_core", "pagerank", "train_test_graph_features", "component_subgraph", "case_files", "case_by_id", "operating_points", "summary_lines", "evaluation_report", "drift_report",
     "ranking_quality_trend", "metric_intervals", "pluggable_metric", "ring_permutation_hash", "homophily_permutation_hash", "event_count", "audit_trail", "health", "analysis_by_id", "all_payments",
     "signature_check", "disposition_validation", "drafted_dispositions", "feature_names", "incremental_core_replay",
-    "features_by_cap", "cap_metrics", "entity_index", "recorded_decisions", "live_attributes", "live_batches", "drafted_narratives", "bootstrap_value_ap_delta_hash", "value_comparison",
+    "features_by_cap", "cap_metrics", "entity_index", "recorded_decisions", "live_attributes", "live_batches", "drafted_narratives", "bootstrap_value_ap_delta_hash", "value_comparison", "delivery_verdicts",
 ]
 
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import hmac
 import json
@@ -187,3 +188,15 @@ def test_every_section_of_the_document(spark, sf):
     assert all(len(doc[x]) == 1 for x in ("dataset", "ring_evidence", "graph", "linked", "concentration", "assumptions"))
     want = catalogue.ring_permutation_hash(spark, sf).first().asDict()
     assert doc["ring_evidence"][0] == {k: v for k, v in want.items() if v is not None}
+
+
+def test_deliveries_are_judged_by_their_bytes(spark):
+    sign = lambda b: hmac.new(b"s", b, hashlib.sha256).hexdigest()
+    good, bad = b'{"event": "payment.captured",  "id": 1}', b'{"event": "\xff"}'
+    b64 = lambda b: base64.b64encode(b).decode()
+    rows = [("1", None, sign(good), None, b64(good)), ("2", "own", sign(good), good.decode(), None), ("3", None, sign(good), json.dumps(json.loads(good)), None), ("4", None, sign(bad), None, b64(bad)),
+            (None, None, sign(good), None, b64(good)), (" ", None, sign(good), None, b64(good)), ("7", None, sign(b"[1]"), "[1]", None), ("8", None, None, None, None), ("9", None, sign(good), None, "%%"), ("10", None, sign(b"{}"), "{}", None)]
+    raw = spark.createDataFrame(rows, "event_id string, event_type string, signature string, body string, body64 string").withColumn("received_at", F.lit(None).cast("timestamp"))
+    got = [(r.status, r.event_type) for r in ingest.judged(raw, b"s").collect()]
+    assert got == [(ingest.ACCEPTED, "payment.captured"), (ingest.ACCEPTED, "own"), (ingest.BAD_SIGNATURE, "payment.captured"), (ingest.MALFORMED, "unknown"), (ingest.NO_ID, "payment.captured"), (ingest.NO_ID, "payment.captured"),
+                   (ingest.MALFORMED, "unknown"), (ingest.BAD_SIGNATURE, "unknown"), (ingest.BAD_SIGNATURE, "unknown"), (ingest.ACCEPTED, "unknown")]
