@@ -76,6 +76,24 @@ def test_weighted_metrics_by_group(spark, size):
         resample.draw_metrics(df.withColumn("v", F.lit(-1.0)), "id", 2, ["s"], weight="v").collect()
 
 
+def test_few_scores_are_added_up_in_tasks(spark, monkeypatch):
+    """As by carried weights, in groups and under two weightings, without a table of weighed rows."""
+    r = random.Random(6)
+    rows = [(None if i == 9 else i, r.choice([0, 1, None]), r.choice([0, 0, 1, None]), r.choice([0.1, 0.5, None, float("nan")]), r.choice([0.0, -0.0, 1.0]), r.choice([0.0, r.random() * 9])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, g int, y int, s double, v double, amount double").repartition(3)
+
+    def told(weight, by, classes):
+        found = resample.draw_metrics(df, "id", 7, ["s", "v"], weight=weight, by=by, classes=classes)
+        return {tuple(x[c] for c in found.columns[:-2]): (x.ap, x.auc) for x in found.collect()}
+
+    carried = {(str(w), by): told(w, by, 0) for w in (None, [None, "amount"]) for by in ((), ("g",))}
+    monkeypatch.setattr(resample, "with_weights", None)
+    for w, by in ((None, ()), (None, ("g",)), ([None, "amount"], ()), ([None, "amount"], ("g",))):
+        got, want = told(w, by, resample.CLASSES), carried[str(w), by]
+        assert got.keys() == want.keys() and len(got) == 14 * (2 if w else 1) * (3 if by else 1)
+        assert all(abs(a - b) < 1e-12 for k in got for a, b in zip(got[k], want[k]))
+
+
 def test_sums_of_draws(spark):
     df = spark.createDataFrame([(None if i == 5 else i, float(i % 7), None if i % 3 else 2.0) for i in range(200)], "id long, a double, c double").repartition(4)
     want = {x.b: (x.n, x.a, x.c) for x in drawn(df, "id", 9).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("c")).alias("c")).collect()}
