@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 EVENTS = T.StructType([T.StructField("event_id", T.StringType(), False), T.StructField("event_type", T.StringType()), T.StructField("received_at", T.TimestampType()), T.StructField("payload", T.StringType())])
@@ -67,28 +69,41 @@ def is_illicit(label: Column) -> Column:
     return label == "1"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, through an array of one, so that the value is made once and not wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def payment_json(body: Column) -> Column:
     """The payment object of an event, of a payment envelope or bare; null if none of its known fields is there."""
     at = F.coalesce(F.get_json_object(body, "$.payload.payment.entity"), F.get_json_object(body, "$.payment.entity"), F.when(F.json_object_keys(body).isNotNull(), body))
-    return F.when(F.arrays_overlap(F.json_object_keys(at), F.array(*[F.lit(x) for x in PAYMENT_FIELDS])), at)
+    return once(at, lambda x: F.when(F.arrays_overlap(F.json_object_keys(x), F.array(*[F.lit(f) for f in PAYMENT_FIELDS])), x))
 
 
 def extract_event(payment: Column, event_id: Column) -> Column:
     """struct(payer_key, card_fingerprint, email_domain, contact, vpa) of a payment object."""
-    get = lambda p: F.nullif(F.get_json_object(payment, p), F.lit(""))
-    email = get("$.email")
-    card = F.when(get("$.card.last4").isNotNull(), F.concat_ws("|", *[F.lower(get(f"$.card.{k}")) for k in ("last4", "network", "issuer")]))
-    contact, vpa = F.trim(get("$.contact")), F.lower(get("$.vpa"))
-    return F.struct(
-        F.coalesce(F.lower(email), F.nullif(contact, F.lit("")), vpa, get("$.id"), event_id).alias("payer_key"), card.alias("card_fingerprint"),
-        F.when(F.contains(email, F.lit("@")), F.lower(F.substring_index(email, "@", -1))).alias("email_domain"), contact.alias("contact"), vpa.alias("vpa"))
+
+    def told(p: Column) -> Column:
+        get = lambda path: F.nullif(F.get_json_object(p, path), F.lit(""))
+        email = get("$.email")
+        card = F.when(get("$.card.last4").isNotNull(), F.concat_ws("|", *[F.lower(get(f"$.card.{k}")) for k in ("last4", "network", "issuer")]))
+        contact, vpa = F.trim(get("$.contact")), F.lower(get("$.vpa"))
+        return F.struct(
+            F.coalesce(F.lower(email), F.nullif(contact, F.lit("")), vpa, get("$.id"), event_id).alias("payer_key"), card.alias("card_fingerprint"),
+            F.when(F.contains(email, F.lit("@")), F.lower(F.substring_index(email, "@", -1))).alias("email_domain"), contact.alias("contact"), vpa.alias("vpa"))
+
+    return once(payment, told)
 
 
 def payment_features(payment: Column) -> Column:
     """struct(TransactionAmt, tx_hour, tx_dayofweek) that a payment maps to; null where it does not tell."""
-    amount, at = F.get_json_object(payment, "$.amount").cast("double"), F.get_json_object(payment, "$.created_at").cast("double")
-    return F.struct(F.when(amount > 0, amount / 100 / 88.0).alias("TransactionAmt"), F.when(at > 0, F.pmod(F.floor(at / 3600), F.lit(24)).cast("double")).alias("tx_hour"),
-                    F.when(at > 0, F.pmod(F.floor(at / 86400), F.lit(7)).cast("double")).alias("tx_dayofweek"))
+
+    def told(p: Column) -> Column:
+        amount, at = F.get_json_object(p, "$.amount").cast("double"), F.get_json_object(p, "$.created_at").cast("double")
+        return F.struct(F.when(amount > 0, amount / 100 / 88.0).alias("TransactionAmt"), F.when(at > 0, F.pmod(F.floor(at / 3600), F.lit(24)).cast("double")).alias("tx_hour"),
+                        F.when(at > 0, F.pmod(F.floor(at / 86400), F.lit(7)).cast("double")).alias("tx_dayofweek"))
+
+    return once(payment, told)
 
 
 def coverage_pct(present: Column, total: Column) -> Column:

@@ -200,3 +200,12 @@ def test_deliveries_are_judged_by_their_bytes(spark):
     got = [(r.status, r.event_type) for r in ingest.judged(raw, b"s").collect()]
     assert got == [(ingest.ACCEPTED, "payment.captured"), (ingest.ACCEPTED, "own"), (ingest.BAD_SIGNATURE, "payment.captured"), (ingest.MALFORMED, "unknown"), (ingest.NO_ID, "payment.captured"), (ingest.NO_ID, "payment.captured"),
                    (ingest.MALFORMED, "unknown"), (ingest.BAD_SIGNATURE, "unknown"), (ingest.BAD_SIGNATURE, "unknown"), (ingest.ACCEPTED, "unknown")]
+
+
+def test_payments_are_spread_and_parsed_once(spark, sf):
+    """The customers of one file are dealt over tasks, and no field parses the event anew."""
+    from riskloom.plans import catalogue
+
+    assert catalogue.payments(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plan = catalogue.payer_extract(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.payload.payment.entity") == 1
