@@ -113,3 +113,37 @@ def test_weighted_rows_train_another_model(spark, rows):
     weighed = metrics.cost_weights(early, "isFraud", "TransactionAmt")
     got = model.variants(weighed, late, {"plain": INPUTS, "cost": INPUTS}, weights={"cost": "weight"}, maxIter=4, maxDepth=3)
     assert got.groupBy("TransactionID").agg(F.count_distinct("score").alias("n")).where("n = 2").count() > 0.5 * late.count()
+
+
+def test_training_spreads_rows_and_counts_them_before_the_rounds(rows, monkeypatch):
+    written, parts, table, fit = {}, [], model.Scratch.table, model.Pipeline.fit
+
+    def kept(self, df, name):
+        found = table(self, df, name)
+        written[name] = found
+        return found
+
+    monkeypatch.setattr(model.Scratch, "table", kept)
+    monkeypatch.setattr(model.Pipeline, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    monkeypatch.setattr(model, "PER_TASK", 60, raising=False)
+    found = model.train(rows.where("TransactionDT < 50000"), ["c"], maxIter=3, maxDepth=2)
+    late = written["rows"].where("_late")
+    assert parts[0] == written["rows"].where("not _late").count() // 60 + 1
+    assert written["rounds"].count() < late.count() == written["rounds"].agg(F.sum("n")).first()[0]
+    plain = model.by_rounds(found.pipeline, late).select("label", F.posexplode("sums").alias("k", "m"))
+    best = metrics.average_precision(plain, "label", "m", by=("k",)).orderBy(F.desc("ap"), "k").first()
+    assert (found.rounds, found.validation_ap) == (best["k"] + 1, pytest.approx(best["ap"]))
+
+
+def test_both_weightings_are_drawn_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, int(i % 5 == 0), i % 7 / 7, i % 3 / 3, float(i)) for i in range(300)], "id long, y int, s double, v double, amount_inr double")
+    drawn, draw_aps = [], values.draw_aps
+    monkeypatch.setattr(values, "draw_aps", lambda *a, **k: drawn.append(1) or draw_aps(*a, **k))
+    got = {r.measure: r for r in values.compare_values(df, "id", {"s": "s", "v": "v"}, "s", 20).where("name = 'v'").collect()}
+    monkeypatch.undo()
+    for measure, weight in (("count", None), ("value", "amount_inr")):
+        from riskloom.operators.resample import ap_delta
+
+        wanted = ap_delta(df, "id", 20, weight=weight).first()
+        assert (got[measure].delta, got[measure].low, got[measure].high) == pytest.approx((wanted.delta, wanted.low, wanted.high))
+    assert len(drawn) == 1
