@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -147,3 +148,32 @@ def test_both_weightings_are_drawn_once(spark, monkeypatch):
         wanted = ap_delta(df, "id", 20, weight=weight).first()
         assert (got[measure].delta, got[measure].low, got[measure].high) == pytest.approx((wanted.delta, wanted.low, wanted.high))
     assert len(drawn) == 1
+
+
+def test_many_rows_are_counted_by_bins_before_training(spark, rows, monkeypatch):
+    """Every row counts, few parts are trained on, and the model ranks as well as one of single rows."""
+    fitted, fit = [], model.GBTClassifier._fit
+    monkeypatch.setattr(model.GBTClassifier, "_fit", lambda self, df: fitted.append(df) or fit(self, df))
+    monkeypatch.setattr(model, "COUNTED", 100, raising=False)
+    monkeypatch.setattr(model, "PARTS", 200, raising=False)
+    data = metrics.cost_weights(rows.where("TransactionDT < 50000").withColumns({c: F.round(c, 1) for c in INPUTS}), "isFraud", "TransactionAmt")
+    early = data.where(F.col("TransactionDT") < model.cutoff(data, 0.8))
+    late = rows.where("TransactionDT >= 50000").withColumns({c: F.round(c, 1) for c in INPUTS})
+    for features, weight, total in ((["a", "b"], None, early.count()), (["a", "b"], "weight", early.agg(F.sum("weight")).first()[0])):
+        found = model.train(data, features, weight=weight, maxIter=6, maxDepth=3, minInstancesPerNode=5)
+        assert fitted[-1].count() < early.count() and fitted[-1].agg(F.sum("_w")).first()[0] == pytest.approx(total)
+        with monkeypatch.context() as m:
+            m.setattr(model, "COUNTED", 10**9)
+            single = model.train(data, features, weight=weight, maxIter=6, maxDepth=3, minInstancesPerNode=5)
+        ap = [metrics.average_precision(model.probability(x, late), "isFraud", "score").first().ap for x in (found, single)]
+        assert ap[0] > 0.9 * ap[1] > 0.3
+        late_rows = data.where(F.col("TransactionDT") >= model.cutoff(data, 0.8))
+        margins = model.by_rounds(found.pipeline, model.prepared(late_rows, features)).select("isFraud", F.posexplode("sums").alias("k", "m"))
+        best = metrics.average_precision(margins, "isFraud", "m", by=("k",)).orderBy(F.desc("ap"), "k").first()
+        assert (found.rounds, found.validation_ap) == (best["k"] + 1, pytest.approx(best["ap"]))
+
+
+def test_bins_part_few_values_singly_and_frequent_ones_once():
+    assert model.edges([1.0, 1.0, 2.0, 4.0]) == [1.5, 3.0] and model.edges([3.0, 3.0]) == [3.0] and model.edges([]) == [0.0] and model.edges([-math.inf, 1.0, 2.0, math.inf]) == [1.5]
+    most = model.edges([1.0] * 900 + [float(i) for i in range(2, 102)])
+    assert most[0] == 1.5 and len(most) == 31 and most == sorted(set(most)) and max(b - a for a, b in zip(most, most[1:])) <= 4
